@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, quality, sharding, tokens, warc
+from . import decontamination, language, mixing, near_dup, pii, quality, sharding, tokens, warc
 from .common import read_table
 
 
+def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(read_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+
+
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
@@ -24,6 +32,10 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "piece_bpe_32k.model")
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -44,7 +56,7 @@ def op10_shard_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_llr, op4_mix_sources, op5_warc_index, op8_token_counts, op9_language_id, op10_shard_pack)}
+QUERIES = {f.__name__: f for f in (op1_minhash_odd_sketch, op2_spaced_seeds, op3_quality_llr, op4_mix_sources, op5_warc_index, op6_pii_spans, op8_token_counts, op9_language_id, op10_shard_pack)}
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
