@@ -13,11 +13,14 @@ from .common import materialize
 
 SAMPLES = 128
 ROWS = 4
+BANDS = 24
 SKETCH_BITS = 512
 WORDS = 5
 PERCENT = 80
 SLACK = 0.18
 CHUNK = 512
+PACK = 20_000
+BROADCAST_IDS = 2_000_000
 FINGERPRINT = "n_shingles long, set_key string, bands array<long>, sketch array<long>"
 
 _rng = np.random.default_rng(20240229)
@@ -85,7 +88,8 @@ def fingerprint_column(text: Column, size: int) -> Column:
                 rows.append((0, None, None, None))
                 continue
             m = minhash(s)
-            bands = _mix(np.ascontiguousarray(m).view(np.uint64).reshape(-1, ROWS // 2)[:, 0] ^ (_mix(np.ascontiguousarray(m).view(np.uint64).reshape(-1, ROWS // 2)[:, 1])))
+            pair = m[: BANDS * ROWS].view(np.uint64).reshape(BANDS, ROWS // 2)
+            bands = _mix(pair[:, 0] ^ _mix(pair[:, 1] + np.arange(BANDS, dtype=np.uint64)))
             key = f"{len(s)}-{int(s.sum(dtype=np.uint64)):x}-{int(_mix(s).sum(dtype=np.uint64)):x}"
             rows.append((len(s), key, bands.view(np.int64), odd_sketch(m)))
         return pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "sketch"])
@@ -150,38 +154,52 @@ def components(edges: DataFrame) -> DataFrame:
 
 def cross_pairs(members: DataFrame, limit: int) -> DataFrame:
     """(a, b) of the pairs in a bucket that are in different components and whose sketches differ in at most
-    `limit` bits. members: bucket, rep, component, sketch, n (the bucket's size).
+    `limit` bits. members: bucket, rep, component, sketch, bands, n (the bucket's size).
 
-    A bucket is compared in blocks of CHUNK by CHUNK members, each block a group of its own, so neither memory nor
-    one task grows with a bucket; only pairs that pass are emitted.
+    A bucket is compared in blocks of CHUNK by CHUNK members, so neither memory nor one task grows with a bucket;
+    small blocks share a group of about PACK rows. Only pairs that pass are emitted, and each only once: in the
+    bucket of the first band that the two share.
     """
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
     placed = members.withColumn("c", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    placed = placed.select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "rep", "component", "sketch")
+    placed = placed.select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "rep", "component", "sketch", "bands")
+    packs = max(64, members.count() // PACK)
 
     def compare(df: pd.DataFrame) -> pd.DataFrame:
-        i, j = df["i"].iloc[0], df["j"].iloc[0]
-        left, right = df[df["c"] == i], df[df["c"] == j]
-        a_ids, b_ids = left["rep"].to_numpy(), right["rep"].to_numpy()
-        out_a, out_b = [], []
-        if len(left) and len(right) and df["component"].nunique() > 1:
-            b_bits, b_of = np.stack(right["sketch"].to_numpy()), right["component"].to_numpy()
-            for a, of, bits in zip(a_ids, left["component"], np.stack(left["sketch"].to_numpy()), strict=True):
-                near = (np.bitwise_count(b_bits ^ bits).sum(axis=1) <= limit) & (b_of != of) & ((b_ids > a) | (i != j))
-                for b in b_ids[near]:
-                    out_a.append(min(a, b))
-                    out_b.append(max(a, b))
-        return pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
-
-    return placed.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+        df = df.sort_values(["bucket", "i", "j", "c"], kind="stable")
+        bucket, i, j, c, rep, of = (df[x].to_numpy() for x in ("bucket", "i", "j", "c", "rep", "component"))
+        bits, bands = np.stack(df["sketch"].to_numpy()), np.stack(df["bands"].to_numpy())
+        new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for lo, hi in zip(np.r_[0, new], np.r_[new, len(df)], strict=True):
+            if (of[lo:hi] == of[lo]).all():
+                continue
+            # Within one chunk all rows meet; between two, the rows of the first meet those of the second.
+            split = hi if i[lo] == j[lo] else lo + int((c[lo:hi] == i[lo]).sum())
+            start = lo if i[lo] == j[lo] else split
+            for x in range(lo, split, 64):
+                y = slice(x, min(x + 64, split))
+                near = np.bitwise_count(bits[y, None, :] ^ bits[None, start:hi, :]).sum(axis=2) <= limit
+                near &= of[y, None] != of[None, start:hi]
+                p, q = np.nonzero(near)
+                p, q = p + x, q + start
+                if start == lo:
+                    p, q = p[p < q], q[p < q]
+                same = bands[p] == bands[q]
+                once = bands[p, same.argmax(axis=1)] == bucket[p]
+                out_a.append(np.minimum(rep[p], rep[q])[once])
+                out_b.append(np.maximum(rep[p], rep[q])[once])
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+    return placed.groupBy(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(packs))).applyInPandas(compare, "a long, b long").distinct()
 
 
 def link(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: near-duplicate components of docs (doc_id, text).
 
     Two documents are linked if 100 * shared shingles >= percent * all shingles of both; component_id is the
-    smallest doc_id reachable. Candidates share one of 32 bands of four MinHash samples (a pair at 80 % is missed
-    with a chance below 1e-7) and pass the odd sketch with a slack of five standard errors; what passes is confirmed
+    smallest doc_id reachable. Candidates share one of 24 bands of four MinHash samples (a pair at 80 % is missed
+    with a chance of 3e-6) and pass the odd sketch with a slack of five standard errors; what passes is confirmed
     on full shingle sets. Equal sets are joined first and go on as one. Then every member of a bucket is compared
     with one member that the bucket's hash picks, which joins nearly all; members of one bucket that are still in
     different components are all compared, in blocks. So no link between components of the result is left out and
@@ -194,9 +212,9 @@ def link(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
     prints = materialize(docs.select("doc_id", fingerprint_column(F.col("text"), words).alias("f")).select("doc_id", "f.*"), "fingerprints")
     sets = prints.filter("n_shingles > 0 and doc_id is not null")
     reps = materialize(sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
-    rows = reps.select("rep", F.posexplode("bands").alias("band", "hash")).select("rep", F.xxhash64("band", "hash").alias("bucket"))
-    pick = F.struct(F.xxhash64("rep", "bucket").alias("h"), F.col("rep").alias("rep"))
-    heads = rows.groupBy("bucket").agg(F.min(pick).alias("p"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("p.rep").alias("head"), "n")
+    rows = reps.select("rep", F.explode("bands").alias("bucket"))
+    # The member that a bucket picks is the smallest by rep XOR bucket: another one in each bucket of a group.
+    heads = rows.groupBy("bucket").agg(F.min(F.col("rep").bitwiseXOR(F.col("bucket"))).alias("p"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("p").bitwiseXOR(F.col("bucket")).alias("head"), "n")
     shared = materialize(rows.join(heads, "bucket"), "buckets")
 
     limit = most_flips(percent / 100 - SLACK)
@@ -207,7 +225,9 @@ def link(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
     star = materialize(star.filter(flips("sa", "sb") <= limit).select("a", "b"), "pairs")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = ends(pairs).select(F.col("rep").alias("doc_id"))
+        wanted = materialize(ends(pairs).select(F.col("rep").alias("doc_id")), "wanted")
+        if wanted.count() <= BROADCAST_IDS:  # 16 MB of identifiers; beyond, Spark shuffles both sides
+            wanted = F.broadcast(wanted)
         named = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
         return named.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text")
 
@@ -215,7 +235,7 @@ def link(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
     found = materialize(components(edges), "components")
     for_members = shared.select("bucket", "rep", "n").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = for_members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    members = for_members.join(mixed, "bucket", "left_semi").join(sketches, "rep")
+    members = materialize(for_members.join(mixed, "bucket", "left_semi").join(reps.select("rep", "sketch", "bands"), "rep"), "members")
     rest = materialize(cross_pairs(members, limit).join(star, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = materialize(confirm(rest, materialize(texts_of(rest), "texts"), words, percent), "links")
