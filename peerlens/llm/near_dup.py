@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-SAMPLES = 128
+SAMPLES = 256
 ROWS = 4
 BANDS = 24
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
 WORDS = 5
 PERCENT = 80
-SLACK = 0.18
+SLACK = 0.125
 CHUNK = 512
 PACK = 20_000
 BROADCAST_IDS = 2_000_000
@@ -152,9 +152,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots) if spark else now
 
 
-def cross_pairs(members: DataFrame, limit: int) -> DataFrame:
+def cross_pairs(members: DataFrame, limit: int, percent: int) -> DataFrame:
     """(a, b) of the pairs in a bucket that are in different components and whose sketches differ in at most
-    `limit` bits. members: bucket, rep, component, sketch, bands, n (the bucket's size).
+    `limit` bits and whose sizes allow the similarity. members: bucket, rep, component, sketch, bands, n_shingles,
+    n (the bucket's size).
 
     A bucket is compared in blocks of CHUNK by CHUNK members, so neither memory nor one task grows with a bucket;
     small blocks share a group of about PACK rows. Only pairs that pass are emitted, and each only once: in the
@@ -162,12 +163,12 @@ def cross_pairs(members: DataFrame, limit: int) -> DataFrame:
     """
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
     placed = members.withColumn("c", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    placed = placed.select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "rep", "component", "sketch", "bands")
+    placed = placed.select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "rep", "component", "sketch", "bands", "n_shingles")
     packs = max(64, members.count() // PACK)
 
     def compare(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["bucket", "i", "j", "c"], kind="stable")
-        bucket, i, j, c, rep, of = (df[x].to_numpy() for x in ("bucket", "i", "j", "c", "rep", "component"))
+        bucket, i, j, c, rep, of, n = (df[x].to_numpy() for x in ("bucket", "i", "j", "c", "rep", "component", "n_shingles"))
         bits, bands = np.stack(df["sketch"].to_numpy()), np.stack(df["bands"].to_numpy())
         new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
@@ -181,6 +182,7 @@ def cross_pairs(members: DataFrame, limit: int) -> DataFrame:
                 y = slice(x, min(x + 64, split))
                 near = np.bitwise_count(bits[y, None, :] ^ bits[None, start:hi, :]).sum(axis=2) <= limit
                 near &= of[y, None] != of[None, start:hi]
+                near &= 100 * np.minimum(n[y, None], n[None, start:hi]) >= percent * np.maximum(n[y, None], n[None, start:hi])
                 p, q = np.nonzero(near)
                 p, q = p + x, q + start
                 if start == lo:
@@ -211,7 +213,7 @@ def link(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
     """
     prints = materialize(docs.select("doc_id", fingerprint_column(F.col("text"), words).alias("f")).select("doc_id", "f.*"), "fingerprints")
     sets = prints.filter("n_shingles > 0 and doc_id is not null")
-    reps = materialize(sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
+    reps = materialize(sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
     # The member that a bucket picks is the smallest by rep XOR bucket: another one in each bucket of a group.
     heads = rows.groupBy("bucket").agg(F.min(F.col("rep").bitwiseXOR(F.col("bucket"))).alias("p"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("p").bitwiseXOR(F.col("bucket")).alias("head"), "n")
@@ -219,10 +221,10 @@ def link(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
 
     limit = most_flips(percent / 100 - SLACK)
     ends = lambda pairs: pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
-    sketches = reps.select("rep", "sketch")
+    sketches = reps.select("rep", "sketch", "n_shingles")
     star = shared.filter("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
-    star = star.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-    star = materialize(star.filter(flips("sa", "sb") <= limit).select("a", "b"), "pairs")
+    star = star.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb")), "b")
+    star = materialize(star.filter((flips("sa", "sb") <= limit) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b"), "pairs")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         wanted = materialize(ends(pairs).select(F.col("rep").alias("doc_id")), "wanted")
@@ -235,8 +237,8 @@ def link(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
     found = materialize(components(edges), "components")
     for_members = shared.select("bucket", "rep", "n").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = for_members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    members = materialize(for_members.join(mixed, "bucket", "left_semi").join(reps.select("rep", "sketch", "bands"), "rep"), "members")
-    rest = materialize(cross_pairs(members, limit).join(star, ["a", "b"], "left_anti"), "rest")
+    members = materialize(for_members.join(mixed, "bucket", "left_semi").join(reps.select("rep", "sketch", "bands", "n_shingles"), "rep"), "members")
+    rest = materialize(cross_pairs(members, limit, percent).join(star, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = materialize(confirm(rest, materialize(texts_of(rest), "texts"), words, percent), "links")
         if not more.isEmpty():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, mixing, near_dup, pii, quality, sharding, tokens, warc
+from . import decontamination, language, mixing, near_dup, pii, quality, sharding, suffix_dedup, tokens, warc
 from .common import read_table
 
 
@@ -36,6 +36,10 @@ def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "piece_bpe_32k.model")
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -56,7 +60,7 @@ def op10_shard_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_odd_sketch, op2_spaced_seeds, op3_quality_llr, op4_mix_sources, op5_warc_index, op6_pii_spans, op8_token_counts, op9_language_id, op10_shard_pack)}
+QUERIES = {f.__name__: f for f in (op1_minhash_odd_sketch, op2_spaced_seeds, op3_quality_llr, op4_mix_sources, op5_warc_index, op6_pii_spans, op7_suffix_array, op8_token_counts, op9_language_id, op10_shard_pack)}
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
