@@ -71,5 +71,5 @@ def mix(docs: DataFrame, *, weights: list[float] = (5.0, 2.0, 1.0), total_share:
 
 
 def repeat_copies(mixed: DataFrame) -> DataFrame:
-    """One row for each copy that the mix takes."""
-    return mixed.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))) if "copies" in mixed.columns else mixed
+    """One row for each copy that the mix takes, numbered from 1 in the column copy."""
+    return mixed.drop("copy").filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))

@@ -246,3 +246,23 @@ def link(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
     of_set = reps.select("set_key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("__c"))
     out = prints.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_set, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("__c", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, without near-duplicates: of each component the smallest doc_id stays.
+
+    Of rows that repeat a doc_id one stays. Rows with a null doc_id all stay. The texts are not shuffled while the
+    removed ids number at most BROADCAST_IDS; beyond, Spark joins by doc_id.
+    """
+    linked = materialize(link(docs, words=words, percent=percent), "linked")
+
+    def few(ids: DataFrame) -> DataFrame:
+        ids = materialize(ids, "ids")
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    left = docs.join(few(linked.filter("not kept").select("doc_id").distinct()), "doc_id", "left_anti")
+    again = materialize(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "ids")
+    if again.isEmpty():
+        return left.select(docs.columns)
+    one = left.join(few(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(few(again), "doc_id", "left_anti").unionByName(one).select(docs.columns)

@@ -130,34 +130,64 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM bytes from each position, by doubling."""
+def powers(data: np.ndarray, top: int) -> dict[int, np.ndarray]:
+    """{k: hash of the k bytes from each position} for powers of two up to top, by doubling."""
     h, k, m = _BYTE[data], 1, _M
-    while k < GRAM:
-        h = h[:-k] * np.uint64(m) + h[k:]
+    out = {}
+    while k < top:
+        h = h[:-k] * np.uint64(m) + h[k:] if len(h) > k else h[:0]
         m, k = m * m % (1 << 64), k * 2
-    return _mix(h)
+        out[k] = h
+    return out
+
+
+def ranges_hash(h: np.ndarray, k: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of bytes [start, start + size) out of hashes of k bytes, for k <= size <= 3 * k - 4."""
+    last = start + size - k
+    middle = np.minimum(start + k - 4, last)
+    return _mix(h[start] * np.uint64(3) + h[middle] * np.uint64(5 * _M % (1 << 64)) + h[last] * np.uint64(_M) + size.astype(np.uint64))
 
 
-def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, anchor, first, windows): the windows of `length` bytes in runs that share their anchor.
+ANCHOR = "doc_id long, anchor long, context long, left long, right long, first int, place int, windows int"
+
+
+def anchors(raw: bytes, length: int = LENGTH) -> dict[str, np.ndarray]:
+    """Runs of windows of `length` bytes that share their anchor: its hash and place, the first window, how many.
 
     A window's anchor is its gram of smallest hash, the leftmost of equal ones. Equal windows have equal anchors at
-    equal offsets, so they meet under the anchor's hash.
+    equal offsets, so they meet under the anchor's hash. context: hash of the bytes that the run's windows cover,
+    and of the anchor's place in them. A window holds the `side_of(length)` bytes left of its anchor, or those
+    right of it: left and right are their hashes.
     """
     data = np.frombuffer(raw, dtype=np.uint8)
-    h = gram_hashes(data)
-    place_bits = max(1, int(len(h)).bit_length())
-    key = (h >> np.uint64(place_bits) << np.uint64(place_bits)) | np.arange(len(h), dtype=np.uint64)
+    by = powers(data, 64)
+    h = _mix(by[GRAM])
+    # The place in the low bits makes the leftmost of equal hashes the smallest.
+    bits = max(24, int(len(h)).bit_length())
+    key = (h >> np.uint64(bits) << np.uint64(bits)) | np.arange(len(h), dtype=np.uint64)
     span, low, k = length - GRAM + 1, key, 1
     while 2 * k <= span:
         low = np.minimum(low[:-k], low[k:])
         k *= 2
     if k < span:
         low = np.minimum(low[: len(low) - (span - k)], low[span - k :])
-    at = (low & np.uint64((1 << place_bits) - 1)).astype(np.int64)
+    at = (low & np.uint64((1 << bits) - 1)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return h[at[first]].view(np.int64), at[first], first, np.diff(np.r_[first, len(at)])
+    windows = np.diff(np.r_[first, len(at)])
+    place, side = at[first], side_of(length)
+    context = _mix(ranges_hash(by[64], 64, first, windows + length - 1) + (place - first).astype(np.uint64))
+    ends = np.full(len(first), side)
+    left, right = np.zeros(len(first), dtype=np.uint64), np.zeros(len(first), dtype=np.uint64)
+    has = place - first >= side
+    left[has] = ranges_hash(by[GRAM], GRAM, place[has] - side, ends[has]) | np.uint64(1)
+    has = place - (first + windows - 1) < side
+    right[has] = ranges_hash(by[GRAM], GRAM, place[has] + GRAM, ends[has]) | np.uint64(1)
+    return {"anchor": h[place].view(np.int64), "context": context.view(np.int64), "left": left.view(np.int64), "right": right.view(np.int64), "first": first.astype(np.int32), "place": place.astype(np.int32), "windows": windows.astype(np.int32)}
+
+
+def side_of(length: int) -> int:
+    """Of the bytes besides the gram, at least half lie on one side."""
+    return (length - GRAM) // 2
 
 
 def repeats(contexts: list[tuple[bytes, int, tuple]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
@@ -201,42 +231,36 @@ def repeats(contexts: list[tuple[bytes, int, tuple]], length: int = LENGTH) -> l
     return out
 
 
-ANCHOR = "doc_id long, anchor long, context long, first int, windows int"
-
-
-def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
-    """A row per run of windows: the hash of its anchor and of its context (the bytes that its windows cover)."""
-    from xxhash import xxh3_64_intdigest
+def anchor_rows(texts: DataFrame, length: int, columns: str = ANCHOR) -> DataFrame:
+    """A row per run of windows."""
+    names = [x.split()[0] for x in columns.split(", ")]
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             parts = []
             for doc, text in zip(df["doc_id"], df["text"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                if len(raw) < length:
-                    continue
-                h, at, first, n = anchors(raw, length)
-                view = memoryview(raw)
-                # The anchor's place in the context is hashed along: equal contexts have equal runs.
-                context = [xxh3_64_intdigest(view[f : f + w + length - 1], seed=a - f) for f, w, a in zip(first.tolist(), n.tolist(), at.tolist(), strict=True)]
-                parts.append(pd.DataFrame({"doc_id": np.full(len(h), doc, dtype=np.int64), "anchor": h, "context": np.array(context, dtype=np.uint64).view(np.int64), "first": first.astype(np.int32), "windows": n.astype(np.int32)}))
+                if len(raw) >= length:
+                    found = anchors(raw, length)
+                    found["doc_id"] = np.full(len(found["first"]), doc, dtype=np.int64)
+                    parts.append(found)
             if parts:
-                yield pd.concat(parts, ignore_index=True)
+                yield pd.DataFrame({n: np.concatenate([p[n] for p in parts]) for n in names})
 
-    return texts.mapInPandas(rows, ANCHOR)
+    return texts.mapInPandas(rows, columns)
 
 
 def cut_contexts(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """wanted (doc_id, cuts: array of (anchor, first, windows)) with the bytes of each context."""
-    schema = "anchor long, doc_id long, first int, windows int, bytes binary"
+    """wanted (doc_id, cuts: array of (group, first, windows)) with the bytes that the windows cover."""
+    schema = "group long, doc_id long, first int, windows int, bytes binary"
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             out = []
             for doc, text, cuts in zip(df["doc_id"], df["text"], df["cuts"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(c["anchor"], doc, c["first"], c["windows"], raw[c["first"] : c["first"] + c["windows"] + length - 1]) for c in cuts]
-            yield pd.DataFrame(out, columns=["anchor", "doc_id", "first", "windows", "bytes"])
+                out += [(c["group"], doc, c["first"], c["windows"], raw[c["first"] : c["first"] + c["windows"] + length - 1]) for c in cuts]
+            yield pd.DataFrame(out, columns=["group", "doc_id", "first", "windows", "bytes"])
 
     return texts.join(wanted, "doc_id").mapInPandas(cut, schema)
 
@@ -245,11 +269,11 @@ MARK = "doc_id long, start long, end long"
 
 
 def by_suffix_array(contexts: DataFrame, length: int) -> DataFrame:
-    """Marked byte ranges of contexts (pack, anchor, doc_id, first, windows, bytes), one suffix array per anchor."""
+    """Marked byte ranges of contexts (pack, group, doc_id, first, bytes), one suffix array per group."""
 
     def mark(df: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in df.groupby("anchor", sort=False):
+        for _, g in df.groupby("group", sort=False):
             rows = list(zip(g["bytes"], g["doc_id"], g["first"], strict=True))
             for (_, doc, first), ranges in zip(rows, repeats([(raw, 0, (doc, first)) for raw, doc, first in rows], length), strict=True):
                 out += [(doc, first + a, first + b + length - 1) for a, b in ranges]
@@ -259,7 +283,7 @@ def by_suffix_array(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def by_window(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with many contexts: equal windows meet by their bytes, by a partial aggregate."""
+    """The same for groups of many contexts: equal windows meet by their bytes, by a partial aggregate."""
     wins = contexts.select("doc_id", F.explode(F.expr("sequence(0, windows - 1)")).alias("o"), "first", "bytes").select("doc_id", (F.col("first") + F.col("o")).alias("start"), F.sha2(F.substring("bytes", F.col("o") + 1, F.lit(length)), 256).alias("w"))
     first = wins.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n")
     late = wins.join(first, "w").filter("f.doc_id <> doc_id or f.start <> start")
@@ -270,24 +294,40 @@ def marked_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, start, end): byte ranges of texts (doc_id, text; ids and texts distinct) covered by an earlier
     string of `length` bytes.
 
-    Windows meet under their anchors. Of equal contexts the first keeps its windows and all others are marked
-    whole, by hashes of contexts that are counted with partial aggregates. First contexts that differ under one
-    anchor are compared byte by byte in suffix arrays, or window by window where an anchor has more than
-    GROUP_CONTEXTS of them: no group that one task holds grows with the corpus.
+    Windows meet under their anchors; runs whose anchor occurs once are dropped first. Of equal contexts the first
+    keeps its windows and all others are marked whole. Of contexts that differ, only those can share a window that
+    agree left or right of the anchor: they form groups, whose halves are compared byte by byte in a suffix array,
+    or window by window where a group has more than GROUP_CONTEXTS of them. Counts are partial aggregates and joins
+    split skewed keys, so nothing that one task holds grows with the corpus.
     """
-    rows = materialize(anchor_rows(texts, length), "anchors")
-    distinct = materialize(rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "windows")).alias("f")), "contexts")
-    copies = distinct.filter("n > 1").select("anchor", "context", F.col("f.doc_id").alias("d"), F.col("f.first").alias("p"))
-    whole = rows.join(copies, ["anchor", "context"]).filter("doc_id <> d or first <> p").select("doc_id", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") + length - 1).cast("long").alias("end"))
-    many = distinct.groupBy("anchor").agg(F.count("*").alias("k"), F.sum(F.col("f.windows") + length - 1).alias("bytes")).filter("k > 1")
-    mixed = distinct.join(many, "anchor").select("anchor", "f.*", "k", "bytes")
-    cuts = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "windows")).alias("cuts"))
-    contexts = materialize(cut_contexts(cuts, texts, length).join(many, "anchor"), "cuts")
-    small = contexts.filter(F.col("k") <= GROUP_CONTEXTS)
-    total = many.filter(F.col("k") <= GROUP_CONTEXTS).agg(F.sum("bytes").alias("b")).first()["b"] or 0
+    side = side_of(length)
+    repeated = materialize(anchor_rows(texts, length, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
+    rows = materialize(anchor_rows(texts, length).join(repeated, "anchor", "left_semi"), "runs")
+    distinct = materialize(rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "place", "windows", "left", "right")).alias("f")).select("anchor", "context", "n", "f.*"), "contexts")
+    whole = _all_but_first(rows, distinct, ["anchor", "context"], length)
+    parts = []
+    last = F.col("first") + F.col("windows") - 1
+    for which, start, end in (("left", F.col("first"), F.least(last, F.col("place") - side)), ("right", F.greatest(F.col("first"), F.col("place") - side + 1), last)):
+        have = distinct.filter(F.col(which) != 0)
+        many = have.groupBy("anchor", which).agg(F.count("*").alias("k")).filter("k > 1").drop("k")
+        half = have.join(many, ["anchor", which], "left_semi").select("doc_id", F.xxhash64(F.lit(which), "anchor", which).alias("group"), start.alias("first"), (end - start + 1).alias("windows"))
+        parts.append(half.filter("windows > 0"))
+    cuts = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.collect_list(F.struct("group", "first", "windows")).alias("cuts"))
+    contexts = materialize(cut_contexts(cuts, texts, length).withColumn("context", F.xxhash64("bytes")), "cuts")
+    once = materialize(contexts.groupBy("group", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "windows", "bytes")).alias("f")).select("group", "context", "n", "f.*"), "halves")
+    again = _all_but_first(contexts.drop("bytes"), once.drop("bytes"), ["group", "context"], length)
+    many = once.groupBy("group").agg(F.count("*").alias("k"), F.sum(F.length("bytes")).alias("size")).filter("k > 1")
+    differing = once.select("group", "doc_id", "first", "windows", "bytes").join(many, "group")
+    small = differing.filter(F.col("k") <= GROUP_CONTEXTS)
+    total = many.filter(F.col("k") <= GROUP_CONTEXTS).agg(F.sum("size").alias("b")).first()["b"] or 0
     packs = max(64, total // PACK_BYTES)
-    marks = by_suffix_array(small.select(F.pmod(F.xxhash64("anchor"), F.lit(packs)).alias("pack"), "anchor", "doc_id", "first", "bytes"), length)
-    return whole.unionByName(marks).unionByName(by_window(contexts.filter(F.col("k") > GROUP_CONTEXTS), length))
+    marks = by_suffix_array(small.select(F.pmod(F.xxhash64("group"), F.lit(packs)).alias("pack"), "group", "doc_id", "first", "bytes"), length)
+    return whole.unionByName(again).unionByName(marks).unionByName(by_window(differing.filter(F.col("k") > GROUP_CONTEXTS), length))
+
+
+def _all_but_first(rows: DataFrame, distinct: DataFrame, key: list[str], length: int) -> DataFrame:
+    copies = distinct.filter("n > 1").select(*key, F.col("doc_id").alias("d"), F.col("first").alias("p"))
+    return rows.join(copies, key).filter("doc_id <> d or first <> p").select("doc_id", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") + length - 1).cast("long").alias("end"))
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
