@@ -16,6 +16,7 @@ LENGTH = 100
 GRAM = 16
 GROUP_CONTEXTS = 256
 PACK_BYTES = 1 << 18
+BROADCAST_KEYS = 500_000
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -347,9 +348,10 @@ def remove(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     keyed = base.select("doc_id", F.sha2("text", 256).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"))
     owner = materialize(keyed.filter(F.col("n_bytes") >= length).groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("copies")), "owners")
-    copied = owner.filter("copies > 1")
-    # Copies are few beside the corpus: only their keys are joined, and the texts stay where they are.
-    with_key = base.withColumn("key", F.sha2("text", 256)).join(copied.select("key", "owner"), "key", "left")
+    copied = materialize(owner.filter("copies > 1").select("key", "owner"), "copied")
+    if copied.count() <= BROADCAST_KEYS:  # about 100 bytes each, so that texts stay where they are; else shuffled
+        copied = F.broadcast(copied)
+    with_key = base.withColumn("key", F.sha2("text", 256)).join(copied, "key", "left").drop("key")
     with_key = with_key.withColumn("is_copy", F.col("owner").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("owner")))
     unique = with_key.filter(~F.col("is_copy") & F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text")
     ranges = materialize(marked_ranges(unique, length).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges")), "marks")
