@@ -7,11 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, let
+from .common import SPACE, let, materialize
 
 BUCKETS = 1 << 14
 THRESHOLD = -0.25
 MIN_WORDS = 50
+BROADCAST_IDS = 2_000_000
 SYMBOLS = "#*$%&|<>"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -71,7 +72,10 @@ def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoo
     The counts are sums per bucket, partial before the shuffle; `buckets` rows reach the driver.
     Without any trusted document all weights are 0.
     """
-    marked = docs.select("doc_id", "text").join(trusted_ids(labels), F.col("doc_id") == F.col("__trusted"), "left")
+    trusted = materialize(trusted_ids(labels), "trusted")
+    if trusted.count() <= BROADCAST_IDS:  # 16 MB of identifiers, so that texts stay where they are; else shuffled
+        trusted = F.broadcast(trusted)
+    marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("__trusted"), "left")
     grams = marked.select(F.col("__trusted").isNotNull().cast("long").alias("t"), F.explode(features(split_words(F.col("text")), buckets)).alias("bucket"))
     target, raw = [0] * buckets, [0] * buckets
     for r in grams.groupBy("bucket").agg(F.sum("t").alias("target"), F.count("*").alias("raw")).collect():
