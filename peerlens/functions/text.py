@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .constants import CUP_WORDS, NAME_SUFFIXES
 
@@ -17,7 +18,7 @@ _TO = "OoLlDdDdiTt"
 _TWO = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def to_ascii(names: pd.Series) -> pd.Series:
     """Letters without marks; what has no ASCII form goes."""
     table = str.maketrans(_FROM, _TO) | {ord(k): v for k, v in _TWO.items()}
@@ -114,6 +115,6 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return max(found)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def token_set_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) / 100.0 for x, y in zip(a, b, strict=True)], dtype=float)

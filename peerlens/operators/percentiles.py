@@ -36,17 +36,17 @@ def pool_percentiles(rows: DataFrame, *, group: list[str], year: str, band: str,
         *[
             x
             for k, x in (
-                (1, F.struct(F.lit(1).alias("level"), F.col(year).cast("int").alias("y"), F.col(band).alias("b"), F.lit(True).alias("asks"))),
-                (2, F.struct(F.lit(2).alias("level"), F.col(year).cast("int").alias("y"), F.col(band).alias("b"), F.lit(True).alias("asks"))),
-                (3, F.struct(F.lit(3).alias("level"), F.col(year).cast("int").alias("y"), F.lit("ALL").alias("b"), F.lit(True).alias("asks"))),
-                (4, F.struct(F.lit(4).alias("level"), F.lit(0).alias("y"), F.lit("ALL").alias("b"), F.lit(True).alias("asks"))),
+                (1, F.struct(F.lit(1).alias("level"), F.col(year).cast("int").alias("pool_year"), F.col(band).alias("pool_band"), F.lit(True).alias("asks"))),
+                (2, F.struct(F.lit(2).alias("level"), F.col(year).cast("int").alias("pool_year"), F.col(band).alias("pool_band"), F.lit(True).alias("asks"))),
+                (3, F.struct(F.lit(3).alias("level"), F.col(year).cast("int").alias("pool_year"), F.lit("ALL").alias("pool_band"), F.lit(True).alias("asks"))),
+                (4, F.struct(F.lit(4).alias("level"), F.lit(0).alias("pool_year"), F.lit("ALL").alias("pool_band"), F.lit(True).alias("asks"))),
             )
             if k in levels
         ]
     )
-    near = F.array(*[F.struct(F.lit(2).alias("level"), (F.col(year).cast("int") + d).alias("y"), F.col(band).alias("b"), F.lit(False).alias("asks")) for d in (-1, 1)])
-    keyed = rows.filter(F.col(value).isNotNull()).withColumn("k", F.explode(F.when(F.col(member), F.concat(own, near)).otherwise(own) if 2 in levels else own)).select("*", "k.level", "k.y", "k.b", "k.asks").drop("k")
-    keys = [*group, "level", "y", "b"]
+    near = F.array(*[F.struct(F.lit(2).alias("level"), (F.col(year).cast("int") + d).alias("pool_year"), F.col(band).alias("pool_band"), F.lit(False).alias("asks")) for d in (-1, 1)])
+    keyed = rows.filter(F.col(value).isNotNull()).withColumn("k", F.explode(F.when(F.col(member), F.concat(own, near)).otherwise(own) if 2 in levels else own)).select("*", "k.level", "k.pool_year", "k.pool_band", "k.asks").drop("k")
+    keys = [*group, "level", "pool_year", "pool_band"]
     ranked = mid_rank(keyed, keys, value, member).filter(F.col("asks") & (F.col("n") >= min_size))
     best = F.min_by(F.struct("level", F.col("n").alias("pool_n"), percentile(lower_better).alias("percentile")), "level")
     return ranked.groupBy(*ids).agg(best.alias("r")).select(*ids, "r.*")

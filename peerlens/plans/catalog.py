@@ -1,6 +1,7 @@
-"""All queries by name, with their SQL oracles."""
+"""All queries of the analytics operators by name, with their SQL oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
