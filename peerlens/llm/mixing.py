@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words_of
+from .common import materialize, n_words_of
 
 SEED = "mix-1"
+BROADCAST_SOURCES = 200_000
 
 
 def source_targets(sizes: DataFrame, weights: list[float], total_share: float, max_repeat: float) -> DataFrame:
@@ -58,12 +59,15 @@ def mix(docs: DataFrame, *, weights: list[float] = (5.0, 2.0, 1.0), total_share:
     with the same doc_id draw the same copies. Sources of size 0 have target 0 and copies 0. An empty table
     gives an empty result. Columns of docs named size, source_size, target or copies are replaced.
 
-    A hot source costs nothing: sums are partial before the shuffle, and the table of sources (a row each)
-    is joined by whichever join Spark finds fit for its measured size; skewed joins are split.
+    A hot source costs nothing: sums are partial before the shuffle, and the table of sources (a row each) is
+    broadcast while its counted rows are few; beyond, Spark joins by source and splits skewed keys.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
     sized = docs.withColumn("size", n_words_of(F.col("text")))
     targets = source_targets(sized.select("source", "size"), list(weights), total_share, max_repeat).withColumnRenamed("source", "target_source")
+    targets = materialize(targets, "targets")
+    if targets.count() <= BROADCAST_SOURCES:  # some 50 bytes each, so that texts stay where they are; else shuffled
+        targets = F.broadcast(targets)
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("target_source")), "left").drop("target_source")
     extra = (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
