@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from .common import materialize
 
 LENGTH = 100
 GRAM = 16
-GROUP_CONTEXTS = 256
+GROUP_CONTEXTS = 4096
 PACK_BYTES = 1 << 18
 BROADCAST_KEYS = 500_000
 
@@ -252,16 +253,16 @@ def anchor_rows(texts: DataFrame, length: int, columns: str = ANCHOR) -> DataFra
 
 
 def cut_contexts(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """wanted (doc_id, cuts: array of (group, first, windows)) with the bytes that the windows cover."""
-    schema = "group long, doc_id long, first int, windows int, bytes binary"
+    """wanted (doc_id, cuts: array of (group, first, windows, at)) with the bytes that the windows cover."""
+    schema = "group long, doc_id long, first int, windows int, at int, bytes binary"
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             out = []
             for doc, text, cuts in zip(df["doc_id"], df["text"], df["cuts"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(c["group"], doc, c["first"], c["windows"], raw[c["first"] : c["first"] + c["windows"] + length - 1]) for c in cuts]
-            yield pd.DataFrame(out, columns=["group", "doc_id", "first", "windows", "bytes"])
+                out += [(c["group"], doc, c["first"], c["windows"], c["at"], raw[c["first"] : c["first"] + c["windows"] + length - 1]) for c in cuts]
+            yield pd.DataFrame(out, columns=["group", "doc_id", "first", "windows", "at", "bytes"])
 
     return texts.join(wanted, "doc_id").mapInPandas(cut, schema)
 
@@ -269,14 +270,29 @@ def cut_contexts(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
 MARK = "doc_id long, start long, end long"
 
 
+def partners(rows: list[tuple[bytes, int, int, int]], length: int) -> list[tuple[bytes, int, int, int]]:
+    """The contexts (bytes, doc_id, first, at) of a group that can share a window with another one of it.
+
+    All agree on the side_of(length) + GRAM bytes from `at`. A shared window has at least half of its other bytes on
+    one side of those, so two contexts that share it agree on that many bytes left or right.
+    """
+    core = side_of(length) + GRAM
+    more = (length - core) // 2
+    ends = [(("l", raw[at - more : at]) if at >= more else None, ("r", raw[at + core : at + core + more]) if len(raw) >= at + core + more else None) for raw, _, _, at in rows]
+    seen = Counter(x for e in ends for x in e if x)
+    return [r for r, e in zip(rows, ends, strict=True) if any(x and seen[x] > 1 for x in e)]
+
+
 def by_suffix_array(contexts: DataFrame, length: int) -> DataFrame:
     """Marked byte ranges of contexts (pack, group, doc_id, first, bytes), one suffix array per group."""
 
     def mark(df: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, g in df.groupby("group", sort=False):
-            rows = list(zip(g["bytes"], g["doc_id"], g["first"], strict=True))
-            for (_, doc, first), ranges in zip(rows, repeats([(raw, 0, (doc, first)) for raw, doc, first in rows], length), strict=True):
+            rows = partners(list(zip(g["bytes"], g["doc_id"], g["first"], g["at"], strict=True)), length)
+            if not rows:
+                continue
+            for (_, doc, first, _), ranges in zip(rows, repeats([(raw, at, (doc, first)) for raw, doc, first, at in rows], length), strict=True):
                 out += [(doc, first + a, first + b + length - 1) for a, b in ranges]
         return pd.DataFrame(out, columns=["doc_id", "start", "end"]).astype("int64")
 
@@ -308,21 +324,21 @@ def marked_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = _all_but_first(rows, distinct, ["anchor", "context"], length)
     parts = []
     last = F.col("first") + F.col("windows") - 1
-    for which, start, end in (("left", F.col("first"), F.least(last, F.col("place") - side)), ("right", F.greatest(F.col("first"), F.col("place") - side + 1), last)):
+    for which, start, end, shared in (("left", F.col("first"), F.least(last, F.col("place") - side), F.col("place") - side), ("right", F.greatest(F.col("first"), F.col("place") - side + 1), last, F.col("place"))):
         have = distinct.filter(F.col(which) != 0)
         many = have.groupBy("anchor", which).agg(F.count("*").alias("k")).filter("k > 1").drop("k")
-        half = have.join(many, ["anchor", which], "left_semi").select("doc_id", F.xxhash64(F.lit(which), "anchor", which).alias("group"), start.alias("first"), (end - start + 1).alias("windows"))
+        half = have.join(many, ["anchor", which], "left_semi").select("doc_id", F.xxhash64(F.lit(which), "anchor", which).alias("group"), start.alias("first"), (end - start + 1).alias("windows"), (shared - start).alias("at"))
         parts.append(half.filter("windows > 0"))
-    cuts = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.collect_list(F.struct("group", "first", "windows")).alias("cuts"))
+    cuts = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.collect_list(F.struct("group", "first", "windows", "at")).alias("cuts"))
     contexts = materialize(cut_contexts(cuts, texts, length).withColumn("context", F.xxhash64("bytes")), "cuts")
-    once = materialize(contexts.groupBy("group", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "windows", "bytes")).alias("f")).select("group", "context", "n", "f.*"), "halves")
+    once = materialize(contexts.groupBy("group", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "windows", "at", "bytes")).alias("f")).select("group", "context", "n", "f.*"), "halves")
     again = _all_but_first(contexts.drop("bytes"), once.drop("bytes"), ["group", "context"], length)
     many = once.groupBy("group").agg(F.count("*").alias("k"), F.sum(F.length("bytes")).alias("size")).filter("k > 1")
-    differing = once.select("group", "doc_id", "first", "windows", "bytes").join(many, "group")
+    differing = once.select("group", "doc_id", "first", "windows", "at", "bytes").join(many, "group")
     small = differing.filter(F.col("k") <= GROUP_CONTEXTS)
     total = many.filter(F.col("k") <= GROUP_CONTEXTS).agg(F.sum("size").alias("b")).first()["b"] or 0
     packs = max(64, total // PACK_BYTES)
-    marks = by_suffix_array(small.select(F.pmod(F.xxhash64("group"), F.lit(packs)).alias("pack"), "group", "doc_id", "first", "bytes"), length)
+    marks = by_suffix_array(small.select(F.pmod(F.xxhash64("group"), F.lit(packs)).alias("pack"), "group", "doc_id", "first", "at", "bytes"), length)
     return whole.unionByName(again).unionByName(marks).unionByName(by_window(differing.filter(F.col("k") > GROUP_CONTEXTS), length))
 
 
