@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,10 +17,11 @@ LENGTH = 100
 GRAM = 16
 GROUP_CONTEXTS = 4096
 PACK_BYTES = 1 << 18
+ARRAY_BYTES = 1 << 12
 BROADCAST_KEYS = 500_000
 
 
-def suffix_array(text: list[int]) -> list[int]:
+def suffix_array(text: Sequence[int] | np.ndarray) -> list[int]:
     """Order of the suffixes of text, in linear time and without renaming.
 
     Phase 1 groups suffixes by their Lyndon prefixes: groups are taken from the highest down, and for each member
@@ -33,43 +34,64 @@ def suffix_array(text: list[int]) -> list[int]:
     if n < 2:
         return list(range(n))
     # One more symbol, smaller than all, ends the text; group[i] is the first place of the group of suffix i.
-    s = [x + 1 for x in text] + [0]
+    s = np.append(np.asarray(text, dtype=np.int64) + 1, 0)
     n += 1
-    order = sorted(range(n), key=s.__getitem__)
-    place = [0] * n
-    group = [0] * n
-    size = [0] * n  # by the group's first place
-    first = 0
-    for k, i in enumerate(order):
-        if k and s[i] != s[order[k - 1]]:
-            first = k
-        place[i] = k
-        group[i] = first
-        size[first] += 1
+    by_symbol = np.argsort(s, kind="stable")
+    sorted_symbols = s[by_symbol]
+    firsts = np.flatnonzero(np.r_[True, sorted_symbols[1:] != sorted_symbols[:-1]])
+    sizes = np.diff(np.r_[firsts, n])
+    by_place = np.zeros((3, n), dtype=np.int64)
+    by_place[0, by_symbol] = np.arange(n)
+    by_place[1, by_symbol] = np.repeat(firsts, sizes)
+    by_place[2, firsts] = sizes
+    order = by_symbol.tolist()
+    place, group, size = by_place.tolist()  # size: by the group's first place
     prev = [-1] * n
     hi = n
     while hi > 0:
         g = group[order[hi - 1]]
+        if hi - g == 1:
+            i = order[g]
+            hi = g
+            j = i - 1
+            while j >= 0 and group[j] >= g:
+                j = prev[j]
+            prev[i] = j
+            if j >= 0 and size[group[j]] > 1:
+                h = group[j]
+                size[h] -= 1
+                at = h + size[h]
+                p, other = place[j], order[at]
+                order[p], order[at] = other, j
+                place[other], place[j] = p, at
+                group[j] = at
+                size[at] = 1
+            continue
         members = sorted(order[g:hi])
         hi = g
-        gained: dict[int, int] = {}
+        gained: list[int] = []
         for i in members:
             j = i - 1
             while j >= 0 and group[j] >= g:
                 j = prev[j]
             prev[i] = j
             if j >= 0:
-                gained[j] = gained.get(j, 0) + 1
-        if not gained:
-            continue
-        by: dict[int, list[int]] = {}
-        for j, times in gained.items():
-            by.setdefault(times, []).append(j)
-        # Most gains first: each batch goes right above what stays, so below the batches that gained more.
-        for times in sorted(by, reverse=True):
+                gained.append(j)
+        batches = [gained]
+        if len(set(gained)) < len(gained):
+            by: dict[int, list[int]] = {}
+            for j, times in Counter(gained).items():
+                by.setdefault(times, []).append(j)
+            # Most gains first: each batch goes right above what stays, so below the batches that gained more.
+            batches = [by[times] for times in sorted(by, reverse=True)]
+        for batch in batches:
             moved: dict[int, list[int]] = {}
-            for j in by[times]:
-                moved.setdefault(group[j], []).append(j)
+            for j in batch:
+                h = group[j]
+                if h in moved:
+                    moved[h].append(j)
+                else:
+                    moved[h] = [j]
             for h, js in moved.items():
                 if len(js) == size[h]:
                     continue
@@ -101,26 +123,6 @@ def suffix_array(text: list[int]) -> list[int]:
     return out[1:]
 
 
-def common_prefixes(text: list[int], order: list[int]) -> list[int]:
-    """lcp[k]: length of the common prefix of suffixes order[k - 1] and order[k]; lcp[0] = 0."""
-    n, h = len(text), 0
-    rank = [0] * n
-    for k, i in enumerate(order):
-        rank[i] = k
-    lcp = [0] * n
-    for i in range(n):
-        k = rank[i]
-        if k:
-            j = order[k - 1]
-            while i + h < n and j + h < n and text[i + h] == text[j + h]:
-                h += 1
-            lcp[k] = h
-            h -= h > 0
-        else:
-            h = 0
-    return lcp
-
-
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M = 0x9E3779B97F4A7C15
@@ -153,16 +155,16 @@ def ranges_hash(h: np.ndarray, k: int, start: np.ndarray, size: np.ndarray) -> n
 ANCHOR = "doc_id long, anchor long, context long, left long, right long, first int, place int, windows int"
 
 
-def anchors(raw: bytes, length: int = LENGTH) -> dict[str, np.ndarray]:
+def anchors(raw: bytes, length: int = LENGTH, alone: bool = False) -> dict[str, np.ndarray]:
     """Runs of windows of `length` bytes that share their anchor: its hash and place, the first window, how many.
 
     A window's anchor is its gram of smallest hash, the leftmost of equal ones. Equal windows have equal anchors at
     equal offsets, so they meet under the anchor's hash. context: hash of the bytes that the run's windows cover,
     and of the anchor's place in them. A window holds the `side_of(length)` bytes left of its anchor, or those
-    right of it: left and right are their hashes.
+    right of it: left and right are their hashes. alone: only the anchors' hashes.
     """
     data = np.frombuffer(raw, dtype=np.uint8)
-    by = powers(data, 64)
+    by = powers(data, GRAM if alone else 64)
     h = _mix(by[GRAM])
     # The place in the low bits makes the leftmost of equal hashes the smallest.
     bits = max(24, int(len(h)).bit_length())
@@ -175,6 +177,8 @@ def anchors(raw: bytes, length: int = LENGTH) -> dict[str, np.ndarray]:
         low = np.minimum(low[: len(low) - (span - k)], low[span - k :])
     at = (low & np.uint64((1 << bits) - 1)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    if alone:
+        return {"anchor": h[at[first]].view(np.int64)}
     windows = np.diff(np.r_[first, len(at)])
     place, side = at[first], side_of(length)
     context = _mix(ranges_hash(by[64], 64, first, windows + length - 1) + (place - first).astype(np.uint64))
@@ -197,30 +201,36 @@ def repeats(contexts: list[tuple[bytes, int, tuple]], length: int = LENGTH) -> l
 
     contexts: (bytes, offset of the anchor, sort key). All windows of a context hold the anchor, and no window is in
     a context twice, so "earlier" is the order of the sort keys. One suffix array over all contexts, set apart by
-    symbols of their own; a run of suffixes with common prefixes of at least `length` is one string.
+    symbols of their own. Suffixes that start with the same `length` bytes stand next to each other in it, and with
+    no other between them, so window starts alone are compared, each with the one before.
     """
-    text: list[int] = []
-    owner, start = [], []
     n = len(contexts)
-    for c, (raw, _, _) in enumerate(contexts):
-        owner += [c] * (len(raw) + 1)
-        start += range(len(raw) + 1)
-        text += [b + n for b in raw]
-        text.append(c)
-    order = suffix_array(text)
-    lcp = common_prefixes(text, order)
+    sizes = np.array([len(raw) + 1 for raw, _, _ in contexts])
+    begin = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(n), sizes)
+    start = np.arange(len(owner)) - begin[owner]
+    text = np.frombuffer(b"\0".join(raw for raw, _, _ in contexts) + b"\0", dtype=np.uint8).astype(np.int64) + n
+    text[begin + sizes - 1] = np.arange(n)
+    order = np.array(suffix_array(text), dtype=np.int64)
+    order = order[(sizes[owner] - start)[order] > length]
     marked: list[list[int]] = [[] for _ in contexts]
-    run: list[int] = []
-    for k, i in enumerate([*order, -1]):
-        if k < len(order) and k and lcp[k] >= length:
-            run.append(i)
-            continue
+    run: list[tuple[int, int]] = []
+    before = None
+
+    def close() -> None:
         if len(run) > 1:
-            first = min((contexts[owner[x]][2], start[x]) for x in run)
-            for x in run:
-                if (contexts[owner[x]][2], start[x]) != first:
-                    marked[owner[x]].append(start[x])
-        run = [i]
+            first = min((contexts[c][2], x) for c, x in run)
+            for c, x in run:
+                if (contexts[c][2], x) != first:
+                    marked[c].append(x)
+
+    for c, x in zip(owner[order].tolist(), start[order].tolist(), strict=True):
+        window = contexts[c][0][x : x + length]
+        if window != before:
+            close()
+            run, before = [], window
+        run.append((c, x))
+    close()
     out = []
     for starts in marked:
         ranges: list[tuple[int, int]] = []
@@ -233,9 +243,8 @@ def repeats(contexts: list[tuple[bytes, int, tuple]], length: int = LENGTH) -> l
     return out
 
 
-def anchor_rows(texts: DataFrame, length: int, columns: str = ANCHOR) -> DataFrame:
-    """A row per run of windows."""
-    names = [x.split()[0] for x in columns.split(", ")]
+def anchor_rows(texts: DataFrame, length: int, alone: bool = False) -> DataFrame:
+    """A row per run of windows; alone: the anchor's hash is its only column."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
@@ -243,13 +252,12 @@ def anchor_rows(texts: DataFrame, length: int, columns: str = ANCHOR) -> DataFra
             for doc, text in zip(df["doc_id"], df["text"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 if len(raw) >= length:
-                    found = anchors(raw, length)
-                    found["doc_id"] = np.full(len(found["first"]), doc, dtype=np.int64)
-                    parts.append(found)
+                    found = anchors(raw, length, alone)
+                    parts.append(found if alone else {"doc_id": np.full(len(found["first"]), doc, dtype=np.int64), **found})
             if parts:
-                yield pd.DataFrame({n: np.concatenate([p[n] for p in parts]) for n in names})
+                yield pd.DataFrame({n: np.concatenate([p[n] for p in parts]) for n in parts[0]})
 
-    return texts.mapInPandas(rows, columns)
+    return texts.mapInPandas(rows, "anchor long" if alone else ANCHOR)
 
 
 def cut_contexts(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -284,16 +292,26 @@ def partners(rows: list[tuple[bytes, int, int, int]], length: int) -> list[tuple
 
 
 def by_suffix_array(contexts: DataFrame, length: int) -> DataFrame:
-    """Marked byte ranges of contexts (pack, group, doc_id, first, bytes), one suffix array per group."""
+    """Marked byte ranges of contexts (pack, group, doc_id, first, bytes).
+
+    Equal windows are always in one group. Whole groups share a suffix array until it has ARRAY_BYTES.
+    """
 
     def mark(df: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in df.groupby("group", sort=False):
-            rows = partners(list(zip(g["bytes"], g["doc_id"], g["first"], g["at"], strict=True)), length)
-            if not rows:
-                continue
-            for (_, doc, first, _), ranges in zip(rows, repeats([(raw, at, (doc, first)) for raw, doc, first, at in rows], length), strict=True):
-                out += [(doc, first + a, first + b + length - 1) for a, b in ranges]
+        groups: dict[int, list[tuple[bytes, int, int, int]]] = {}
+        for group, *row in zip(df["group"].tolist(), df["bytes"], df["doc_id"].tolist(), df["first"].tolist(), df["at"].tolist(), strict=True):
+            groups.setdefault(group, []).append(tuple(row))
+        together: list[tuple[bytes, int, int, int]] = []
+        n_bytes, last = 0, len(groups) - 1
+        for k, members in enumerate(groups.values()):
+            rows = partners(members, length)
+            together += rows
+            n_bytes += sum(len(r[0]) for r in rows)
+            if together and (n_bytes >= ARRAY_BYTES or k == last):
+                found = repeats([(raw, at, (doc, first)) for raw, doc, first, at in together], length)
+                out += [(doc, first + a, first + b + length - 1) for (_, doc, first, _), ranges in zip(together, found, strict=True) for a, b in ranges]
+                together, n_bytes = [], 0
         return pd.DataFrame(out, columns=["doc_id", "start", "end"]).astype("int64")
 
     return contexts.groupBy("pack").applyInPandas(mark, MARK)
@@ -318,7 +336,7 @@ def marked_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     split skewed keys, so nothing that one task holds grows with the corpus.
     """
     side = side_of(length)
-    repeated = materialize(anchor_rows(texts, length, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
+    repeated = materialize(anchor_rows(texts, length, alone=True).groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
     rows = materialize(anchor_rows(texts, length).join(repeated, "anchor", "left_semi"), "runs")
     distinct = materialize(rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "place", "windows", "left", "right")).alias("f")).select("anchor", "context", "n", "f.*"), "contexts")
     whole = _all_but_first(rows, distinct, ["anchor", "context"], length)
