@@ -6,12 +6,15 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 # Five words at the ones of a mask must agree; words at its zeros are ignored.
 MASKS = ("111101", "1101101", "1110011")
 MIN_OVERLAP = 0.8
@@ -126,27 +129,30 @@ def _matcher(index):
     return found
 
 
-def matches_column(docs: DataFrame, benchmark: DataFrame, text: Column | str = "text", *, block_words: int = BLOCK_WORDS, **options) -> Column:
-    """A column of MATCHES: the benchmark items in each text, one broadcast index per block of the benchmark."""
-    context = docs.sparkSession.sparkContext
-    column = F.col(text) if isinstance(text, str) else text
-    parts = [_matcher(context.broadcast(Index(block, **options)))(column) for block in benchmark_blocks(benchmark, block_words)]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+def _matches(spark: SparkSession, block: list[tuple[int, str]], **options) -> Column:
+    """The MATCHES of each text with the items of one block, whose index is broadcast."""
+    return _matcher(spark.sparkContext.broadcast(Index(block, **options)))(F.col("text"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, block_words: int = BLOCK_WORDS, **options) -> DataFrame:
     """doc_id, item_id, item_words, matched_words, start_word: a row per document and benchmark item in it.
 
     A document holds an item if, on the diagonal of a seed hit, at least 80 % of the item's words agree, or if 80 %
     agree over a stretch of 13 words or more. Words are runs of word characters in lower case. Items of fewer than
     five words are not sought. Null or empty texts hold nothing; repeated items are reported under each item_id;
-    repeated documents each. Every text is searched whole, in one pass and without a shuffle, so hot documents or
-    passages meet no other rows. Empty tables give empty results; further columns are ignored.
+    repeated documents each. Every text is searched whole and without a shuffle, so hot documents or passages meet no
+    other rows; texts are read once per block of the benchmark, and a task holds one block's index. Empty tables give
+    empty results; further columns are ignored.
     """
     d = docs.select("doc_id", "text")
-    return d.withColumn("__m", F.explode(matches_column(d, benchmark, **options))).select("doc_id", F.col("__m.item").alias("item_id"), "__m.item_words", "__m.matched_words", "__m.start_word")
+    parts = [d.select("doc_id", F.explode(_matches(d.sparkSession, block, **options)).alias("m")) for block in benchmark_blocks(benchmark, block_words)]
+    return reduce(DataFrame.unionAll, parts).select("doc_id", F.col("m.item").alias("item_id"), "m.item_words", "m.matched_words", "m.start_word")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, that hold no benchmark item."""
-    return docs.withColumn("__m", matches_column(docs, benchmark, **options)).filter(F.size("__m") == 0).drop("__m")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, block_words: int = BLOCK_WORDS, **options) -> DataFrame:
+    """The rows of docs, all columns, that hold no benchmark item. What one block of the benchmark leaves is
+    written before the next is sought in it, so that a task never holds more than one block's index."""
+    for k, block in enumerate(benchmark_blocks(benchmark, block_words)):
+        left = materialize(docs, "decontaminated") if k else docs
+        docs = left.filter(F.size(_matches(left.sparkSession, block, **options)) == 0)
+    return docs

@@ -106,6 +106,8 @@ def test_decontamination(spark, odd, nothing, documents):
     found = decontamination.find_leaks(docs, b).collect()
     assert [(r["doc_id"], r["item_id"], r["matched_words"], r["start_word"]) for r in found] == [(1, 9, 12, 5)]
     assert decontamination.find_leaks(docs, b, block_words=5).count() == 1
+    assert decontamination.decontaminate(odd, b).columns == odd.columns
+    assert {r["doc_id"] for r in decontamination.decontaminate(docs, b, block_words=5).collect()} == {r["doc_id"] for r in decontamination.decontaminate(docs, b).collect()}
     assert decontamination.decontaminate(odd, b).count() == odd.count() and decontamination.find_leaks(nothing, b).count() == 0
     assert decontamination.decontaminate(odd, b.limit(0)).count() == odd.count()
 
