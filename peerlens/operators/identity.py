@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import token_set_similarity
+from ..functions.text import normalize_name, token_set_similarity
 
 
 def exact_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -45,3 +45,56 @@ def decide(left: DataFrame, right: DataFrame) -> DataFrame:
     both = e.unionByName(f).withColumn("claims", F.count(F.when(F.col("decision") == "linked", 1)).over(Window.partitionBy("right_id")))
     twice = (F.col("decision") == "linked") & (F.col("claims") > 1)
     return both.select("left_id", "right_id", F.when(twice, "review").otherwise(F.col("decision")).alias("decision"), F.when(twice, 0.85).otherwise(F.col("score")).alias("score"))
+
+
+def strict_match(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_id, right_id, decision, score, n_matches for every left record: a name in common, and the same nationality
+    and birth date where both sides know them. One match is linked (0.95), several are ambiguous, else there is none.
+
+    left, right: id, names array<string>, nationality, born. Pairs meet by name only; AQE splits a very common name.
+    """
+    def keys(df: DataFrame, side: str) -> DataFrame:
+        named = df.select(F.col("id").alias(f"{side}_id"), F.explode(F.array_distinct("names")).alias("name"), F.col("nationality").alias(f"{side}_nationality"), F.col("born").alias(f"{side}_born"))
+        return named.filter("name <> ''")
+
+    same = F.lit(True)
+    for c in ("nationality", "born"):
+        same = same & F.coalesce(F.col(f"left_{c}") == F.col(f"right_{c}"), F.lit(True))
+    pairs = keys(left, "left").join(keys(right, "right"), "name").filter(same).select("left_id", "right_id").distinct()
+    found = pairs.groupBy("left_id").agg(F.count("*").alias("n_matches"), F.min("right_id").alias("right_id"))
+    n = F.coalesce("n_matches", F.lit(0).cast("long"))
+    return left.select(F.col("id").alias("left_id")).distinct().join(found, "left_id", "left").select(
+        "left_id",
+        F.when(n == 1, F.col("right_id")).alias("right_id"),
+        F.when(n == 1, "linked").when(n > 1, "ambiguous").otherwise("none").alias("decision"),
+        F.when(n == 1, 0.95).alias("score"),
+        n.alias("n_matches"),
+    )
+
+
+def initial_matches(short: DataFrame, people: DataFrame) -> DataFrame:
+    """left_id, right_id: names such as "K. Del Rio" and people whose first name begins so and whose name ends in that
+    surname, of one word or more. short, people: id, name. An equi-join on surname and initial."""
+    parts = r"^\s*(\p{L})\.\s*(.+)$"
+    l = short.select(F.col("id").alias("left_id"), normalize_name(F.regexp_extract("name", parts, 1)).alias("initial"), normalize_name(F.regexp_extract("name", parts, 2)).alias("surname"))
+    l = l.filter("initial <> '' and surname <> ''")
+    words = people.select(F.col("id").alias("right_id"), F.split(normalize_name(F.col("name")), " ").alias("w")).filter(F.size("w") > 1)
+    ends = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.array_join(F.slice("w", i, F.size("w")), " "))
+    r = words.select("right_id", F.substring(F.col("w")[0], 1, 1).alias("initial"), F.explode(ends).alias("surname"))
+    return l.join(r, ["initial", "surname"]).select("left_id", "right_id").distinct()
+
+
+def sharing_club(candidates: DataFrame, left_clubs: DataFrame, right_clubs: DataFrame) -> DataFrame:
+    """The candidates (left_id, right_id) that share a club. left_clubs: left_id, club; right_clubs: right_id, club."""
+    of_left = candidates.select("left_id", "right_id").join(left_clubs.select("left_id", "club").distinct(), "left_id")
+    return of_left.join(right_clubs.select("right_id", "club"), ["right_id", "club"], "left_semi").select("left_id", "right_id").distinct()
+
+
+def review(queue: DataFrame, links: DataFrame) -> DataFrame:
+    """queue (left_id, right_id, score, approve boolean) plus status: pending where nobody has decided, rejected, approved,
+    or conflict where an approved record is linked to another one. links: left_id, right_id."""
+    other_right = links.select("left_id", F.col("right_id").alias("__r")).groupBy("left_id").agg(F.min("__r").alias("__r"), F.max("__r").alias("__rr"))
+    other_left = links.select("right_id", F.col("left_id").alias("__l")).groupBy("right_id").agg(F.min("__l").alias("__l"), F.max("__l").alias("__ll"))
+    clash = (F.col("__r") != F.col("right_id")) | (F.col("__rr") != F.col("right_id")) | (F.col("__l") != F.col("left_id")) | (F.col("__ll") != F.col("left_id"))
+    status = F.when(F.col("approve").isNull(), "pending").when(~F.col("approve"), "rejected").when(F.coalesce(clash, F.lit(False)), "conflict").otherwise("approved")
+    return queue.join(other_right, "left_id", "left").join(other_left, "right_id", "left").select(*queue.columns, status.alias("status"))

@@ -454,3 +454,61 @@ def distinct_set_concat(spark, d):
  s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from e) select user_id, min(ts) as start, max(ts) + interval 12 hours as "end", count(*)::bigint as n, sum(v)::bigint as value from s group by user_id, k""")
 def event_sessions(spark, d):
     return streaming.sessions(table(spark, d, "events").select("user_id", "ts", cents("value").alias("value")), gap="12 hours")
+
+
+def _two_sources(spark, d):
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+
+    def side(df, key, nation, name):
+        k = F.col(key)
+        return df.select(k.alias("id"), F.array(F.concat_ws(" ", name, k % 400), F.concat_ws(" ", F.lit("alias"), k % 970)).alias("names"), F.when(k % 7 != 0, F.col(nation) % 3).alias("nationality"), F.when(k % 3 != 0, k % 2).alias("born"))
+
+    kind = F.when(F.col("s_suppkey") % 2 == 0, "building").otherwise("machinery")
+    return side(c, "c_custkey", "c_nationkey", F.lower("c_mktsegment")), side(s, "s_suppkey", "s_nationkey", kind)
+
+
+@query("""with l as (select c_custkey as id, unnest([lower(c_mktsegment) || ' ' || (c_custkey % 400), 'alias ' || (c_custkey % 970)]) as name, case when c_custkey % 7 <> 0 then c_nationkey % 3 end as nat, case when c_custkey % 3 <> 0 then c_custkey % 2 end as born from customer),
+ r as (select s_suppkey as id, unnest([case when s_suppkey % 2 = 0 then 'building ' else 'machinery ' end || (s_suppkey % 400), 'alias ' || (s_suppkey % 970)]) as name, case when s_suppkey % 7 <> 0 then s_nationkey % 3 end as nat, case when s_suppkey % 3 <> 0 then s_suppkey % 2 end as born from supplier),
+ p as (select distinct l.id as left_id, r.id as right_id from l join r using (name) where coalesce(l.nat = r.nat, true) and coalesce(l.born = r.born, true)), g as (select left_id, count(*) as n, min(right_id) as right_id from p group by 1)
+ select c_custkey as left_id, case when n = 1 then right_id end as right_id, case when n = 1 then 'linked' when n > 1 then 'ambiguous' else 'none' end as decision, case when n = 1 then 0.95::double end as score, coalesce(n, 0)::bigint as n_matches from customer left join g on left_id = c_custkey""")
+def strict_identity_match(spark, d):
+    return identity.strict_match(*_two_sources(spark, d))
+
+
+def _initials(spark, d):
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    short = s.select(F.col("s_suppkey").alias("id"), F.concat(F.when(F.col("s_suppkey") % 2 == 0, "B").otherwise("M"), F.lit(". Dé N"), F.col("s_nationkey")).alias("name"))
+    return identity.initial_matches(short, c.select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit(" de n"), F.col("c_nationkey")).alias("name")))
+
+
+@query("""select s_suppkey as left_id, c_custkey as right_id from supplier join customer on s_nationkey = c_nationkey and c_mktsegment[1] = case when s_suppkey % 2 = 0 then 'B' else 'M' end""")
+def initial_surname_match(spark, d):
+    return _initials(spark, d)
+
+
+@query("""with p as (select s_suppkey as left_id, c_custkey as right_id from supplier join customer on s_nationkey = c_nationkey and c_mktsegment[1] = case when s_suppkey % 2 = 0 then 'B' else 'M' end),
+ x as (select distinct l_suppkey as left_id, l_partkey as club from lineitem), y as (select distinct o_custkey as right_id, l_partkey as club from lineitem join orders on l_orderkey = o_orderkey)
+ select distinct left_id, right_id from p join x using (left_id) join y using (right_id, club)""")
+def club_confirmed_match(spark, d):
+    l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    right = l.join(o, l.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("right_id"), F.col("l_partkey").alias("club"))
+    return identity.sharing_club(_initials(spark, d), l.select(F.col("l_suppkey").alias("left_id"), F.col("l_partkey").alias("club")), right)
+
+
+@query("""with q as (select o_custkey as left_id, o_orderkey % 500 as right_id, max(round(o_totalprice * 100)::bigint) as score from orders group by all), k as (select distinct c_custkey as left_id, c_custkey % 500 as right_id from customer where c_custkey % 4 = 0),
+ a as (select left_id, right_id, score, case when (left_id + right_id) % 5 = 0 then null else right_id % 3 <> 0 end as approve from q)
+ select left_id, right_id, score, approve, case when approve is null then 'pending' when not approve then 'rejected' when exists (select 1 from k where (k.left_id = a.left_id) <> (k.right_id = a.right_id)) then 'conflict' else 'approved' end as status from a""")
+def identity_review(spark, d):
+    q = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("left_id"), (F.col("o_orderkey") % 500).alias("right_id")).agg(F.max(cents("o_totalprice")).alias("score"))
+    q = q.withColumn("approve", F.when((F.col("left_id") + F.col("right_id")) % 5 != 0, F.col("right_id") % 3 != 0))
+    links = table(spark, d, "customer").filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("left_id"), (F.col("c_custkey") % 500).alias("right_id"))
+    return identity.review(q, links)
+
+
+@query("""with s as (select o_custkey as player_id, year(o_orderdate)::bigint as season_id, count(*)::bigint as n, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ' / ') as teams from orders group by all)
+ select player_id, count(*)::bigint as n_seasons, sum(n)::bigint as n, string_agg(season_id || ': ' || n || ' (' || teams || ')', '; ' order by season_id desc) as seasons from s group by 1""")
+def season_refs(spark, d):
+    s = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("player_id"), year("o_orderdate").alias("season_id")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), " / ").alias("teams"))
+    line = F.format_string("%d: %d (%s)", "season_id", "n", "teams")
+    listed = F.sort_array(F.collect_list(F.struct("season_id", line.alias("line"))), asc=False)
+    return s.groupBy("player_id").agg(F.count("*").alias("n_seasons"), F.sum("n").alias("n"), F.array_join(F.transform(listed, lambda x: x["line"]), "; ").alias("seasons"))
