@@ -5,7 +5,7 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import functions as F
 
 from peerlens.functions import constants as C
-from peerlens.operators import percentiles, sequence, similarity
+from peerlens.operators import identity, percentiles, sequence, similarity
 from peerlens.operators.match_metrics import EVENT_SCHEMA, match_metrics
 from peerlens.sources import readers, sinks
 
@@ -138,3 +138,25 @@ def test_upsert_stream(spark, tmp_path):
     rows.write.parquet(src)
     upsert_stream(stream_table(spark, src, rows), str(tmp_path / "out"), ["k"], ["v", "t"], "t", str(tmp_path / "cp")).awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/v=0")).collect())) == [(1, 6, 2), (2, 7, 1)]
+
+
+def test_strict_match(spark):
+    schema = "id long, names array<string>, nationality string, born int"
+    left = spark.createDataFrame([(1, ["ann lee", "a lee"], "x", 1), (2, ["bo"], None, None), (3, ["cy"], "x", 2), (4, None, "x", 1), (5, [""], "x", 1)], schema)
+    right = spark.createDataFrame([(11, ["ann lee", "a lee"], "x", None), (12, ["a lee"], "y", 1), (21, ["bo"], "x", 1), (22, ["bo"], "y", 2), (31, ["cy"], "x", 3), (51, [""], "x", 1)], schema)
+    got = {r["left_id"]: (r["right_id"], r["decision"], r["score"], r["n_matches"]) for r in identity.strict_match(left, right).collect()}
+    assert got == {1: (11, "linked", 0.95, 1), 2: (None, "ambiguous", None, 2), 3: (None, "none", None, 0), 4: (None, "none", None, 0), 5: (None, "none", None, 0)}
+    assert identity.strict_match(left, right.limit(0)).filter("decision <> 'none'").count() == 0
+
+
+def test_initials_clubs_and_review(spark):
+    short = spark.createDataFrame([(1, "K. Del Río"), (2, "K. Rio"), (3, "Kim Rio"), (4, None)], "id long, name string")
+    people = spark.createDataFrame([(11, "Kim del Rio"), (12, "Ken Rio"), (13, "Rio"), (14, "Tom del Rio"), (15, None)], "id long, name string")
+    found = identity.initial_matches(short, people)
+    assert {(r[0], r[1]) for r in found.collect()} == {(1, 11), (2, 11), (2, 12)}
+    mine = spark.createDataFrame([(1, "a"), (2, "b"), (2, None)], "left_id long, club string")
+    theirs = spark.createDataFrame([(11, "a"), (12, "b"), (11, None)], "right_id long, club string")
+    assert {(r[0], r[1]) for r in identity.sharing_club(found, mine, theirs).collect()} == {(1, 11), (2, 12)}
+    queue = spark.createDataFrame([(1, 11, 0.8, True), (2, 12, 0.8, True), (3, 13, 0.8, None), (4, 14, 0.8, False), (5, 15, 0.8, True)], "left_id long, right_id long, score double, approve boolean")
+    links = spark.createDataFrame([(1, 11), (2, 99), (98, 15)], "left_id long, right_id long")
+    assert {r["left_id"]: r["status"] for r in identity.review(queue, links).collect()} == {1: "approved", 2: "conflict", 3: "pending", 4: "rejected", 5: "conflict"}
