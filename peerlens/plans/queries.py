@@ -201,6 +201,38 @@ def similarity_supporting(spark, d):
     return x.select("candidate", F.posexplode("supporting").alias("p", "code")).select("candidate", (F.col("p") + 1).cast("long").alias("r"), "code")
 
 
+def _searches(spark, d):
+    """All vectors, and those that are searched for: every id divisible by 50."""
+    e = table(spark, d, "embeddings")
+    return e, e.filter("vec_id % 50 = 0"), {"key": "vec_id", "vector": "embedding"}
+
+
+def _dimensions(e):
+    """Weight and category of every dimension: four runs of equal length."""
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return [float(1 + i % 3) for i in range(1, n + 1)], [("attacking", "passing", "possession", "defending")[4 * i // n] for i in range(n)]
+
+
+@query()
+def vector_knn_all(spark, d):
+    e, targets, by = _searches(spark, d)
+    return similarity.nearest_all(e, targets, **by).withColumn("distance", F.round("distance", 9))
+
+
+@query()
+def category_similarity_all(spark, d):
+    e, targets, by = _searches(spark, d)
+    weights, categories = _dimensions(e)
+    x = similarity.vector_similarity_all(e, targets, "CM", categories, weights, limits=(1.2, 1.5), **by)
+    return x.select("target", "candidate", F.round("similarity", 6).alias("similarity"), F.round("usable", 6).alias("usable"))
+
+
+@query()
+def similarity_supporting_all(spark, d):
+    e, targets, by = _searches(spark, d)
+    return similarity.vector_supporting_all(e, targets, _dimensions(e)[0], limits=(1.2, 1.5), **by)
+
+
 @query("""with t(a, b, v) as (values ('LB', 'RB', 0.85::double), ('CB', 'DM', 0.5), ('ST', 'SS', 0.8), ('GK', 'CB', 0.0), ('LB', 'ST', 0.1), ('AM', 'AM', 1.0)) select a, b, v from t""")
 def positional_compatibility(spark, d):
     wanted = F.struct("a", "b").isin(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("LB", "RB"), ("CB", "DM"), ("ST", "SS"), ("GK", "CB"), ("LB", "ST"), ("AM", "AM"))])

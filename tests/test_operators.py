@@ -1,4 +1,5 @@
 import json
+import math
 import random
 from bisect import bisect_left, bisect_right
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from peerlens.functions import constants as C
 from peerlens.operators import identity, percentiles, sequence, similarity
 from peerlens.operators.match_metrics import EVENT_SCHEMA, match_metrics
+from peerlens.plans import queries as plans
 from peerlens.sources import readers, sinks
 
 
@@ -160,3 +162,41 @@ def test_initials_clubs_and_review(spark):
     queue = spark.createDataFrame([(1, 11, 0.8, True), (2, 12, 0.8, True), (3, 13, 0.8, None), (4, 14, 0.8, False), (5, 15, 0.8, True)], "left_id long, right_id long, score double, approve boolean")
     links = spark.createDataFrame([(1, 11), (2, 99), (98, 15)], "left_id long, right_id long")
     assert {r["left_id"]: r["status"] for r in identity.review(queue, links).collect()} == {1: "approved", 2: "conflict", 3: "pending", 4: "rejected", 5: "conflict"}
+
+
+def test_searches_of_all_targets(spark, tmp_path):
+    rng = random.Random(3)
+    vectors = {i: [rng.choice([-2.0, -1.3, -0.5, 0.0, 0.25, 0.5, 1.25]) if j % 5 else rng.gauss(0, 0.6) for j in range(24)] for i in range(420)}
+    vectors[350] = vectors[3] = vectors[100]
+    df = spark.createDataFrame([*vectors.items(), (None, vectors[3]), (950, None)], "vec_id long, embedding array<double>")
+    df.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    targets = [i for i in vectors if i % 50 == 0]
+    kinds = ["attacking"] * 6 + ["passing"] * 6 + ["possession"] * 6 + ["defending"] * 6
+    near, scores, supports = set(), {}, set()
+    for t in targets:
+        a = vectors[t]
+        for d, c in sorted((math.dist(a, b), c) for c, b in vectors.items() if c != t)[:300]:
+            near.add((t, c, round(d, 9)))
+        for c, b in vectors.items():
+            both = [(j, 1.0 + (j + 1) % 3, abs(round(x, 3) - round(y, 3))) for j, (x, y) in enumerate(zip(a, b)) if abs(x) < 1.2 and abs(y) < 1.5]
+            if c == t:
+                continue
+            for r, (_, j) in enumerate(sorted((w * d, j) for j, w, d in both if d < 0.5)[:6], 1):
+                supports.add((t, c, r, j + 1))
+            if sum(w for _, w, _ in both) / 48 >= 0.6:
+                top = bottom = 0.0
+                for kind in set(kinds):
+                    of = [(w, d) for j, w, d in both if kinds[j] == kind]
+                    if of:
+                        share = C.CATEGORY_WEIGHTS["CM"][kind]
+                        top += share * 100 * math.exp(-math.sqrt(sum(w * d * d for w, d in of) / sum(w for w, _ in of)) / 1.35)
+                        bottom += share
+                scores[t, c] = (top / bottom, sum(w for _, w, _ in both) / 48)
+    d = str(tmp_path)
+    assert {(r["target"], r["candidate"], round(r["distance"], 9)) for r in plans.vector_knn_all(spark, d).collect()} == near
+    got = {(r["target"], r["candidate"]): (r["similarity"], r["usable"]) for r in plans.category_similarity_all(spark, d).collect()}
+    assert got.keys() == scores.keys() and scores and all(abs(x - y) < 2e-6 for k in got for x, y in zip(got[k], scores[k]))
+    assert {(r["target"], r["candidate"], r["r"], r["code"]) for r in plans.similarity_supporting_all(spark, d).collect()} == supports
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    blocks = similarity.nearest_all(e, e.filter("vec_id % 50 = 0"), key="vec_id", vector="embedding", block=4)
+    assert {(r["target"], r["candidate"], round(r["distance"], 9)) for r in blocks.collect()} == near
