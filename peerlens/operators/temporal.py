@@ -35,12 +35,30 @@ def trailing(rows: DataFrame, *, key: str, time: Column, days: int, aggregates:
     return rows.withColumn("__t", time.cast("long")).withColumns({n: a.over(w) for n, a in aggregates.items()}).drop("__t")
 
 
-def expanding_median(values: DataFrame, *, time: str, year: str, value: str, at: DataFrame, at_time: str, at_year: str, minimum: float = 0.0) -> DataFrame:
-    """at + median of value in at's year over rows strictly before at's time.
+def expanding_median(values: DataFrame, *, time: str, year: str, value: str, at: DataFrame, at_time: str, at_year: str, minimum: float = 0.0, bins: int = 256) -> DataFrame:
+    """at + median_before and n_before: of value in at's year over rows strictly before at's time.
 
-    The condition has an equality on the year, so it is a hash join with a range filter, not a product.
+    Found once per distinct (year, time): counts per bin of values, running along time, say which bin holds each middle
+    rank; only that bin's pre-counted values are then ranked. Bins are cut per year by approximate percentiles, which
+    decide the work and not the result; two bins at least.
     """
-    v = values.filter(F.col(value) >= minimum).select(F.col(time).alias("__t"), F.col(year).alias("__y"), F.col(value).alias("__v"))
-    keyed = at.withColumn("__id", F.monotonically_increasing_id())
-    found = keyed.join(v, (F.col("__y") == F.col(at_year)) & (F.col("__t") < F.col(at_time))).groupBy("__id").agg(F.percentile("__v", F.lit(0.5)).alias("median_before"), F.count("*").alias("n_before"))
-    return keyed.join(found, "__id", "left").drop("__id")
+    y, t = F.col(year).alias("__y"), F.col(time).alias("__t")
+    v = values.filter(F.col(value) >= minimum).select(y, t, F.col(value).cast("double").alias("__v")).filter("__y is not null and __t is not null")
+    v = v.groupBy("__y", "__t", "__v").agg(F.count("*").alias("__n"))
+    cuts = v.groupBy("__y").agg(F.percentile_approx("__v", [i / bins for i in range(1, bins)], 10000).alias("__c"))  # one row a year
+    v = v.join(F.broadcast(cuts), "__y").withColumn("__b", F.size(F.filter("__c", lambda c: c < F.col("__v")))).drop("__c")
+    asked = at.select(F.col(at_year).alias("__y"), F.col(at_time).alias("__t")).distinct().filter("__y is not null and __t is not null")
+    counts = v.groupBy("__y", "__t", "__b").agg(F.sum("__n").alias("__n")).withColumn("__side", F.lit(1))
+    marks = asked.select("__y", "__t", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("__b"), F.lit(0).cast("long").alias("__n"), F.lit(0).alias("__side"))
+    along = Window.partitionBy("__y", "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)  # asked rows come before values of their time
+    within = counts.unionByName(marks).withColumn("__n", F.sum("__n").over(along)).filter("__side = 0 and __n > 0")
+    day = Window.partitionBy("__y", "__t")
+    within = within.withColumns({"__all": F.sum("__n").over(day), "__below": F.sum("__n").over(day.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")})
+    ranks = F.array(F.expr("(__all - 1) div 2"), F.expr("__all div 2"))
+    middle = within.select("__y", "__t", "__b", "__all", "__below", "__n", F.posexplode(ranks).alias("__i", "__r")).filter("__r >= __below and __r < __below + __n")
+    middle = middle.select("__y", F.col("__t").alias("__at"), "__b", "__all", "__i", (F.col("__r") - F.col("__below")).alias("__r"))
+    near = middle.join(v, ["__y", "__b"]).filter("__t < __at").groupBy("__y", "__at", "__all", "__i", "__r", "__v").agg(F.sum("__n").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy("__y", "__at", "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    found = near.withColumn("__upto", upto).filter("__upto > __r").groupBy("__y", "__at", "__i", "__all").agg(F.min("__v").alias("__v"))
+    found = found.groupBy("__y", "__at").agg(F.avg("__v").alias("median_before"), F.max("__all").alias("n_before"))
+    return at.join(found, (F.col("__y") == F.col(at_year)) & (F.col("__at") == F.col(at_time)), "left").drop("__y", "__at")

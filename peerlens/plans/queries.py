@@ -291,6 +291,15 @@ def expanding_median_index(spark, d):
     return x.select("o_orderkey", "median_before", F.coalesce("n_before", F.lit(0).cast("long")).alias("n_before"))
 
 
+@query("""with o as (select o_orderkey, o_orderdate, year(o_orderdate) as y, round(o_totalprice)::bigint as v from orders), q as (select distinct y, o_orderdate from o),
+ m as (select q.y, q.o_orderdate, quantile_cont(b.v::double, 0.5) as median_before, count(b.v)::bigint as n_before from q left join o b on q.y = b.y and b.o_orderdate < q.o_orderdate and b.v >= 1000 group by all)
+ select o_orderkey, median_before, n_before from o left join m using (y, o_orderdate)""")
+def expanding_median_all(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", year("o_orderdate").alias("y"), F.round("o_totalprice").alias("v"))
+    x = temporal.expanding_median(o, time="o_orderdate", year="y", value="v", at=o.select("o_orderkey", "o_orderdate", "y"), at_time="o_orderdate", at_year="y", minimum=1000)
+    return x.select("o_orderkey", "median_before", F.coalesce("n_before", F.lit(0).cast("long")).alias("n_before"))
+
+
 @query("""with o as (select year(o_orderdate)::bigint as year, round(o_totalprice)::double as fee from orders where o_totalprice >= 1000), m as (select year, median(fee) as m from o group by 1) select year, m / (select m from m where year = 1998) as index from m""")
 def inflation_index(spark, d):
     return value_model.inflation_index(table(spark, d, "orders").select(year("o_orderdate").alias("year"), F.round("o_totalprice").alias("fee")), reference_year=1998, minimum=1000.0)

@@ -1,12 +1,13 @@
 import json
 import math
 import random
+import statistics
 from bisect import bisect_left, bisect_right
 
 from pyspark.sql import functions as F
 
 from peerlens.functions import constants as C
-from peerlens.operators import identity, percentiles, sequence, similarity
+from peerlens.operators import identity, percentiles, sequence, similarity, temporal
 from peerlens.operators.match_metrics import EVENT_SCHEMA, match_metrics
 from peerlens.plans import queries as plans
 from peerlens.sources import readers, sinks
@@ -200,3 +201,17 @@ def test_searches_of_all_targets(spark, tmp_path):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     blocks = similarity.nearest_all(e, e.filter("vec_id % 50 = 0"), key="vec_id", vector="embedding", block=4)
     assert {(r["target"], r["candidate"], round(r["distance"], 9)) for r in blocks.collect()} == near
+
+
+def test_expanding_median_of_all_orders(spark):
+    rng = random.Random(4)
+    rows = [(i, 2000 + rng.randint(0, 1), rng.randint(0, 30), float(rng.choice([5, 5, 7, rng.randint(0, 99)])) if rng.random() < 0.9 else None) for i in range(400)]
+    df = spark.createDataFrame([*rows, (400, None, 3, 9.0), (401, 2000, None, 9.0)], "id long, y int, t int, v double")
+    for bins in (2, 5, 256):
+        got = {r["id"]: (r["median_before"], r["n_before"]) for r in temporal.expanding_median(df, time="t", year="y", value="v", at=df, at_time="t", at_year="y", minimum=3, bins=bins).collect()}
+        want = {400: (None, None), 401: (None, None)}
+        for i, y, t, _ in rows:
+            before = [v for _, b, s, v in rows if b == y and s < t and v is not None and v >= 3]
+            want[i] = (statistics.median(before), len(before)) if before else (None, None)
+        assert got == want
+    assert plans.expanding_median_all(spark, "/root/testdata/sf0.001").count() == 1500
