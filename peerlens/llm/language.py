@@ -148,13 +148,16 @@ def predict(texts: list[str | None], model: Model) -> pd.DataFrame:
 
 
 def sample_texts(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Per language a sample of whole texts of about sample_chars code points, chosen by a hash of the text.
+    """Per language a sample of pieces of texts of about sample_chars code points, chosen by a hash of the text.
 
-    The bound is the parameter: what reaches the driver is at most about twice sample_chars per language
-    plus one text. Equal texts count once. Length totals per language set the share that is sampled.
+    The bound is the parameter: about eight times sample_chars per language reach the driver. Equal texts count once
+    and a text gives 2,000 code points at most; the share that is sampled comes from what distinct texts can give.
+    Runs of anything but letters are one blank (the model reads them so), so no piece is without a letter.
     """
-    base = labelled.select("lang", "text").filter("lang is not null and text is not null and length(text) > 0")
-    totals = {r["lang"]: r["n"] for r in base.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    letters = F.btrim(F.regexp_replace("text", r"\P{L}+", " "))
+    base = labelled.filter("lang is not null and text is not null").select("lang", letters.alias("text")).filter("length(text) > 0")
+    given = base.select("lang", F.xxhash64("text").alias("h"), F.least(F.length("text"), F.lit(2000)).alias("n")).distinct()
+    totals = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return {}
     spot = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -162,7 +165,6 @@ def sample_texts(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> dict[
     pieces: dict[str, list[str]] = {k: [] for k in totals}
     # Of each text, the 2,000 code points that a hash points at: long texts would else be the whole sample.
     at = F.greatest(F.lit(0), F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - 2000, F.lit(1))))
-    # Texts are short beside their number; where few are long, the share alone bounds the rows.
     chosen = base.withColumn("spot", spot).filter(F.col("spot") < share).select("lang", "spot", F.substring("text", at.cast("int") + 1, F.lit(2000)).alias("text")).distinct()
     for r in chosen.orderBy("lang", "spot", "text").toLocalIterator():
         if sum(map(len, pieces[r["lang"]])) < sample_chars:

@@ -269,6 +269,16 @@ def test_language_accuracy(spark):
     assert len(held) > 200 and sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.97 * len(held)
 
 
+def test_language_sample_is_full_under_skew(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    some = [(text(2500), "aa") for _ in range(100)] + [(text(2500), "bb") for _ in range(100)]
+    long, copied = (text(1000) * 20_000, "aa"), (text(2500), "bb")
+    df = spark.createDataFrame([*some, long, *[copied] * 8000, ("x" + "1 " * 3000, "cc"), *[(str(i) * 5, "cc") for i in range(50)]], "text string, lang string")
+    got = language.sample_texts(df)
+    assert len(got["aa"]) >= language.SAMPLE_CHARS and len(got["bb"]) >= language.SAMPLE_CHARS and got["cc"].strip() == "x"
+
+
 def test_language_odd(odd, nothing):
     got = language.identify(odd, odd.select("text", "lang")).collect()
     assert len(got) == odd.count() and all(r["lang_pred"] == "und" for r in got if r["doc_id"] in (1, 2, 3)) and all(0 <= r["score"] <= 1 for r in got)
