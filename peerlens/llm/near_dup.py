@@ -134,7 +134,6 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps: each node's neighbours are hung below its smallest neighbour.
     The smallest neighbour is a partial aggregate and is joined back, so a hub is never gathered in one task.
     """
-    spark = edges.sparkSession
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     seen = None
     while True:
@@ -149,7 +148,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now = materialize(small, "edges")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots) if spark else now
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
 
 
 def cross_pairs(members: DataFrame, limit: int, percent: int) -> DataFrame:
@@ -196,24 +195,19 @@ def cross_pairs(members: DataFrame, limit: int, percent: int) -> DataFrame:
     return placed.groupBy(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(packs))).applyInPandas(compare, "a long, b long").distinct()
 
 
-def link(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: near-duplicate components of docs (doc_id, text).
+def place() -> Column:
+    """Order of the rows of a component: by doc_id, null last, then by the text's hash."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
 
-    Two documents are linked if 100 * shared shingles >= percent * all shingles of both; component_id is the
-    smallest doc_id reachable. Candidates share one of 24 bands of four MinHash samples (a pair at 80 % is missed
-    with a chance of 3e-6) and pass the odd sketch with a slack of five standard errors; what passes is confirmed
-    on full shingle sets. Equal sets are joined first and go on as one. Then every member of a bucket is compared
-    with one member that the bucket's hash picks, which joins nearly all; members of one bucket that are still in
-    different components are all compared, in blocks. So no link between components of the result is left out and
-    no group is expanded into pairs.
 
-    Null, empty or blank texts: no shingles, linked with nothing. Rows with the same doc_id are one document if
-    equal; all are returned. A null doc_id is linked with nothing and has a null component. Empty tables give empty
-    results; further columns are ignored.
+def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, first: a row per row of docs. first is the place of the component's first row;
+    it is null without shingles. Nodes are distinct shingle sets, with numbers of their own, so that texts which share
+    a doc_id are apart.
     """
-    prints = materialize(docs.select("doc_id", fingerprint_column(F.col("text"), words).alias("f")).select("doc_id", "f.*"), "fingerprints")
-    sets = prints.filter("n_shingles > 0 and doc_id is not null")
-    reps = materialize(sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
+    prints = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_column(F.col("text"), words).alias("f")).select("doc_id", "text_hash", "f.*"), "fingerprints")
+    sets = prints.filter("n_shingles > 0").groupBy("set_key").agg(F.min(place()).alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = materialize(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")  # once written, the numbers stay
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
     # The member that a bucket picks is the smallest by rep XOR bucket: another one in each bucket of a group.
     heads = rows.groupBy("bucket").agg(F.min(F.col("rep").bitwiseXOR(F.col("bucket"))).alias("p"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("p").bitwiseXOR(F.col("bucket")).alias("head"), "n")
@@ -227,11 +221,12 @@ def link(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
     star = materialize(star.filter((flips("sa", "sb") <= limit) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b"), "pairs")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = materialize(ends(pairs).select(F.col("rep").alias("doc_id")), "wanted")
-        if wanted.count() <= BROADCAST_IDS:  # 16 MB of identifiers; beyond, Spark shuffles both sides
+        """A text of each set: of the row with the smallest doc_id, told from others with that id by its hash."""
+        wanted = materialize(ends(pairs).join(reps.select("rep", F.col("of.doc_id").alias("__id"), F.col("of.text_hash").alias("__hash")), "rep"), "wanted")
+        if wanted.count() <= BROADCAST_IDS:  # 48 MB of numbers; beyond, Spark shuffles both sides
             wanted = F.broadcast(wanted)
-        named = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-        return named.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text")
+        named = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
+        return named.dropDuplicates(["rep"]).select("rep", "text")
 
     edges = materialize(confirm(star, materialize(texts_of(star), "texts"), words, percent), "links")
     found = materialize(components(edges), "components")
@@ -243,26 +238,54 @@ def link(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
         more = materialize(confirm(rest, materialize(texts_of(rest), "texts"), words, percent), "links")
         if not more.isEmpty():
             found = materialize(components(edges.unionAll(more)), "components")
-    of_set = reps.select("set_key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("__c"))
-    out = prints.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(of_set, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("__c", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of_set = materialize(reps.select("set_key", F.col("rep").alias("node"), "of").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "set-components")
+    first = of_set.groupBy("component").agg(F.min("of").alias("first"))
+    of_set = of_set.join(first, "component").select("set_key", "first")
+    return prints.select("doc_id", "text_hash", "n_shingles", "set_key").join(of_set, "set_key", "left").drop("set_key")
+
+
+def link(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: near-duplicate components of docs (doc_id, text).
+
+    Two documents are linked if 100 * shared shingles >= percent * all shingles of both; component_id is the
+    smallest doc_id reachable. Candidates share one of 24 bands of four MinHash samples (a pair at 80 % is missed
+    with a chance of 3e-6) and pass the odd sketch with a slack of five standard errors; what passes is confirmed
+    on full shingle sets. Equal sets are joined first and go on as one. Then every member of a bucket is compared
+    with one member that the bucket's hash picks, which joins nearly all; members of one bucket that are still in
+    different components are all compared, in blocks. So no link between components of the result is left out and
+    no group is expanded into pairs.
+
+    Null, empty or blank texts: no shingles, linked with nothing. Every row is returned. Rows with one doc_id and
+    different texts are documents of their own, each with its own links; equal rows get equal results. A row with a
+    null doc_id is linked as others are, but no component is named after it; if a component has no other rows, its id
+    is null. kept is doc_id = component_id, two nulls being equal (keep_one keeps one of those). Empty tables give empty results; further columns are ignored.
+    """
+    first = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    out = _linked(docs, words, percent).select("doc_id", "n_shingles", first.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, without near-duplicates: of each component the smallest doc_id stays.
 
-    Of rows that repeat a doc_id one stays. Rows with a null doc_id all stay. The texts are not shuffled while the
-    removed ids number at most BROADCAST_IDS; beyond, Spark joins by doc_id.
+    A null doc_id comes after all others; of different texts with that doc_id in one component, one text stays, picked
+    by its hash. Different texts of one doc_id that are not linked all stay. Of rows that repeat both doc_id and text
+    one stays, also without words. The texts are not shuffled while the removed rows number at most BROADCAST_IDS;
+    beyond, Spark joins by doc_id and hash.
     """
-    linked = materialize(link(docs, words=words, percent=percent), "linked")
+    linked = materialize(_linked(docs, words, percent), "linked")
+    gone = linked.filter(F.col("first").isNotNull() & ~place().eqNullSafe(F.col("first"))).select("doc_id", "text_hash")
+    again = linked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_hash")
 
-    def few(ids: DataFrame) -> DataFrame:
-        ids = materialize(ids, "ids")
+    def named(ids: DataFrame) -> DataFrame:
+        ids = materialize(ids.distinct().toDF("__id", "__hash"), "ids")
         return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
-    left = docs.join(few(linked.filter("not kept").select("doc_id").distinct()), "doc_id", "left_anti")
-    again = materialize(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "ids")
-    if again.isEmpty():
+    hashed = docs.withColumn("__text_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    left = hashed.join(named(gone), same, "left_anti")
+    repeats = named(again)
+    if repeats.isEmpty():
         return left.select(docs.columns)
-    one = left.join(few(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(few(again), "doc_id", "left_anti").unionByName(one).select(docs.columns)
+    one = left.join(repeats, same, "left_semi").dropDuplicates(["doc_id", "__text_hash"])
+    return left.join(repeats, same, "left_anti").unionByName(one).select(docs.columns)
