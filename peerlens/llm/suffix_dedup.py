@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,10 +16,11 @@ from .common import materialize
 
 LENGTH = 100
 GRAM = 16
-GROUP_CONTEXTS = 4096
+GROUP_CONTEXTS = 512
 PACK_BYTES = 1 << 18
 ARRAY_BYTES = 1 << 12
 BROADCAST_KEYS = 500_000
+NO_ID = (1 << 63) - 1
 
 
 def suffix_array(text: Sequence[int] | np.ndarray) -> list[int]:
@@ -152,7 +154,7 @@ def ranges_hash(h: np.ndarray, k: int, start: np.ndarray, size: np.ndarray) -> n
     return _mix(h[start] * np.uint64(3) + h[middle] * np.uint64(5 * _M % (1 << 64)) + h[last] * np.uint64(_M) + size.astype(np.uint64))
 
 
-ANCHOR = "doc_id long, anchor long, context long, left long, right long, first int, place int, windows int"
+ANCHOR = "doc_id long, text_hash long, anchor long, context long, left long, right long, first int, place int, windows int"
 
 
 def anchors(raw: bytes, length: int = LENGTH, alone: bool = False) -> dict[str, np.ndarray]:
@@ -249,11 +251,12 @@ def anchor_rows(texts: DataFrame, length: int, alone: bool = False) -> DataFrame
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             parts = []
-            for doc, text in zip(df["doc_id"], df["text"], strict=True):
+            for doc, text_hash, text in zip(df["doc_id"], df["text_hash"], df["text"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 if len(raw) >= length:
                     found = anchors(raw, length, alone)
-                    parts.append(found if alone else {"doc_id": np.full(len(found["first"]), doc, dtype=np.int64), **found})
+                    n = len(found["anchor"])
+                    parts.append(found if alone else {"doc_id": np.full(n, doc, dtype=np.int64), "text_hash": np.full(n, text_hash, dtype=np.int64), **found})
             if parts:
                 yield pd.DataFrame({n: np.concatenate([p[n] for p in parts]) for n in parts[0]})
 
@@ -261,134 +264,151 @@ def anchor_rows(texts: DataFrame, length: int, alone: bool = False) -> DataFrame
 
 
 def cut_contexts(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """wanted (doc_id, cuts: array of (group, first, windows, at)) with the bytes that the windows cover."""
-    schema = "group long, doc_id long, first int, windows int, at int, bytes binary"
+    """wanted (doc_id, text_hash, cuts: array of (group, first, windows, at)) with the bytes that the windows cover."""
+    schema = "group long, doc_id long, text_hash long, first int, windows int, at int, bytes binary"
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             out = []
-            for doc, text, cuts in zip(df["doc_id"], df["text"], df["cuts"], strict=True):
+            for doc, text_hash, text, cuts in zip(df["doc_id"], df["text_hash"], df["text"], df["cuts"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                out += [(c["group"], doc, c["first"], c["windows"], c["at"], raw[c["first"] : c["first"] + c["windows"] + length - 1]) for c in cuts]
-            yield pd.DataFrame(out, columns=["group", "doc_id", "first", "windows", "at", "bytes"])
+                out += [(c["group"], doc, text_hash, c["first"], c["windows"], c["at"], raw[c["first"] : c["first"] + c["windows"] + length - 1]) for c in cuts]
+            yield pd.DataFrame(out, columns=["group", "doc_id", "text_hash", "first", "windows", "at", "bytes"])
 
-    return texts.join(wanted, "doc_id").mapInPandas(cut, schema)
+    return texts.join(wanted, ["doc_id", "text_hash"]).mapInPandas(cut, schema)
 
 
-MARK = "doc_id long, start long, end long"
+MARK = "doc_id long, text_hash long, start long, end long"
+DOC = ("doc_id", "text_hash")  # a document; documents come in this order
 
+Row = tuple[bytes, int, int, int, int]  # bytes, doc_id, text_hash, first, at
 
-def partners(rows: list[tuple[bytes, int, int, int]], length: int) -> list[tuple[bytes, int, int, int]]:
-    """The contexts (bytes, doc_id, first, at) of a group that can share a window with another one of it.
 
-    All agree on the side_of(length) + GRAM bytes from `at`. A shared window has at least half of its other bytes on
-    one side of those, so two contexts that share it agree on that many bytes left or right.
+def partners(rows: list[Row], length: int, core: int) -> list[Row]:
+    """The contexts of a group that can share a window with another one of it.
+
+    All agree on the `core` bytes from `at`. A shared window has at least half of its other bytes on one side of
+    those, so two contexts that share it agree on that many bytes left or right.
     """
-    core = side_of(length) + GRAM
     more = (length - core) // 2
-    ends = [(("l", raw[at - more : at]) if at >= more else None, ("r", raw[at + core : at + core + more]) if len(raw) >= at + core + more else None) for raw, _, _, at in rows]
+    ends = [(("l", raw[at - more : at]) if at >= more else None, ("r", raw[at + core : at + core + more]) if len(raw) >= at + core + more else None) for raw, *_, at in rows]
     seen = Counter(x for e in ends for x in e if x)
     return [r for r, e in zip(rows, ends, strict=True) if any(x and seen[x] > 1 for x in e)]
 
 
-def by_suffix_array(contexts: DataFrame, length: int) -> DataFrame:
-    """Marked byte ranges of contexts (pack, group, doc_id, first, bytes).
+def by_suffix_array(contexts: DataFrame, length: int, core: int, packs: int) -> DataFrame:
+    """Marked byte ranges of contexts (group, doc_id, text_hash, first, at, bytes) that share `core` bytes by group.
 
-    Equal windows are always in one group. Whole groups share a suffix array until it has ARRAY_BYTES.
+    Equal windows are always in one group. Groups are dealt to `packs` packs; in one, whole groups share a suffix
+    array until it has ARRAY_BYTES.
     """
 
     def mark(df: pd.DataFrame) -> pd.DataFrame:
         out = []
-        groups: dict[int, list[tuple[bytes, int, int, int]]] = {}
-        for group, *row in zip(df["group"].tolist(), df["bytes"], df["doc_id"].tolist(), df["first"].tolist(), df["at"].tolist(), strict=True):
+        groups: dict[int, list[Row]] = {}
+        for group, *row in zip(df["group"].tolist(), df["bytes"], *(df[c].tolist() for c in (*DOC, "first", "at")), strict=True):
             groups.setdefault(group, []).append(tuple(row))
-        together: list[tuple[bytes, int, int, int]] = []
+        together: list[Row] = []
         n_bytes, last = 0, len(groups) - 1
         for k, members in enumerate(groups.values()):
-            rows = partners(members, length)
+            rows = partners(members, length, core)
             together += rows
             n_bytes += sum(len(r[0]) for r in rows)
             if together and (n_bytes >= ARRAY_BYTES or k == last):
-                found = repeats([(raw, at, (doc, first)) for raw, doc, first, at in together], length)
-                out += [(doc, first + a, first + b + length - 1) for (_, doc, first, _), ranges in zip(together, found, strict=True) for a, b in ranges]
+                found = repeats([(raw, at, doc) for raw, *doc, at in together], length)
+                out += [(r[1], r[2], r[3] + a, r[3] + b + length - 1) for r, ranges in zip(together, found, strict=True) for a, b in ranges]
                 together, n_bytes = [], 0
-        return pd.DataFrame(out, columns=["doc_id", "start", "end"]).astype("int64")
+        return pd.DataFrame(out, columns=[x.split()[0] for x in MARK.split(", ")]).astype("int64")
 
-    return contexts.groupBy("pack").applyInPandas(mark, MARK)
+    # A number of partitions of its own, which Spark doesn't merge: else a few tasks would get all arrays.
+    named = contexts.select(F.pmod(F.xxhash64("group"), F.lit(packs)).alias("pack"), "group", *DOC, "first", "at", "bytes")
+    return named.repartition(packs, "pack").groupBy("pack").applyInPandas(mark, MARK)
 
 
-def by_window(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for groups of many contexts: equal windows meet by their bytes, by a partial aggregate."""
-    wins = contexts.select("doc_id", F.explode(F.expr("sequence(0, windows - 1)")).alias("o"), "first", "bytes").select("doc_id", (F.col("first") + F.col("o")).alias("start"), F.sha2(F.substring("bytes", F.col("o") + 1, F.lit(length)), 256).alias("w"))
-    first = wins.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    late = wins.join(first, "w").filter("f.doc_id <> doc_id or f.start <> start")
-    return late.select("doc_id", F.col("start").cast("long"), (F.col("start") + length).cast("long").alias("end"))
+def longer_core(contexts: DataFrame, core: int, more: int, length: int) -> DataFrame:
+    """Contexts whose group shares `core` bytes, cut into those whose group shares `more` bytes in front as well and
+    those whose group shares them behind. Each window falls to one of the two: to the first where it begins `more`
+    bytes or further before the core."""
+    at, first, windows = F.col("at"), F.col("first"), F.col("windows")
+    before = F.greatest(F.lit(0), F.least(windows, at - more + 1))  # windows that hold the bytes in front
+    # Of the others those that hold the bytes behind: all, as 2 * more <= length - core + 1, if the context has any.
+    part = lambda which, skip, n, shared, key: contexts.select(F.xxhash64("group", F.lit(which), key).alias("group"), *DOC, (first + skip).cast("int").alias("first"), n.cast("int").alias("windows"), shared.cast("int").alias("at"), F.substring("bytes", skip + 1, n + (length - 1)).alias("bytes")).filter("windows > 0")
+    front = part("l", F.lit(0), before, at - more, F.substring("bytes", at - more + 1, F.lit(more)))
+    behind = part("r", before, windows - before, at - before, F.substring("bytes", at + core + 1, F.lit(more)))
+    return front.unionByName(behind)
 
 
-def marked_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, start, end): byte ranges of texts (doc_id, text; ids and texts distinct) covered by an earlier
-    string of `length` bytes.
+def marked_ranges(texts: DataFrame, length: int = LENGTH, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
+    """(doc_id, text_hash, start, end): byte ranges of texts (doc_id, text_hash, text; equal rows are one) covered by an
+    earlier string of `length` bytes.
 
     Windows meet under their anchors; runs whose anchor occurs once are dropped first. Of equal contexts the first
     keeps its windows and all others are marked whole. Of contexts that differ, only those can share a window that
-    agree left or right of the anchor: they form groups, whose halves are compared byte by byte in a suffix array,
-    or window by window where a group has more than GROUP_CONTEXTS of them. Counts are partial aggregates and joins
-    split skewed keys, so nothing that one task holds grows with the corpus.
+    agree left or right of the anchor: they form groups, whose members are compared in a suffix array. A group of
+    more than group_contexts different ones is split by longer shared bytes, half of what is left each time, and
+    equal contexts are settled again: at the latest when a context is one window, none is left. Counts are partial
+    aggregates and joins split skewed keys, so nothing that one task holds grows with the corpus.
     """
     side = side_of(length)
     repeated = materialize(anchor_rows(texts, length, alone=True).groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
     rows = materialize(anchor_rows(texts, length).join(repeated, "anchor", "left_semi"), "runs")
-    distinct = materialize(rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "place", "windows", "left", "right")).alias("f")).select("anchor", "context", "n", "f.*"), "contexts")
-    whole = _all_but_first(rows, distinct, ["anchor", "context"], length)
-    parts = []
+    distinct = materialize(rows.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct(*DOC, "first", "place", "windows", "left", "right")).alias("f")).select("anchor", "context", "n", "f.*"), "contexts")
+    parts = [_all_but_first(rows, distinct, ["anchor", "context"], length)]
+    halves = []
     last = F.col("first") + F.col("windows") - 1
     for which, start, end, shared in (("left", F.col("first"), F.least(last, F.col("place") - side), F.col("place") - side), ("right", F.greatest(F.col("first"), F.col("place") - side + 1), last, F.col("place"))):
         have = distinct.filter(F.col(which) != 0)
         many = have.groupBy("anchor", which).agg(F.count("*").alias("k")).filter("k > 1").drop("k")
-        half = have.join(many, ["anchor", which], "left_semi").select("doc_id", F.xxhash64(F.lit(which), "anchor", which).alias("group"), start.alias("first"), (end - start + 1).alias("windows"), (shared - start).alias("at"))
-        parts.append(half.filter("windows > 0"))
-    cuts = parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.collect_list(F.struct("group", "first", "windows", "at")).alias("cuts"))
-    contexts = materialize(cut_contexts(cuts, texts, length).withColumn("context", F.xxhash64("bytes")), "cuts")
-    once = materialize(contexts.groupBy("group", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "first", "windows", "at", "bytes")).alias("f")).select("group", "context", "n", "f.*"), "halves")
-    again = _all_but_first(contexts.drop("bytes"), once.drop("bytes"), ["group", "context"], length)
-    many = once.groupBy("group").agg(F.count("*").alias("k"), F.sum(F.length("bytes")).alias("size")).filter("k > 1")
-    differing = once.select("group", "doc_id", "first", "windows", "at", "bytes").join(many, "group")
-    small = differing.filter(F.col("k") <= GROUP_CONTEXTS)
-    total = many.filter(F.col("k") <= GROUP_CONTEXTS).agg(F.sum("size").alias("b")).first()["b"] or 0
-    packs = max(64, total // PACK_BYTES)
-    marks = by_suffix_array(small.select(F.pmod(F.xxhash64("group"), F.lit(packs)).alias("pack"), "group", "doc_id", "first", "at", "bytes"), length)
-    return whole.unionByName(again).unionByName(marks).unionByName(by_window(differing.filter(F.col("k") > GROUP_CONTEXTS), length))
+        half = have.join(many, ["anchor", which], "left_semi").select(*DOC, F.xxhash64(F.lit(which), "anchor", which).alias("group"), start.alias("first"), (end - start + 1).alias("windows"), (shared - start).alias("at"))
+        halves.append(half.filter("windows > 0"))
+    cuts = halves[0].unionByName(halves[1]).groupBy(*DOC).agg(F.collect_list(F.struct("group", "first", "windows", "at")).alias("cuts"))
+    contexts, core = cut_contexts(cuts, texts, length), side + GRAM
+    while True:
+        contexts = materialize(contexts.withColumn("context", F.xxhash64("bytes")), "cuts")
+        once = materialize(contexts.groupBy("group", "context").agg(F.count("*").alias("n"), F.min(F.struct(*DOC, "first", "windows", "at", "bytes")).alias("f")).select("group", "context", "n", "f.*"), "halves")
+        parts.append(_all_but_first(contexts.drop("bytes"), once.drop("bytes"), ["group", "context"], length))
+        many = materialize(once.groupBy("group").agg(F.count("*").alias("k"), F.sum(F.length("bytes")).alias("size")).filter("k > 1"), "groups")
+        differing = once.select("group", *DOC, "first", "windows", "at", "bytes").join(many, "group")
+        small = F.col("k") <= group_contexts
+        total = many.agg(F.sum(F.when(small, F.col("size"))).alias("b"), F.sum(F.when(~small, 1)).alias("large")).first()
+        if total["b"]:
+            parts.append(by_suffix_array(differing.filter(small), length, core, max(64, total["b"] // PACK_BYTES)))
+        if not total["large"] or core >= length:
+            break
+        more = max(1, (length - core) // 2)
+        contexts, core = longer_core(differing.filter(~small), core, more, length), core + more
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _all_but_first(rows: DataFrame, distinct: DataFrame, key: list[str], length: int) -> DataFrame:
-    copies = distinct.filter("n > 1").select(*key, F.col("doc_id").alias("d"), F.col("first").alias("p"))
-    return rows.join(copies, key).filter("doc_id <> d or first <> p").select("doc_id", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") + length - 1).cast("long").alias("end"))
+    copies = distinct.filter("n > 1").select(*key, F.struct(*DOC, "first").alias("f"))
+    return rows.join(copies, key).filter(F.struct(*DOC, "first") != F.col("f")).select(*DOC, F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") + length - 1).cast("long").alias("end"))
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
 
 
-def remove(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
+def remove(docs: DataFrame, *, length: int = LENGTH, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans for docs (doc_id, text).
 
-    A byte goes if a string of `length` bytes covers it that also starts earlier: in a smaller doc_id, or in the same
-    document further left. spans are the maximal removed runs, in bytes. Texts of fewer than `length` bytes lose
-    nothing. Null text: as empty. Equal texts are settled first: all but the one with the smallest doc_id go whole.
-    Rows with one doc_id and text are one document and get equal results; of rows with one doc_id and different
-    texts, or with a null doc_id, the result is that of each text on its own against the other documents' copies of
-    it. Empty tables give empty results; further columns are ignored.
+    A byte goes if a string of `length` bytes covers it that also starts earlier: in an earlier document, or in the
+    same one further left. spans are the maximal removed runs, in bytes. Documents come by doc_id, null last; rows
+    with one doc_id (or none) and different texts are documents of their own, ordered by a hash of the text, and rows
+    with one doc_id and text are one document and get equal results. Texts of fewer than `length` bytes lose nothing.
+    Null text: as empty. Equal texts are settled first: all but the first document go whole. Empty tables give empty
+    results; further columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     keyed = base.select("doc_id", F.sha2("text", 256).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"))
     owner = materialize(keyed.filter(F.col("n_bytes") >= length).groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("copies")), "owners")
     copied = materialize(owner.filter("copies > 1").select("key", "owner"), "copied")
     if copied.count() <= BROADCAST_KEYS:  # about 100 bytes each, so that texts stay where they are; else shuffled
         copied = F.broadcast(copied)
-    with_key = base.withColumn("key", F.sha2("text", 256)).join(copied, "key", "left").drop("key")
-    with_key = with_key.withColumn("is_copy", F.col("owner").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("owner")))
-    unique = with_key.filter(~F.col("is_copy") & F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text")
-    ranges = materialize(marked_ranges(unique, length).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges")), "marks")
+    with_key = base.withColumn("key", F.sha2("text", 256)).join(copied, "key", "left")
+    with_key = with_key.withColumn("is_copy", F.col("owner").isNotNull() & (F.col("doc_id") != F.col("owner")))
+    unique = with_key.filter(~F.col("is_copy") & (F.octet_length("text") >= length)).select(*DOC, "text")
+    ranges = materialize(marked_ranges(unique, length, group_contexts).groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("ranges")), "marks")
 
     @F.pandas_udf(RESULT)
     def cut(texts: pd.Series, is_copy: pd.Series, marks: pd.Series) -> pd.DataFrame:
@@ -409,5 +429,5 @@ def remove(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
             out.append((len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [{"start": a, "end": b} for a, b in spans]))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    marked = with_key.select("doc_id", "text", "is_copy").join(ranges, "doc_id", "left")
-    return marked.select("doc_id", cut(F.col("text"), F.col("is_copy"), F.col("ranges")).alias("c")).select("doc_id", "c.*")
+    marked = with_key.select("id", *DOC, "text", "is_copy").join(ranges, list(DOC), "left")
+    return marked.select(F.col("id").alias("doc_id"), cut(F.col("text"), F.col("is_copy"), F.col("ranges")).alias("c")).select("doc_id", "c.*")
