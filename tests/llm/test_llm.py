@@ -70,10 +70,21 @@ def test_near_dup_odd(odd, nothing):
     assert len(got) == odd.count()
     by = {r["doc_id"]: r for r in got}
     assert [by[i]["n_shingles"] for i in (1, 2, 3)] == [0, 0, 0] and by[8]["component_id"] == 5 and by[5]["kept"] and not by[8]["kept"]
-    assert sorted(str(r["doc_id"]) for r in near_dup.keep_one(odd).collect()) == ["1", "2", "3", "4", "5", "7", "None"]
+    assert sorted(str(r["doc_id"]) for r in near_dup.keep_one(odd).collect()) == ["1", "2", "3", "4", "5", "7"]
     assert near_dup.link(nothing).count() == 0
 
 
+def test_near_dup_repeated_ids(spark):
+    """Different texts under one doc_id, and null ids, keep their own links; repeated rows are one document."""
+    rng = random.Random(5)
+    p, q, x = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(3))
+    df = spark.createDataFrame([(1, p), (1, q), (1, q), (2, p + " x"), (3, q + " y"), (4, "z " + q), (None, p), (None, x), (None, x), (9, ""), (9, ""), (9, None)], "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.link(df).collect())
+    assert got == {(1, 1, True): 3, (2, 1, False): 1, (3, 1, False): 1, (4, 1, False): 1, (None, 1, False): 1, (None, None, True): 2, (9, 9, True): 3}
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in near_dup.keep_one(df).collect())
+    assert kept == {(1, p): 1, (1, q): 1, (None, x): 1, (9, ""): 1, (9, None): 1}
+
+
 def test_odd_sketch_estimates():
     import numpy as np
 
@@ -205,20 +216,34 @@ def removed(docs, n):
     return out
 
 
-@pytest.mark.parametrize("limit", [256, 1])
-def test_suffix_dedup(spark, limit, monkeypatch):
-    """On texts that share, repeat and change passages; limit 1 sends every group the window-by-window way."""
-    monkeypatch.setattr(suffix_dedup, "GROUP_CONTEXTS", limit)
+@pytest.mark.parametrize("limit", [256, 2, 1])
+def test_suffix_dedup(spark, limit):
+    """On texts that share, repeat and change passages; limits 2 and 1 split groups by longer and longer contexts."""
     rng = random.Random(limit)
     words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7))) for _ in range(300)]
     piece = lambda n: " ".join(rng.choice(words) for _ in range(n))
     passage = piece(60)
     docs = {0: piece(50) + passage, 1: passage + piece(40) + passage, 2: piece(30) + passage[:150] + "x" + passage[151:] + piece(9), 3: "ab" * 200, 4: "ab" * 90, 5: "", 6: passage, 7: passage, 8: piece(3)}
+    docs |= {9 + k: passage[:140] + rng.choice(words) + passage[140 + k :] for k in range(6)}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove(df).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove(df, group_contexts=limit).collect()}
     assert got == removed(docs, 100)
 
 
+def test_suffix_dedup_repeated_ids(spark):
+    """Different texts under one doc_id, null ids and repeated rows, in the order of ids, then of a hash of the text."""
+    rng = random.Random(11)
+    p, q, x = ("".join(rng.choice("abcdefgh ") for _ in range(280)) for _ in range(3))
+    rows_in = [(1, "zz " + p), (5, p + " tail one"), (5, q), (5, q), (6, "y" + q + "y"), (7, x), (7, "w" + x), (None, q + "v"), (None, "u" + x), (None, "u" + x)]
+    df = spark.createDataFrame(rows_in, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    order = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["h"], r["text"]) for r in df.collect()})
+    want = removed({i: r[3] for i, r in enumerate(order)}, 100)
+    by_row = {(None if r[0] else r[1], r[3]): want[i] for i, r in enumerate(order)}
+    got = collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove(df).collect())
+    assert got == collections.Counter((i, *by_row[i, t]) for i, t in rows_in)
+    assert {r["n_removed"] for r in suffix_dedup.remove(df.limit(3)).collect()} == {0, 280}
+
+
 def test_suffix_dedup_odd(odd, nothing):
     got = suffix_dedup.remove(odd).collect()
     assert len(got) == odd.count() and {r["n_removed"] for r in got if r["doc_id"] != 4} == {0}
