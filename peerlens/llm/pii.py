@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -81,7 +83,21 @@ HOMOGLYPHS = {
     "α": "a", "ο": "o", "ν": "v", "ι": "i", "κ": "k", "ρ": "p", "υ": "u", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", " ": " ", " ": " ", " ": " ",
 }
-GLYPHS = {ord(k): v for k, v in HOMOGLYPHS.items()} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+
+
+def styled(code: int) -> str | None:
+    """The ASCII letter or digit that a styled form (mathematical, circled, full-width) or a digit of any script is."""
+    c = chr(code)
+    if unicodedata.category(c) == "Nd":
+        return str(unicodedata.decimal(c))
+    if unicodedata.decomposition(c).startswith(("<font>", "<circle>", "<wide>")):
+        plain = unicodedata.normalize("NFKC", c)
+        if len(plain) == 1 and plain.isascii():
+            return plain
+    return None
+
+
+GLYPHS = {c: v for c in range(0x80, 0x1FC00) if (v := styled(c))} | {ord(k): v for k, v in HOMOGLYPHS.items()}
 INVISIBLE = "​‌‍⁠﻿­"
 _GLYPH = re.compile("[" + re.escape("".join(map(chr, GLYPHS)) + INVISIBLE) + "]")
 
@@ -96,17 +112,15 @@ _NUMBER = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r"|[0-9]+)"
 # At least four in a row, each set off by blanks, hyphens, commas or dots; "plus" and "dot" may stand between.
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[\x20-]+)?{_NUMBER}(?:(?:[\x20,-]+|\.|[\x20]*\(?(?:dot|point|punkt|punto)\)?[\x20]*){_NUMBER}){{3,}}(?!\w)", re.I)
 _TOKEN = re.compile(r"plus|dot|point|punkt|punto|[0-9]+|[^\W\d_]+|.", re.I | re.S)
-_WORD = r"[A-Za-z0-9%+-]+"
-_AT = r"(?:[\x20]*[\[({<][\x20]*(?:at|@)[\x20]*[\])}>][\x20]*|[\x20]+at[\x20]+|[\x20]*@[\x20]*)"
-_DOT = r"(?:[\x20]*[\[({<][\x20]*(?:dot|\.)[\x20]*[\])}>][\x20]*|[\x20]+dot[\x20]+|\.)"
 # Signs in brackets are a disguise anywhere; plain words only with both signs and a well-known last label.
-_BRACKETED = re.compile(rf"(?<![A-Za-z0-9%+-]){_WORD}(?:{_DOT}{_WORD})*?{_AT}{_WORD}(?:{_DOT}{_WORD})+", re.I)
+_AT = re.compile(r"[\[({<]\x20*+(?:at|@)\x20*+[\])}>]|(?<=\x20)at(?=\x20)|@", re.I)
+_SIGNS = re.compile(r"[\[({<]\x20*+(?:at|@|dot|\.)\x20*+[\])}>]|\x20dot\x20", re.I)
+_WORD = re.compile(r"[A-Za-z0-9%+-]++")
+_DOT = re.compile(r"(\x20*+[\[({<]\x20*+(?:dot|\.)\x20*+[\])}>]\x20*+)|\x20++(dot)\x20++|\.", re.I)
+_TOD = re.compile(r"(\x20*+[\])}>]\x20*+(?:tod|\.)\x20*+[\[({<]\x20*+)|\x20++(tod)\x20++|\.", re.I)  # the same, read backwards
+_BLANKS = re.compile(r"\x20*+")
 # Last labels of addresses in words.
-_TLD = "com|org|net|edu|gov|info|biz|io|co|ai|eu|uk|us|de|fr|es|it|nl|ch|at"
-_PLAIN = re.compile(rf"(?<![A-Za-z0-9%+-]){_WORD}(?:(?:[\x20]+dot[\x20]+|\.){_WORD})*[\x20]+at[\x20]+{_WORD}(?:(?:[\x20]+dot[\x20]+|\.){_WORD})*?[\x20]+dot[\x20]+(?:{_TLD})(?![A-Za-z0-9])", re.I)
-_IS_AT = re.compile(_AT, re.I)
-_IS_DOT = re.compile(_DOT, re.I)
-_BRACKETS = re.compile(r"[\[({<][\x20]*(?:at|@|dot|\.)[\x20]*[\])}>]", re.I)
+_TLD = re.compile(r"(?:com|org|net|edu|gov|info|biz|io|co|ai|eu|uk|us|de|fr|es|it|nl|ch|at)(?![A-Za-z0-9])", re.I)
 _LONE = ("un", "oh", "dos")  # words of their own; a run needs others too
 
 
@@ -161,18 +175,55 @@ def plain_digits(m: Mapped) -> Mapped:
     return m.rewrite(edits)
 
 
+def walk(text: str, at: int, dot: re.Pattern) -> tuple[list[tuple[int, int, str]], int]:
+    """The chain of words and dots that begins at `at`: its dots as (start, end, kind) and its end (at itself if there
+    is none). Every step is one bounded match, so a walk takes time in proportion to the chain."""
+    dots: list[tuple[int, int, str]] = []
+    m = _WORD.match(text, at)
+    end = m.end() if m else at
+    while m:
+        d = dot.match(text, end)
+        m = _WORD.match(text, d.end()) if d else None
+        if m:
+            dots.append((*d.span(), "bracketed" if d[1] else "word" if d[2] else "dot"))
+            end = m.end()
+    return dots, end
+
+
 def plain_signs(m: Mapped) -> Mapped:
-    edits = []
-    found = [x for x in _BRACKETED.finditer(m.text) if _BRACKETS.search(x[0])] if _BRACKETS.search(m.text) else []
-    found += [x for x in _PLAIN.finditer(m.text) if not any(x.start() < y.end() and y.start() < x.end() for y in found)] if " dot " in m.text.lower() else []
-    for x in found:
-        inner = x[0]
-        at = _IS_AT.search(inner)
-        if at[0] != "@":
-            edits.append((x.start() + at.start(), x.start() + at.end(), "@"))
-        for d in _IS_DOT.finditer(inner):
-            if d[0] != "." and (d.end() <= at.start() or d.start() >= at.end()):
-                edits.append((x.start() + d.start(), x.start() + d.end(), "."))
+    """at and dot signs become @ and a dot where they join words to an address.
+
+    From each at-sign the text is walked outwards, on a reversed copy to the left; no chain of words and dots holds
+    an at-sign, so each character is walked over at most twice. Some sign must be in brackets, or the at-sign is a
+    plain word and a plain "dot" stands before a well-known last label, which then ends the address.
+    """
+    text, size = m.text, len(m.text)
+    back = text[::-1]
+    edits: list[tuple[int, int, str]] = []
+    done = 0
+    for sign in _AT.finditer(text):
+        start = size - _BLANKS.match(back, size - sign.start()).end()
+        end = _BLANKS.match(text, sign.end()).end()
+        if sign.start() < done:
+            continue
+        right, stop = walk(text, end, _DOT)
+        if not right:
+            continue
+        left, begin = walk(back, size - start, _TOD)
+        left = [(size - b, size - a, kind) for a, b, kind in left if size - b >= done]
+        begin = size - begin
+        if begin == start:
+            continue
+        if len(sign[0]) <= 2 and all(kind != "bracketed" for _, _, kind in left + right):
+            last = next((i for i, (_, b, kind) in enumerate(right) if kind == "word" and _TLD.match(text, b)), None)
+            if sign[0] == "@" or last is None:
+                continue
+            right = right[: last + 1]
+            stop = _TLD.match(text, right[-1][1]).end()
+        if (start, end) != sign.span() or sign[0] != "@":
+            edits.append((start, end, "@"))
+        edits += [(a, b, ".") for a, b, kind in left + right if kind != "dot"]
+        done = stop
     return m.rewrite(sorted(edits))
 
 
@@ -184,7 +235,7 @@ def disguised(text: str) -> Iterator[Span]:
     lower = m.text.lower()
     if has_digits_in_words(lower):
         m = plain_digits(m)
-    if " dot " in lower or any(c in lower for c in "[({<"):
+    if _SIGNS.search(m.text):
         m = plain_signs(m)
     if m.text is text:
         return
@@ -205,8 +256,6 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
         ends = max(ends, b)
         reach.append(ends)
     added, last = [], {}
-    from bisect import bisect_left
-
     starts = [a for a, _ in taken]
     for s in sorted(disguised(text)):
         i = bisect_left(starts, s[2])
@@ -225,8 +274,8 @@ def detect(docs: DataFrame) -> DataFrame:
     """Columns of docs plus n_email, n_ip, n_card, n_phone (of all spans), base_sha256, spans and n_base.
 
     Spans are kind:start:end in code points, end exclusive. Null or empty text has none; base_sha256 then is that
-    of the empty string. Equal rows get equal results. Every pattern reads a text once from left to right, so very
-    long texts take time in proportion. One pass without a shuffle; empty tables give empty results. Columns named
+    of the empty string. Equal rows get equal results. Runs are matched possessively and addresses are walked
+    outwards from their at-signs, so very long texts take time in proportion. One pass without a shuffle; empty tables give empty results. Columns named
     as the new ones are replaced.
     """
     docs = docs.drop(*[x.split()[0] for x in RESULT.split(", ")])
