@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, let, materialize
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
+SMOOTHING = 2.0
+# Between the scores of good and bad documents of one half of the labels, nearer to the good ones, since a document that
+# is junk in part scores between; README gives the scores of the other half.
 THRESHOLD = -0.25
+# A token is a run of letters, marks and digits, or a run of other signs: so each word is read whole, and signs hung on
+# it, in front, inside or behind, are tokens of their own.
+TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
 MIN_WORDS = 50
 BROADCAST_IDS = 2_000_000
 SYMBOLS = "#*$%&|<>"
@@ -49,16 +55,17 @@ def n_dup_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def features(words: Column, buckets: int = BUCKETS) -> Column:
-    """Buckets of the n-grams (n = 1, 2) of word endings: the last three code points of each word."""
-    ends = F.transform(words, lambda w: F.xxhash64(F.substring(w, -3, 3)))
+def features(text: Column, buckets: int = BUCKETS) -> Column:
+    """Buckets of the 1-grams of a text's tokens, in the lower half, and of their 2-grams, in the upper one."""
+    half = F.lit(buckets // 2)
+    hashes = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w))
 
-    def grams(e: Column) -> Column:
-        single = F.transform(e, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
-        pairs = F.when(F.size(e) < 2, F.array().cast("array<int>")).otherwise(F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda x, i: F.pmod(F.xxhash64(x, F.get(e, i + 1)), F.lit(buckets)).cast("int")))
+    def grams(h: Column) -> Column:
+        single = F.transform(h, lambda x: F.pmod(x, half).cast("int"))
+        pairs = F.when(F.size(h) < 2, F.array().cast("array<int>")).otherwise(F.transform(F.slice(h, F.lit(1), F.size(h) - 1), lambda x, i: (half + F.pmod(F.xxhash64(x, F.get(h, i + 1)), half)).cast("int")))
         return F.concat(single, pairs)
 
-    return let(ends, grams)
+    return let(hashes, grams)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -66,30 +73,32 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("__trusted")).distinct()
 
 
-def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0) -> list[float]:
+def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[float]:
     """log(p_target / p_raw) per bucket, both multinomials counted over whole tables.
 
-    The counts are sums per bucket, partial before the shuffle; `buckets` rows reach the driver.
+    Raw counts are scaled to the target's total, and both get the same pseudo-count: a bucket that is rare in the raw
+    corpus weighs about 0 whether the target has it or not, one that is frequent there and missing in the target weighs
+    much below 0. The counts are sums per bucket, partial before the shuffle; `buckets` rows reach the driver.
     Without any trusted document all weights are 0.
     """
     trusted = materialize(trusted_ids(labels), "trusted")
     if trusted.count() <= BROADCAST_IDS:  # 16 MB of identifiers, so that texts stay where they are; else shuffled
         trusted = F.broadcast(trusted)
     marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("__trusted"), "left")
-    grams = marked.select(F.col("__trusted").isNotNull().cast("long").alias("t"), F.explode(features(split_words(F.col("text")), buckets)).alias("bucket"))
+    grams = marked.select(F.col("__trusted").isNotNull().cast("long").alias("t"), F.explode(features(F.col("text"), buckets)).alias("bucket"))
     target, raw = [0] * buckets, [0] * buckets
     for r in grams.groupBy("bucket").agg(F.sum("t").alias("target"), F.count("*").alias("raw")).collect():
         target[r["bucket"]], raw[r["bucket"]] = r["target"], r["raw"]
-    if not sum(target):
+    share = sum(target) / max(1, sum(raw))
+    if not share:
         return [0.0] * buckets
-    t_all, r_all = sum(target) + smoothing * buckets, sum(raw) + smoothing * buckets
-    return [math.log((t + smoothing) / t_all) - math.log((r + smoothing) / r_all) for t, r in zip(target, raw, strict=True)]
+    return [math.log((t + smoothing) / (r * share + smoothing)) for t, r in zip(target, raw, strict=True)]
 
 
-def score(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, buckets: int = BUCKETS, smoothing: float = 1.0, min_words: int = MIN_WORDS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, buckets: int = BUCKETS, smoothing: float = SMOOTHING, min_words: int = MIN_WORDS) -> DataFrame:
     """Columns of docs plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed, kept.
 
-    llr: sum of the weights of a document's n-grams over their number (0 without any). kept: not base_failed
+    llr: sum of the weights of a document's n-grams (n = 1, 2; see TOKEN) over their number (0 without any). kept: not base_failed
     and llr >= threshold. Null or blank text: no words, so base_failed. Repeated rows count as often as they
     occur and get equal results. Empty tables give empty results. Columns named as the new ones are replaced.
     """
@@ -100,10 +109,11 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, b
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
     total = lambda f: F.try_divide(F.aggregate(f, F.lit(0.0), lambda a, x: a + F.get(table, x)), F.size(f).cast("double"))
-    measured = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words"), F.coalesce(let(features(w, buckets), total), F.lit(0.0)).alias("llr"))
+    measured = lambda w: F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words"))
     out = docs.withColumn("__m", let(split_words(F.col("text")), measured)).select(
         "*",
         "__m.*",
+        F.coalesce(let(features(F.col("text"), buckets), total), F.lit(0.0)).alias("llr"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         n_dup_lines(F.col("text")).alias("n_dup_lines"),
