@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, materialize
 
-INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string, refers_to long"
+INDEX = "file string, offset long, length long, date string, url string, digest string, page_id long, record_type string, refers_to long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 MIN_REVISIT = 100
+BROADCAST_DIGESTS = 500_000
+TASK_BYTES = 128 << 20
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
 def classify(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
@@ -22,35 +27,46 @@ def classify(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
 
     Of equal payloads of at least min_bytes the smallest page_id is the response and the others revisit it.
     Null html is an empty payload. A null page_id never is the smallest; alone it is a response. Repeated rows
-    of the smallest page_id are all responses. The sums per digest are partial before the shuffle; only
-    digests that occur twice are joined back, and a hot digest is split by the skew join.
+    of the smallest page_id are all responses. The sums per digest are partial before the shuffle. Digests that
+    occur twice are broadcast while they are few, so that pages stay where they are; beyond, Spark joins by digest
+    and splits hot ones.
     """
     p = pages.select("page_id", "url", "html").withColumns({"payload_bytes": F.octet_length(F.coalesce("html", F.lit(""))).cast("long"), "payload_digest": F.sha2(F.coalesce("html", F.lit("")), 256)})
     first = p.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    first = materialize(first, "digests")
+    if first.count() <= BROADCAST_DIGESTS:  # about 100 bytes each
+        first = F.broadcast(first)
     revisit = F.col("__first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__first"))
     return p.join(first, "payload_digest", "left").withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("__first"))}).drop("__first")
 
 
-def _record(page_id, url, kind, refers, digest, payload: bytes) -> bytes:
-    head = [
-        "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
-        f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Payload-Length: {len(payload)}",
-    ]
+def _head(kind: str, date: str, fields: list[str], block: bytes) -> bytes:
+    """A record: header lines, the block, two line ends. Its identifier is new with every record that is written."""
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", *fields, f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+
+
+def _info(name: str, date: str) -> bytes:
+    return _head("warcinfo", date, [f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\n")
+
+
+def _record(page_id, url, kind, refers, digest, payload: bytes, date: str) -> bytes:
+    """A response holds an HTTP head and the payload, a revisit the head alone."""
+    fields = [f"X-Page-ID: {'' if page_id is None else page_id}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response"]
+    if url is not None:
+        fields.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-        payload = b""
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}", "", ""]
-    return "\r\n".join(head).encode() + payload + b"\r\n\r\n"
+        fields += [f"X-Refers-To-Page-ID: {refers}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    block = HTTP.format(len(payload)).encode()
+    return _head(kind, date, fields, block if kind == "revisit" else block + payload)
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
+    """(header fields, payload): what follows the HTTP head of the block."""
     head, _, body = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    return fields, body[: int(fields["Content-Length"])]
+    fields = dict(x.partition(":")[::2] for x in head.decode().split("\r\n")[1:])
+    fields = {k: v.removeprefix(" ") for k, v in fields.items()}
+    return fields, body[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 def _gzip(raw: bytes) -> bytes:
@@ -69,14 +85,16 @@ def _uri(path: str) -> str:
     return "file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path
 
 
-def write_warc(classified: DataFrame, folder: str, max_file_bytes: int = 256 << 20) -> DataFrame:
+def write_warc(classified: DataFrame, folder: str, max_file_bytes: int = 256 << 20, date: str | None = None) -> DataFrame:
     """Write a gzip member per record into archives below folder; the index, written beside them as Parquet.
 
     Each task attempt writes files of its own name, and only the attempts that Spark commits are in the index,
     so lost or repeated attempts leave at most files that no index names. Memory is a batch and a file's
-    output stream. Files roll at max_file_bytes.
+    output stream. Files roll at max_file_bytes and begin with a warcinfo record, which the index doesn't name. date:
+    the WARC-Date of all records, now if not given. Records of a repeated page_id have identifiers of their own.
     """
     folder = _uri(folder)
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, path = _open(folder)
@@ -91,12 +109,15 @@ def write_warc(classified: DataFrame, folder: str, max_file_bytes: int = 256 <<
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = filesystem.open_output_stream(f"{path}/{name}", compression=None)
-                    raw = _gzip(_record(r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_digest"], (r["html"] or "").encode()))
+                        raw = _gzip(_info(name, date))
+                        out.write(raw)
+                        at = len(raw)
+                    raw = _gzip(_record(r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_digest"], (r["html"] or "").encode(), date))
                     out.write(raw)
-                    rows.append((name, at, len(raw), r["url"], r["payload_digest"], r["page_id"], r["record_type"], r["refers_to"]))
+                    rows.append((name, at, len(raw), date, r["url"], r["payload_digest"], r["page_id"], r["record_type"], r["refers_to"]))
                     at += len(raw)
                 names = [x.split()[0] for x in INDEX.split(", ")]
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
         finally:
             if out is not None:
@@ -122,17 +143,20 @@ def plan_ranges(index: DataFrame, max_gap: int = 64 << 10, max_range: int = 4 <<
 
 
 def _page(text: str | None) -> int | None:
-    digits = (text or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(digits) if digits else None
+    return int(text) if text else None
 
 
-def read_warc(index: DataFrame, folder: str, max_gap: int = 64 << 10, max_range: int = 4 << 20) -> DataFrame:
+def read_warc(index: DataFrame, folder: str, max_gap: int = 64 << 10, max_range: int = 4 << 20, task_bytes: int = TASK_BYTES) -> DataFrame:
     """The records that the index rows name, read from the archives: one ranged read per coalesced range.
 
     payload_bytes and payload_digest of a response are those of the bytes read; a revisit has no body and
-    gives those of its header. A response whose digest differs from its header raises an error.
+    gives those of its header. A response whose digest differs from its header raises an error. Ranges are dealt to
+    tasks by hash, in as many partitions as task_bytes of selected archive bytes ask for; few rows of an index stand
+    for many bytes, so that Spark's own sizes would put all in one task.
     """
     folder = _uri(folder)
+    selected = index.agg(F.sum("length")).first()[0] or 0
+    n_tasks = max(8, math.ceil(selected / task_bytes))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -153,11 +177,11 @@ def read_warc(index: DataFrame, folder: str, max_gap: int = 64 << 10, max_range:
                         n, found = len(body), hashlib.sha256(body).hexdigest()
                         if found != digest:
                             raise ValueError(f"{r['file']} at {x['offset']}: payload digest {found}, header {digest}")
-                    rows.append((_page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], kind, _page(fields.get("WARC-Refers-To")), n, digest, body))
+                    rows.append((_page(fields["X-Page-ID"]), fields.get("WARC-Target-URI"), kind, _page(fields.get("X-Refers-To-Page-ID")), n, digest, body))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
 
     ranges = plan_ranges(index, max_gap, max_range)
-    return ranges.repartition(F.col("file"), F.col("start")).mapInArrow(read, RECORD)
+    return ranges.repartition(n_tasks, "file", "start").mapInArrow(read, RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None) -> DataFrame:
