@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -11,99 +12,105 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_CHARS = 60_000
+PIECE_CHARS = 2000
+MODEL_BYTES = 512 << 20
 BLOCK = 2048
-RESULT = "lang_pred string, score double, phrases long"
+RESULT = "lang_pred string, score double, phrases long, symbols long"
 UNDETERMINED = "und"
 
 
 def suffix_automaton(codes: list[int], n_codes: int) -> np.ndarray:
     """next[state, code], 0 where there is no transition; state 1 is the root. Every path from the root spells
-    a substring of codes, so a walk that follows it finds longest matches."""
-    nxt, link, length = [[0] * n_codes, [0] * n_codes], [0, 0], [0, 0]
-    last = 1
+    a substring of codes, so a walk that follows it finds longest matches. At most 2 * len(codes) + 1 rows."""
+    size = 2 * len(codes) + 2
+    nxt = np.zeros((size, n_codes), dtype=np.int32)
+    link, length = [0] * size, [0] * size
+    last, used = 1, 2
     for c in codes:
-        cur = len(nxt)
-        nxt.append([0] * n_codes)
-        length.append(length[last] + 1)
-        link.append(0)
+        cur, used = used, used + 1
+        length[cur] = length[last] + 1
         p = last
-        while p and not nxt[p][c]:
-            nxt[p][c] = cur
+        while p and not nxt[p, c]:
+            nxt[p, c] = cur
             p = link[p]
         if not p:
             link[cur] = 1
         else:
-            q = nxt[p][c]
+            q = int(nxt[p, c])
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                clone = len(nxt)
-                nxt.append(nxt[q][:])
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p and nxt[p][c] == q:
-                    nxt[p][c] = clone
+                clone, used = used, used + 1
+                nxt[clone] = nxt[q]
+                length[clone], link[clone] = length[p] + 1, link[q]
+                while p and nxt[p, c] == q:
+                    nxt[p, c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    return np.array(nxt, dtype=np.int32)
+    return nxt[:used]
 
 
 @dataclass
 class Model:
     """tables: per language, a walk with restarts. table[state * n_codes + code] is the next state times
-    n_codes, negative where a new phrase begins. letters: code per code point, 0 for one unseen in training."""
+    n_codes, negative where a new phrase begins. codes: code per byte of a normalised text, 0 for one unseen in
+    training. Symbols are bytes, so that a table has at most 257 columns whatever the scripts."""
 
     languages: list[str]
-    letters: np.ndarray
+    codes: np.ndarray
     n_codes: int
     tables: list[np.ndarray]
 
 
-def fit(samples: dict[str, str]) -> Model:
-    """Learn from a bounded text per language. Languages without a letter are left out."""
-    samples = {k: normal(v) for k, v in sorted(samples.items())}
-    samples = {k: v for k, v in samples.items() if any(map(str.isalpha, v))}
-    alphabet = sorted({c for v in samples.values() for c in v if c.isalpha()})
-    letters = np.zeros(0x110000, dtype=np.uint16)
-    for i, c in enumerate(alphabet):
-        letters[ord(c)] = i + 2
-    n, tables = len(alphabet) + 2, []  # 0: a letter that no sample has; 1: anything but a letter
-    for v in samples.values():
-        codes = [int(x) or 1 for x in letters[np.frombuffer(v.encode("utf-32-le"), dtype=np.uint32)]]
-        auto = suffix_automaton(codes, n)
+def fit(samples: dict[str, str], model_bytes: int = MODEL_BYTES) -> Model:
+    """Learn from a bounded text per language. Languages without a letter are left out.
+
+    All tables together have at most model_bytes: each language's sample is cut to its equal share of them, which
+    for the default and some fifty byte values a language is more than SAMPLE_CHARS up to 25 languages.
+    """
+    coded = {k: normal(v) for k, v in sorted(samples.items())}
+    coded = {k: v for k, v in coded.items() if v.strip(b" ")}
+    seen = np.unique(np.frombuffer(b" " + b"".join(coded.values()), dtype=np.uint8))
+    codes = np.zeros(256, dtype=np.int32)
+    codes[seen] = np.arange(1, len(seen) + 1)
+    n, tables = len(seen) + 1, []
+    most = max(1, model_bytes // (max(1, len(coded)) * 2 * 4 * n))
+    for v in coded.values():
+        auto = suffix_automaton(codes[np.frombuffer(v[:most], dtype=np.uint8)].tolist(), n)
         start = auto[1]  # a failed match begins a new phrase with the same symbol; an unknown symbol is one itself
         start = np.where(start == 0, 1, start)
         step = np.where(auto == 0, -start[None, :], auto)
         step[0] = step[1]
-        tables.append((step.astype(np.int32) * n).ravel())
-    return Model(list(samples), letters, n, tables)
+        tables.append((step * n).astype(np.int32).ravel())
+    return Model(list(coded), codes, n, tables)
 
 
-def normal(text: str) -> str:
-    """Lower case; each run of anything but letters is one blank."""
-    return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+@cache
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def encode(text: str, model: Model) -> np.ndarray:
+def normal(text: str) -> bytes:
+    """Lower case in UTF-8; each run of anything but letters is one blank, none at the ends."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    codes = model.letters[points]
-    known = codes > 0
-    if not known.all():
-        chars, inverse = np.unique(points[~known], return_inverse=True)
-        codes = codes.copy()
-        codes[~known] = np.array([0 if chr(c).isalpha() else 1 for c in chars], dtype=np.uint16)[inverse]
-    blank = codes == 1
-    keep = ~(blank & np.r_[True, blank[:-1]])
-    codes = codes[keep]
-    return codes[:-1] if len(codes) and codes[-1] == 1 else codes
+    is_letter = letters()[points]
+    points = np.where(is_letter, points, np.uint32(32))[is_letter | np.r_[False, is_letter[:-1]]]
+    raw = points.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    return raw.removesuffix(b" ")
+
+
+def encode(text: str, model: Model) -> np.ndarray:
+    return model.codes[np.frombuffer(normal(text), dtype=np.uint8)]
 
 
 def phrases(texts: list[np.ndarray], model: Model, block: int = BLOCK) -> np.ndarray:
     """phrases[text, language]: the greedy parse of each text into longest matches with each language's sample.
 
     Blocks of `block` symbols are parsed apart, all blocks and languages in step, so that a very long text is
-    many short walks and nothing is cut off.
+    many short walks and nothing is cut off. A block's end breaks one phrase: each block adds at most one to the
+    count of an unbroken parse, in every language alike.
     """
     owner = np.concatenate([np.full(-(-len(t) // block), i, dtype=np.int64) for i, t in enumerate(texts)]) if texts else np.zeros(0, dtype=np.int64)
     out = np.zeros((len(texts), len(model.tables)), dtype=np.int64)
@@ -130,12 +137,12 @@ def phrases(texts: list[np.ndarray], model: Model, block: int = BLOCK) -> np.nda
 
 def predict(texts: list[str | None], model: Model) -> pd.DataFrame:
     """score: how far the best language is ahead, 1 - best / second best in phrases (1 with one language)."""
-    coded = [encode(t, model) if t else np.zeros(0, dtype=np.uint16) for t in texts]
+    coded = [encode(t, model) if t else np.zeros(0, dtype=np.int32) for t in texts]
     got = phrases(coded, model)
     best = got.argmin(axis=1) if got.shape[1] else np.zeros(len(texts), dtype=int)
     langs, scores, counts = [], [], []
     for i, c in enumerate(coded):
-        if not len(model.languages) or not (c != 1).any():
+        if not len(model.languages) or not len(c):
             langs.append(UNDETERMINED)
             scores.append(0.0)
             counts.append(0)
@@ -144,51 +151,53 @@ def predict(texts: list[str | None], model: Model) -> pd.DataFrame:
         langs.append(model.languages[best[i]])
         scores.append(float(1 - row[0] / row[1]) if len(row) > 1 else 1.0)
         counts.append(int(row[0]))
-    return pd.DataFrame({"lang_pred": langs, "score": scores, "phrases": counts})
+    return pd.DataFrame({"lang_pred": langs, "score": scores, "phrases": counts, "symbols": [len(c) for c in coded]})
 
 
-def sample_texts(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
+def sample_texts(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, piece_chars: int = PIECE_CHARS) -> dict[str, str]:
     """Per language a sample of pieces of texts of about sample_chars code points, chosen by a hash of the text.
 
     The bound is the parameter: about eight times sample_chars per language reach the driver. Equal texts count once
-    and a text gives 2,000 code points at most; the share that is sampled comes from what distinct texts can give.
+    and a text gives piece_chars code points at most; the share that is sampled comes from what distinct texts can give.
     Runs of anything but letters are one blank (the model reads them so), so no piece is without a letter.
     """
     letters = F.btrim(F.regexp_replace("text", r"\P{L}+", " "))
     base = labelled.filter("lang is not null and text is not null").select("lang", letters.alias("text")).filter("length(text) > 0")
-    given = base.select("lang", F.xxhash64("text").alias("h"), F.least(F.length("text"), F.lit(2000)).alias("n")).distinct()
+    given = base.select("lang", F.xxhash64("text").alias("h"), F.least(F.length("text"), F.lit(piece_chars)).alias("n")).distinct()
     totals = {r["lang"]: r["n"] for r in given.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return {}
     spot = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     share = F.element_at(F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(min(1.0, 8.0 * sample_chars / n)))]), F.col("lang"))
     pieces: dict[str, list[str]] = {k: [] for k in totals}
-    # Of each text, the 2,000 code points that a hash points at: long texts would else be the whole sample.
-    at = F.greatest(F.lit(0), F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - 2000, F.lit(1))))
-    chosen = base.withColumn("spot", spot).filter(F.col("spot") < share).select("lang", "spot", F.substring("text", at.cast("int") + 1, F.lit(2000)).alias("text")).distinct()
+    # Of each text, the code points that a hash points at: long texts would else be the whole sample.
+    at = F.greatest(F.lit(0), F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - piece_chars, F.lit(1))))
+    chosen = base.withColumn("spot", spot).filter(F.col("spot") < share).select("lang", "spot", F.substring("text", at.cast("int") + 1, F.lit(piece_chars)).alias("text")).distinct()
     for r in chosen.orderBy("lang", "spot", "text").toLocalIterator():
         if sum(map(len, pieces[r["lang"]])) < sample_chars:
             pieces[r["lang"]].append(r["text"])
-    return {k: "\n".join(v)[: sample_chars + 2000] for k, v in pieces.items()}
+    return {k: "\n".join(v)[: sample_chars + piece_chars] for k, v in pieces.items()}
 
 
-def identify(docs: DataFrame, labelled: DataFrame, *, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """Columns of docs plus lang_pred, score (0 to 1) and phrases (of the winning language).
+def identify(docs: DataFrame, labelled: DataFrame, *, sample_chars: int = SAMPLE_CHARS, piece_chars: int = PIECE_CHARS, model_bytes: int = MODEL_BYTES) -> DataFrame:
+    """Columns of docs plus lang_pred, score (0 to 1), phrases (of the winning language) and symbols (bytes of the
+    normalised text: symbols / phrases is the mean length of a match).
 
-    labelled (text, lang) is what the languages are learned from; a prediction reads the text alone. Null
+    labelled (text, lang) is what the languages are learned from: about sample_chars code points of each, in pieces
+    of piece_chars, in tables of model_bytes together. A prediction reads the text alone, and all of it. Null
     text or text without a letter: `und`, score 0. Without any labelled text all is `und`. Ties go to the
     language first in code-point order. Every row is scored; equal texts get equal results; empty tables give
     empty results. Columns named as the new ones are replaced.
     """
-    docs = docs.drop("lang_pred", "score", "phrases")
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample_texts(labelled, sample_chars)))
+    docs = docs.drop("lang_pred", "score", "phrases", "symbols")
+    model = docs.sparkSession.sparkContext.broadcast(fit(sample_texts(labelled, sample_chars, piece_chars), model_bytes))
 
     @F.pandas_udf(RESULT)
     def lang(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.concat([predict(part, model.value) for part in slices(list(batch))] or [predict([], model.value)], ignore_index=True)
 
-    return docs.withColumn("__l", lang(F.col("text"))).select("*", "__l.lang_pred", "__l.score", "__l.phrases").drop("__l")
+    return docs.withColumn("__l", lang(F.col("text"))).select("*", "__l.*").drop("__l")
 
 
 def slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[list[str | None]]:
