@@ -40,7 +40,9 @@ def shard(docs: DataFrame, n_shards: int, *, cells: int = CELLS, heavy: int = HE
     Groups of equal texts stay together. Groups are dealt by hash into `cells` cells; a group with more than
     1 / heavy of all bytes or rows (so fewer than 2 * heavy can exist) is an item of its own. Only the loads
     of cells and heavy groups reach the driver. A group above 1 / (4 * n_shards) of the whole can't be
-    balanced as one piece: it is cut into that many pieces by doc_id, each an item. Slots count from 0 in
+    balanced as one piece: it is cut into that many pieces by doc_id, each an item. Cells, not single groups, are
+    the unit of packing: their number is fixed, so neither the driver's work nor its memory grows with the texts, and
+    a row finds its shard without a join; what balance this costs is measured in README. Slots count from 0 in
     each shard without a gap, in order of runs (a hash of doc_id) and doc_id: a run has about rows_per_run
     rows, so no task sorts a shard.
 
