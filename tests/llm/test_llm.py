@@ -2,11 +2,18 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import re
+import struct
+import time
+import zlib
 
 import duckdb
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from peerlens.llm import decontamination, language, mixing, near_dup, pii, quality, queries, sharding, suffix_dedup, tokens, warc
@@ -113,7 +120,7 @@ def test_decontamination(spark, odd, nothing, documents):
     changed = [*["pad"] * 5, *item, "end"]
     changed[7], changed[12] = "green", "big"
     docs = spark.createDataFrame([(1, " ".join(changed)), (2, "the quick brown cat sat"), (3, None)], "doc_id long, text string")
-    b = spark.createDataFrame([(9, " ".join(item)), (10, None), (11, "too short")], "item_id long, text string")
+    b = spark.createDataFrame([(9, " ".join(item)), (10, None), (11, "too short"), (12, "")], "item_id long, text string")
     found = decontamination.find_leaks(docs, b).collect()
     assert [(r["doc_id"], r["item_id"], r["matched_words"], r["start_word"]) for r in found] == [(1, 9, 12, 5)]
     assert decontamination.find_leaks(docs, b, block_words=5).count() == 1
@@ -123,6 +130,51 @@ def test_decontamination(spark, odd, nothing, documents):
     assert decontamination.decontaminate(odd, b.limit(0)).count() == odd.count()
 
 
+def found_in(texts, item, **options):
+    index = decontamination.Index([(1, item)], **options)
+    return [bool(index.matches(t)) for t in texts]
+
+
+def changed_at(item, places):
+    return " ".join(["left", *[f"other{i}" if i in places else w for i, w in enumerate(item)], "right"])
+
+
+def test_decontamination_recall():
+    """Every placing of the words that may differ: items under 12 words are always found, longer ones by 99 % or more."""
+    for n in range(1, 22):
+        item = [f"w{i}" for i in range(n)]
+        may = n - math.ceil(0.8 * n - 1e-9)
+        places = list(itertools.combinations(range(n), may))
+        hit = found_in([changed_at(item, set(p)) for p in places], " ".join(item))
+        assert all(hit) if n < decontamination.SHORT_ITEM else sum(hit) >= 0.99 * len(hit)
+        beyond = [changed_at(item, set(p)) for p in itertools.combinations(range(n), may + 1)][:200]
+        assert n >= decontamination.MIN_RUN or not any(found_in(beyond, " ".join(item)))
+    rng = random.Random(4)
+    for n in (30, 50, 100):
+        item = [f"w{i}" for i in range(n)]
+        hit = found_in([changed_at(item, set(rng.sample(range(n), n // 5))) for _ in range(300)], " ".join(item))
+        assert sum(hit) >= 0.99 * len(hit)
+
+
+def test_decontamination_short_and_unspaced():
+    assert found_in(["we say open the gate now", "open a gate", "open the", ""], "Open the gate") == [True, False, False, False]
+    assert found_in(["open the gate"], "open the gate", min_item_words=5) == [False]
+    question = "日本の首都はどこですか"
+    assert decontamination.words("naïve 日本 x1") == ["naïve", "日", "本", "x1"]
+    assert found_in(["前文" + question + "後文", "前文" + question.replace("首", "主") + "後文", "日本の山"], question) == [True, True, False]
+
+
+def test_decontamination_repeated_words(monkeypatch):
+    """A text and an item of one repeated word hit at every pair of places; gathered in parts, the diagonals agree."""
+    index = decontamination.Index([(1, "a " * 40), (2, "a b " * 20)])
+    import numpy as np
+
+    ids = np.array([1, 2] * 150 + [1] * 300)
+    whole = index.hits(ids)
+    monkeypatch.setattr(decontamination, "HITS", 100)
+    assert (index.hits(ids) == whole).all() and len(whole) <= 2 * (len(ids) + 40)
+
+
 def test_quality(spark, odd, nothing, documents):
     got = rows(queries.op3_quality_llr(spark, DATA))
     for i, t in documents.items():
@@ -140,12 +192,53 @@ def test_quality(spark, odd, nothing, documents):
     assert quality.score(nothing, labels).count() == 0 and quality.score(odd, labels.limit(0)).count() == odd.count()
 
 
-def test_quality_separates_labels(spark):
+def signed(h):
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def grams_of(text, buckets):
+    """The buckets of a text's 1-grams and 2-grams, by another library's hash."""
+    word = lambda w: signed(xxhash.xxh64_intdigest(w.encode(), 42))
+    pair = lambda x, y: signed(xxhash.xxh64_intdigest(struct.pack("<q", y), xxhash.xxh64_intdigest(struct.pack("<q", x), 42)))
+    h = [word(w) for w in regex.findall(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+", text or "")]
+    half = buckets // 2
+    return [x % half for x in h] + [half + pair(x, y) % half for x, y in itertools.pairwise(h)]
+
+
+def test_quality_scores(spark, documents):
+    """llr and kept against sums over the counted n-grams."""
+    docs = documents | {10**6: "a", 10**6 + 1: None, 10**6 + 2: "&&& 'tis naïve— 日本語\u0301 x2 " * 20}
+    good = {i for i, q, t in duckdb.sql(f"select doc_id, quality, toxic from '{DATA}/labels.parquet'").fetchall() if q == 1 and not t}
+    grams = {i: grams_of(t, quality.BUCKETS) for i, t in docs.items()}
+    raw = collections.Counter(g for x in grams.values() for g in x)
+    target = collections.Counter(g for i, x in grams.items() if i in good for g in x)
+    share, s = target.total() / raw.total(), quality.SMOOTHING
+    weight = {g: math.log((target[g] + s) / (n * share + s)) for g, n in raw.items()}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    weights = quality.fit_weights(df, labels)
+    assert len(weights) == quality.BUCKETS and all(weights[g] == pytest.approx(weight.get(g, 0.0)) for g in range(quality.BUCKETS))
+    for r in quality.score(df, labels).collect():
+        x = grams[r["doc_id"]]
+        want = sum(weight[g] for g in x) / len(x) if x else 0.0
+        assert r["llr"] == pytest.approx(want, abs=1e-9) and r["kept"] == (not r["base_failed"] and r["llr"] >= quality.THRESHOLD)
+
+
+def test_quality_separates_held_out_labels(spark):
+    """Weights from half of the labels; the other half is judged, also with symbols moved in front of and inside words."""
     d = "/root/testdata/sf0.01"
-    got = rows(queries.op3_quality_llr(spark, d))
-    labels = duckdb.sql(f"select doc_id, quality from '{d}/labels.parquet'").fetchall()
-    judged = [(q, got[i]["kept"]) for i, q in labels if not got[i]["base_failed"]]
-    assert all(k for q, k in judged if q == 1) and sum(k for q, k in judged if q == 0) <= 0.05 * len(judged)
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    bad = docs.join(labels.filter("quality = 0").select("doc_id").distinct(), "doc_id")
+    front = bad.select((F.col("doc_id") + 10**9).alias("doc_id"), F.regexp_replace("text", r"([\p{L}]+)([#*$%&|<>!]+)", "$2$1").alias("text"))
+    inside = bad.select((F.col("doc_id") + 2 * 10**9).alias("doc_id"), F.regexp_replace("text", r"(\p{L})([\p{L}]*)([#*$%&|<>!]+)", "$1$3$2").alias("text"))
+    got = quality.score(docs.unionAll(front).unionAll(inside), labels.filter(fold == 0)).select("doc_id", "kept", "base_failed", "llr").collect()
+    truth = {r["doc_id"]: r["q"] for r in labels.filter(fold == 1).groupBy("doc_id").agg(F.min("quality").alias("q")).collect()}
+    judged = [(truth[r["doc_id"] % 10**9], r["doc_id"] // 10**9, r["kept"]) for r in got if r["doc_id"] % 10**9 in truth and not r["base_failed"]]
+    assert all(k for q, _, k in judged if q == 1) and sum(q == 1 for q, *_ in judged) > 100
+    for moved in range(3):
+        assert [k for q, m, k in judged if q == 0 and m == moved].count(True) == 0
+    assert sum(q == 0 for q, *_ in judged) > 20
 
 
 def test_mixing(spark, odd, nothing):
@@ -166,9 +259,34 @@ def test_warc(spark, tmp_path):
     assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items()} == {1: ("response", None), 2: ("revisit", 1), 3: ("revisit", 1), None: ("revisit", 1), 4: ("response", None), 5: ("response", None), 6: ("response", None), 7: ("response", None)}
     assert bytes(got[1]["payload"]).decode() == big and got[3]["payload_digest"] == hashlib.sha256(big.encode()).hexdigest() and got[2]["payload_bytes"] == 120
     assert [r["page_id"] for r in warc.read_warc(warc.urls(index, ["u4"]), folder).collect()] == [4]
+    assert got[6]["url"] is None and got[1]["url"] == "u%0D%0A1"
     assert warc.round_trip(spark, pages.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_warc_records(spark, tmp_path):
+    """Every member is a record with a date and an identifier of its own; files begin with warcinfo; reads are spread."""
+    folder = str(tmp_path / "w")
+    pages = spark.createDataFrame([(1, f"u{i}", None if i == 3 else "é<p>" * i) for i in range(60)] + [(2, "again", "é<p>" * 40)], "page_id long, url string, html string")
+    index = warc.write_warc(warc.classify(pages), folder, max_file_bytes=4000, date="2024-02-29T00:00:00Z")
+    seen = []
+    for f in tmp_path.glob("w/*.warc.gz"):
+        raw, kinds = f.read_bytes(), []
+        while raw:
+            z = zlib.decompressobj(31)
+            fields, body = warc.parse_record(z.decompress(raw))
+            raw = z.unused_data
+            kinds.append(fields["WARC-Type"])
+            seen.append(fields["WARC-Record-ID"])
+            assert fields["WARC-Date"] == "2024-02-29T00:00:00Z"
+        assert kinds[0] == "warcinfo" and kinds.count("warcinfo") == 1
+    files = len(list(tmp_path.glob("w/*.warc.gz")))
+    assert len(set(seen)) == len(seen) == 61 + files and files > 2
+    read = warc.read_warc(index, folder, max_range=500, task_bytes=1000)
+    assert read.count() == 61 and read.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    got = collections.Counter((r["url"], r["record_type"], bytes(r["payload"]).decode()) for r in read.collect())
+    assert got == collections.Counter([(f"u{i}", "response", "" if i == 3 else "é<p>" * i) for i in range(60)] + [("again", "revisit", "")])
+
+
 def base_spans(t):
     out = []
     for k, (kind, p) in enumerate((("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))):
@@ -191,6 +309,70 @@ def test_pii():
     assert pii.redact("a@b.c x", "email:0:5") == "[email] x"
 
 
+def signs_by_patterns(text):
+    """The text with at and dot signs replaced, by whole-address patterns that take time without bound."""
+    word, at, dot = r"[A-Za-z0-9%+-]+", r"(?: *[\[({<] *(?:at|@) *[\])}>] *| +at +| *@ *)", r"(?: *[\[({<] *(?:dot|\.) *[\])}>] *| +dot +|\.)"
+    tld = r"(?:com|org|net|edu|gov|info|biz|io|co|ai|eu|uk|us|de|fr|es|it|nl|ch|at)"
+    bracket = r"[\[({<] *(?:at|@|dot|\.) *[\])}>]"
+    for m in re.finditer(rf"(?<![A-Za-z0-9%+-]){word}(?:{dot}{word})*?{at}{word}(?:{dot}{word})+", text, re.I):
+        if re.search(bracket, m[0], re.I):
+            return re.sub(dot, ".", re.sub(at, "@", m[0], count=1, flags=re.I), flags=re.I)
+    m = re.search(rf"(?<![A-Za-z0-9%+-]){word}(?:(?: +dot +|\.){word})* +at +{word}(?:(?: +dot +|\.){word})*? +dot +{tld}(?![A-Za-z0-9])", text, re.I)
+    return re.sub(r" +dot +", ".", re.sub(r" +at +", "@", m[0], count=1, flags=re.I), flags=re.I) if m else None
+
+
+def test_pii_signs_against_patterns():
+    """One disguised address in other words: the same address as whole-address patterns give."""
+    rng = random.Random(6)
+    pick = lambda *x: rng.choice(x)
+    found = 0
+    for _ in range(4000):
+        dot = lambda: pick(" dot ", ".", " [dot] ", "(dot)", " { . } ", "  dot  ")
+        name = lambda: "".join(rng.choice("abc1-") for _ in range(rng.randint(1, 3)))
+        local = dot().join(name() for _ in range(rng.randint(1, 2)))
+        domain = dot().join([*(name() for _ in range(rng.randint(0, 2))), pick("com", "org", "zzz", "uk")])
+        text = "see: " + local + pick(" at ", " [at] ", "(at)", " <@> ", "  at  ", "@", " @ ") + domain + pick("", " :", "; ok", ")")
+        want = signs_by_patterns(text)
+        got = pii.plain_signs(pii.Mapped(text)).text
+        found += want is not None
+        assert (want in got) if want and want not in text else got.count("@") == text.count("@") or want is None, (text, want, got)
+    assert found > 1000
+
+
+def test_pii_spans_of_disguises():
+    """Identifiers in random disguises among plain words: each span is exactly the disguised source."""
+    rng = random.Random(9)
+    look = {v: k for k, v in pii.HOMOGLYPHS.items() if v.isalpha()}
+    spelled = {v: k for k, v in pii.SPELLED.items() if k in ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")}
+    hide = {
+        "glyphs": lambda t: "".join(look.get(c, c) if rng.random() < 0.5 else c for c in t[:-1]) + look["o"] + ".com",
+        "wide": lambda t: "".join(chr(ord(c) + 0xFEE0) for c in t),
+        "bold": lambda t: "".join(chr(0x1D400 + ord(c) - 97) if c.isalpha() else c for c in t),
+        "signs": lambda t: t.replace("@", rng.choice([" [at] ", "(at)", " at "])).replace(".", rng.choice([" [dot] ", " (dot) "])),
+    }
+    for _ in range(400):
+        before, after = "ünder the old bridge, ", rng.choice(["", " again", ", we said"])
+        kind = rng.choice(sorted(hide))
+        plain = "".join(rng.choice("acepx") for _ in range(5)) + "@" + "".join(rng.choice("acepx") for _ in range(4)) + ("" if kind == "glyphs" else ".com")
+        text = hide[kind](plain)
+        assert [(s[3], (before + text)[s[0] : s[2]]) for s in pii.find(before + text + after)[1]] == [("email", text)], (text, kind)
+        digits = "".join(rng.choice("0123456789") for _ in range(rng.randint(9, 11)))
+        call = "plus " + rng.choice([" ", "-"]).join(spelled[d] for d in digits)
+        assert [(s[3], (before + call)[s[0] : s[2]]) for s in pii.find(before + call + after)[1]] == [("phone", call)]
+        call = "+" + "".join(chr(0x0660 + int(d)) for d in digits)
+        assert [(s[3], (before + call)[s[0] : s[2]]) for s in pii.find(before + call + after)[1]] == [("phone", call)]
+
+
+@pytest.mark.parametrize("part", ["a.", "a dot ", "(at) ", "(at) a.", "(at) a dot ", " ", "( ", "one ", "plus ", "a@", "@", "+1(", "dot at ", "１", "1 "])
+def test_pii_long_texts_take_time_in_proportion(part):
+    def seconds(n):
+        began = time.process_time()
+        pii.find("(at) " + part * (n // len(part)))
+        return time.process_time() - began
+
+    assert seconds(400_000) < 10 * max(0.05, seconds(100_000))
+
+
 def test_pii_odd(odd, nothing):
     got = pii.detect(odd).collect()
     assert len(got) == odd.count() and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() and r["spans"] == "" for r in got)
@@ -278,7 +460,7 @@ def test_automaton_phrases():
     model = language.fit({"x": sample, "y": "zzz"})
     for _ in range(200):
         t = "".join(rng.choice("abc") for _ in range(rng.randint(1, 30)))
-        n, at, base = 0, 0, language.normal(sample)
+        n, at, base = 0, 0, language.normal(sample).decode()
         while at < len(t):
             k = 1
             while at + k < len(t) and t[at : at + k + 1] in base:
@@ -287,6 +469,22 @@ def test_automaton_phrases():
         assert language.phrases([language.encode(t, model)], model)[0, 0] == n
 
 
+def test_parse_in_blocks_and_other_scripts():
+    """Blocks add at most one phrase each; a large alphabet keeps to byte columns and to the model's bound."""
+    rng = random.Random(12)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(6000))
+    latin = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(900))
+    model = language.fit({"zh": cjk, "xx": latin})
+    assert model.n_codes <= 257 and sum(t.nbytes for t in model.tables) <= 4 * model.n_codes * 2 * (len(cjk.encode()) + len(latin) + 2)
+    assert language.predict([cjk[100:180], latin[50:90], "12 !", None], model)["lang_pred"].tolist() == ["zh", "xx", "und", "und"]
+    small = language.fit({"zh": cjk, "xx": latin}, model_bytes=1 << 20)
+    assert sum(t.nbytes for t in small.tables) <= (1 << 20) + 16 * small.n_codes
+    coded = [language.encode(latin[7:5000], model), language.encode(cjk[5:2000], model)]
+    whole, parts = language.phrases(coded, model, block=1 << 20), language.phrases(coded, model, block=256)
+    extra = parts - whole
+    assert (extra >= 0).all() and all((extra[i] <= -(-len(c) // 256)).all() for i, c in enumerate(coded))
+
+
 def test_language_accuracy(spark):
     d = "/root/testdata/sf0.01"
     truth = dict(duckdb.sql(f"select doc_id, lang from '{d}/documents.parquet'").fetchall())
@@ -318,6 +516,14 @@ def test_sharding(spark, odd, nothing):
         load[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
     assert len(load) == 16 and max(load.values()) < 1.1 * min(load.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    texts = dict(duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall())
+    assert all((r["size"], r["text_crc32"]) == (len((texts[r["doc_id"]] or "").encode()) + 1, zlib.crc32((texts[r["doc_id"]] or "").encode())) for r in out)
+    by_text = collections.defaultdict(set)
+    for r in out:
+        by_text[texts[r["doc_id"]]].add(r["shard"])
+    assert {len(x) for x in by_text.values()} == {1}
+    again = queries.op10_shard_pack(spark, "/root/testdata/sf0.01").collect()
+    assert {(r["doc_id"], r["shard"], r["slot"]) for r in out} == {(r["doc_id"], r["shard"], r["slot"]) for r in again}
     got = sharding.shard(odd, 4).collect()
     assert len(got) == odd.count() and next(r for r in got if r["doc_id"] == 1)["size"] == 1
     assert sharding.shard(nothing, 4).count() == 0
@@ -326,6 +532,21 @@ def test_sharding(spark, odd, nothing):
     assert max(n.values()) - min(n.values()) < 100
 
 
+def test_packing_against_brute_force():
+    """Heaviest first, each item to the shard with the largest dot product with what is left of it."""
+    rng = random.Random(10)
+    for n_shards in (1, 2, 5):
+        items = [(rng.randint(1, 50), rng.randint(0, 9), rng.randint(1, 3)) for _ in range(rng.randint(0, 60))]
+        total = [sum(x) for x in zip(*items, strict=True)] or [1, 1, 1]
+        unit = [tuple(v / (t or 1) for v, t in zip(x, total, strict=True)) for x in items]
+        load, chosen = [[0.0] * 3 for _ in range(n_shards)], sharding.pack(items, n_shards)
+        for i in sorted(range(len(items)), key=lambda i: -sum(v * v for v in unit[i])):
+            dots = [sum(v * (1 / n_shards - had) for v, had in zip(unit[i], load[k], strict=True)) for k in range(n_shards)]
+            k = chosen[i]
+            assert dots[k] == pytest.approx(max(dots), abs=1e-12)
+            load[k] = [a + b for a, b in zip(load[k], unit[i], strict=True)]
+
+
 def test_pipeline(spark, documents):
     import corpus_pipeline as p
 
