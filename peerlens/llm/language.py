@@ -8,7 +8,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_CHARS = 60_000
@@ -17,6 +17,10 @@ MODEL_BYTES = 512 << 20
 BLOCK = 2048
 RESULT = "lang_pred string, score double, phrases long, symbols long"
 UNDETERMINED = "und"
+# A text of MIN_SYMBOLS or more whose matches with the best language are shorter than this on average is in none of
+# the learned languages: random letters or a script that no sample has come to 1 to 1.7, real text to 2.9 or more.
+MIN_MATCH = 2.25
+MIN_SYMBOLS = 40
 
 
 def suffix_automaton(codes: list[int], n_codes: int) -> np.ndarray:
@@ -200,6 +204,11 @@ def identify(docs: DataFrame, labelled: DataFrame, *, sample_chars: int = SAMPLE
     return docs.withColumn("__l", lang(F.col("text"))).select("*", "__l.*").drop("__l")
 
 
+def recognised(min_match: float = MIN_MATCH, min_symbols: int = MIN_SYMBOLS) -> Column:
+    """Of rows of identify(): whether the text has a letter and is not foreign to the language predicted for it."""
+    return (F.col("lang_pred") != UNDETERMINED) & ((F.col("symbols") < min_symbols) | (F.col("symbols") >= min_match * F.col("phrases")))
+
+
 def slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[list[str | None]]:
     """Runs of texts of about that many code points: bounds the memory of a walk."""
     part, n = [], 0
