@@ -16,10 +16,11 @@ SHARDS = 16
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null, empty or without a letter) go."""
+    """Documents without a language go: null, empty or without a letter, or so unlike all learned languages that
+    their matches with the best one are no longer than random ones."""
     labelled = docs.filter(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 != 1).select("text", "lang")
     found = language.identify(docs.select(F.struct("*").alias("d"), "text"), labelled)
-    return found.filter(F.col("lang_pred") != language.UNDETERMINED).select("d.*")
+    return found.filter(language.recognised()).select("d.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    """Documents that hold a benchmark item of five words or more go: shorter ones occur in clean documents too."""
+    return decontamination.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), min_item_words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
