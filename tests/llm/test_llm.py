@@ -557,6 +557,10 @@ def test_pipeline(spark, documents):
     assert all(k.columns == docs.columns for k in kept[:-1])
     ids = [{r["doc_id"] for r in k.select("doc_id").collect()} for k in kept]
     assert all(any(map(str.isalpha, documents[i])) for i in ids[1]) and all(not any(map(str.isalpha, documents[i])) for i in ids[0] - ids[1])
+    rng = random.Random(3)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)), "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(90))]
+    more = docs.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(noise)], "doc_id long, text string"), allowMissingColumns=True)
+    assert {r["doc_id"] for r in p.language_id(spark, more, DATA).collect()} == ids[1]
     component, _ = shingle_components({i: documents[i] for i in ids[1]}, 5, 80)
     assert ids[2] == set(component.values())
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
