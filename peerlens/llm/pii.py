@@ -99,7 +99,9 @@ def styled(code: int) -> str | None:
 
 GLYPHS = {c: v for c in range(0x80, 0x1FC00) if (v := styled(c))} | {ord(k): v for k, v in HOMOGLYPHS.items()}
 INVISIBLE = "​‌‍⁠﻿­"
-_GLYPH = re.compile("[" + re.escape("".join(map(chr, GLYPHS)) + INVISIBLE) + "]")
+GLYPHS |= dict.fromkeys(map(ord, INVISIBLE), "")
+_GLYPH_CHARS = frozenset(map(chr, GLYPHS))
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 
 # Spelled digits.
 SPELLED = {
@@ -158,7 +160,7 @@ class Mapped:
 
 
 def plain_glyphs(m: Mapped) -> Mapped:
-    return m.rewrite([(x.start(), x.end(), GLYPHS.get(ord(x[0]), "")) for x in _GLYPH.finditer(m.text)])
+    return m.rewrite([(x.start(), x.end(), GLYPHS[ord(x[0])]) for x in _NOT_ASCII.finditer(m.text) if ord(x[0]) in GLYPHS])
 
 
 def plain_digits(m: Mapped) -> Mapped:
@@ -230,7 +232,7 @@ def plain_signs(m: Mapped) -> Mapped:
 def disguised(text: str) -> Iterator[Span]:
     """Identifiers that only the normalised text shows, as spans of the source."""
     m = Mapped(text)
-    if not text.isascii() and _GLYPH.search(text):
+    if not text.isascii() and not _GLYPH_CHARS.isdisjoint(text):
         m = plain_glyphs(m)
     lower = m.text.lower()
     if has_digits_in_words(lower):
