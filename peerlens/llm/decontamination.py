@@ -27,11 +27,15 @@ BLOCK_WORDS = 1_000_000
 MATCHES = "array<struct<item: long, item_words: int, matched_words: int, start_word: int>>"
 # Blocks of scripts that are written without blanks; each of their characters is a word.
 _ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_WORD = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+")
+_UNSPACED = re.compile(f"[{_ALONE}]")
+_WORD = re.compile(r"\w+")
+_WORD_OR_SIGN = re.compile(rf"[{_ALONE}]|[^\W{_ALONE}]+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    return (_WORD if text.isascii() or not _UNSPACED.search(text) else _WORD_OR_SIGN).findall(text.lower())
 
 
 def offsets(mask: str) -> list[int]:
@@ -88,7 +92,7 @@ class Index:
     def hits(self, ids: np.ndarray) -> np.ndarray:
         """(item, diagonal) pairs of all seed hits, each once. A repeated word can hit everywhere: hits are gathered
         HITS at a time and reduced to their diagonals, of which an item has no more than it and the text have words."""
-        out = np.zeros((0, 2), dtype=np.int64)
+        out, far = np.zeros(0, dtype=np.int64), 1 << 32  # a pair as one number
         for s, m in enumerate(self.masks):
             at, h = seeds(ids, m, s + 1)
             lo = np.searchsorted(self.hash, h, "left")
@@ -99,9 +103,8 @@ class Index:
             for cut in np.split(np.arange(len(n)), np.flatnonzero(part[1:] != part[:-1]) + 1) if len(n) else ():
                 k = n[cut]
                 rows = np.repeat(lo[cut] - np.r_[0, np.cumsum(k)[:-1]], k) + np.arange(k.sum())
-                new = np.stack([self.item[rows], np.repeat(at[cut], k) - self.place[rows]], axis=1)
-                out = np.unique(np.concatenate([out, new]), axis=0)
-        return out
+                out = np.unique(np.concatenate([out, self.item[rows] * 2 * far + np.repeat(at[cut], k) - self.place[rows] + far]))
+        return np.stack([out // (2 * far), out % (2 * far) - far], axis=1)
 
     def run(self, same: np.ndarray) -> int:
         """Words of the longest stretch, from match to match, of which min_overlap agree."""
