@@ -103,3 +103,11 @@ def compatibility_pairs() -> list[tuple[str, str, float]]:
     """Both directions of the listed pairs, and identity."""
     listed = [(*x.split()[0].split("-"), float(x.split()[1])) for x in COMPATIBILITY.replace("\n", " ").split(",") if x.strip()]
     return listed + [(b, a, v) for a, b, v in listed] + [(p, p, 1.0) for p in POSITIONS]
+
+# Words that club names share, and what marks reserve, youth and women's sides.
+CLUB_STOP_WORDS = (
+    "fc", "cf", "ud", "rc", "rcd", "sd", "cd", "as", "ac", "us", "ogc", "sc", "ss", "ssc", "afc", "rb", "vfb", "vfl", "sv", "tsg", "fsv", "bsc", "1",
+    "real", "club", "de", "la", "deportivo", "olympique", "stade", "athletic", "atletico", "sporting", "racing", "united", "city", "hotspur", "town",
+    "wanderers", "albion", "rovers", "calcio", "milan",
+)
+RESERVE_SIDES = r"\b(w|b|ii|iii|u1[6-9]|u2[0-3]|youth|reserves?|women|ladies|lfc|wfc|femenino|feminino)$"

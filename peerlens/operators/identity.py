@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.constants import CLUB_STOP_WORDS, RESERVE_SIDES
 from ..functions.text import normalize_name, token_set_similarity
 
 
@@ -15,34 +16,86 @@ def exact_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return l.join(r, ["block", "name"]).groupBy("left_id", "right_id").agg(F.count("*").alias("overlap"))
 
 
+def _compare_keys(names: DataFrame, side: str, threshold: float) -> DataFrame:
+    """A row per key of each name, so that any two names which reach the threshold have a key in common.
+
+    Two ways lead there. Either common words make up nearly all of one name: then one of its longest words, taken until
+    those left out would cost too much, is a word of the other. Or both names, as words in any order, are near: then few
+    of their letter pairs differ, each word counted with a blank at both ends, and in any fixed order of all letter
+    pairs the first ones of both, one more than can differ, have one in common (a prefix filter).
+    """
+    cut = (2 - 2 * threshold) / (2 - threshold)  # the share of a name's characters that can be missing in the other
+    name = F.col(f"{side}_name")
+    words = F.array_distinct(F.filter(F.split(name, r"\s+"), lambda w: w != ""))
+    x = names.withColumn("w", words).withColumn("size", F.length(F.concat_ws(" ", "w"))).filter("size > 0")
+    by_length = F.transform(F.sort_array(F.transform("w", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
+    spent = lambda a, i: F.aggregate(F.slice(a, F.lit(1), i), F.lit(0), lambda t, w: t + F.length(w) + 1)
+    x = x.withColumn("l", by_length).withColumn("cover", F.filter("l", lambda w, i: spent(F.col("l"), i) <= cut * F.col("size") + 1e-9))
+    pairs = F.flatten(F.transform("w", lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(2)))))
+    x = x.withColumn("g", F.sort_array(pairs))
+    numbered = F.transform("g", lambda g, i: F.concat(g, F.size(F.filter(F.slice("g", F.lit(1), i), lambda y: y == g)).cast("string")))
+    first = F.slice(F.sort_array(F.transform(numbered, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), F.lit(1), F.floor(2 * cut * F.col("size") + 1e-9).cast("int") + 1)
+    mine, theirs = ("a", "b") if side == "left" else ("b", "a")
+    tagged = lambda tag, a: F.transform(a, lambda k: F.concat(F.lit(tag), k))
+    keys = F.concat(tagged(mine, F.col("cover")), tagged(theirs, F.col("w")), tagged("g", F.transform(first, lambda s: s["g"])))
+    return x.select(f"{side}_id", "block", f"{side}_name", F.col("size").alias(f"{side}_size"), F.explode(F.array_distinct(keys)).alias("k"))
+
+
 def fuzzy_best(left: DataFrame, right: DataFrame, *, threshold: float = 0.9) -> DataFrame:
     """left_id, right_id, score, n_best: the best token-set similarity, at least threshold, in the block.
 
-    Names are compared where they share a word (a similarity of 0.9 without one needs near-equal single words and is
-    compared by first three letters), so a block is never multiplied out.
+    Exact for every pair of names of a block, without multiplying it out: see _compare_keys for what candidates share.
+    A key that much of a large block holds is split by the skew join; each pair is scored once.
     """
+
     def keys(df: DataFrame, side: str) -> DataFrame:
         n = df.select(F.col("id").alias(f"{side}_id"), "block", F.explode(F.array_distinct("names")).alias(f"{side}_name")).filter(F.col(f"{side}_name") != "")
-        words = F.split(f"{side}_name", " ")
-        return n.withColumn("k", F.explode(F.array_distinct(F.concat(words, F.transform(words, lambda w: F.concat(F.lit("#"), F.substring(w, 1, 3)))))))
+        return _compare_keys(n, side, threshold)
 
-    pairs = keys(left, "left").join(keys(right, "right"), ["block", "k"]).select("left_id", "right_id", "left_name", "right_name").distinct()
+    near = F.least("left_size", "right_size") * (2 - threshold) >= F.greatest("left_size", "right_size") * threshold - 1e-9
+    pairs = keys(left, "left").join(keys(right, "right"), ["block", "k"]).filter(~F.col("k").startswith("g") | near).select("left_id", "right_id", "left_name", "right_name").distinct()
     scored = pairs.withColumn("score", token_set_similarity(F.col("left_name"), F.col("right_name"))).groupBy("left_id", "right_id").agg(F.max("score").alias("score")).filter(F.col("score") >= threshold)
     w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
     top = F.max("score").over(Window.partitionBy("left_id"))
     return scored.withColumns({"n_best": F.count(F.when(F.col("score") == top, 1)).over(Window.partitionBy("left_id").orderBy(F.desc("score"))), "r": F.row_number().over(w)}).filter("r = 1").drop("r")
 
 
-def decide(left: DataFrame, right: DataFrame) -> DataFrame:
+def resolve_clubs(teams: DataFrame, listed: DataFrame, *, stop_words: tuple[str, ...] = CLUB_STOP_WORDS, reserves: str = RESERVE_SIDES, threshold: float = 0.9) -> DataFrame:
+    """team_id, listed_id, score: the one listed club that a team's name stands for.
+
+    teams: id, name, country. listed: id, name, country, national; names normalised. Reserve and national sides and
+    clubs of another known country are left out. Clubs of the team's whole name, or of its name without stop words,
+    come first (1.0), else those of token-set similarity of the threshold (0.9); only a single one is taken.
+    """
+    clubs = listed.filter(~F.coalesce("national", F.lit(False)) & ~F.col("name").rlike(reserves))
+    words = F.filter(F.split("name", " "), lambda w: ~w.isin(*stop_words) & (w != ""))
+    wanted = teams.withColumn("names", F.array_distinct(F.array("name", F.concat_ws(" ", words))))
+    same = F.col("country").isNull() | F.col("listed_country").isNull() | (F.col("country") == F.col("listed_country"))
+    named = clubs.select(F.col("id").alias("listed_id"), F.col("name").alias("k"), F.col("country").alias("listed_country"))
+    exact = wanted.select("id", "country", F.explode("names").alias("k")).filter("k <> ''").join(named, "k").filter(same).select("id", "listed_id").distinct()
+    rest = teams.join(exact.select("id").distinct(), "id", "left_anti")
+    side = lambda df, s: _compare_keys(df.select(F.col("id").alias(f"{s}_id"), F.lit(0).alias("block"), F.col("name").alias(f"{s}_name")).filter(F.col(f"{s}_name") != ""), s, threshold)
+    pairs = side(rest, "left").join(side(clubs, "right"), ["block", "k"]).select("left_id", "right_id", "left_name", "right_name").distinct()
+    near = pairs.filter(token_set_similarity(F.col("left_name"), F.col("right_name")) >= threshold)
+    near = near.join(teams.select(F.col("id").alias("left_id"), "country"), "left_id").join(clubs.select(F.col("id").alias("right_id"), F.col("country").alias("listed_country")), "right_id").filter(same)
+    both = exact.withColumn("score", F.lit(1.0)).unionByName(near.select(F.col("left_id").alias("id"), F.col("right_id").alias("listed_id"), F.lit(0.9).alias("score")))
+    return both.groupBy(F.col("id").alias("team_id")).agg(F.count_distinct("listed_id").alias("n"), F.min("listed_id").alias("listed_id"), F.max("score").alias("score")).filter("n = 1").drop("n")
+
+
+def decide(left: DataFrame, right: DataFrame, *, threshold: float | None = 0.9) -> DataFrame:
     """left_id, right_id, decision, score: one exact match is linked (0.95), several go to review (0.80), else a
-    unique fuzzy match goes to review (0.9 of its score); a right record claimed twice goes to review (0.85)."""
+    unique fuzzy match goes to review (0.9 of its score); a right record claimed twice goes to review (0.85).
+    threshold: of the fuzzy match; without one only exact names decide."""
     exact = exact_candidates(left, right)
     w = Window.partitionBy("left_id")
     e = exact.withColumns({"n": F.count("*").over(w), "r": F.row_number().over(w.orderBy(F.desc("overlap"), "right_id"))}).filter("r = 1")
     e = e.select("left_id", "right_id", F.when(F.col("n") == 1, "linked").otherwise("review").alias("decision"), F.when(F.col("n") == 1, 0.95).otherwise(0.80).alias("score"))
     rest = left.join(e.select(F.col("left_id").alias("id")), "id", "left_anti")
-    f = fuzzy_best(rest, right).filter("n_best = 1").select("left_id", "right_id", F.lit("review").alias("decision"), (F.col("score") * 0.9).alias("score"))
-    both = e.unionByName(f).withColumn("claims", F.count(F.when(F.col("decision") == "linked", 1)).over(Window.partitionBy("right_id")))
+    both = e
+    if threshold is not None:
+        f = fuzzy_best(rest, right, threshold=threshold).filter("n_best = 1")
+        both = e.unionByName(f.select("left_id", "right_id", F.lit("review").alias("decision"), (F.col("score") * 0.9).alias("score")))
+    both = both.withColumn("claims", F.count(F.when(F.col("decision") == "linked", 1)).over(Window.partitionBy("right_id")))
     twice = (F.col("decision") == "linked") & (F.col("claims") > 1)
     return both.select("left_id", "right_id", F.when(twice, "review").otherwise(F.col("decision")).alias("decision"), F.when(twice, 0.85).otherwise(F.col("score")).alias("score"))
 

@@ -8,16 +8,32 @@ from pyspark.sql import functions as F
 from ..functions.constants import POOL_MIN_SIZE
 
 
-def mid_rank(rows: DataFrame, keys: list[str], value: str, member: str = "is_member") -> DataFrame:
+def value_cuts(rows: DataFrame, value: str, buckets: int = 64) -> list[float]:
+    """Values that cut the column into about equal parts. They decide how work is split, not any result."""
+    cuts = rows.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000)).first()[0]
+    return sorted(set(cuts or []))
+
+
+def mid_rank(rows: DataFrame, keys: list[str], value: str, member: str = "is_member", cuts: list[float] | None = None) -> DataFrame:
     """Adds n, and below and equal: members of the pool (keys) below and at the value.
 
     Values are first counted per pool, so a window sees a row per distinct value and pool, not per row: repeated
-    values of a hot pool are summed before the shuffle.
+    values of a hot pool are summed before the shuffle. cuts (see value_cuts) also split a pool's distinct values: each
+    part is ranked on its own, from the sum of the parts before it, so that a pool of all rows is many tasks.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.col(member).cast("long")).alias("equal"))
-    up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumns({"below": F.coalesce(F.sum("equal").over(up), F.lit(0)), "n": F.sum("equal").over(Window.partitionBy(*keys))})
-    return rows.join(ranked, [*keys, value])
+    if not cuts:
+        up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        ranked = counts.withColumns({"below": F.coalesce(F.sum("equal").over(up), F.lit(0)), "n": F.sum("equal").over(Window.partitionBy(*keys))})
+        return rows.join(ranked, [*keys, value])
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(value)))
+    counts = counts.withColumn("__part", part)
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy(*keys, "__part").agg(F.sum("equal").alias("__sum"))
+    parts = parts.withColumns({"__before": F.coalesce(F.sum("__sum").over(before), F.lit(0)), "n": F.sum("__sum").over(Window.partitionBy(*keys))}).drop("__sum")
+    up = Window.partitionBy(*keys, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("__up", F.coalesce(F.sum("equal").over(up), F.lit(0))).join(parts, [*keys, "__part"])
+    return rows.join(ranked.withColumn("below", F.col("__before") + F.col("__up")).drop("__part", "__before", "__up"), [*keys, value])
 
 
 def percentile(lower_better: Column | bool = False) -> Column:
@@ -30,7 +46,8 @@ def pool_percentiles(rows: DataFrame, *, group: list[str], year: str, band: str,
     """ids, level, pool_n, percentile: at the first level whose pool has min_size members; else no row.
 
     Level 1: group, year and band; 2: years from one before to one after, band; 3: group and year; 4: group.
-    A member counts in its own pools and in three windows of years; a non-member is only ranked.
+    A member counts in its own pools and in three windows of years; a non-member is only ranked. The widest pools hold
+    all rows of a group: their values are cut into parts that are ranked apart.
     """
     own = F.array(
         *[
@@ -47,6 +64,6 @@ def pool_percentiles(rows: DataFrame, *, group: list[str], year: str, band: str,
     near = F.array(*[F.struct(F.lit(2).alias("level"), (F.col(year).cast("int") + d).alias("pool_year"), F.col(band).alias("pool_band"), F.lit(False).alias("asks")) for d in (-1, 1)])
     keyed = rows.filter(F.col(value).isNotNull()).withColumn("k", F.explode(F.when(F.col(member), F.concat(own, near)).otherwise(own) if 2 in levels else own)).select("*", "k.level", "k.pool_year", "k.pool_band", "k.asks").drop("k")
     keys = [*group, "level", "pool_year", "pool_band"]
-    ranked = mid_rank(keyed, keys, value, member).filter(F.col("asks") & (F.col("n") >= min_size))
+    ranked = mid_rank(keyed, keys, value, member, value_cuts(rows, value)).filter(F.col("asks") & (F.col("n") >= min_size))
     best = F.min_by(F.struct("level", F.col("n").alias("pool_n"), percentile(lower_better).alias("percentile")), "level")
     return ranked.groupBy(*ids).agg(best.alias("r")).select(*ids, "r.*")

@@ -35,8 +35,8 @@ def adjusted(value: Column, score: Column, family: Column) -> Column:
     return value * F.pow(score, F.coalesce(F.element_at(k, family), F.lit(0.0)))
 
 
-def ranking(scored: DataFrame, *, top: int = 3, near: float = 0.01) -> DataFrame:
-    """The first `top` by score with a flag where the next is nearer than `near`; a table of leagues is small."""
-    w = Window.orderBy(F.desc("score"), "country")
+def ranking(scored: DataFrame, *, by: tuple[str, ...] = (), top: int = 3, near: float = 0.01) -> DataFrame:
+    """The first `top` by score, of each value of `by`, with a flag where the next is nearer than `near`."""
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), "country")
     x = scored.withColumns({"rank": F.row_number().over(w), "gap": F.col("score") - F.lead("score").over(w)}).filter(F.col("rank") <= top)
     return x.withColumn("near_tie", (F.col("rank") == top) & F.coalesce(F.col("gap") < near, F.lit(False))).drop("gap")

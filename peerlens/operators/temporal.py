@@ -2,28 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, *, on: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, *, on: list[str], left_time: str, right_time: str, values: list[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Left rows with the values of the latest right row of the same keys whose time is not after theirs.
 
     Union and one window pass: one shuffle by key, no range join. Right rows sort before left rows of the same time;
-    of right rows of one time the largest values count.
+    of right rows of one time the largest values count. bucket: cuts time into parts (a month, a day), so that a key
+    with many rows is many tasks. Each part then begins with the last right row before it, found from one row per key
+    and part.
     """
     names = left.columns
-    l = left.select(F.struct(*names).alias("l"), *on, F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("r"))
-    r = right.select(F.lit(None).cast(l.schema["l"].dataType).alias("l"), *on, F.col(right_time).alias("t"), F.lit(0).alias("side"), F.struct(*values).alias("r"))
-    seen = F.last("r", ignorenulls=True).over(Window.partitionBy(*on).orderBy("t", "side", "r").rowsBetween(Window.unboundedPreceding, 0))
-    return l.unionByName(r).withColumn("r", seen).filter("side = 1").select("l.*", *[F.col(f"r.{v}").alias(v) for v in values])
+    part = (lambda t: bucket(t)) if bucket else (lambda t: F.lit(0))
+    keys = [*on, "part"]
+    l = left.select(F.struct(*names).alias("l"), *on, F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("r")).withColumn("part", part(F.col("t")))
+    empty = F.lit(None).cast(l.schema["l"].dataType).alias("l")
+    r = right.select(empty, *on, F.col(right_time).alias("t"), F.lit(0).alias("side"), F.struct(*values).alias("r")).withColumn("part", part(F.col("t")))
+    rows = l.unionByName(r)
+    if bucket:
+        ends = r.groupBy(*keys).agg(F.max(F.struct("t", "r")).alias("last")).unionByName(l.select(*keys).distinct().withColumn("last", F.lit(None)), allowMissingColumns=True).groupBy(*keys).agg(F.max("last").alias("last"))
+        before = Window.partitionBy(*on).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per key and part
+        carried = ends.withColumn("last", F.last("last", ignorenulls=True).over(before)).filter("last is not null")
+        rows = rows.unionByName(carried.select(empty, *on, F.col("last.t").alias("t"), F.lit(-1).alias("side"), F.col("last.r").alias("r"), "part"))
+    seen = F.last("r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("t", "side", "r").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("r", seen).filter("side = 1").select("l.*", *[F.col(f"r.{v}").alias(v) for v in values])
 
 
 def convert(amounts: DataFrame, rates: DataFrame, *, currency: str = "currency", date: str = "date", amount: str = "amount") -> DataFrame:
-    """amount_eur with the latest rate (units per EUR) on or before the date; EUR stays; null without a rate."""
+    """amount_eur with the latest rate (units per EUR) on or before the date; EUR stays; null without a rate.
+
+    Rows in EUR need no rate and are not shuffled; others meet their rates by currency and month.
+    """
     r = rates.select(F.col("currency").alias(currency), F.col("date").alias("rate_date"), F.col("rate").cast("double").alias("rate"))
-    joined = asof_join(amounts, r, on=[currency], left_time=date, right_time="rate_date", values=["rate"])
-    return joined.withColumn("amount_eur", F.when(F.col(currency) == "EUR", F.col(amount)).otherwise(F.try_divide(F.col(amount), F.col("rate"))))
+    is_eur = F.coalesce(F.col(currency) == "EUR", F.lit(False))
+    joined = asof_join(amounts.filter(~is_eur), r, on=[currency], left_time=date, right_time="rate_date", values=["rate"], bucket=lambda t: F.trunc(t, "month"))
+    foreign = joined.withColumn("amount_eur", F.try_divide(F.col(amount), F.col("rate")))
+    return foreign.unionByName(amounts.filter(is_eur).withColumns({"rate": F.lit(None).cast("double"), "amount_eur": F.col(amount).cast(foreign.schema["amount_eur"].dataType)}))
 
 
 def trailing(rows: DataFrame, *, key: str, time: Column, days: int, aggregates: dict[str, Column]) -> DataFrame:

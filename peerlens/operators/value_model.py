@@ -73,7 +73,8 @@ def fit_models(examples: DataFrame, features: list[str], label: str, *, minimum:
 
 
 def conformal(predicted: DataFrame, label: str, *, coverage: float = 0.8) -> DataFrame:
-    """predicted + low and high: split-conformal by the ceil((n + 1) * coverage)-th smallest residual of validation."""
+    """predicted + low and high: split-conformal by the quantile ceil((n + 1) * coverage) / n of validation residuals,
+    interpolated between two of them as quantiles commonly are; without validation rows both are null."""
     r = predicted.filter("part = 'validate'").select(F.abs(F.col(label) - F.col("predicted")).alias("r"))
     n = r.count()
     q = min(1.0, -(-(n + 1) * coverage // 1) / n) if n else 1.0

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], update: list[str], order: Column | None = None) -> DataFrame:
     """current with incoming rows merged in: listed columns are replaced, others keep their old values.
 
-    Incoming rows of one key count by the last in order. Rows of new keys come in whole.
+    Incoming rows of one key count by the last in order, by a hash of all their columns without one or where it ties,
+    so that reruns agree. Rows of new keys come in whole.
     """
     cols = current.columns
-    last = Window.partitionBy(*keys).orderBy(order if order is not None else F.lit(0))
+    last = Window.partitionBy(*keys).orderBy(*([order] if order is not None else []), F.xxhash64(*incoming.columns))
     new = incoming.withColumn("__r", F.row_number().over(last)).withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).filter("__r = __n").drop("__r", "__n")
     joined = current.select(F.struct(*cols).alias("o"), *keys).join(new.select(F.struct(*cols).alias("i"), *keys), keys, "full_outer")
     pick = lambda c: F.when(F.col("i").isNull(), F.col(f"o.{c}")).when(F.col("o").isNull(), F.col(f"i.{c}")).otherwise(F.col(f"i.{c}") if c in update or c in keys else F.col(f"o.{c}"))
