@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -99,6 +100,7 @@ def _indel_ratio(a: str, b: str) -> float:
     return 100.0 * 2 * row[-1] / (len(a) + len(b))
 
 
+@lru_cache(maxsize=1 << 16)  # pairs of names recur; a bounded number of them is kept per worker
 def token_set_ratio(a: str | None, b: str | None) -> float:
     """0 to 100: the best of common words against each side, and of the two sides (each with the common words)."""
     x, y = set(re.split(r"\s+", a.strip())) - {""} if a else set(), set(re.split(r"\s+", b.strip())) - {""} if b else set()
