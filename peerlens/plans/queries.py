@@ -270,8 +270,10 @@ def expanding_median_index(spark, d):
 
 
 # Names that earlier results are known by.
-for _name, _all in (("vector_knn", "vector_knn_all"), ("category_similarity", "category_similarity_all"), ("similarity_supporting", "similarity_supporting_all"), ("expanding_median_index", "expanding_median_all")):
-    QUERIES[_all], ORACLE_SQL[_all] = QUERIES[_name], ORACLE_SQL[_name]
+vector_knn_all, category_similarity_all, similarity_supporting_all, expanding_median_all = vector_knn, category_similarity, similarity_supporting, expanding_median_index
+for _name in ("vector_knn", "category_similarity", "similarity_supporting"):
+    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
+QUERIES["expanding_median_all"], ORACLE_SQL["expanding_median_all"] = expanding_median_index, ORACLE_SQL["expanding_median_index"]
 
 
 @query("""with o as (select year(o_orderdate)::bigint as year, round(o_totalprice)::double as fee from orders where o_totalprice >= 1000), m as (select year, median(fee) as m from o group by 1) select year, m / (select m from m where year = 1998) as index from m""")
