@@ -5,8 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions import rules
-from ..operators import identity, reads, similarity, value_features
+from ..operators import identity, reads, similar_players, similarity, value_features
 from .queries import cents, query, table, year
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -245,3 +246,58 @@ def club_resolution(spark, d):
     teams = table(spark, d, "supplier").select(s.alias("id"), F.concat_ws(" ", core(s, 60), F.lit("fc")).alias("name"), F.col("s_nationkey").alias("country"))
     listed = table(spark, d, "customer").select(c.alias("id"), F.concat_ws(" ", core(c, 400), F.when(c % 8 == 0, "ii")).alias("name"), F.col("c_nationkey").alias("country"), (c % 9 == 0).alias("national"))
     return identity.resolve_clubs(teams, listed)
+
+
+# Profiles out of vectors: two seasons a player, the first 46 dimensions as scores by code.
+_LISTED = C.features()
+_PLACES = ("CM", "DM", "AM", "LW", "ST", "CB", "LB")
+PROFILES_SQL = f"""with fl(i, category, code, weight) as (values {", ".join(f"({i}, '{a}', '{n}', {w}::double)" for i, (a, n, w) in enumerate(_LISTED, 1))}),
+ cw(grp, category, w) as (values {", ".join(f"('{g}', '{a}', {w}::double)" for g, ws in C.CATEGORY_WEIGHTS.items() for a, w in ws.items())}),
+ co(a, b, v) as (values {", ".join(f"('{a}', '{b}', {v}::double)" for a, b, v in C.compatibility_pairs())}),
+ pr as (select vec_id as profile_id, vec_id // 2 as player_id, vec_id % 40 as season_id, 2000 + vec_id % 2 as end_year, vec_id % 9 as competition_id, vec_id % 9 = 4 as tournament,
+  case when (vec_id // 2) % 3 = 0 then 'f' else 'm' end as gender, case when (vec_id // 2) % 5 = 0 then 'ST' else 'CM' end as grp, (600 + vec_id * 37 % 2400)::double as minutes, embedding as e,
+  ['CM', 'DM', 'AM', 'LW', 'ST', 'CB', 'LB'][1 + vec_id % 7] as p1, case when vec_id % 3 = 0 then ['CM', 'DM', 'AM', 'LW', 'ST', 'CB', 'LB'][1 + vec_id % 5] end as p2,
+  case when vec_id % 11 <> 0 then date '1975-01-01' + (vec_id * 31 % 3500)::int end as born, case vec_id % 4 when 0 then 'high' when 1 then 'medium' when 2 then 'low' end as lc from embeddings)"""
+
+
+def _profiles(spark, d):
+    i = F.col("vec_id")
+    at = lambda v, n: F.get(F.array(*[F.lit(x) for x in v]), n.cast("int"))
+    known = F.transform("embedding", lambda x: F.signum(x.cast("double")) * F.floor(F.abs(x.cast("double")) * 1000 + 0.5) / 1000)
+    scores = F.map_from_arrays(F.array(*[F.lit(n) for _, n, _ in _LISTED]), F.slice(F.transform(known, lambda x: F.when(F.abs(x) < 0.3, 4 * x)), 1, len(_LISTED)))
+    player = F.floor(i / 2)
+    return table(spark, d, "embeddings").select(
+        i.cast("long").alias("profile_id"), player.alias("player_id"), (i % 40).alias("season_id"), (2000 + i % 2).alias("end_year"), (i % 9).alias("competition_id"), (i % 9 == 4).alias("tournament"),
+        F.when(player % 3 == 0, "f").otherwise("m").alias("gender"), F.lit("raw").alias("mode"), F.when(player % 5 == 0, "ST").otherwise("CM").alias("position_group"), (600 + i * 37 % 2400).cast("double").alias("minutes"), F.col("embedding").alias("vector"), scores.alias("z"),
+        at(_PLACES, i % 7).alias("primary"), F.when(i % 3 == 0, at(_PLACES, i % 5)).alias("secondary"), F.when(i % 11 != 0, F.date_add(F.lit("1975-01-01").cast("date"), (i * 31 % 3500).cast("int"))).alias("date_of_birth"),
+        F.lit(None).cast("double").alias("strength"), at(("high", "medium", "low", None), i % 4).alias("league_confidence"),
+    )
+
+
+@query(PROFILES_SQL + """, t as (select * from pr where profile_id in (select profile_id from pr where player_id % 25 = 0 qualify row_number() over (partition by player_id order by end_year desc, minutes desc, profile_id) = 1)),
+ el0 as (select * from pr where minutes >= 900 and competition_id not in (2, 7)), el as (select * from el0 qualify end_year = max(end_year) over (partition by player_id, grp)),
+ ok as (select * from el where (make_date(end_year::int, 6, 30) - born) / 365.25 between 17 and 25.5),
+ nr as (select t.profile_id as target, ok.profile_id as candidate, t.grp, sqrt(list_sum(list_transform(list_zip(ok.e, t.e), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double)))) as distance, t.e as te, ok.e as ce, t.minutes as tm, ok.minutes as cm, t.p1 as t1, t.p2 as t2, ok.p1 as c1, ok.p2 as c2, ok.lc, ok.tournament
+  from t join ok on t.grp = ok.grp and t.gender = ok.gender and t.player_id <> ok.player_id qualify row_number() over (partition by t.profile_id order by distance, ok.profile_id) <= 40),
+ zs as (select target, candidate, grp, category, code, weight, round(abs(te[i]::double), 9) as ta, round(abs(ce[i]::double), 9) as ca, sign(te[i]) * floor(abs(te[i]::double) * 1000 + 0.5) / 1000 as tz, sign(ce[i]) * floor(abs(ce[i]::double) * 1000 + 0.5) / 1000 as cz from nr, fl),
+ pz as (select target, candidate, grp, category, code, weight, 4 * tz as tz, 4 * cz as cz from zs where abs(tz) < 0.3 and abs(cz) < 0.3),
+ ca as (select target, candidate, grp, category, 100.0 * exp(-sqrt(sum(weight * (tz - cz) * (tz - cz)) / sum(weight)) / 1.35) as s, sum(weight) as used from pz group by all),
+ si as (select target, candidate, sum(w * s) / sum(w) as similarity, sum(used) / (select sum(weight) from fl) as usable from ca join cw using (grp, category) group by all having usable >= 0.6),
+ cp as (select target, candidate, unnest([(t1, c1, 1.0::double), (t2, c1, 0.9::double), (t1, c2, 0.9::double), (t2, c2, 0.9::double * 0.9::double)]) as o from nr),
+ cv as (select target, candidate, max(coalesce(v, 0.1) * o[3]) as compat from cp left join co on a = o[1] and b = o[2] where o[1] is not null and o[2] is not null group by all),
+ su as (select target, candidate, string_agg(code, ',' order by weight * abs(tz - cz), code) as supporting from (select * from pz where abs(tz - cz) < 0.5 qualify row_number() over (partition by target, candidate order by weight * abs(tz - cz), code) <= 6) group by all),
+ np as (select grp, count(*) as n from pr where minutes >= 900 group by 1),
+ fi as (select *, round(similarity * compat, 2) as final, 0.35 * least(1.0, least(tm, cm) / 1800.0) + 0.25 * usable + 0.2 * least(1.0, n / 100.0) + 0.2 * case when lc = 'high' then 1.0 when lc = 'medium' then 0.7 when lc = 'low' then 0.4 when tournament then 0.5 else 0.3 end as sure from nr join si using (target, candidate) join cv using (target, candidate) join np using (grp))
+ select target, row_number() over (partition by target order by final desc, distance, candidate) as rank, candidate, round(similarity, 2) as similarity, round(compat, 2) as compatibility, final, case when sure >= 0.75 then 'high' when sure >= 0.5 then 'medium' else 'low' end as tier, coalesce(supporting, '') as supporting, c_name as name
+ from fi left join su using (target, candidate) left join customer on c_custkey = candidate // 2 qualify rank <= 10""")
+def find_similar(spark, d):
+    """The whole search for every player whose id is divisible by 25 (each has two profiles), filters and names included."""
+    profiles = _profiles(spark, d)
+    targets = similar_players.latest_targets(profiles, profiles.filter("player_id % 25 = 0").select("player_id"))
+    ranking = spark.createDataFrame([(1, 0.9)], "id long, score double")
+    out, _ = rules.exclusion(ranking, explicit=[2, 7])
+    wanted = similar_players.Filters(min_age=17, max_age=25.5, candidates=40)
+    found = similar_players.find_similar_all(profiles, targets, wanted, out)
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("name"))
+    named = similar_players.with_identity(found, people)
+    return named.select("target", F.col("rank").cast("long").alias("rank"), "candidate", "similarity", "compatibility", "final", "tier", F.array_join("supporting", ",").alias("supporting"), "name")

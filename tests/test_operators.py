@@ -134,13 +134,22 @@ def test_rates(spark, tmp_path):
 
 
 def test_upsert_stream(spark, tmp_path):
-    from peerlens.streaming.events import stream_table, upsert_stream
+    from peerlens.streaming.events import latest_rows, stream_table, upsert_stream
 
     src = str(tmp_path / "in")
     rows = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (2, 7, 1)], "k int, v int, t int")
     rows.write.parquet(src)
-    upsert_stream(stream_table(spark, src, rows), str(tmp_path / "out"), ["k"], ["v", "t"], "t", str(tmp_path / "cp")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/v=0")).collect())) == [(1, 6, 2), (2, 7, 1)]
+    out = str(tmp_path / "out")
+    run = lambda: upsert_stream(stream_table(spark, src, rows), out, ["k"], ["v", "t"], "t", str(tmp_path / "cp")).awaitTermination()
+    run()
+    assert sorted(map(tuple, latest_rows(spark, out, rows).collect())) == [(1, 6, 2), (2, 7, 1)]
+    spark.createDataFrame([(1, 9, 3), (4, 8, 1)], rows.schema).write.mode("append").parquet(src)
+    run()
+    assert sorted(map(tuple, latest_rows(spark, out, rows).collect())) == [(1, 9, 3), (2, 7, 1), (4, 8, 1)]
+    versions = {(r["upsert_bucket"], r["upsert_version"]) for r in spark.read.parquet(out).select("upsert_bucket", "upsert_version").distinct().collect()}
+    of = {r["k"]: r["b"] for r in spark.createDataFrame([(k,) for k in (1, 2, 4)], "k int").selectExpr("k", "cast(pmod(xxhash64(k), 64) as int) as b").collect()}
+    assert versions == {(of[1], 0), (of[2], 0), (of[1], 1), (of[4], 1)}  # the second batch left key 2's bucket alone
+    assert latest_rows(spark, str(tmp_path / "none"), rows).isEmpty()
 
 
 def test_strict_match(spark):
