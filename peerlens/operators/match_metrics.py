@@ -125,8 +125,8 @@ def increments(xg_of_assisted: Column) -> list[tuple[str, Column, Column | float
 def match_metrics(events: DataFrame) -> DataFrame:
     """match_id, player_id, code, value of events in EVENT_SCHEMA; zero values have no row. Period 5 is left out."""
     e = events.filter(F.coalesce(F.col("period"), F.lit(1)) != 5)
-    shots = e.filter(F.col("type.name") == "Shot").select("match_id", F.col("id").alias("assisted"), F.col("shot.statsbomb_xg").alias("assisted_xg"))
-    x = e.join(shots, (e.match_id == shots.match_id) & (F.col("pass.assisted_shot_id") == F.col("assisted")), "left").drop(shots.match_id)
+    shots = e.filter(F.col("type.name") == "Shot").select(F.col("match_id").alias("assisted_match"), F.col("id").alias("assisted"), F.col("shot.statsbomb_xg").alias("assisted_xg"))
+    x = e.join(shots, (F.col("match_id") == F.col("assisted_match")) & (F.col("pass.assisted_shot_id") == F.col("assisted")), "left").drop("assisted_match")
     adds = increments(F.coalesce(F.col("assisted_xg"), F.lit(0.0)))
     each = F.filter(F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), (F.lit(float(v)) if isinstance(v, int) else v).alias("value"))) for code, c, v in adds]), lambda s: s.isNotNull())
     long = x.filter("player.id is not null").select("match_id", F.col("player.id").alias("player_id"), F.explode(each).alias("m")).select("match_id", "player_id", "m.*")

@@ -13,13 +13,13 @@ def pressure_success(events: DataFrame, *, seconds: float = PRESSURE_SECONDS) ->
 
     events: match_id, idx, period, t (seconds), team, possession, possession_team, is_pressure. Of the events after
     the pressure the first in another period or more than `seconds` later ends the search; success is a possession
-    of the presser's team, other than the pressure's, before that. Clocks may run backward, so the search follows
-    the index. Matches are short: the join is within one match.
+    of the presser's team, other than the pressure's, before that. A missing period is one of its own. Clocks may run
+    backward, so the search follows the index. Matches are short: the join is within one match.
     """
     p = events.filter("is_pressure").select("match_id", F.col("idx").alias("i"), F.col("period").alias("p0"), F.col("t").alias("t0"), F.col("team").alias("team0"), F.col("possession").alias("poss0"))
-    n = events.select("match_id", "idx", "period", "t", "possession", "possession_team")
-    j = p.join(n, (p.match_id == n.match_id) & (n.idx > p.i)).drop(n.match_id)
-    stop = (F.col("period") != F.col("p0")) | (F.col("t") - F.col("t0") > seconds)
+    n = events.select(F.col("match_id").alias("m"), "idx", "period", "t", "possession", "possession_team")
+    j = p.join(n, (F.col("match_id") == F.col("m")) & (F.col("idx") > F.col("i"))).drop("m")
+    stop = ~F.col("period").eqNullSafe(F.col("p0")) | F.coalesce(F.col("t") - F.col("t0") > seconds, F.lit(False))
     hit = F.coalesce((F.col("possession_team") == F.col("team0")) & (F.col("possession") != F.col("poss0")), F.lit(False))
     first = j.groupBy("match_id", "i").agg(F.min(F.when(stop, F.col("idx"))).alias("s"), F.min(F.when(hit & ~stop, F.col("idx"))).alias("h"))
     return first.filter("h is not null and (s is null or h < s)").select("match_id", F.col("i").alias("idx"))
