@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -64,39 +63,35 @@ def find_similar_all(profiles: DataFrame, targets: DataFrame, filters: Filters =
     gender, mode, position_group, minutes, vector, z (map of code to score), primary, secondary, date_of_birth,
     strength, league_confidence. Candidates share the target's group and gender and are of another player; the nearest
     by vector are scored by category, weighed, and multiplied with the positions' compatibility. Targets without a
-    candidate have no row; one without a known position counts as CM. Vectors are scanned a group and gender at a
-    time, targets in blocks, and what follows has at most filters.candidates rows a target.
+    candidate, or of a group without a layout, have no row; one without a known position counts as CM. All groups and
+    genders are searched in one scan for each block of targets, and what follows has at most filters.candidates rows a
+    target.
     """
     layouts = layouts or {g: C.GK_FEATURES if g == "GK" else C.FEATURES for g in C.CATEGORY_WEIGHTS}
     pool = eligible(profiles, filters, excluded)
     sizes = profiles.filter((F.col("mode") == filters.mode) & (F.col("minutes") >= filters.min_minutes)).groupBy("position_group").agg(F.count("*").alias("n"))
-    pool_n = {r["position_group"]: r["n"] for r in sizes.collect()}  # a row per position group
+    pool_n = {r["position_group"]: float(r["n"]) for r in sizes.filter("position_group is not null").collect()}  # a row per position group
     own = profiles.join(targets.select("player_id").distinct(), "player_id", "left_semi").groupBy("player_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    parts = [(r["position_group"], r["gender"]) for r in targets.select("position_group", "gender").distinct().collect()]  # groups by genders
-    out = [_of_group(pool, targets, group, gender, filters, layouts[group], pool_n.get(group, 0), own) for group, gender in sorted(parts, key=str)]
-    if not out:
-        return _of_group(pool, targets, "CM", None, filters, C.FEATURES, 0, own)
-    return reduce(DataFrame.unionByName, out)
-
-
-def _of_group(pool: DataFrame, targets: DataFrame, group: str, gender: str | None, filters: Filters, layout: str, pool_n: int, own: int) -> DataFrame:
-    same = (F.col("position_group") == group) & F.col("gender").eqNullSafe(F.lit(gender))
-    pool, targets = pool.filter(same), targets.filter(same)
     # A player's own profiles are among the nearest: as many more are sought, then they go.
-    near = similarity.nearest_all(pool, targets, key="profile_id", k=filters.candidates + own)
-    t = targets.select(F.col("profile_id").alias("target"), F.struct("z", "player_id", "minutes", "primary", "secondary").alias("t"))
+    near = similarity.nearest_all(pool, targets, key="profile_id", within=("position_group", "gender"), k=filters.candidates + own)
+    t = targets.select(F.col("profile_id").alias("target"), F.col("position_group").alias("group"), F.struct("z", "player_id", "minutes", "primary", "secondary").alias("t"))
     c = pool.select(F.col("profile_id").alias("candidate"), F.struct("z", "tournament", "league_confidence", *SHOWN).alias("c"))
     pairs = near.join(t, "target").join(c, "candidate").filter(F.col("t.player_id") != F.col("c.player_id"))
     rank = F.row_number().over(Window.partitionBy("target").orderBy("distance", "candidate"))
     pairs = pairs.withColumn("__r", rank).filter(F.col("__r") <= filters.candidates).drop("__r")
 
-    listed = C.features(layout)
-    feature = F.explode(F.array(*[F.struct(F.lit(a).alias("category"), F.lit(n).alias("code"), F.lit(w).alias("weight")) for a, n, w in listed])).alias("f")
-    long = pairs.select("target", "candidate", "t.z", F.col("c.z").alias("z2"), feature)
-    long = long.select("target", "candidate", "f.*", F.try_element_at("z", F.col("f.code")).alias("tz"), F.try_element_at("z2", F.col("f.code")).alias("cz"))
-    scored = similarity.combine(similarity.category_similarity(long), group, sum(w for *_, w in listed), weights=filters.weights)
+    listed = {layout: C.features(layout) for layout in set(layouts.values())}
+    features = F.lit(None)
+    for layout, fs in sorted(listed.items()):
+        shared = F.col("group").isin(*[g for g, x in layouts.items() if x == layout])
+        features = F.when(shared, F.array(*[F.struct(F.lit(a).alias("category"), F.lit(n).alias("code"), F.lit(w).alias("weight")) for a, n, w in fs])).otherwise(features)
+    long = pairs.select("target", "candidate", "group", "t.z", F.col("c.z").alias("z2"), F.explode(features).alias("f"))
+    long = long.select("target", "candidate", "group", "f.*", F.try_element_at("z", F.col("f.code")).alias("tz"), F.try_element_at("z2", F.col("f.code")).alias("cz"))
+    total = _by_group({g: float(sum(w for *_, w in listed[x])) for g, x in layouts.items()})
+    of_category = similarity.category_similarity(long, keep=("group",))
+    scored = similarity.combine(of_category, F.col("group"), total, weights=filters.weights, keep=("group",)).drop("group")
     compat = similarity.best_compatibility(F.coalesce("t.primary", F.lit("CM")), F.col("t.secondary"), F.coalesce("c.primary", F.lit("CM")), F.col("c.secondary"))
-    sure = similarity.confidence(F.col("t.minutes").cast("double"), F.col("c.minutes").cast("double"), F.col("usable"), F.lit(float(pool_n)), F.col("c.league_confidence"), F.coalesce("c.tournament", F.lit(False)))
+    sure = similarity.confidence(F.col("t.minutes").cast("double"), F.col("c.minutes").cast("double"), F.col("usable"), F.coalesce(_by_group(pool_n), F.lit(0.0)), F.col("c.league_confidence"), F.coalesce("c.tournament", F.lit(False)))
     x = pairs.join(scored, ["target", "candidate"]).join(similarity.explain(long), ["target", "candidate"])
     x = x.withColumns({"compat": compat, "sure": sure}).withColumn("final", F.round(F.col("similarity") * F.col("compat.value"), 2))
     order = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("final"), "distance", "candidate"))
@@ -107,6 +102,13 @@ def _of_group(pool: DataFrame, targets: DataFrame, group: str, gender: str | Non
     )
 
 
+def _by_group(values: Mapping[str, float]) -> Column:
+    """The value of the row's group, null for one that has none."""
+    if not values:
+        return F.lit(None).cast("double")
+    return F.try_element_at(F.create_map(*[v for g, n in values.items() for v in (F.lit(g), F.lit(n))]), F.col("group"))
+
+
 def with_identity(found: DataFrame, players: DataFrame) -> DataFrame:
     """found + the other columns of players (player_id and what is shown of them); unknown players keep a row."""
     return found.join(players.dropDuplicates(["player_id"]), "player_id", "left")

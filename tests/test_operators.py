@@ -224,3 +224,17 @@ def test_expanding_median_of_all_orders(spark):
             want[i] = (statistics.median(before), len(before)) if before else (None, None)
         assert got == want
     assert plans.expanding_median_all(spark, "/root/testdata/sf0.001").count() == 1500
+
+
+def test_nearest_within(spark):
+    """Only rows that agree in the given columns are compared, nulls being equal; groups may differ in their vectors' length."""
+    rows = [(i, g, s, [float(i % 7 + j) for j in range(3 if g == "GK" else 2)]) for i, (g, s) in enumerate([("GK", "f"), ("CM", "m"), ("CM", None)] * 12)]
+    df = spark.createDataFrame(rows, "id long, g string, s string, vector array<double>").repartition(3)
+    targets = df.filter("id < 5 or id = 35")
+    got = {(r["target"], r["candidate"]) for r in similarity.nearest_all(df, targets, key="id", within=("g", "s"), k=4, block=2).collect()}
+    want = set()
+    for i, g, s, v in rows:
+        if i < 5 or i == 35:
+            near = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)) ** 0.5, j) for j, h, t, w in rows if (h, t) == (g, s) and j != i)
+            want |= {(i, j) for _, j in near[:4]}
+    assert got == want
