@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, mixing, near_dup, pii, quality, sharding, suffix_dedup, tokens, warc
+from . import decontamination, divergence, fill_in_middle, language, mixing, near_dup, pii, quality, sharding, suffix_dedup, tokens, warc
 from .common import read_table
 
 
@@ -60,7 +60,17 @@ def op10_shard_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_odd_sketch, op2_spaced_seeds, op3_quality_llr, op4_mix_sources, op5_warc_index, op6_pii_spans, op7_suffix_array, op8_token_counts, op9_language_id, op10_shard_pack)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.transform(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_odd_sketch, op2_spaced_seeds, op3_quality_llr, op4_mix_sources, op5_warc_index, op6_pii_spans, op7_suffix_array, op8_token_counts, op9_language_id, op10_shard_pack, op11_source_divergence, op12_fill_in_middle)}
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,4 +94,30 @@ with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as p
 f as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by 1)
 select page_id, payload_bytes, p.payload_digest, case when first is not null and page_id <> first then 'revisit' else 'response' end as record_type,
 case when page_id <> first then first end as refers_to from p left join f using (payload_digest)""",
+    "op11_source_divergence": r"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, row_number() over () as k from documents),
+w as (select lang, source, k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{80}-\x{10FFFF}]+')) as term from d),
+c as (select lang, source, term, count(*) as n, count(distinct k) as docs from w group by all),
+kept as (select lang, term, sum(n)::hugeint as n from c group by all having sum(docs) >= 30),
+l as (select lang, count(*)::hugeint as v, sum(n)::hugeint as n from kept group by lang),
+g as (select distinct lang, source from d),
+e as (select g.lang, g.source, kept.term, kept.n as ln, coalesce(c.n, 0)::hugeint as n from g join kept using (lang) left join c using (lang, source, term)),
+s as (select lang, source, sum(n)::hugeint as n from e group by all),
+p as (select e.lang, e.source, e.term, e.n, 1 + 1000000000::hugeint * (e.n + 5) // (s.n + 5 * l.v) as p, 1 + 1000000000::hugeint * (ln + 5) // (l.n + 5 * l.v) as q
+      from e join s using (lang, source) join l using (lang)),
+f as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b using (lang, term) where a.source <> b.source group by all),
+r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+      left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+      union all select lang, source, 'term', term, (p - q)::bigint from p where n > 0 and p > q),
+k as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from r)
+select lang, source, part, item, value, rank from k where part = 'pair' or rank <= 50""",
+    "op12_fill_in_middle": """
+with h as (select doc_id, coalesce(text, '') as t, length(coalesce(text, ''))::bigint as n, sha256('1:' || doc_id) as h from documents),
+k as (select *, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from h),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as i, greatest(h1 % (n + 1), h2 % (n + 1)) as j,
+      case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from k),
+p as (select *, substring(t, 1, i) as a, substring(t, i + 1, j - i) as b, substring(t, j + 1) as z from c)
+select doc_id, n, form, case when form <> 'plain' then i end as prefix_chars, case when form <> 'plain' then j - i end as middle_chars,
+sha256(case form when 'plain' then t when 'psm' then '<P>' || a || '<S>' || z || '<M>' || b else '<S>' || z || '<P>' || a || '<M>' || b end) as output_sha256,
+sha256(t) as restored_sha256 from p""",
 }
