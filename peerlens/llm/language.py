@@ -15,12 +15,13 @@ SAMPLE_CHARS = 60_000
 PIECE_CHARS = 2000
 MODEL_BYTES = 512 << 20
 BLOCK = 2048
-RESULT = "lang_pred string, score double, phrases long, symbols long"
+RESULT = "lang_pred string, score double, phrases long, symbols long, chars long"
 UNDETERMINED = "und"
-# A text of MIN_SYMBOLS or more whose matches with the best language are shorter than this on average is in none of
-# the learned languages: random letters or a script that no sample has come to 1 to 1.7, real text to 2.9 or more.
+# A text whose matches with the best language are shorter than MIN_MATCH code points on average is in none of the learned
+# languages: random letters or a script that no sample has come to 1 to 1.7, real text to 2.9 or more. The ends of a text
+# break matches, which weighs in short ones: EDGE code points are added to what was matched.
 MIN_MATCH = 2.25
-MIN_SYMBOLS = 40
+EDGE = 4
 
 
 def suffix_automaton(codes: list[int], n_codes: int) -> np.ndarray:
@@ -105,8 +106,10 @@ def normal(text: str) -> bytes:
     return raw.removesuffix(b" ")
 
 
-def encode(text: str, model: Model) -> np.ndarray:
-    return model.codes[np.frombuffer(normal(text), dtype=np.uint8)]
+def encode(text: str, model: Model) -> tuple[np.ndarray, int]:
+    """The codes of a text's bytes, and its number of code points: bytes 0x80 to 0xBF continue one."""
+    raw = np.frombuffer(normal(text), dtype=np.uint8)
+    return model.codes[raw], int(((raw & 0xC0) != 0x80).sum())
 
 
 def phrases(texts: list[np.ndarray], model: Model, block: int = BLOCK) -> np.ndarray:
@@ -141,8 +144,8 @@ def phrases(texts: list[np.ndarray], model: Model, block: int = BLOCK) -> np.nda
 
 def predict(texts: list[str | None], model: Model) -> pd.DataFrame:
     """score: how far the best language is ahead, 1 - best / second best in phrases (1 with one language)."""
-    coded = [encode(t, model) if t else np.zeros(0, dtype=np.int32) for t in texts]
-    got = phrases(coded, model)
+    coded, chars = zip(*[encode(t or "", model) for t in texts], strict=True) if texts else ((), ())
+    got = phrases(list(coded), model)
     best = got.argmin(axis=1) if got.shape[1] else np.zeros(len(texts), dtype=int)
     langs, scores, counts = [], [], []
     for i, c in enumerate(coded):
@@ -155,7 +158,7 @@ def predict(texts: list[str | None], model: Model) -> pd.DataFrame:
         langs.append(model.languages[best[i]])
         scores.append(float(1 - row[0] / row[1]) if len(row) > 1 else 1.0)
         counts.append(int(row[0]))
-    return pd.DataFrame({"lang_pred": langs, "score": scores, "phrases": counts, "symbols": [len(c) for c in coded]})
+    return pd.DataFrame({"lang_pred": langs, "score": scores, "phrases": counts, "symbols": [len(c) for c in coded], "chars": chars})
 
 
 def sample_texts(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, piece_chars: int = PIECE_CHARS) -> dict[str, str]:
@@ -184,8 +187,8 @@ def sample_texts(labelled: DataFrame, sample_chars: int = SAMPLE_CHARS, piece_ch
 
 
 def identify(docs: DataFrame, labelled: DataFrame, *, sample_chars: int = SAMPLE_CHARS, piece_chars: int = PIECE_CHARS, model_bytes: int = MODEL_BYTES) -> DataFrame:
-    """Columns of docs plus lang_pred, score (0 to 1), phrases (of the winning language) and symbols (bytes of the
-    normalised text: symbols / phrases is the mean length of a match).
+    """Columns of docs plus lang_pred, score (0 to 1), phrases (of the winning language), symbols and chars (bytes
+    and code points of the normalised text: chars / phrases is the mean length of a match).
 
     labelled (text, lang) is what the languages are learned from: about sample_chars code points of each, in pieces
     of piece_chars, in tables of model_bytes together. A prediction reads the text alone, and all of it. Null
@@ -193,7 +196,7 @@ def identify(docs: DataFrame, labelled: DataFrame, *, sample_chars: int = SAMPLE
     language first in code-point order. Every row is scored; equal texts get equal results; empty tables give
     empty results. Columns named as the new ones are replaced.
     """
-    docs = docs.drop("lang_pred", "score", "phrases", "symbols")
+    docs = docs.drop("lang_pred", "score", "phrases", "symbols", "chars")
     model = docs.sparkSession.sparkContext.broadcast(fit(sample_texts(labelled, sample_chars, piece_chars), model_bytes))
 
     @F.pandas_udf(RESULT)
@@ -204,9 +207,9 @@ def identify(docs: DataFrame, labelled: DataFrame, *, sample_chars: int = SAMPLE
     return docs.withColumn("__l", lang(F.col("text"))).select("*", "__l.*").drop("__l")
 
 
-def recognised(min_match: float = MIN_MATCH, min_symbols: int = MIN_SYMBOLS) -> Column:
+def recognised(min_match: float = MIN_MATCH, edge: int = EDGE) -> Column:
     """Of rows of identify(): whether the text has a letter and is not foreign to the language predicted for it."""
-    return (F.col("lang_pred") != UNDETERMINED) & ((F.col("symbols") < min_symbols) | (F.col("symbols") >= min_match * F.col("phrases")))
+    return (F.col("lang_pred") != UNDETERMINED) & (F.col("chars") + edge >= min_match * F.col("phrases"))
 
 
 def slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[list[str | None]]:

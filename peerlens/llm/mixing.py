@@ -45,35 +45,48 @@ def source_targets(sizes: DataFrame, weights: list[float], total_share: float, m
     return level.select("source", "source_size", F.coalesce(F.least(share, F.col("cap")), F.col("cap")).alias("target"))
 
 
-def uniform(key: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the key alone: 48 bits of an MD5."""
-    text = F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f"|{seed}"))
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from the id and the whole text: 48 bits of an MD5."""
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("|"), F.md5(F.coalesce(text, F.lit(""))), F.lit(f"|{seed}"))
+    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
 def mix(docs: DataFrame, *, weights: list[float] = (5.0, 2.0, 1.0), total_share: float = 1.5, max_repeat: float = 2.0, seed: str = SEED) -> DataFrame:
     """Columns of docs plus size, source_size, target and copies: how often the mix takes the document.
 
-    copies = floor(rate) plus one Bernoulli copy seeded by doc_id with probability rate - floor(rate),
-    rate = target / source_size. Null or empty text: size 0. Null source: a source of its own, last. Rows
-    with the same doc_id draw the same copies. Sources of size 0 have target 0 and copies 0. An empty table
-    gives an empty result. Columns of docs named size, source_size, target or copies are replaced.
+    copies = floor(rate) plus one Bernoulli copy with probability rate - floor(rate), rate = target / source_size. The
+    draw is seeded by doc_id and text, so different texts that share a null or repeated doc_id draw on their own. Rows
+    equal in both draw the same copies: a source of nothing but k equal rows is off its target by up to one copy of
+    each. Null or empty text: size 0. Null source: a source of its own, last. Sources of size 0 have target 0 and
+    copies 0. An empty table gives an empty result. Columns of docs named size, source_size, target or copies are
+    replaced; all others are kept, whatever their names, but for those that begin with two underscores and `mix`.
 
     A hot source costs nothing: sums are partial before the shuffle, and the table of sources (a row each) is
     broadcast while its counted rows are few; beyond, Spark joins by source and splits skewed keys.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
     sized = docs.withColumn("size", n_words_of(F.col("text")))
-    targets = source_targets(sized.select("source", "size"), list(weights), total_share, max_repeat).withColumnRenamed("source", "target_source")
+    targets = source_targets(sized.select("source", "size"), list(weights), total_share, max_repeat).withColumnRenamed("source", "__mix_source")
     targets = materialize(targets, "targets")
     if targets.count() <= BROADCAST_SOURCES:  # some 50 bytes each, so that texts stay where they are; else shuffled
         targets = F.broadcast(targets)
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("target_source")), "left").drop("target_source")
-    extra = (uniform(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col("__mix_source")), "left").drop("__mix_source")
+    extra = (uniform(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate)).cast("long")
     return joined.withColumn("copies", F.floor(rate).cast("long") + extra)
 
 
-def repeat_copies(mixed: DataFrame) -> DataFrame:
-    """One row for each copy that the mix takes, numbered from 1 in the column copy."""
-    return mixed.drop("copy").filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+def repeat_copies(mixed: DataFrame, number: str | None = "copy") -> DataFrame:
+    """One row for each copy that the mix takes. number: a column that numbers a document's copies from 1; None for no
+    such column. A column of that name is an error, as its values would be lost."""
+    if number is None:
+        return mixed.filter("copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("__mix_copy")
+    if number in mixed.columns:
+        raise ValueError(f"there is a column {number} already; give another name or None")
+    return mixed.filter("copies > 0").withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+
+
+def repeat_documents(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it: the columns of docs and no other, with their own values."""
+    own = docs.select(F.struct("*").alias("__mix_row"), "doc_id", "source", "text")
+    return repeat_copies(mix(own, **how), None).select("__mix_row.*")

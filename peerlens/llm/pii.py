@@ -114,15 +114,29 @@ _NUMBER = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r"|[0-9]+)"
 # At least four in a row, each set off by blanks, hyphens, commas or dots; "plus" and "dot" may stand between.
 _SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[\x20-]+)?{_NUMBER}(?:(?:[\x20,-]+|\.|[\x20]*\(?(?:dot|point|punkt|punto)\)?[\x20]*){_NUMBER}){{3,}}(?!\w)", re.I)
 _TOKEN = re.compile(r"plus|dot|point|punkt|punto|[0-9]+|[^\W\d_]+|.", re.I | re.S)
-# Signs in brackets are a disguise anywhere; plain words only with both signs and a well-known last label.
-_AT = re.compile(r"[\[({<]\x20*+(?:at|@)\x20*+[\])}>]|(?<=\x20)at(?=\x20)|@", re.I)
-_SIGNS = re.compile(r"[\[({<]\x20*+(?:at|@|dot|\.)\x20*+[\])}>]|\x20dot\x20", re.I)
+# Words for @ and the dot.
+AT_WORDS = ("at", "ät", "arroba", "arobase", "arrobase", "klammeraffe")
+DOT_WORDS = ("dot", "punkt", "punto", "point")
+_ATS, _DOTS, _STOD = "|".join(AT_WORDS), "|".join(DOT_WORDS), "|".join(w[::-1] for w in DOT_WORDS)
+# Signs in brackets are a disguise anywhere; plain words only with both signs, a well-known last label and a name before.
+_AT = re.compile(rf"[\[({{<]\x20*+(?:{_ATS}|@)\x20*+[\])}}>]|(?<=\x20)(?:{_ATS})(?=\x20)|@", re.I)
+_SIGNS = re.compile(rf"[\[({{<]\x20*+(?:{_ATS}|@|{_DOTS}|\.)\x20*+[\])}}>]|\x20(?:{_DOTS})\x20", re.I)
 _WORD = re.compile(r"[A-Za-z0-9%+-]++")
-_DOT = re.compile(r"(\x20*+[\[({<]\x20*+(?:dot|\.)\x20*+[\])}>]\x20*+)|\x20++(dot)\x20++|\.", re.I)
-_TOD = re.compile(r"(\x20*+[\])}>]\x20*+(?:tod|\.)\x20*+[\[({<]\x20*+)|\x20++(tod)\x20++|\.", re.I)  # the same, read backwards
+_DOT = re.compile(rf"(\x20*+[\[({{<]\x20*+(?:{_DOTS}|\.)\x20*+[\])}}>]\x20*+)|\x20++({_DOTS})\x20++|\.", re.I)
+_TOD = re.compile(rf"(\x20*+[\])}}>]\x20*+(?:{_STOD}|\.)\x20*+[\[({{<]\x20*+)|\x20++({_STOD})\x20++|\.", re.I)  # the same, read backwards
 _BLANKS = re.compile(r"\x20*+")
 # Last labels of addresses in words.
-_TLD = re.compile(r"(?:com|org|net|edu|gov|info|biz|io|co|ai|eu|uk|us|de|fr|es|it|nl|ch|at)(?![A-Za-z0-9])", re.I)
+_TLD = re.compile(r"(?:com|org|net|edu|gov|info|biz|io|co|ai|dev|eu|uk|us|ca|au|nz|ie|de|fr|es|pt|it|nl|ch|at|dk|fi|pl|cz|ru|gr|mx|br|jp|cn)(?![A-Za-z0-9])", re.I)
+# Words before a plain "at" that name no mailbox, and hosts of pages.
+_NO_NAMES = frozenset(
+    "an am are at be been being bought buy call calls came come comes find found go goes he her hers him his hosted is it its lives live lived located look looked looking "
+    "meet met more my now on one online only order our out read reading right same see seen shop shopping she site sold start stay started that the their them there they this "
+    "today us visit visited was we were what where who work worked works you your "
+    "bei besuchen der die das er es ich ist mehr sie sind steht uns war wir wohnt "
+    "aquí en está están estoy ella él la las lo los más nos nosotros son su ver visite vive "
+    "chez elle est ici il ils je le les nous plus sa se ses sont sur voir vous visitez".split()
+)
+_PAGE = re.compile(r"www(?![A-Za-z0-9])", re.I)
 _LONE = ("un", "oh", "dos")  # words of their own; a run needs others too
 
 
@@ -167,7 +181,8 @@ def plain_digits(m: Mapped) -> Mapped:
     """Runs of spelled digits become digits; "plus" a +, "dot" a dot, and blanks or commas in a run go."""
     edits = []
     for run in _SPELLED_RUN.finditer(m.text):
-        if not has_digits_in_words(run[0].lower()):
+        # Words joined by bare dots are a name of something, not digits read out.
+        if not has_digits_in_words(run[0].lower()) or not any(c in run[0] for c in " -,"):
             continue
         for x in _TOKEN.finditer(run[0]):
             word = x[0].lower()
@@ -197,7 +212,7 @@ def plain_signs(m: Mapped) -> Mapped:
 
     From each at-sign the text is walked outwards, on a reversed copy to the left; no chain of words and dots holds
     an at-sign, so each character is walked over at most twice. Some sign must be in brackets, or the at-sign is a
-    plain word and a plain "dot" stands before a well-known last label, which then ends the address.
+    plain word between a name and a host that has a plain "dot" and a well-known label, the last of which ends the address.
     """
     text, size = m.text, len(m.text)
     back = text[::-1]
@@ -216,9 +231,12 @@ def plain_signs(m: Mapped) -> Mapped:
         begin = size - begin
         if begin == start:
             continue
-        if len(sign[0]) <= 2 and all(kind != "bracketed" for _, _, kind in left + right):
-            last = next((i for i, (_, b, kind) in enumerate(right) if kind == "word" and _TLD.match(text, b)), None)
-            if sign[0] == "@" or last is None:
+        if sign[0][0] not in "[({<" and all(kind != "bracketed" for _, _, kind in left + right):
+            # The address ends with the last well-known label; one of its dots is a word.
+            last = max((i for i, (_, b, _) in enumerate(right) if _TLD.match(text, b)), default=None)
+            if sign[0] == "@" or last is None or all(kind != "word" for _, _, kind in right[: last + 1]):
+                continue
+            if text[begin:start].lower() in _NO_NAMES or _PAGE.match(text, end):
                 continue
             right = right[: last + 1]
             stop = _TLD.match(text, right[-1][1]).end()

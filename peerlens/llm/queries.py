@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, divergence, fill_in_middle, language, mixing, near_dup, pii, quality, sharding, suffix_dedup, tokens, warc
+from . import decontamination, divergence, fill_in_middle, language, mixing, near_dup, ngram_join, pii, quality, sharding, suffix_dedup, tokens, warc
 from .common import read_table
 
 
@@ -45,12 +45,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-def held_out(doc_id) -> F.Column:
-    return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1
+def held_out(doc_id: Column) -> Column:
+    """Whether a document is kept from learning; one without doc_id isn't."""
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     out = language.identify(docs.select("doc_id", "text", "held_out"), docs.filter(~F.col("held_out")).select("text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
@@ -70,14 +71,18 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_odd_sketch, op2_spaced_seeds, op3_quality_llr, op4_mix_sources, op5_warc_index, op6_pii_spans, op7_suffix_array, op8_token_counts, op9_language_id, op10_shard_pack, op11_source_divergence, op12_fill_in_middle)}
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_odd_sketch, op2_spaced_seeds, op3_quality_llr, op4_mix_sources, op5_warc_index, op6_pii_spans, op7_suffix_array, op8_token_counts, op9_language_id, op10_shard_pack, op11_source_divergence, op12_fill_in_middle, op13_ngram_join)}
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE_SQL = {
     "op4_mix_sources": rf"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size from documents),
+with d as (select doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::bigint as size from documents),
 s as (select source, sum(size)::double as s from d group by source),
 r as (select *, [5.0, 2.0, 1.0][((row_number() over (order by source is null, source)) - 1) % 3 + 1]::double as w from s),
 c as (select *, coalesce(sum(s) over b, 0) as below, coalesce(sum(w) over b, 0) as wb, sum(s) over () as total, sum(w) over () as wt
@@ -86,7 +91,7 @@ l as (select *, 1.5 * total - 2.0 * below as rest, wt - wb as wrest, 2.0 * s as
 a as (select rest as rest, wrest as wrest from l where rest * w <= cap * wrest order by s / w, below limit 1),
 t as (select l.source, l.s, coalesce(least(a.rest::double * l.w / a.wrest::double, l.cap::double), l.cap::double)::double as target from l left join a on true),
 m as (select d.doc_id, d.size, t.s::bigint as source_size, t.target, coalesce(t.target / nullif(t.s, 0), 0.0) as rate,
-      ('0x' || left(md5(coalesce(d.doc_id::varchar, 'null') || '|mix-1'), 12))::bigint / 281474976710656.0::double as u
+      ('0x' || left(md5(coalesce(d.doc_id::varchar, 'null') || '|' || md5(coalesce(d.text, '')) || '|mix-1'), 12))::bigint / 281474976710656.0::double as u
       from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target, size * (floor(rate)::bigint + (u < rate - floor(rate))::bigint) as taken from m""",
     "op5_warc_index": """

@@ -250,6 +250,35 @@ def test_mixing(spark, odd, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_mixing_keeps_names_and_values(spark):
+    """Columns named as results or internals of the mix go through the repetition with their own values."""
+    df = spark.createDataFrame([(i, "s", "a b c", 77, 5, "t", 1, 9.5, 3, "r") for i in range(40)], "doc_id long, source string, text string, copy int, size int, target_source string, copies int, target double, source_size int, w string")
+    assert {r["copy"] for r in mixing.mix(df).collect()} == {77} and {r["target_source"] for r in mixing.mix(df).collect()} == {"t"}
+    got = mixing.repeat_documents(df)
+    assert got.schema == df.schema and got.distinct().exceptAll(df).count() == 0 and 40 < got.count() <= 80
+    with pytest.raises(ValueError):
+        mixing.repeat_copies(mixing.mix(df))
+    numbered = mixing.repeat_copies(mixing.mix(df), "nth").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("nth").alias("m"), F.max("copies").alias("c")).collect()
+    assert all(r["n"] == r["m"] == r["c"] for r in numbered)
+
+
+@pytest.mark.parametrize("doc_id", [None, 3])
+def test_mixing_draws_by_row(spark, doc_id):
+    """A source whose rows all share one id, or have none, still comes near its target."""
+    df = spark.createDataFrame([(doc_id, "a", f"w{i} x y") for i in range(2000)] + [(i, "b", "u v w") for i in range(2000)], "doc_id long, source string, text string")
+    for source in ("a", "b"):
+        rows_ = mixing.mix(df).filter(F.col("source") == source).collect()
+        taken, target = sum(r["size"] * r["copies"] for r in rows_), rows_[0]["target"]
+        assert abs(taken - target) < 0.06 * target
+
+
+def test_mixing_equal_caps(spark):
+    """Sources that reach their caps at the same level: all capped, whatever the order."""
+    df = spark.createDataFrame([(i, s, "a b") for s in "abcdef" for i in range(10 if s in "ad" else 4 if s in "be" else 2)], "doc_id long, source string, text string")
+    per = {r["source"]: (r["source_size"], r["target"]) for r in mixing.mix(df, total_share=2.5).collect()}
+    assert all(t == 2 * n for n, t in per.values())
+
+
 def test_warc(spark, tmp_path):
     big, small = "é" * 60, "tiny"
     pages = spark.createDataFrame([(3, "u3", big), (1, "u\r\n1", big), (2, "u2", big), (4, "u4", small), (5, "u5", small), (6, None, None), (None, "u", big), (7, "u7", "x" * 300000)], "page_id long, url string, html string")
@@ -373,6 +402,40 @@ def test_pii_long_texts_take_time_in_proportion(part):
     assert seconds(400_000) < 10 * max(0.05, seconds(100_000))
 
 
+@pytest.mark.parametrize(
+    ("text", "span"),
+    [
+        ("write john AT mail DOT co DOT uk now", "john AT mail DOT co DOT uk"),
+        ("write ana arroba correo punto es hoy", "ana arroba correo punto es"),
+        ("an max (ät) post (punkt) de bitte", "max (ät) post (punkt) de"),
+        ("à luc arobase poste point fr demain", "luc arobase poste point fr"),
+        ("john dot doe at mail.example dot org.", "john dot doe at mail.example dot org"),
+        ("to kim at lab dot uni dot edu. Then at noon", "kim at lab dot uni dot edu"),
+    ],
+)
+def test_pii_addresses_in_words(text, span):
+    assert [(s[3], text[s[0] : s[2]]) for s in pii.find(text)[1]] == [("email", span)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "He lives at example dot com street.",
+        "Come and see us at www dot site dot org for more.",
+        "The module one.two.three.four is imported first.",
+        "Look at the dot on it, meet at noon. com",
+        "We met at noon dot and at two dot in the rain.",
+        "El punto de vista está en el punto es claro.",
+        "Der Punkt ist, at point de vue, klar.",
+        "Uno, dos y tres; one or two of them, seven eight.",
+        "Chapter 3.1.4 of version 10.2 costs 12 at 5 per cent.",
+        "Page 12-34, 1999-2001, rooms 7 8 9.",
+    ],
+)
+def test_pii_leaves_clean_sentences(text):
+    assert pii.find(text)[1] == []
+
+
 def test_pii_odd(odd, nothing):
     got = pii.detect(odd).collect()
     assert len(got) == odd.count() and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() and r["spans"] == "" for r in got)
