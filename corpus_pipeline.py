@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from peerlens.llm import decontamination, language, mixing, near_dup, sharding
 from peerlens.llm.common import materialize, read_table
+from peerlens.llm.queries import held_out
 
 SHARDS = 16
 
@@ -18,7 +19,7 @@ SHARDS = 16
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null, empty or without a letter, or so unlike all learned languages that
     their matches with the best one are no longer than random ones."""
-    labelled = docs.filter(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 != 1).select("text", "lang")
+    labelled = docs.filter(~held_out(F.col("doc_id"))).select("text", "lang")
     found = language.identify(docs.select(F.struct("*").alias("d"), "text"), labelled)
     return found.filter(language.recognised()).select("d.*")
 
@@ -35,7 +36,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated, or left out, so that sources come to their target weights."""
-    return mixing.repeat_copies(mixing.mix(docs)).select(docs.columns)
+    return mixing.repeat_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
