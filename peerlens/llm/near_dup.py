@@ -168,7 +168,7 @@ def cross_pairs(members: DataFrame, limit: int, percent: int) -> DataFrame:
     def compare(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["bucket", "i", "j", "c"], kind="stable")
         bucket, i, j, c, rep, of, n = (df[x].to_numpy() for x in ("bucket", "i", "j", "c", "rep", "component", "n_shingles"))
-        bits, bands = np.stack(df["sketch"].to_numpy()), np.stack(df["bands"].to_numpy())
+        bits, bands = np.stack(df["sketch"].to_numpy()).view(np.uint64), np.stack(df["bands"].to_numpy())  # bits of a signed number are those of its size
         new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for lo, hi in zip(np.r_[0, new], np.r_[new, len(df)], strict=True):

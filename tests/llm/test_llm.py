@@ -99,7 +99,7 @@ def test_odd_sketch_estimates():
     base = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
     other = np.unique(np.r_[base[:1800], rng.integers(0, 1 << 63, 200, dtype=np.uint64)])
     a, b = (near_dup.odd_sketch(near_dup.minhash(x)) for x in (np.unique(base), other))
-    assert abs(near_dup.similarity_of(int(np.bitwise_count(a ^ b).sum())) - 1800 / 2200) < 0.1
+    assert abs(near_dup.similarity_of(int(np.bitwise_count((a ^ b).view(np.uint64)).sum())) - 1800 / 2200) < 0.1
 
 
 def test_decontamination(spark, odd, nothing, documents):

@@ -209,6 +209,35 @@ def test_ngram_join_repeated_ids(spark):
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(df).collect()) == want
 
 
+@pytest.mark.parametrize("module", [near_dup, ngram_join])
+def test_blocks_find_links_that_stars_miss(spark, module):
+    """Many near copies of one text, each pair of which is near 80 %: blocks find what no comparison with a head links."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(300)], {}
+    for i in range(80):
+        w = list(base)
+        for at in rng.sample(range(300), rng.choice((3, 4, 5))):
+            w[at] = word()
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = module.link(df, words=5) if module is near_dup else module.join(df)
+    want = brute_join(texts)
+    assert len({c for _, c in want.values()}) not in (1, 80)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: c for i, (_, c) in want.items()}
+
+
+def test_parity_bits_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for size in (1, 50, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.r_[a[: size * 3 // 4], rng.integers(0, 1 << 63, size, dtype=np.uint64)])
+        differ = int(np.bitwise_count((ngram_join.parity(a) ^ ngram_join.parity(b)).view(np.uint64)).sum())
+        assert 0 < differ <= len(np.setxor1d(a, b))
+
+
 def test_multi_match_prefixes():
     """Two sets that share at least o have m common ones in their first |set| - o + m, and the cost picks m from 1 on."""
     import numpy as np
