@@ -90,6 +90,13 @@ CUP_WORDS = ("cup", "copa", "pokal", "coupe", "coppa")
 
 # Value model.
 WINDOW_DAYS, MIN_PRIOR_MINUTES, MIN_COMPLETENESS, REFERENCE_YEAR = 365, 450, 0.6, 2025
+# Sums per 90 minutes that are features.
+VALUE_CODES = (
+    "np_goals", "npxg", "assists", "xa", "np_shots", "key_passes", "sca", "progressive_passes", "progressive_carries", "take_ons_won",
+    "touches_att_box", "tackles_won", "interceptions", "pressures", "aerial_duels_won", "aerial_duels",
+)
+# Competitions that a search leaves out by default: the strongest ones.
+EXCLUDE_TOP = 3
 AGE_EDGES = (-2, 0, 21, 25, 29, 33, 99)
 STRENGTH_EDGES = (-2, 0, 0.4, 0.6, 0.8, 1.01)
 

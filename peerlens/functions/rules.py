@@ -9,6 +9,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import constants as C
+
 DAYS = 365.25
 
 
@@ -68,7 +70,7 @@ def with_defaults(stored: DataFrame, defaults: DataFrame) -> DataFrame:
     return defaults.join(named, "key", "full_outer").select("key", F.coalesce("__stored", "value").alias("value"))
 
 
-def exclusion(ranking: DataFrame, *, explicit: list[int] | None = None, exclude_top: bool = True, top: int = 5) -> tuple[DataFrame, str]:
+def exclusion(ranking: DataFrame, *, explicit: list[int] | None = None, exclude_top: bool = True, top: int = C.EXCLUDE_TOP) -> tuple[DataFrame, str]:
     """(ids, basis) of leagues that a search leaves out: the configured ones, else none, else the best of the ranking.
 
     ranking: id, score. At most `top` rows come out of the ranking, or the configured ones.

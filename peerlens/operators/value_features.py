@@ -6,36 +6,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-WINDOW_DAYS = 365
-MIN_MINUTES = 450
-MIN_COMPLETENESS = 0.6
-GROUPS = ("GK", "CB", "FB", "MF", "AM", "ST")
-# Columns of an example that are no features.
-NOT_FEATURES = ("transfer_id", "player_id", "transfer_date", "fee", "fee_real", "inflation_index", "label", "features_as_of", "position_group", "league_confidence", "transfer_window", "feature_completeness")
+from ..functions import constants as C
 
+WINDOW_DAYS, MIN_MINUTES, MIN_COMPLETENESS = C.WINDOW_DAYS, C.MIN_PRIOR_MINUTES, C.MIN_COMPLETENESS
+GROUPS = tuple(C.CATEGORY_WEIGHTS)
+# Columns of asks, features and examples that are no features: identifiers, days, and what comes from the fee.
+KEYS = ("ask_id", "player_id", "season_id", "day", "born", "features_as_of")
+OF_THE_FEE = ("fee", "fee_status", "kind", "inflation_index", "fee_real", "label")
+DESCRIPTIONS = ("position_group", "league_confidence", "transfer_window", "feature_completeness")
 
-def trailing_features(asks: DataFrame, matches: DataFrame, codes: list[str], *, days: int = WINDOW_DAYS) -> DataFrame:
-    """asks (ask_id, player_id, day) with features_as_of, minutes, n_matches, starts_share, <code>_p90 and aerial_rate.
 
-    matches: player_id, day, minutes, started and a column per code (with aerial_duels and aerial_duels_won if the rate
-    is wanted). Asked days and matches are sorted together per player: a range frame over the `days` days before an
+def trailing_features(asks: DataFrame, matches: DataFrame, codes: list[str] = C.VALUE_CODES, *, days: int = WINDOW_DAYS) -> DataFrame:
+    """asks (ask_id, player_id, day) with features_as_of, minutes, n_matches, starts_share, <code>_p90, aerial_rate, and
+    season_id if matches have one.
+
+    matches: player_id, day, minutes, started and a column per code (the rate needs aerial_duels and aerial_duels_won);
+    with season_id and match_id, season_id is that of the last earlier match, of one day's that with the largest match_id. Asked days and matches are sorted together per player: a range frame over the `days` days before an
     asked day sees matches only, so nothing is joined by range and no match of the day or later counts. Per-90 values
     need 90 minutes; features_as_of is null without any earlier match.
     """
     number = F.datediff(F.col("day"), F.lit("1970-01-01").cast("date"))
     sums = ["minutes", "started", *codes]
-    played = matches.select(F.lit(None).cast("long").alias("ask_id"), "player_id", "day", F.col("minutes").cast("double").alias("minutes"), F.col("started").cast("double").alias("started"), *[F.col(c).cast("double").alias(c) for c in codes], F.lit(1).alias("__match"))
+    last = F.struct("day", "match_id", "season_id") if "season_id" in matches.columns else F.lit(None)
+    played = matches.withColumn("__last", last).select(F.lit(None).cast("long").alias("ask_id"), "player_id", "day", F.col("minutes").cast("double").alias("minutes"), F.col("started").cast("double").alias("started"), *[F.col(c).cast("double").alias(c) for c in codes], "__last", F.lit(1).alias("__match"))
     wanted = asks.select(F.col("ask_id").cast("long").alias("ask_id"), "player_id", "day", *[F.lit(None).cast("double").alias(c) for c in sums], F.lit(0).alias("__match"))
-    both = played.unionByName(wanted).withColumn("__day", number)
+    both = played.unionByName(wanted, allowMissingColumns=True).withColumn("__day", number)
     before = Window.partitionBy("player_id").orderBy("__day")
     window, earlier = before.rangeBetween(-days, -1), before.rangeBetween(Window.unboundedPreceding, -1)
-    x = both.withColumns({f"__{c}": F.sum(c).over(window) for c in sums} | {"n_matches": F.sum("__match").over(window), "features_as_of": F.max(F.when(F.col("__match") == 1, F.col("day"))).over(earlier)}).filter("__match = 0")
+    x = both.withColumns({f"__{c}": F.sum(c).over(window) for c in sums} | {"n_matches": F.sum("__match").over(window), "features_as_of": F.max(F.when(F.col("__match") == 1, F.col("day"))).over(earlier), "__last": F.max("__last").over(earlier)}).filter("__match = 0")
     minutes = F.coalesce("__minutes", F.lit(0.0))
-    per90 = {f"{c}_p90": F.when(minutes >= 90, F.coalesce(F.col(f"__{c}"), F.lit(0.0)) / (minutes / 90.0)) for c in codes if not c.startswith("aerial")}
+    per90 = {f"{c}_p90": F.when(minutes >= 90, F.coalesce(F.col(f"__{c}"), F.lit(0.0)) / (minutes / 90.0)) for c in codes}
     if {"aerial_duels", "aerial_duels_won"} <= set(codes):
         per90["aerial_rate"] = F.when(F.col("__aerial_duels") > 0, F.col("__aerial_duels_won") / F.col("__aerial_duels"))
     n = F.coalesce("n_matches", F.lit(0)).cast("long")
-    return x.select("ask_id", "player_id", "day", "features_as_of", minutes.alias("minutes"), n.alias("n_matches"), F.try_divide(F.col("__started"), n.cast("double")).alias("starts_share"), *[c.alias(k) for k, c in per90.items()])
+    return x.select("ask_id", "player_id", "day", "features_as_of", minutes.alias("minutes"), n.alias("n_matches"), F.try_divide(F.col("__started"), n.cast("double")).alias("starts_share"), *[c.alias(k) for k, c in per90.items()], *([F.col("__last.season_id").alias("season_id")] if "season_id" in matches.columns else []))
+
+
+def season_features(rows: DataFrame, players: DataFrame, positions: DataFrame, strength: DataFrame) -> DataFrame:
+    """rows (of trailing_features, with season_id) with born, height, position_group, selling_strength and league_confidence.
+
+    players: player_id, born, height. positions: player_id, season_id, position_group (one a season). strength: season_id,
+    strength, confidence. Group and strength are those of the season of the last match before the day; null where unknown.
+    """
+    x = rows.join(players.select("player_id", "born", F.col("height").cast("double").alias("height")), "player_id", "left")
+    x = x.join(positions.select("player_id", "season_id", "position_group"), ["player_id", "season_id"], "left")
+    of = strength.select("season_id", F.col("strength").cast("double").alias("selling_strength"), F.col("confidence").alias("league_confidence"))
+    return x.join(of, "season_id", "left")
 
 
 def personal_features(rows: DataFrame) -> DataFrame:
@@ -66,9 +82,10 @@ def examples(transfers: DataFrame, features: DataFrame, index: DataFrame, names:
     return x.withColumns({"fee_real": real, "label": F.log1p(real), "transfer_window": F.when(F.month("day").between(6, 9), "summer").otherwise("winter")})
 
 
-def feature_columns(rows: DataFrame, not_features: tuple[str, ...] = NOT_FEATURES) -> list[str]:
-    """Numeric columns that are neither identifiers nor derived from the fee."""
-    return [f.name for f in rows.schema.fields if isinstance(f.dataType, NumericType) and f.name not in not_features]
+def feature_columns(rows: DataFrame, more: tuple[str, ...] = ()) -> list[str]:
+    """Numeric columns of examples that are features: no identifier, no day, nothing that comes from the fee, none of more."""
+    out = {*KEYS, *OF_THE_FEE, *DESCRIPTIONS, *more}
+    return [f.name for f in rows.schema.fields if isinstance(f.dataType, NumericType) and f.name not in out]
 
 
 def evaluate_by(predicted: DataFrame, key: str, *, label: str = "label", prediction: str = "predicted", least: int = 5) -> DataFrame:

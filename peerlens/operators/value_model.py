@@ -50,24 +50,35 @@ def regression_metrics(predicted: DataFrame, keys: list[str], label: str, predic
     )
 
 
-def fit_models(examples: DataFrame, features: list[str], label: str, *, minimum: tuple[int, int, int] = (30, 10, 10)) -> dict[str, DataFrame]:
-    """Predictions per algorithm (ridge, forest, boosted) on all parts, trained on the train part alone.
-
-    Missing numbers take the train median. Too few examples in a part is a ValueError.
-    """
+def require_parts(examples: DataFrame, minimum: tuple[int, int, int]) -> None:
+    """A ValueError where train, validate or test has too few examples."""
     sizes = {r["part"]: r["n"] for r in examples.groupBy("part").agg(F.count("*").alias("n")).collect()}
     for part, least in zip(("train", "validate", "test"), minimum, strict=True):
         if sizes.get(part, 0) < least:
             raise ValueError(f"{part}: {sizes.get(part, 0)} examples, at least {least} are needed")
+
+
+def pipeline(kind: str, features: list[str], label: str) -> Pipeline:
+    """ridge (on standardised features), forest or boosted trees, with the train median for missing numbers."""
     filled = [f"{c}__i" for c in features]
     prepare = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="x", withMean=True)]
-    kinds = {
-        "ridge": LinearRegression(featuresCol="x", labelCol=label, predictionCol="predicted", regParam=1.0, elasticNetParam=0.0),
-        "forest": RandomForestRegressor(featuresCol="raw", labelCol=label, predictionCol="predicted", numTrees=50, seed=7),
-        "boosted": GBTRegressor(featuresCol="raw", labelCol=label, predictionCol="predicted", maxIter=30, maxDepth=3, seed=7),
-    }
+    model = {
+        "ridge": lambda: LinearRegression(featuresCol="x", labelCol=label, predictionCol="predicted", regParam=1.0, elasticNetParam=0.0),
+        "forest": lambda: RandomForestRegressor(featuresCol="raw", labelCol=label, predictionCol="predicted", numTrees=50, seed=7),
+        "boosted": lambda: GBTRegressor(featuresCol="raw", labelCol=label, predictionCol="predicted", maxIter=30, maxDepth=3, seed=7),
+    }[kind]
+    return Pipeline(stages=[*prepare, model()])
+
+
+def fit_models(examples: DataFrame, features: list[str], label: str, *, minimum: tuple[int, int, int] = (30, 10, 10)) -> dict[str, DataFrame]:
+    """Predictions per algorithm (ridge, forest, boosted) on all parts, trained on the train part alone.
+
+    Missing numbers take the train median. Too few examples in a part is a ValueError.
+    """
+    require_parts(examples, minimum)
     train = examples.filter("part = 'train'").cache()
-    out = {k: Pipeline(stages=[*prepare, m]).fit(train).transform(examples).drop("raw", "x", *filled) for k, m in kinds.items()}
+    made = ["raw", "x", *[f"{c}__i" for c in features]]
+    out = {k: pipeline(k, features, label).fit(train).transform(examples).drop(*made) for k in ("ridge", "forest", "boosted")}
     train.unpersist()
     return out
 

@@ -164,41 +164,6 @@ def config_values(spark, d):
     return rules.with_defaults(n.filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value")), n.filter("n_nationkey % 3 <> 0").select(F.col("n_name").alias("key"), F.lit("default").alias("value")))
 
 
-CODES = ("goals", "aerial_duels", "aerial_duels_won")
-MATCHES_SQL = """with m as (select o_custkey as player_id, o_orderdate::date as day, (o_orderkey % 900)::double as minutes, (o_orderkey % 2)::double as started, (o_orderkey % 5)::double as goals, (o_orderkey % 4)::double as aerial_duels, (o_orderkey % 2)::double as aerial_duels_won from orders),
- a as (select o_orderkey as ask_id, o_custkey as player_id, o_orderdate::date as day, round(o_totalprice)::double as fee, case o_orderkey % 4 when 0 then 'undisclosed' else 'disclosed' end as fee_status, case o_orderkey % 5 when 0 then 'loan' else 'permanent' end as kind from orders where o_orderstatus = 'P'),
- w as (select ask_id, sum(m.minutes) as minutes, count(m.day) as n, sum(started) as started, sum(goals) as goals, sum(aerial_duels) as ad, sum(aerial_duels_won) as aw from a left join m on m.player_id = a.player_id and m.day < a.day and m.day >= a.day - 365 group by 1),
- e as (select ask_id, max(m.day) as features_as_of from a left join m on m.player_id = a.player_id and m.day < a.day group by 1),
- f as (select a.ask_id, a.player_id, a.day, a.fee, a.fee_status, a.kind, features_as_of, coalesce(minutes, 0.0)::double as minutes, n::bigint as n_matches, started / nullif(n, 0)::double as starts_share, case when minutes >= 90 then goals / (minutes / 90.0::double) end as goals_p90, case when ad > 0 then aw / ad end as aerial_rate from a join w using (ask_id) join e using (ask_id))"""
-
-
-def _value_features(spark, d):
-    o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    day = F.to_date("o_orderdate").alias("day")
-    matches = o.select(F.col("o_custkey").alias("player_id"), day, (k % 900).alias("minutes"), (k % 2).alias("started"), (k % 5).alias("goals"), (k % 4).alias("aerial_duels"), (k % 2).alias("aerial_duels_won"))
-    asks = o.filter("o_orderstatus = 'P'").select(k.alias("ask_id"), F.col("o_custkey").alias("player_id"), day, F.round("o_totalprice").alias("fee"), F.when(k % 4 == 0, "undisclosed").otherwise("disclosed").alias("fee_status"), F.when(k % 5 == 0, "loan").otherwise("permanent").alias("kind"))
-    return asks, value_features.trailing_features(asks, matches, list(CODES))
-
-
-@query(MATCHES_SQL + " select ask_id, features_as_of::varchar as features_as_of, minutes, n_matches, round(starts_share, 9) as starts_share, round(goals_p90, 9) as goals_p90, round(aerial_rate, 9) as aerial_rate from f")
-def value_features_as_of(spark, d):
-    x = _value_features(spark, d)[1]
-    return x.select("ask_id", F.col("features_as_of").cast("string").alias("features_as_of"), "minutes", "n_matches", *[F.round(c, 9).alias(c) for c in ("starts_share", "goals_p90", "aerial_rate")])
-
-
-@query(MATCHES_SQL + """, b as (select *, case when player_id % 7 <> 0 then (day - date '1975-01-01') / 365.25::double end as age from f where features_as_of is not null and fee_status = 'disclosed' and kind = 'permanent' and fee > 0),
- k as (select *, ((starts_share is not null)::int + (goals_p90 is not null)::int + (aerial_rate is not null)::int + (age is not null)::int)::double / 4.0::double as complete from b where minutes >= 450)
- select ask_id, complete as feature_completeness, round(age * age, 6) as age_sq, round(ln(1 + fee / (case when year(day) % 2 = 0 then 1.0 + (year(day) - 1990) / 10.0 else 1.0 end)::double), 9) as label, case when month(day) between 6 and 9 then 'summer' else 'winter' end as transfer_window, (player_id % 6 = 2)::int::double as group_FB from k where complete >= 0.6""")
-def value_examples(spark, d):
-    asks, f = _value_features(spark, d)
-    k = F.col("player_id")
-    group = F.get(F.array(*map(F.lit, value_features.GROUPS)), (k % 6).cast("int"))
-    f = value_features.personal_features(f.withColumns({"born": F.when(k % 7 != 0, F.lit("1975-01-01").cast("date")), "position_group": group}))
-    index = spark.range(1990, 2010, 2).select(F.col("id").cast("int").alias("year"), (1.0 + (F.col("id") - 1990) / 10.0).alias("index"))
-    x = value_features.examples(asks, f, index, ["starts_share", "goals_p90", "aerial_rate", "age"])
-    return x.select("ask_id", "feature_completeness", F.round("age_sq", 6).alias("age_sq"), F.round("label", 9).alias("label"), "transfer_window", F.col("group_FB").alias("group_FB"))
-
-
 @query("""with r as (select c_custkey as id, case when c_custkey % 7 <> 0 then 6000 + c_custkey % 8000 end as age_days from customer), t as (select 5000 + o_orderkey % 9000 as age_days from orders where o_orderstatus = 'F'),
  n as (select r.id, r.age_days, count(t.age_days)::bigint as n_comparables from r left join (select age_days from t) t on t.age_days between r.age_days - 730 and r.age_days + 730 group by r.id, r.age_days),
  s as (select *, 0.35 * least(1.0, (id % 3000) / 1800.0) + 0.25 * ((id % 11) / 10.0) + 0.2 * least(1.0, n_comparables / 100.0) + 0.2 * greatest(0.0, 1 - ((id % 40) / 10.0) / 3.0) as score from n)

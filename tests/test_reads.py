@@ -15,7 +15,7 @@ def test_config_hash_and_exclusion(spark):
     leagues = spark.createDataFrame([(1, 0.2), (2, 0.9), (3, 0.9), (4, 0.5)], "id long, score double")
     ids = lambda **o: (sorted(r["id"] for r in rules.exclusion(leagues, **o)[0].collect()), rules.exclusion(leagues, **o)[1])
     assert ids(explicit=[7, 7, 1]) == ([1, 7], "manually configured")
-    assert ids(exclude_top=False) == ([], "none") and ids(top=2) == ([2, 3], "model")
+    assert ids(exclude_top=False) == ([], "none") and ids(top=2) == ([2, 3], "model") and ids() == ([2, 3, 4], "model")
 
 
 def test_rules_on_missing_values(spark):
@@ -40,7 +40,7 @@ def test_leakage_is_an_error(spark):
     earlier = f.withColumn("features_as_of", F.lit("2020-06-30").cast("date"))
     row = value_features.examples(t, earlier, index, ["a"]).first()
     assert row["inflation_index"] == 1.0 and row["transfer_window"] == "summer" and row["fee_real"] == 5.0
-    assert value_features.feature_columns(value_features.examples(t, earlier, index, ["a"])) == ["ask_id", "minutes", "a"]
+    assert value_features.feature_columns(value_features.examples(t, earlier, index, ["a"])) == ["minutes", "a"]
     with pytest.raises(ValueError, match="no transfers"):
         value_features.require_rows(t.limit(0), "transfers")
 
