@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -91,6 +91,12 @@ def fit(samples: dict[str, str], model_bytes: int = MODEL_BYTES) -> Model:
     return Model(list(coded), codes, n, tables)
 
 
+@lru_cache(maxsize=1)
+def fitted(samples: tuple[tuple[str, str], ...], model_bytes: int) -> Model:
+    """fit(), once in a worker: samples travel, tables don't."""
+    return fit(dict(samples), model_bytes)
+
+
 @cache
 def letters() -> np.ndarray:
     """Which code points are letters."""
@@ -191,18 +197,19 @@ def identify(docs: DataFrame, labelled: DataFrame, *, sample_chars: int = SAMPLE
     and code points of the normalised text: chars / phrases is the mean length of a match).
 
     labelled (text, lang) is what the languages are learned from: about sample_chars code points of each, in pieces
-    of piece_chars, in tables of model_bytes together. A prediction reads the text alone, and all of it. Null
+    of piece_chars, in tables of model_bytes together. The sample goes to the workers, each of which builds its tables once. A prediction reads the text alone, and all of it. Null
     text or text without a letter: `und`, score 0. Without any labelled text all is `und`. Ties go to the
     language first in code-point order. Every row is scored; equal texts get equal results; empty tables give
     empty results. Columns named as the new ones are replaced.
     """
     docs = docs.drop("lang_pred", "score", "phrases", "symbols", "chars")
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample_texts(labelled, sample_chars, piece_chars), model_bytes))
+    samples = tuple(sorted(sample_texts(labelled, sample_chars, piece_chars).items()))
 
     @F.pandas_udf(RESULT)
     def lang(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = fitted(samples, model_bytes)
         for batch in batches:
-            yield pd.concat([predict(part, model.value) for part in slices(list(batch))] or [predict([], model.value)], ignore_index=True)
+            yield pd.concat([predict(part, model) for part in slices(list(batch))] or [predict([], model)], ignore_index=True)
 
     return docs.withColumn("__l", lang(F.col("text"))).select("*", "__l.*").drop("__l")
 
