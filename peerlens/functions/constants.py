@@ -62,10 +62,14 @@ RATES = {
     "take_on_success_pct": ("take_ons_won", "take_ons"),
     "pressure_success_pct": ("successful_pressures", "pressures"),
     "aerial_duel_win_pct": ("aerial_duels_won", "aerial_duels"),
-    "gk_save_pct": ("gk_saves", "gk_shots_faced"),
     "gk_pass_completion_pct": ("gk_passes_completed", "gk_passes"),
 }
 
+# Saves in percent of saves and goals conceded.
+SAVE_PCT = ("gk_saves", "gk_goals_conceded")
+NOT_PER_90 = ("minutes", "minutes_elapsed", "appearances", "starts")
+POSITION_SECOND_SHARE, POSITION_SECOND_MINUTES, POSITION_SURE_MINUTES, POSITION_SURE_SHARE = 0.2, 270.0, 900.0, 0.5
+
 # Match events.
 GOAL = (120.0, 40.0)
 BOX = (102.0, 18.0, 62.0)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import RATES
+from ..functions import constants as C
+from ..functions.constants import NOT_PER_90, RATES, SAVE_PCT
+from ..functions.storage import written
 from ..functions.stats import per_90, ratio_pct
 
 
@@ -19,34 +21,68 @@ def roll_up(rows: DataFrame, keys: list[str], subkey: str, sums: dict[str, Colum
     return out.withColumns({n: ratio_pct(F.col(a), F.col(b)) for n, (a, b) in rates.items()})
 
 
-def season_aggregate(appearances: DataFrame, stats: DataFrame) -> dict[str, DataFrame]:
-    """team_stats, season_stats, positions from appearances (player_id, season_id, team_id, minutes, minutes_elapsed,
-    started, yellow_cards, red_card, minutes_by_position map<string,double>) and stats (player_id, season_id,
-    team_id, code, value)."""
-    keys = ["player_id", "season_id", "team_id"]
-    a = appearances.groupBy(*keys).agg(
-        F.sum("minutes").alias("minutes"),
-        F.sum("minutes_elapsed").alias("minutes_elapsed"),
-        F.count_if(F.col("minutes") > 0).cast("double").alias("appearances"),
-        F.count_if(F.col("started")).cast("double").alias("starts"),
-        F.sum("yellow_cards").cast("double").alias("yellow_cards"),
-        F.count_if(F.col("red_card")).cast("double").alias("red_cards"),
-    )
-    playing = a.unpivot(keys, ["minutes", "minutes_elapsed", "appearances", "starts", "yellow_cards", "red_cards"], "code", "value")
-    team = stats.groupBy(*keys, "code").agg(F.sum("value").alias("value")).unionByName(playing)
-    season = team.groupBy("player_id", "season_id", "code").agg(F.sum("value").alias("value"))
-    minutes = lambda ids: a.groupBy(*ids).agg(F.sum("minutes").alias("minutes"))
+PLAYING = ("minutes", "minutes_elapsed", "appearances", "starts", "yellow_cards", "red_cards")
+
 
-    def finished(long: DataFrame, ids: list[str]) -> DataFrame:
-        halves = {code for pair in RATES.values() for code in pair}
-        sums = long.filter(F.col("code").isin(sorted(halves))).groupBy(*ids).agg(*[F.sum(F.when(F.col("code") == c, F.col("value"))).alias(c) for c in sorted(halves)])
-        rates = sums.select(*ids, *[ratio_pct(F.coalesce(F.col(n), F.lit(0.0)), F.col(d)).alias(code) for code, (n, d) in RATES.items()])
-        rates = rates.unpivot(ids, list(RATES), "code", "value").filter("value is not null").withColumn("is_rate", F.lit(True))
-        both = long.withColumn("is_rate", F.lit(False)).unionByName(rates)
-        counted = ~F.col("is_rate") & ~F.col("code").isin("minutes", "minutes_elapsed", "appearances", "starts")
-        return both.join(minutes(ids), ids, "left").withColumn("per90", F.when(counted, F.round(per_90(F.col("value"), F.col("minutes")), 5)))
+def season_base(appearances: DataFrame, stats: DataFrame) -> DataFrame:
+    """player_id, season_id, team_id, code, value: sums of what was played and done, written once for all season tables.
 
-    return {"team_stats": finished(team, keys), "season_stats": finished(season, ["player_id", "season_id"]), "positions": positions(map_sum(appearances, ["player_id", "season_id"], "minutes_by_position"))}
+    Each appearance is six codes and each statistic one; both are summed in the task before they meet by key.
+    """
+    keys = ["player_id", "season_id", "team_id"]
+    played = {
+        "minutes": F.col("minutes").cast("double"),
+        "minutes_elapsed": F.col("minutes_elapsed").cast("double"),
+        "appearances": (F.col("minutes") > 0).cast("double"),
+        "starts": F.col("started").cast("double"),
+        "yellow_cards": F.col("yellow_cards").cast("double"),
+        "red_cards": F.col("red_card").cast("double"),
+    }
+    codes = F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.coalesce(played[c], F.lit(0.0)).alias("value")) for c in PLAYING])).alias("c")
+    long = appearances.select(*keys, codes).select(*keys, "c.*").unionByName(stats.select(*keys, "code", F.col("value").cast("double").alias("value")))
+    return written(long.groupBy(*keys, "code").agg(F.sum("value").alias("value")), "season-base")
+
+
+def _with_rates(base: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, code, value, is_rate, minutes, appearances: sums of base and the rates out of them; no rate without a denominator."""
+    needed = sorted({c for pair in RATES.values() for c in pair} | {*SAVE_PCT, "minutes", "appearances"})
+    wide = base.groupBy(*ids).agg(*[F.coalesce(F.sum(F.when(F.col("code") == c, F.col("value"))), F.lit(0.0)).alias(c) for c in needed])
+    saves, conceded = (F.col(c) for c in SAVE_PCT)
+    rates = {n: ratio_pct(F.col(a), F.col(b)) for n, (a, b) in RATES.items()} | {"gk_save_pct": ratio_pct(saves, saves + conceded)}
+    of = wide.select(*ids, F.col("minutes").alias("__m"), F.col("appearances").alias("__a"), *[c.alias(n) for n, c in rates.items()])
+    long = of.unpivot([*ids, "__m", "__a"], list(rates), "code", "value").filter("value is not null").withColumn("is_rate", F.lit(True))
+    sums = base.groupBy(*ids, "code").agg(F.sum("value").alias("value")).withColumn("is_rate", F.lit(False)).join(of.select(*ids, "__m", "__a"), ids)
+    return sums.unionByName(long).withColumnsRenamed({"__m": "minutes", "__a": "appearances"})
+
+
+def season_tables(appearances: DataFrame, stats: DataFrame, *, run: str, timestamp: Column) -> dict[str, DataFrame]:
+    """The four tables of a season: team_stats, season_stats, observations and positions.
+
+    appearances: player_id, season_id, team_id, match_id, day, minutes, minutes_elapsed, started, yellow_cards, red_card,
+    minutes_by_position (map of code to minutes), source_id. stats: player_id, season_id, team_id, code, value. Rates are
+    made of sums, never averaged, at both levels; values have 4 decimals, minutes 2, per90 5. A player's source is that
+    of the last appearance. run names the observations' run, timestamp is when their source was read. Empty inputs give
+    empty tables; players with statistics but no appearance have no source and minutes of 0.
+    """
+    ids = ["player_id", "season_id"]
+    base = season_base(appearances, stats)
+    source = appearances.groupBy(*ids).agg(F.max(F.struct("day", "match_id", "source_id"))["source_id"].alias("source_id"))
+
+    def rounded(df: DataFrame) -> DataFrame:
+        return df.withColumns({"value": F.round("value", 4), "minutes": F.round("minutes", 2), "appearances": F.col("appearances").cast("int")})
+
+    team = rounded(_with_rates(base, [*ids, "team_id"]).drop("is_rate")).join(source, ids, "left")
+    season = _with_rates(base, ids)
+    counted = ~F.col("is_rate") & ~F.col("code").isin(*NOT_PER_90) & (F.col("minutes") > 0)
+    season = rounded(season.withColumn("per90", F.when(counted, F.round(per_90(F.col("value"), F.col("minutes")), 5)))).drop("is_rate").join(source, ids, "left")
+    season = season.withColumns({"resolution_rule": F.lit("single_source"), "has_conflict": F.lit(False)})
+    observations = season.select(
+        *ids, F.lit(None).cast(base.schema["team_id"].dataType).alias("team_id"), "code", "value", F.col("minutes").alias("minutes_basis"), "source_id",
+        timestamp.alias("source_timestamp"), F.lit("event_derived").alias("data_quality"), F.concat(F.lit("events (season "), F.col("season_id").cast("string"), F.lit(")")).alias("raw_ref"), F.lit(run).alias("run"),
+    )
+    by_code = map_sum(appearances, ids, "minutes_by_position").filter(~F.col("code").startswith("unknown"))
+    places = positions(by_code, C.POSITION_SECOND_SHARE, C.POSITION_SECOND_MINUTES).join(source, ids, "left")
+    return {"team_stats": team, "season_stats": season, "observations": observations, "positions": places}
 
 
 def map_sum(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -54,13 +90,17 @@ def map_sum(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     return rows.select(*keys, F.explode(column).alias("code", "value")).groupBy(*keys, "code").agg(F.sum("value").alias("value"))
 
 
-def positions(by_code: DataFrame, min_share: float = 0.2, min_minutes: float = 270) -> DataFrame:
-    """player_id, season_id, code, share, rank: primary position, and a secondary one of enough share and minutes."""
+def positions(by_code: DataFrame, min_share: float = C.POSITION_SECOND_SHARE, min_minutes: float = C.POSITION_SECOND_MINUTES) -> DataFrame:
+    """player_id, season_id, code, minutes, share, rank, confidence: primary position, and a secondary one of enough share
+    and minutes. Of equal shares the code last in order comes first. Confidence is high for 900 minutes and half of them
+    in the primary position, else medium."""
     keys = ["player_id", "season_id"]
-    total = F.sum("value").over(Window.partitionBy(*keys))
-    shared = by_code.filter("value > 0").withColumn("share", F.col("value") / total)
-    ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("share"), F.desc("code"))))
-    return ranked.filter((F.col("rank") == 1) | ((F.col("rank") == 2) & (F.col("share") >= min_share) & (F.col("value") >= min_minutes))).withColumnRenamed("value", "minutes")
+    everything = Window.partitionBy(*keys)
+    shared = by_code.filter("value > 0").withColumn("total", F.sum("value").over(everything)).withColumn("share", F.col("value") / F.col("total"))
+    sure = (F.col("total") >= C.POSITION_SURE_MINUTES) & (F.max("share").over(everything) >= C.POSITION_SURE_SHARE)
+    ranked = shared.withColumns({"rank": F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("share"), F.desc("code"))), "confidence": F.when(sure, "high").otherwise("medium")})
+    kept = ranked.filter((F.col("rank") == 1) | ((F.col("rank") == 2) & (F.col("share") >= min_share) & (F.col("value") >= min_minutes)))
+    return kept.drop("total").withColumnRenamed("value", "minutes")
 
 
 def latest_with_ties(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
+
 
 def asof_join(left: DataFrame, right: DataFrame, *, on: list[str], left_time: str, right_time: str, values: list[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Left rows with the values of the latest right row of the same keys whose time is not after theirs.
@@ -53,30 +55,59 @@ def trailing(rows: DataFrame, *, key: str, time: Column, days: int, aggregates:
     return rows.withColumn("__t", time.cast("long")).withColumns({n: a.over(w) for n, a in aggregates.items()}).drop("__t")
 
 
-def expanding_median(values: DataFrame, *, time: str, year: str, value: str, at: DataFrame, at_time: str, at_year: str, minimum: float = 0.0, bins: int = 256) -> DataFrame:
+def _numbered_values(values: DataFrame, bins: int) -> DataFrame:
+    """y, v, place: the distinct values of each year numbered from 0 in order. Bins, cut by approximate percentiles, are
+    numbered apart and set off by the bins before them, so that a year is many tasks."""
+    v = values.select("y", "v").distinct()
+    cuts = v.groupBy("y").agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 10000).alias("c"))  # one row a year
+    v = v.join(F.broadcast(cuts), "y").withColumn("b", F.size(F.filter("c", lambda c: c < F.col("v")))).drop("c")
+    sizes = v.groupBy("y", "b").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("y").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("y", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("o"))
+    place = F.col("o") + F.row_number().over(Window.partitionBy("y", "b").orderBy("v")) - 1
+    return v.join(F.broadcast(offsets), ["y", "b"]).select("y", "v", place.alias("place"))  # bins rows a year
+
+
+def expanding_median(values: DataFrame, *, time: str, year: str, value: str, at: DataFrame, at_time: str, at_year: str, minimum: float = 0.0, bins: int = 256, parts: int = 64) -> DataFrame:
     """at + median_before and n_before: of value in at's year over rows strictly before at's time.
 
-    Found once per distinct (year, time): counts per bin of values, running along time, say which bin holds each middle
-    rank; only that bin's pre-counted values are then ranked. Bins are cut per year by approximate percentiles, which
-    decide the work and not the result; two bins at least.
+    The middle ranks are found digit by digit. Values are numbered in order within their year; a pass over one digit of
+    the numbers, from the highest, sums along time how many earlier values have each digit below the digits found so
+    far, and an asked time takes the digit that holds its rank. So a pass costs a row per value and asked time, there are
+    as many passes as the count of values has digits (of 4 bits), and nothing grows with their product. Time is cut
+    into `parts` a year that are summed apart, so the first pass, in which all of a year share a prefix, is many tasks.
     """
-    y, t = F.col(year).alias("__y"), F.col(time).alias("__t")
-    v = values.filter(F.col(value) >= minimum).select(y, t, F.col(value).cast("double").alias("__v")).filter("__y is not null and __t is not null")
-    v = v.groupBy("__y", "__t", "__v").agg(F.count("*").alias("__n"))
-    cuts = v.groupBy("__y").agg(F.percentile_approx("__v", [i / bins for i in range(1, bins)], 10000).alias("__c"))  # one row a year
-    v = v.join(F.broadcast(cuts), "__y").withColumn("__b", F.size(F.filter("__c", lambda c: c < F.col("__v")))).drop("__c")
-    asked = at.select(F.col(at_year).alias("__y"), F.col(at_time).alias("__t")).distinct().filter("__y is not null and __t is not null")
-    counts = v.groupBy("__y", "__t", "__b").agg(F.sum("__n").alias("__n")).withColumn("__side", F.lit(1))
-    marks = asked.select("__y", "__t", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("__b"), F.lit(0).cast("long").alias("__n"), F.lit(0).alias("__side"))
-    along = Window.partitionBy("__y", "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)  # asked rows come before values of their time
-    within = counts.unionByName(marks).withColumn("__n", F.sum("__n").over(along)).filter("__side = 0 and __n > 0")
-    day = Window.partitionBy("__y", "__t")
-    within = within.withColumns({"__all": F.sum("__n").over(day), "__below": F.sum("__n").over(day.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")})
-    ranks = F.array(F.expr("(__all - 1) div 2"), F.expr("__all div 2"))
-    middle = within.select("__y", "__t", "__b", "__all", "__below", "__n", F.posexplode(ranks).alias("__i", "__r")).filter("__r >= __below and __r < __below + __n")
-    middle = middle.select("__y", F.col("__t").alias("__at"), "__b", "__all", "__i", (F.col("__r") - F.col("__below")).alias("__r"))
-    near = middle.join(v, ["__y", "__b"]).filter("__t < __at").groupBy("__y", "__at", "__all", "__i", "__r", "__v").agg(F.sum("__n").alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy("__y", "__at", "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    found = near.withColumn("__upto", upto).filter("__upto > __r").groupBy("__y", "__at", "__i", "__all").agg(F.min("__v").alias("__v"))
-    found = found.groupBy("__y", "__at").agg(F.avg("__v").alias("median_before"), F.max("__all").alias("n_before"))
-    return at.join(found, (F.col("__y") == F.col(at_year)) & (F.col("__at") == F.col(at_time)), "left").drop("__y", "__at")
+    y, t = F.col(year).alias("y"), F.col(time).alias("t")
+    v = values.filter(F.col(value) >= minimum).select(y, t, F.col(value).cast("double").alias("v")).filter("y is not null and t is not null")
+    v = written(v.groupBy("y", "t", "v").agg(F.count("*").alias("n")), "median-values")
+    numbers = written(_numbered_values(v, bins), "median-numbers")
+    cuts = F.broadcast(v.groupBy("y").agg(F.percentile_approx("t", [i / parts for i in range(1, parts)], 10000).alias("c")))  # one row a year
+    asked = at.select(F.col(at_year).alias("y"), F.col(at_time).alias("t")).distinct().filter("y is not null and t is not null")
+    in_part = lambda x: x.join(cuts, "y").withColumn("part", F.size(F.filter("c", lambda c: c < F.col("t")))).drop("c")
+    none = F.lit(None).cast("long")
+    held = in_part(v.join(numbers, ["y", "v"])).select("y", "part", "t", F.lit(1).alias("side"), "place", "n", none.alias("i"), none.alias("r"), none.alias("all"))
+    asks = in_part(asked).select("y", "part", "t", F.lit(0).alias("side"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("n"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("i"), none.alias("r"), none.alias("all"))
+    most = numbers.agg(F.max("place").alias("m")).first()["m"] or 0
+    rows = written(held.unionByName(asks), "median-rows")
+    for shift in range(4 * max(0, (most.bit_length() - 1) // 4), -1, -4):
+        # Above the shift, places of values are whole; those of asked times are what has been found.
+        prefix, digit = F.shiftright("place", shift + 4), F.shiftright("place", shift).bitwiseAND(F.lit(15))
+        x = rows.withColumns({"prefix": prefix, "digit": digit})
+        of_digit = [F.coalesce(F.sum(F.when(F.col("digit") == d, F.col("n"))), F.lit(0)).alias(f"d{d}") for d in range(16)]
+        per = x.groupBy("y", "prefix", "part").agg(*of_digit)
+        earlier = Window.partitionBy("y", "prefix").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+        carried = per.select("y", "prefix", "part", F.array(*[F.coalesce(F.sum(f"d{d}").over(earlier), F.lit(0)) for d in range(16)]).alias("before"))
+        along = Window.partitionBy("y", "prefix", "part").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)  # asked rows come before values of their time
+        inside = F.array(*[F.coalesce(F.sum(F.when((F.col("digit") == d) & (F.col("side") == 1), F.col("n"))).over(along), F.lit(0)) for d in range(16)])
+        x = x.withColumn("inside", inside)
+        asks = x.filter("side = 0").join(carried, ["y", "prefix", "part"])
+        asks = asks.withColumn("counts", F.zip_with("inside", "before", lambda a, b: a + b)).withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c))
+        asks = asks.withColumns({"all": F.coalesce("all", "total"), "r": F.coalesce("r", F.when(F.col("i") == 0, F.expr("(total - 1) div 2")).otherwise(F.expr("total div 2")))}).filter(F.col("all") > 0)
+        upto = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.aggregate(F.slice("counts", F.lit(1), k), F.lit(0).cast("long"), lambda s, c: s + c))
+        asks = asks.withColumn("upto", upto).withColumn("d", F.size(F.filter("upto", lambda u: u <= F.col("r"))))
+        found = F.col("place") + F.shiftleft(F.col("d").cast("long"), shift)
+        asks = asks.select("y", "part", "t", "side", found.alias("place"), "n", "i", (F.col("r") - F.when(F.col("d") > 0, F.get("upto", F.col("d") - 1)).otherwise(F.lit(0))).alias("r"), "all")
+        rows = written(rows.filter("side = 1").unionByName(asks), "median-rows") if shift else asks
+    middle = rows.filter("side = 0").join(numbers, ["y", "place"]).groupBy("y", "t").agg(F.avg("v").alias("median_before"), F.max("all").alias("n_before"))
+    middle = middle.select(F.col("y").alias("__y"), F.col("t").alias("__at"), "median_before", "n_before")
+    return at.join(middle, (F.col("__y") == F.col(at_year)) & (F.col("__at") == F.col(at_time)), "left").drop("__y", "__at")

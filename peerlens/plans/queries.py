@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions import text as T
 from ..functions.stats import P_CLIP, inverse_normal_sql
 from ..operators import aggregates, identity, percentiles, profiles, quality_scan, sequence, similarity, strength, temporal, value_model
@@ -120,10 +121,13 @@ def rank_normal_z(spark, d):
     return profiles.rank_normal(x, ["pool"], "v").select("p_partkey", F.round("z", 9).alias("z"))
 
 
-@query("""select c_mktsegment as pool, unnest([0, 5, 10, 15, 20])::bigint as i, unnest([quantile_cont(round(c_acctbal)::double, 0.0), quantile_cont(round(c_acctbal)::double, 0.25), quantile_cont(round(c_acctbal)::double, 0.5), quantile_cont(round(c_acctbal)::double, 0.75), quantile_cont(round(c_acctbal)::double, 1.0)]) as q from customer group by 1""")
+_GRID = ", ".join(f"quantile_cont(round(c_acctbal)::double, {i / 20})" for i in range(21))
+
+
+@query(f"""select c_mktsegment as pool, unnest(range(21))::bigint as i, unnest([{_GRID}]) as q from customer group by 1""".replace("unnest([", "round(unnest([").replace("]) as q", "]), 5) as q"))
 def quantile_grid(spark, d):
     x = table(spark, d, "customer").select(F.col("c_mktsegment").alias("pool"), F.round("c_acctbal").alias("v"))
-    return profiles.quantile_grid(x, ["pool"], "v").select("pool", F.posexplode("grid").alias("i", "q")).filter("i % 5 = 0").select("pool", F.col("i").cast("long").alias("i"), "q")
+    return profiles.quantile_grid(x, ["pool"], "v").select("pool", F.posexplode("grid").alias("i", "q")).select("pool", F.col("i").cast("long").alias("i"), "q")
 
 
 LAYOUT = "one A:1.0 N:1.5\ntwo R:0.5 X:1.0"
@@ -131,12 +135,12 @@ LAYOUT = "one A:1.0 N:1.5\ntwo R:0.5 X:1.0"
 
 @query("""with s as (select l_suppkey as id, l_returnflag as code, (count(*) / 8.0)::double as z from lineitem group by all),
  w as (select id, max(z) filter (code = 'A') as a, max(z) filter (code = 'N') as n, max(z) filter (code = 'R') as r from s group by 1)
- select id, coalesce(a, 0.0::double) as v0, coalesce(n, 0.0::double) as v1, coalesce(r, 0.0::double) as v2, 0.0::double as v3, 0.0::double as v7,
+ select id, coalesce(a, 0.0::double) as v0, coalesce(n, 0.0::double) as v1, coalesce(r, 0.0::double) as v2, 0.0::double as v3, 0.0::double as v4, 0.0::double as v5, 0.0::double as v6, 0.0::double as v7,
  round(((a is not null)::int * 1.0 + (n is not null)::int * 1.5 + (r is not null)::int * 0.5)::double / 4.0, 3) as completeness from w""")
 def profile_vector_pivot(spark, d):
     z = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id"), F.col("l_returnflag").alias("code")).agg((F.count("*") / 8.0).alias("z"))
     v = profiles.profile_vectors(z, ["id"], LAYOUT, 8)
-    return v.select("id", *[F.get("vector", F.lit(i)).alias(f"v{i}") for i in (0, 1, 2, 3, 7)], "completeness")
+    return v.select("id", *[F.get("vector", F.lit(i)).alias(f"v{i}") for i in range(8)], "completeness")
 
 
 LEAGUES = """with l as (select n_regionkey::varchar as gender, s_suppkey % 3 as year, n_name as country, (s_suppkey % 5)::bigint as tier, max(s_acctbal) as points
@@ -210,10 +214,16 @@ def similarity_supporting(spark, d):
     return similarity.vector_supporting_all(e, targets, _dimensions(e)[0], limits=(1.2, 1.5), **by)
 
 
-@query("""with t(a, b, v) as (values ('LB', 'RB', 0.85::double), ('CB', 'DM', 0.5), ('ST', 'SS', 0.8), ('GK', 'CB', 0.0), ('LB', 'ST', 0.1), ('AM', 'AM', 1.0)) select a, b, v from t""")
+_PLACES_SQL = "[" + ", ".join(f"'{p}'" for p in C.POSITIONS) + "]"
+_PAIRS_SQL = ", ".join(f"('{a}', '{b}', {v}::double)" for a, b, v in C.compatibility_pairs())
+
+
+@query(f"""with c(a, b, v) as (values {_PAIRS_SQL}), p as (select p_partkey as id, {_PLACES_SQL}[1 + p_partkey % 13] as a, {_PLACES_SQL}[1 + p_size % 13] as b from part)
+ select id, p.a, p.b, case when p.a = p.b then 1.0 when p.a = 'GK' or p.b = 'GK' then 0.0 else coalesce(v, 0.1) end::double as v from p left join c on p.a = c.a and p.b = c.b""")
 def positional_compatibility(spark, d):
-    wanted = F.struct("a", "b").isin(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("LB", "RB"), ("CB", "DM"), ("ST", "SS"), ("GK", "CB"), ("LB", "ST"), ("AM", "AM"))])
-    return similarity.compatibility_table(spark).filter(wanted).select("a", "b", F.col("value").alias("v"))
+    place = lambda n: F.get(F.array(*map(F.lit, C.POSITIONS)), (n % 13).cast("int"))
+    x = table(spark, d, "part").select(F.col("p_partkey").alias("id"), place(F.col("p_partkey")).alias("a"), place(F.col("p_size")).alias("b"))
+    return x.join(F.broadcast(similarity.compatibility_table(spark)), ["a", "b"]).select("id", "a", "b", F.col("value").alias("v"))  # 169 rows
 
 
 @query("""with x as (select c_custkey as id, 0.35 * least(1.0, least(1500.0, c_custkey::double) / 1800.0) + 0.25 * 0.8 + 0.2 * least(1.0, (c_custkey % 150)::double / 100.0) + 0.2 * case c_nationkey % 4 when 0 then 1.0 when 1 then 0.7 when 2 then 0.4 else 0.3 end as s from customer)
@@ -270,10 +280,8 @@ def expanding_median_index(spark, d):
 
 
 # Names that earlier results are known by.
+# Earlier names of these whole-table searches.
 vector_knn_all, category_similarity_all, similarity_supporting_all, expanding_median_all = vector_knn, category_similarity, similarity_supporting, expanding_median_index
-for _name in ("vector_knn", "category_similarity", "similarity_supporting"):
-    QUERIES[f"{_name}_all"], ORACLE_SQL[f"{_name}_all"] = QUERIES[_name], ORACLE_SQL[_name]
-QUERIES["expanding_median_all"], ORACLE_SQL["expanding_median_all"] = expanding_median_index, ORACLE_SQL["expanding_median_index"]
 
 
 @query("""with o as (select year(o_orderdate)::bigint as year, round(o_totalprice)::double as fee from orders where o_totalprice >= 1000), m as (select year, median(fee) as m from o group by 1) select year, m / (select m from m where year = 1998) as index from m""")

@@ -17,10 +17,28 @@ def _match_of(path) -> F.Column:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """One JSON array of events per match; the file's name is the match."""
-    bare = ", ".join(x for x in EVENT_SCHEMA.strip().split(",\n") if x) if False else EVENT_SCHEMA.replace("match_id long,", "", 1)
+    bare = EVENT_SCHEMA.replace("match_id long,", "", 1)
     return spark.read.schema(bare).json(path, multiLine=True).withColumn("match_id", _match_of(F.col("_metadata.file_name")))
 
 
+def read_listed(spark: SparkSession, root: str, schema: str, listing: DataFrame, keys: tuple[str, ...] = ("competition_id", "season_id", "match_id"), *, file_format: str = "json", **options) -> DataFrame:
+    """Rows of the files under root that a listing names: key columns, then those of schema.
+
+    Files lie in folders of the keys (competition_id=9/season_id=27/match_id=1/...), which are part of each row. The listing
+    (one row per key, filtered as one likes) is the small side of a join on them, so Spark reads it first and prunes
+    the files by its keys (dynamic partition pruning): what the listing leaves out isn't opened. Keys of the listing
+    without files give nothing; repeated ones give each row once.
+    """
+    found = spark.read.schema(", ".join([*(f"{k} long" for k in keys), schema])).format(file_format).options(**options).load(root)
+    wanted = listing.select(*[F.col(k).cast("long").alias(k) for k in keys]).distinct()
+    return found.join(F.broadcast(wanted), list(keys), "left_semi").select(*keys, *[c for c in found.columns if c not in keys])
+
+
+def available_matches(listing: DataFrame, competition_id: int, season_id: int) -> DataFrame:
+    """competition_id, season_id, match_id of the season's matches that have data."""
+    return listing.filter((F.col("competition_id") == competition_id) & (F.col("season_id") == season_id) & (F.col("match_status") == "available")).select("competition_id", "season_id", "match_id")
+
+
 def read_lineups(spark: SparkSession, path: str) -> DataFrame:
     """A row per player and position segment; players without one keep a row of nulls."""
     teams = spark.read.schema(LINEUP).json(path, multiLine=True).withColumn("match_id", _match_of(F.col("_metadata.file_name")))

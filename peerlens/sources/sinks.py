@@ -1,4 +1,4 @@
-"""Writes: upsert, replace, append, insert-if-absent, dimension keys, job log."""
+"""Writes: upsert, replace, append, insert-if-absent, dimension keys, season tables."""
 
 from __future__ import annotations
 
@@ -40,5 +40,11 @@ def get_or_create(dimension: DataFrame, incoming: DataFrame, natural: str, key:
     return dimension.select(key, natural).unionByName(new.select(F.xxhash64(natural).alias(key), natural))
 
 
-def job_row(name: str, read: int, written: int, failed: list[str]) -> tuple:
-    return (name, "succeeded" if not failed else "partial" if written else "failed", read, written, failed)
+def write_season_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Write what `season_tables` returns under folder: seasons of the derived tables are replaced, observations are added.
+
+    Observations lie by run, and a run that is written again replaces itself, so a repeated job adds nothing twice.
+    """
+    for name in ("team_stats", "season_stats", "positions"):
+        replace_partitions(tables[name], f"{folder}/{name}", ["season_id"])
+    replace_partitions(tables["observations"], f"{folder}/observations", ["run"])
