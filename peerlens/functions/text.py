@@ -19,11 +19,42 @@ _TO = "OoLlDdDdiTt"
 _TWO = {"ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe"}
 
 
+# Letters of other scripts, as they are after decomposition, and what they are written as.
+CYRILLIC = """
+А A Б B В V Г G Д D Е E Ж Zh З Z И I К K Л L М M Н N О O П P Р R С S Т T У U Ф F Х Kh Ц Ts Ч Ch Ш Sh Щ Shch Ъ ' Ы Y Ь ' Э E Ю Iu Я Ia
+Ђ Dj Є Ie Ѕ Dz І I Ј J Љ Lj Њ Nj Ћ Tsh Џ Dzh Ґ G
+"""
+GREEK = "Α A Β B Γ G Δ D Ε E Ζ Z Η E Θ Th Ι I Κ K Λ L Μ M Ν N Ξ X Ο O Π P Ρ R Σ S Τ T Υ U Φ Ph Χ Kh Ψ Ps Ω O"
+# Hangul syllables decompose into an initial, a vowel and a final, each in an alphabet of its own, in these orders.
+HANGUL = (
+    (0x1100, "g gg n d dd r m b bb s ss - j jj c k t p h"),
+    (0x1161, "a ae ya yae eo e yeo ye o wa wae oe yo u weo we wi yu eu yi i"),
+    (0x11A8, "g gg gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h"),
+)
+
+
+@lru_cache(maxsize=1)
+def letter_table() -> dict[int, str]:
+    """Code points of decomposed text with their ASCII form: letters that have no marks to lose, and three other scripts.
+
+    Code points without an entry that aren't ASCII go: marks, and scripts that aren't listed (kana, Arabic, Hebrew, Han).
+    """
+    table = str.maketrans(_FROM, _TO) | {ord(k): v for k, v in _TWO.items()}
+    for listed in (CYRILLIC, GREEK):
+        words = listed.split()
+        for letter, form in zip(words[::2], words[1::2], strict=True):
+            table |= {ord(letter): form, ord(letter.lower()): form.lower()}
+    table[ord("ς")] = "s"
+    for first, forms in HANGUL:
+        table |= {first + i: form.replace("-", "") for i, form in enumerate(forms.split())}
+    return table
+
+
 @F.pandas_udf(T.StringType())
 def to_ascii(names: pd.Series) -> pd.Series:
-    """Letters without marks; what has no ASCII form goes."""
-    table = str.maketrans(_FROM, _TO) | {ord(k): v for k, v in _TWO.items()}
-    return names.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x.translate(table)).encode("ascii", "ignore").decode())
+    """Letters without marks; Cyrillic, Greek and Hangul in Latin letters; what has no ASCII form goes."""
+    table = letter_table()
+    return names.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).translate(table).encode("ascii", "ignore").decode())
 
 
 def squeeze_name(ascii_name: Column) -> Column:
@@ -88,16 +119,23 @@ def timestamp_seconds(ts: Column) -> Column:
     return F.get(p, F.lit(0)).cast("int") * 3600 + F.get(p, F.lit(1)).cast("int") * 60 + F.get(p, F.lit(2)).cast("double")
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a bit per place of a, all moved at once for each character of b."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every = free = (1 << len(a)) - 1
+    for c in b:
+        at = free & places.get(c, 0)
+        free = ((free + at) | (free - at)) & every
+    return len(a) - free.bit_count()
+
+
 def _indel_ratio(a: str, b: str) -> float:
     """100 * 2 * common subsequence / sum of lengths."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 100.0 * 2 * row[-1] / (len(a) + len(b))
+    return 100.0 * 2 * common_length(a, b) / (len(a) + len(b))
 
 
 @lru_cache(maxsize=1 << 16)  # pairs of names recur; a bounded number of them is kept per worker

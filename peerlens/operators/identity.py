@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.constants import CLUB_STOP_WORDS, RESERVE_SIDES
 from ..functions.text import normalize_name, token_set_similarity
@@ -16,29 +23,87 @@ def exact_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
     return l.join(r, ["block", "name"]).groupBy("left_id", "right_id").agg(F.count("*").alias("overlap"))
 
 
-def _compare_keys(names: DataFrame, side: str, threshold: float) -> DataFrame:
-    """A row per key of each name, so that any two names which reach the threshold have a key in common.
+RANKED_PAIRS = 100_000
+
+
+def _pair_ranks(*sides: DataFrame) -> dict[str, int]:
+    """How common letter pairs are among all names, as ranks from 1: the RANKED_PAIRS most common ones, which bounds what comes
+    to the driver. Pairs without a rank count as rarest; the ranks decide the work and not the result."""
+    names = reduce(DataFrame.unionAll, [s.select("name") for s in sides])
+    counted = names.select(F.explode(letter_pairs(F.col("name"))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    top = counted.orderBy(F.desc("n"), "g").limit(RANKED_PAIRS).collect()
+    return {r["g"]: len(top) - i for i, r in enumerate(top)}
+
+
+def _name_words(name: str) -> list[str]:
+    return list(dict.fromkeys(w for w in re.split(r"\s+", name) if w))
+
+
+def _numbered_pairs(words: list[str]) -> list[str]:
+    """The letter pairs of words set between blanks, each with the number of times it came before."""
+    seen: Counter = Counter()
+    out = []
+    for w in words:
+        padded = f" {w} "
+        for i in range(len(w) + 1):
+            g = padded[i : i + 2]
+            out.append(f"{g}{seen[g]}")
+            seen[g] += 1
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def letter_pairs(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: _numbered_pairs(_name_words(n)))
+
+
+def _compare_keys(names: DataFrame, side: str, threshold: float, ranks: dict[str, int]) -> DataFrame:
+    """A row per key of each name (id, block, name), so that any two names which reach the threshold have a key in common.
 
     Two ways lead there. Either common words make up nearly all of one name: then one of its longest words, taken until
     those left out would cost too much, is a word of the other. Or both names, as words in any order, are near: then few
-    of their letter pairs differ, each word counted with a blank at both ends, and in any fixed order of all letter
-    pairs the first ones of both, one more than can differ, have one in common (a prefix filter).
+    of their letter pairs differ, each word counted with a blank at both ends, and in one order of all letter pairs,
+    the rarest first, the first ones of both, one more than can differ, have one in common (a prefix filter). Names that
+    are near have lengths of the same class or of neighbouring ones, which is part of these keys: left names have their
+    own class, right ones those on either side too, so names of other lengths never meet.
     """
     cut = (2 - 2 * threshold) / (2 - threshold)  # the share of a name's characters that can be missing in the other
-    name = F.col(f"{side}_name")
-    words = F.array_distinct(F.filter(F.split(name, r"\s+"), lambda w: w != ""))
-    x = names.withColumn("w", words).withColumn("size", F.length(F.concat_ws(" ", "w"))).filter("size > 0")
-    by_length = F.transform(F.sort_array(F.transform("w", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
-    spent = lambda a, i: F.aggregate(F.slice(a, F.lit(1), i), F.lit(0), lambda t, w: t + F.length(w) + 1)
-    x = x.withColumn("l", by_length).withColumn("cover", F.filter("l", lambda w, i: spent(F.col("l"), i) <= cut * F.col("size") + 1e-9))
-    pairs = F.flatten(F.transform("w", lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(2)))))
-    x = x.withColumn("g", F.sort_array(pairs))
-    numbered = F.transform("g", lambda g, i: F.concat(g, F.size(F.filter(F.slice("g", F.lit(1), i), lambda y: y == g)).cast("string")))
-    first = F.slice(F.sort_array(F.transform(numbered, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), F.lit(1), F.floor(2 * cut * F.col("size") + 1e-9).cast("int") + 1)
-    mine, theirs = ("a", "b") if side == "left" else ("b", "a")
-    tagged = lambda tag, a: F.transform(a, lambda k: F.concat(F.lit(tag), k))
-    keys = F.concat(tagged(mine, F.col("cover")), tagged(theirs, F.col("w")), tagged("g", F.transform(first, lambda s: s["g"])))
-    return x.select(f"{side}_id", "block", f"{side}_name", F.col("size").alias(f"{side}_size"), F.explode(F.array_distinct(keys)).alias("k"))
+    ratio = math.log((2 - threshold) / threshold)  # of the lengths of two near names, at most
+    left = side == "left"
+    mine, theirs = ("a", "b") if left else ("b", "a")
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def keys(of: pd.Series) -> pd.Series:
+        out = []
+        for name in of:
+            words = _name_words(name)
+            size = len(" ".join(words))
+            found = {theirs + w for w in words}
+            left_out = 0
+            for w in sorted(words, key=lambda w: (-len(w), w)):
+                if left_out > cut * size + 1e-9:
+                    break
+                found.add(mine + w)
+                left_out += len(w) + 1
+            if size:
+                first = sorted(_numbered_pairs(words), key=lambda g: (ranks.get(g, 0), g))[: int(2 * cut * size + 1e-9) + 1]
+                at = int(math.log(size) / ratio) if ratio else size
+                classes = (at,) if left else (at - 1, at, at + 1)
+                found |= {f"g{c} {g}" for c in classes for g in first}
+            out.append(sorted(found))
+        return pd.Series(out)
+
+    x = names.select(F.col("id").alias(f"{side}_id"), "block", F.col("name").alias(f"{side}_name"))
+    return x.withColumn(f"{side}_size", F.length(F.concat_ws(" ", F.array_distinct(F.filter(F.split(f"{side}_name", r"\s+"), lambda w: w != ""))))).withColumn("k", F.explode(keys(f"{side}_name")))
+
+
+def _near_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """left_id, right_id, score of the names (id, block, name) of a block that reach the threshold; each pair of names is scored once."""
+    ranks = _pair_ranks(left, right)
+    near = F.least("left_size", "right_size") * (2 - threshold) >= F.greatest("left_size", "right_size") * threshold - 1e-9
+    pairs = _compare_keys(left, "left", threshold, ranks).join(_compare_keys(right, "right", threshold, ranks), ["block", "k"])
+    pairs = pairs.filter(~F.col("k").startswith("g") | near).select("left_id", "right_id", "left_name", "right_name").distinct()
+    return pairs.withColumn("score", token_set_similarity(F.col("left_name"), F.col("right_name"))).filter(F.col("score") >= threshold).select("left_id", "right_id", "score")
 
 
 def fuzzy_best(left: DataFrame, right: DataFrame, *, threshold: float = 0.9) -> DataFrame:
@@ -47,14 +112,8 @@ def fuzzy_best(left: DataFrame, right: DataFrame, *, threshold: float = 0.9) ->
     Exact for every pair of names of a block, without multiplying it out: see _compare_keys for what candidates share.
     A key that much of a large block holds is split by the skew join; each pair is scored once.
     """
-
-    def keys(df: DataFrame, side: str) -> DataFrame:
-        n = df.select(F.col("id").alias(f"{side}_id"), "block", F.explode(F.array_distinct("names")).alias(f"{side}_name")).filter(F.col(f"{side}_name") != "")
-        return _compare_keys(n, side, threshold)
-
-    near = F.least("left_size", "right_size") * (2 - threshold) >= F.greatest("left_size", "right_size") * threshold - 1e-9
-    pairs = keys(left, "left").join(keys(right, "right"), ["block", "k"]).filter(~F.col("k").startswith("g") | near).select("left_id", "right_id", "left_name", "right_name").distinct()
-    scored = pairs.withColumn("score", token_set_similarity(F.col("left_name"), F.col("right_name"))).groupBy("left_id", "right_id").agg(F.max("score").alias("score")).filter(F.col("score") >= threshold)
+    each = lambda df: df.select("id", "block", F.explode(F.array_distinct("names")).alias("name")).filter("name <> ''")
+    scored = _near_names(each(left), each(right), threshold).groupBy("left_id", "right_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
     top = F.max("score").over(Window.partitionBy("left_id"))
     return scored.withColumns({"n_best": F.count(F.when(F.col("score") == top, 1)).over(Window.partitionBy("left_id").orderBy(F.desc("score"))), "r": F.row_number().over(w)}).filter("r = 1").drop("r")
@@ -71,12 +130,11 @@ def resolve_clubs(teams: DataFrame, listed: DataFrame, *, stop_words: tuple[str,
     words = F.filter(F.split("name", " "), lambda w: ~w.isin(*stop_words) & (w != ""))
     wanted = teams.withColumn("names", F.array_distinct(F.array("name", F.concat_ws(" ", words))))
     same = F.col("country").isNull() | F.col("listed_country").isNull() | (F.col("country") == F.col("listed_country"))
-    named = clubs.select(F.col("id").alias("listed_id"), F.col("name").alias("k"), F.col("country").alias("listed_country"))
-    exact = wanted.select("id", "country", F.explode("names").alias("k")).filter("k <> ''").join(named, "k").filter(same).select("id", "listed_id").distinct()
+    known = clubs.select(F.col("id").alias("listed_id"), F.col("name").alias("k"), F.col("country").alias("listed_country"))
+    exact = wanted.select("id", "country", F.explode("names").alias("k")).filter("k <> ''").join(known, "k").filter(same).select("id", "listed_id").distinct()
     rest = teams.join(exact.select("id").distinct(), "id", "left_anti")
-    side = lambda df, s: _compare_keys(df.select(F.col("id").alias(f"{s}_id"), F.lit(0).alias("block"), F.col("name").alias(f"{s}_name")).filter(F.col(f"{s}_name") != ""), s, threshold)
-    pairs = side(rest, "left").join(side(clubs, "right"), ["block", "k"]).select("left_id", "right_id", "left_name", "right_name").distinct()
-    near = pairs.filter(token_set_similarity(F.col("left_name"), F.col("right_name")) >= threshold)
+    named = lambda df: df.select("id", F.lit(0).alias("block"), "name").filter("name <> ''")
+    near = _near_names(named(rest), named(clubs), threshold)
     near = near.join(teams.select(F.col("id").alias("left_id"), "country"), "left_id").join(clubs.select(F.col("id").alias("right_id"), F.col("country").alias("listed_country")), "right_id").filter(same)
     both = exact.withColumn("score", F.lit(1.0)).unionByName(near.select(F.col("left_id").alias("id"), F.col("right_id").alias("listed_id"), F.lit(0.9).alias("score")))
     return both.groupBy(F.col("id").alias("team_id")).agg(F.count_distinct("listed_id").alias("n"), F.min("listed_id").alias("listed_id"), F.max("score").alias("score")).filter("n = 1").drop("n")
