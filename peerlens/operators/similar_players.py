@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -112,3 +115,30 @@ def _by_group(values: Mapping[str, float]) -> Column:
 def with_identity(found: DataFrame, players: DataFrame) -> DataFrame:
     """found + the other columns of players (player_id and what is shown of them); unknown players keep a row."""
     return found.join(players.dropDuplicates(["player_id"]), "player_id", "left")
+
+
+STORED = "key string, path string, created timestamp"
+
+
+def stored_result(spark: SparkSession, folder: str, *, config: dict, request: dict, build: Callable[[], DataFrame], max_age: timedelta = timedelta(hours=6), now: datetime | None = None) -> DataFrame:
+    """What build() gives for a request, read back where it was stored under the same configuration less than max_age ago.
+
+    Results are tables of their own under folder; an index, one row each, says which configuration and request (by hash)
+    they answer and since when. A changed configuration or request, or one that has expired, is built and stored anew; of
+    several the newest counts, so two jobs that build at once do no harm. now: for tests.
+    """
+    now = now or datetime.now(UTC).replace(tzinfo=None)
+    key = f"{rules.config_hash(config)}-{rules.config_hash(request)}"
+    index = f"{folder}/index"
+    try:
+        known = spark.read.schema(STORED).parquet(index).filter((F.col("key") == key) & (F.col("created") > F.lit(now - max_age))).orderBy(F.desc("created"), "path").limit(1).collect()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = []
+    if known:
+        return spark.read.parquet(known[0]["path"])
+    path = f"{folder}/results/{key}-{uuid.uuid4().hex}"
+    build().write.parquet(path)
+    spark.createDataFrame([(key, path, now)], STORED).coalesce(1).write.mode("append").parquet(index)
+    return spark.read.parquet(path)

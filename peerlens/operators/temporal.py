@@ -10,15 +10,22 @@ from pyspark.sql import functions as F
 from ..functions.storage import written
 
 
-def asof_join(left: DataFrame, right: DataFrame, *, on: list[str], left_time: str, right_time: str, values: list[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+# Rows of a key beyond which an as-of join cuts its time into parts.
+LARGE_KEY = 2_000_000
+
+
+def asof_join(left: DataFrame, right: DataFrame, *, on: list[str], left_time: str, right_time: str, values: list[str], bucket: Callable[[Column], Column] | None = None, large: int = LARGE_KEY) -> DataFrame:
     """Left rows with the values of the latest right row of the same keys whose time is not after theirs.
 
     Union and one window pass: one shuffle by key, no range join. Right rows sort before left rows of the same time;
-    of right rows of one time the largest values count. bucket: cuts time into parts (a month, a day), so that a key
-    with many rows is many tasks. Each part then begins with the last right row before it, found from one row per key
-    and part.
+    of right rows of one time the largest values count. bucket: cuts time into parts (a month, a day) where a key is
+    counted to have more than `large` rows, so that it is many tasks. Each part then begins with the last right row
+    before it, found from one row per key and part.
     """
     names = left.columns
+    if bucket:
+        counted = left.select(*on).unionAll(right.select(*on)).groupBy(*on).agg(F.count("*").alias("n"))
+        bucket = None if counted.filter(F.col("n") > large).isEmpty() else bucket
     part = (lambda t: bucket(t)) if bucket else (lambda t: F.lit(0))
     keys = [*on, "part"]
     l = left.select(F.struct(*names).alias("l"), *on, F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("r")).withColumn("part", part(F.col("t")))

@@ -238,3 +238,43 @@ def test_nearest_within(spark):
             near = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)) ** 0.5, j) for j, h, t, w in rows if (h, t) == (g, s) and j != i)
             want |= {(i, j) for _, j in near[:4]}
     assert got == want
+
+
+def test_large_pools_and_keys_give_the_same(spark):
+    """Parts of values and of time decide how work is split, not what comes out."""
+    rng = random.Random(8)
+    rows = [(i, "ab"[i % 2], 2000 + rng.randrange(4), "x", float(rng.randrange(60)), rng.random() < 0.8) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, g string, y int, b string, v double, is_member boolean")
+    how = dict(group=["g"], year="y", band="b", value="v", ids=["id"], lower_better=F.col("id") % 3 == 0)
+    few, many = (sorted(percentiles.pool_percentiles(df, large=n, **how).collect()) for n in (3, 10**6))
+    assert few == many and len(few) == 500
+    left = spark.createDataFrame([(i, rng.randrange(3), rng.randrange(100)) for i in range(300)], "id long, k int, t int")
+    right = spark.createDataFrame([(rng.randrange(3), rng.randrange(100), float(i)) for i in range(60)], "k int, t int, v double")
+    how = dict(on=["k"], left_time="t", right_time="t", values=["v"], bucket=lambda t: F.floor(t / 7))
+    few, many = (sorted(temporal.asof_join(left, right, large=n, **how).collect()) for n in (0, 10**6))
+    assert few == many and any(r["v"] is not None for r in few)
+    seen = right.collect()
+    for r in few:
+        before = [(x["t"], x["v"]) for x in seen if x["k"] == r["k"] and x["t"] <= r["t"]]
+        assert r["v"] == (max(before)[1] if before else None)
+
+
+def test_stored_results(spark, tmp_path):
+    """A second request reads; another configuration, another request or age makes it anew; empty results are stored too."""
+    import datetime as dt
+
+    from peerlens.operators import similar_players
+
+    built, now = [], dt.datetime(2024, 1, 1)
+
+    def ask(config, request, at=now, rows=3):
+        def build():
+            built.append((str(config), str(request)))
+            return spark.range(rows)
+
+        return similar_players.stored_result(spark, str(tmp_path / "s"), config=config, request=request, build=build, now=at).count()
+
+    assert [ask({"a": 1}, {"p": 5}), ask({"a": 1}, {"p": 5}), len(built)] == [3, 3, 1]
+    assert [ask({"a": 2}, {"p": 5}, rows=0), ask({"a": 2}, {"p": 5}, rows=9), len(built)] == [0, 0, 2]
+    assert [ask({"a": 1}, {"p": 6}), len(built)] == [3, 3]
+    assert [ask({"a": 1}, {"p": 5}, at=now + dt.timedelta(hours=5)), len(built), ask({"a": 1}, {"p": 5}, at=now + dt.timedelta(hours=7), rows=4), len(built)] == [3, 3, 4, 4]
