@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import rules
 from ..operators import identity, reads, similar_players, similarity, value_features
-from .queries import cents, query, table, year
+from .queries import ORACLE_SQL, cents, query, table, year
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 COUNTS_SQL = " union all ".join(f"""select '{t}' as "table", count(*)::bigint as n from {t}""" for t in TABLES)
@@ -266,3 +266,23 @@ def find_similar(spark, d):
     people = table(spark, d, "customer").select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("name"))
     named = similar_players.with_identity(found, people)
     return named.select("target", F.col("rank").cast("long").alias("rank"), "candidate", "similarity", "compatibility", "final", "tier", F.array_join("supporting", ",").alias("supporting"), "name")
+
+
+_EVERY_25TH = "where profile_id in (select profile_id from pr where player_id % 25 = 0 qualify row_number() over (partition by player_id order by end_year desc, minutes desc, profile_id) = 1)"
+_BY_NAME = """where profile_id in (select profile_id from pr where player_id = (select player_id from pr join customer on c_custkey = player_id where gender = 'm' and c_name ilike '%#%7%' group by player_id order by sum(minutes) desc, player_id limit 1)
+  qualify row_number() over (partition by player_id order by end_year desc, minutes desc, profile_id) = 1)"""
+
+
+@query(ORACLE_SQL["find_similar"].replace(_EVERY_25TH, _BY_NAME))
+def scouting_search(spark, d):
+    """The search for a player given by a part of the name and a gender, of several the one who played most, with filters and
+    excluded competitions. The player stays a table: nothing of it passes the driver by name."""
+    profiles = _profiles(spark, d)
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("name"))
+    played = profiles.filter("gender = 'm'").groupBy("player_id").agg(F.sum("minutes").alias("played"))
+    who = reads.search(played.join(people, "player_id"), F.col("name"), "#%7", [F.desc("played"), F.col("player_id")], 1)
+    out, _ = rules.exclusion(spark.createDataFrame([(1, 0.9)], "id long, score double"), explicit=[2, 7])
+    wanted = similar_players.Filters(min_age=17, max_age=25.5, candidates=40)
+    found = similar_players.find_similar_all(profiles, similar_players.latest_targets(profiles, who.select("player_id")), wanted, out)
+    named = similar_players.with_identity(found, people)
+    return named.select("target", F.col("rank").cast("long").alias("rank"), "candidate", "similarity", "compatibility", "final", "tier", F.array_join("supporting", ",").alias("supporting"), "name")
