@@ -21,7 +21,8 @@ SLACK = 0.125
 CHUNK = 512
 PACK = 20_000
 BROADCAST_IDS = 2_000_000
-FINGERPRINT = "n_shingles long, set_key string, bands array<long>, sketch array<long>"
+PARITY_WORDS = 32
+FINGERPRINT = "n_shingles long, set_key string, bands array<long>, sketch array<long>, parity array<long>"
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, SAMPLES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -69,6 +70,13 @@ def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS numbers of 64 bits: a bit for each bucket of hashes, set where a set has an odd number there. Of two
+    sets, the bits that differ are at most as many as the shingles that only one of them has."""
+    odd = np.bincount((_mix(s) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def similarity_of(flips: int | float, bits: int = SKETCH_BITS, samples: int = SAMPLES) -> float:
     """The Jaccard similarity that a population count of the XOR of two sketches estimates."""
     return 1.0 if flips <= 0 else max(0.0, 1 + bits / (4 * samples) * math.log(max(1e-9, 1 - 2 * flips / bits)))
@@ -85,22 +93,21 @@ def fingerprint_column(text: Column, size: int) -> Column:
         for t in texts:
             s = shingles(t, size)
             if not len(s):
-                rows.append((0, None, None, None))
+                rows.append((0, None, None, None, None))
                 continue
             m = minhash(s)
             pair = m[: BANDS * ROWS].view(np.uint64).reshape(BANDS, ROWS // 2)
             bands = _mix(pair[:, 0] ^ _mix(pair[:, 1] + np.arange(BANDS, dtype=np.uint64)))
             key = f"{len(s)}-{int(s.sum(dtype=np.uint64)):x}-{int(_mix(s).sum(dtype=np.uint64)):x}"
-            rows.append((len(s), key, bands.view(np.int64), odd_sketch(m)))
-        return pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "sketch"])
+            rows.append((len(s), key, bands.view(np.int64), odd_sketch(m), parity(s)))
+        return pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "sketch", "parity"])
 
     return fingerprint(text)
 
 
-def flips(a: str, b: str) -> Column:
-    n = SKETCH_BITS // 64
+def flips(a: str, b: str, words: int = SKETCH_BITS // 64) -> Column:
     total = F.lit(0)
-    for i in range(n):
+    for i in range(words):
         total = total + F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i))))
     return total
 
@@ -153,8 +160,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def cross_pairs(members: DataFrame, limit: int, percent: int) -> DataFrame:
     """(a, b) of the pairs in a bucket that are in different components and whose sketches differ in at most
-    `limit` bits and whose sizes allow the similarity. members: bucket, rep, component, sketch, bands, n_shingles,
-    n (the bucket's size).
+    `limit` bits and whose sizes and parity bits allow the similarity (both exactly). members: bucket, rep, component,
+    sketch, parity, bands, n_shingles, n (the bucket's size).
 
     A bucket is compared in blocks of CHUNK by CHUNK members, so neither memory nor one task grows with a bucket;
     small blocks share a group of about PACK rows. Only pairs that pass are emitted, and each only once: in the
@@ -162,13 +169,14 @@ def cross_pairs(members: DataFrame, limit: int, percent: int) -> DataFrame:
     """
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
     placed = members.withColumn("c", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
-    placed = placed.select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "rep", "component", "sketch", "bands", "n_shingles")
+    placed = placed.select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "rep", "component", "sketch", "parity", "bands", "n_shingles")
     packs = max(64, members.count() // PACK)
 
     def compare(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["bucket", "i", "j", "c"], kind="stable")
         bucket, i, j, c, rep, of, n = (df[x].to_numpy() for x in ("bucket", "i", "j", "c", "rep", "component", "n_shingles"))
         bits, bands = np.stack(df["sketch"].to_numpy()).view(np.uint64), np.stack(df["bands"].to_numpy())  # bits of a signed number are those of its size
+        par = np.stack(df["parity"].to_numpy()).view(np.uint64)
         new = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for lo, hi in zip(np.r_[0, new], np.r_[new, len(df)], strict=True):
@@ -182,6 +190,9 @@ def cross_pairs(members: DataFrame, limit: int, percent: int) -> DataFrame:
                 near = np.bitwise_count(bits[y, None, :] ^ bits[None, start:hi, :]).sum(axis=2) <= limit
                 near &= of[y, None] != of[None, start:hi]
                 near &= 100 * np.minimum(n[y, None], n[None, start:hi]) >= percent * np.maximum(n[y, None], n[None, start:hi])
+                if near.any():
+                    differ = np.bitwise_count(par[y, None, :] ^ par[None, start:hi, :]).sum(axis=2, dtype=np.int64)
+                    near &= differ * (100 + percent) <= (n[y, None] + n[None, start:hi]) * (100 - percent)
                 p, q = np.nonzero(near)
                 p, q = p + x, q + start
                 if start == lo:
@@ -206,7 +217,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     a doc_id are apart.
     """
     prints = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_column(F.col("text"), words).alias("f")).select("doc_id", "text_hash", "f.*"), "fingerprints")
-    sets = prints.filter("n_shingles > 0").groupBy("set_key").agg(F.min(place()).alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    sets = prints.filter("n_shingles > 0").groupBy("set_key").agg(F.min(place()).alias("of"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
     reps = materialize(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")  # once written, the numbers stay
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
     # The member that a bucket picks is the smallest by rep XOR bucket: another one in each bucket of a group.
@@ -215,10 +226,11 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     limit = most_flips(percent / 100 - SLACK)
     ends = lambda pairs: pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
-    sketches = reps.select("rep", "sketch", "n_shingles")
+    sketches = reps.select("rep", "sketch", "parity", "n_shingles")
     star = shared.filter("rep <> head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
-    star = star.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb")), "b")
-    star = materialize(star.filter((flips("sa", "sb") <= limit) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b"), "pairs")
+    star = star.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("parity").alias("pa"), F.col("n_shingles").alias("na")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("parity").alias("pb"), F.col("n_shingles").alias("nb")), "b")
+    same = flips("pa", "pb", PARITY_WORDS) * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    star = materialize(star.filter((flips("sa", "sb") <= limit) & same & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b"), "pairs")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         """A text of each set: of the row with the smallest doc_id, told from others with that id by its hash."""
@@ -232,7 +244,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     found = materialize(components(edges), "components")
     for_members = shared.select("bucket", "rep", "n").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = for_members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    members = materialize(for_members.join(mixed, "bucket", "left_semi").join(reps.select("rep", "sketch", "bands", "n_shingles"), "rep"), "members")
+    members = materialize(for_members.join(mixed, "bucket", "left_semi").join(reps.select("rep", "sketch", "parity", "bands", "n_shingles"), "rep"), "members")
     rest = materialize(cross_pairs(members, limit, percent).join(star, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = materialize(confirm(rest, materialize(texts_of(rest), "texts"), words, percent), "links")
@@ -249,8 +261,8 @@ def link(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> Data
 
     Two documents are linked if 100 * shared shingles >= percent * all shingles of both; component_id is the
     smallest doc_id reachable. Candidates share one of 24 bands of four MinHash samples (a pair at 80 % is missed
-    with a chance of 3e-6) and pass the odd sketch with a slack of five standard errors; what passes is confirmed
-    on full shingle sets. Equal sets are joined first and go on as one. Then every member of a bucket is compared
+    with a chance of 3e-6) and pass the odd sketch with a slack of five standard errors; parity bits of whole sets rule out
+    more, exactly, and what passes is confirmed on full shingle sets. Equal sets are joined first and go on as one. Then every member of a bucket is compared
     with one member that the bucket's hash picks, which joins nearly all; members of one bucket that are still in
     different components are all compared, in blocks. So no link between components of the result is left out and
     no group is expanded into pairs.
