@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import text as T
 from ..functions.stats import P_CLIP, inverse_normal_sql
-from ..operators import aggregates, identity, percentiles, profiles, quality_scan, sequence, similarity, strength, temporal, value_model
+from ..operators import aggregates, identity, nearest_join, percentiles, profiles, quality_scan, sequence, similarity, strength, temporal, value_model
 from ..sources import sinks
 from ..streaming import events as streaming
 
@@ -190,6 +190,15 @@ def vector_knn(spark, d):
     return similarity.nearest_all(e, targets, **by).withColumn("distance", F.round("distance", 9))
 
 
+@query("""with x as (select t.vec_id as target, c.vec_id as candidate, round(sqrt(list_sum(list_transform(list_zip(c.embedding, t.embedding), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double)))), 9) as distance
+ from embeddings c join embeddings t on c.label = t.label and c.vec_id <> t.vec_id) select target, candidate, distance from x qualify row_number() over (partition by target order by distance, candidate) <= 10""")
+def vector_knn_join(spark, d):
+    """The ten nearest of its label for every vector: all are targets, and none passes the driver."""
+    e = table(spark, d, "embeddings")
+    found, _ = nearest_join.nearest_join(e, e, key="vec_id", vector="embedding", within=("label",))
+    return found.withColumn("distance", F.round("distance", 9))
+
+
 FEATURE_ROWS = """with f as (select vec_id, i, embedding[i]::double as v, ['attacking', 'passing', 'possession', 'defending'][(4 * (i - 1)) // len(embedding) + 1] as category, (1 + i % 3)::double as weight, len(embedding) as n from embeddings, range(1, 1 + (select max(len(embedding)) from embeddings)) t(i)),
  g as (select *, case when v < 0 then -floor(abs(v) * 1000 + 0.5) / 1000 else floor(abs(v) * 1000 + 0.5) / 1000 end as z from f),
  p as (select t.vec_id as target, c.vec_id as candidate, c.category, c.i as code, c.weight, case when abs(t.v) < 1.2 then t.z end as tz, case when abs(c.v) < 1.5 then c.z end as cz from g c join g t on t.vec_id % 50 = 0 and t.i = c.i where c.vec_id <> t.vec_id)"""
