@@ -112,7 +112,11 @@ def normal(text: str) -> bytes:
     return raw.removesuffix(b" ")
 
 
-def encode(text: str, model: Model) -> tuple[np.ndarray, int]:
+def encode(text: str, model: Model) -> np.ndarray:
+    return model.codes[np.frombuffer(normal(text), dtype=np.uint8)]
+
+
+def counted(text: str, model: Model) -> tuple[np.ndarray, int]:
     """The codes of a text's bytes, and its number of code points: bytes 0x80 to 0xBF continue one."""
     raw = np.frombuffer(normal(text), dtype=np.uint8)
     return model.codes[raw], int(((raw & 0xC0) != 0x80).sum())
@@ -150,7 +154,7 @@ def phrases(texts: list[np.ndarray], model: Model, block: int = BLOCK) -> np.nda
 
 def predict(texts: list[str | None], model: Model) -> pd.DataFrame:
     """score: how far the best language is ahead, 1 - best / second best in phrases (1 with one language)."""
-    coded, chars = zip(*[encode(t or "", model) for t in texts], strict=True) if texts else ((), ())
+    coded, chars = zip(*[counted(t or "", model) for t in texts], strict=True) if texts else ((), ())
     got = phrases(list(coded), model)
     best = got.argmin(axis=1) if got.shape[1] else np.zeros(len(texts), dtype=int)
     langs, scores, counts = [], [], []
