@@ -123,10 +123,12 @@ def resolve_clubs(teams: DataFrame, listed: DataFrame, *, stop_words: tuple[str,
     """team_id, listed_id, score: the one listed club that a team's name stands for.
 
     teams: id, name, country. listed: id, name, country, national; names normalised. Reserve and national sides and
-    clubs of another known country are left out. Clubs of the team's whole name, or of its name without stop words,
+    clubs of another known country (by its normalised name) are left out. Clubs of the team's whole name, or of its name without stop words,
     come first (1.0), else those of token-set similarity of the threshold (0.9); only a single one is taken.
     """
-    clubs = listed.filter(~F.coalesce("national", F.lit(False)) & ~F.col("name").rlike(reserves))
+    country = normalize_name(F.col("country").cast("string"))
+    teams = teams.withColumn("country", F.when(F.col("country").isNotNull(), country))
+    clubs = listed.filter(~F.coalesce("national", F.lit(False)) & ~F.col("name").rlike(reserves)).withColumn("country", F.when(F.col("country").isNotNull(), country))
     words = F.filter(F.split("name", " "), lambda w: ~w.isin(*stop_words) & (w != ""))
     wanted = teams.withColumn("names", F.array_distinct(F.array("name", F.concat_ws(" ", words))))
     same = F.col("country").isNull() | F.col("listed_country").isNull() | (F.col("country") == F.col("listed_country"))

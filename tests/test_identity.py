@@ -88,3 +88,11 @@ def test_resolve_clubs(spark):
     )
     got = {r["team_id"]: (r["listed_id"], r["score"]) for r in identity.resolve_clubs(teams, listed).collect()}
     assert got == {1: (10, 1.0), 2: (11, 1.0), 5: (16, 0.9)}
+
+
+def test_clubs_of_one_country_in_other_letters(spark):
+    """Countries are compared by normalised names; a club of another country is none."""
+    teams = spark.createDataFrame([(1, "real norte fc", "Côte d'Ivoire"), (2, "real sul fc", "Peru"), (3, "leste", None)], "id long, name string, country string")
+    listed = spark.createDataFrame([(10, "norte", "cote d ivoire", False), (11, "sul", "Chile", False), (12, "leste", "X", False)], "id long, name string, country string, national boolean")
+    got = {r["team_id"]: r["listed_id"] for r in identity.resolve_clubs(teams, listed).collect()}
+    assert got == {1: 10, 3: 12}
