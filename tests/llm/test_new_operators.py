@@ -254,3 +254,19 @@ def test_multi_match_prefixes():
     few = asks(pd.Series([np.array([1, 1, 2, 900, 900])]), pd.Series([20]), pd.Series([100]), pd.Series([80]))
     many = asks(pd.Series([np.array([900] * 40)]), pd.Series([0]), pd.Series([100]), pd.Series([80]))
     assert few[0] == 1 and many[0] == ngram_join.MATCHES
+
+
+def test_pipeline_stages_keep_columns_and_odd_rows(spark):
+    """Null and repeated ids, and columns named as what stages make, go through with their own values."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    extra = {"size": F.lit(7), "copy": F.lit(77), "target": F.lit("t"), "component_id": F.lit(5), "lang_pred": F.lit("zz"), "shingles": F.lit(1.5)}
+    docs = docs.withColumns(extra).unionByName(docs.limit(3).withColumns(extra).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat(F.lit("another text of its own begins here and goes on for a while "), "text")))
+    schema, given = docs.schema, docs.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == schema.names
+    rows = docs.collect()
+    assert 0 < len(rows) <= 2 * given
+    assert {(r["size"], r["copy"], r["target"], r["component_id"], r["lang_pred"], r["shingles"]) for r in rows} == {(7, 77, "t", 5, "zz", 1.5)}
