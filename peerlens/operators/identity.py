@@ -185,20 +185,57 @@ def strict_match(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def initial_matches(short: DataFrame, people: DataFrame) -> DataFrame:
-    """left_id, right_id: names such as "K. Del Rio" and people whose first name begins so and whose name ends in that
-    surname, of one word or more. short, people: id, name. An equi-join on surname and initial."""
+def _initial_keys(short: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(left_id, initial, surname) of short names such as "K. Del Rio", and (right_id, initial, surname) of people for every
+    ending of their names after the first word; each once."""
     parts = r"^\s*(\p{L})\.\s*(.+)$"
     l = short.select(F.col("id").alias("left_id"), normalize_name(F.regexp_extract("name", parts, 1)).alias("initial"), normalize_name(F.regexp_extract("name", parts, 2)).alias("surname"))
-    l = l.filter("initial <> '' and surname <> ''")
+    l = l.filter("initial <> '' and surname <> ''").distinct()
     words = people.select(F.col("id").alias("right_id"), F.split(normalize_name(F.col("name")), " ").alias("w")).filter(F.size("w") > 1)
     ends = F.transform(F.sequence(F.lit(2), F.size("w")), lambda i: F.array_join(F.slice("w", i, F.size("w")), " "))
     r = words.select("right_id", F.substring(F.col("w")[0], 1, 1).alias("initial"), F.explode(ends).alias("surname"))
-    return l.join(r, ["initial", "surname"]).select("left_id", "right_id").distinct()
+    return l, r.join(l.select("initial", "surname").distinct(), ["initial", "surname"], "left_semi").distinct()
+
+
+# People of one initial and surname who meet the short names of it in one task.
+PEOPLE_A_PART = 1_000
+
+
+def initial_matches(short: DataFrame, people: DataFrame, *, part: int = PEOPLE_A_PART) -> DataFrame:
+    """left_id, right_id: names such as "K. Del Rio" and people whose first name begins so and whose name ends in that
+    surname, of one word or more. short, people: id, name. An equi-join on surname and initial.
+
+    A common surname is cut into parts of its people, each of which meets all its short names. An id with one short name
+    meets a person once; only pairs of ids with several are made distinct, so other pairs are not shuffled.
+    """
+    l, r = _initial_keys(short, people)
+    by = ["initial", "surname"]
+    parts = r.groupBy(*by).agg(F.ceil(F.count("*") / part).alias("parts"))
+    l = l.withColumn("n", F.count("*").over(Window.partitionBy("left_id"))).join(parts, by)
+    l = l.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    r = r.join(parts, by).withColumn("part", F.pmod(F.xxhash64("right_id"), "parts")).drop("parts")
+    tasks = int(short.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a set number: few bytes come in, many rows go out
+    r = r.repartition(tasks, *by, "part")
+    met = lambda x: x.repartition(tasks, *by, "part").join(r, [*by, "part"]).select("left_id", "right_id")
+    return met(l.filter("n = 1")).unionAll(met(l.filter("n > 1")).distinct())
+
+
+def initial_matches_sharing_club(short: DataFrame, people: DataFrame, left_clubs: DataFrame, right_clubs: DataFrame) -> DataFrame:
+    """The pairs of initial_matches that share a club. left_clubs: left_id, club; right_clubs: right_id, club.
+
+    Initial, surname and club are one key, so pairs without a common club are never made. Repeated clubs go behind the
+    shuffle by that key, which the join uses as well.
+    """
+    l, r = _initial_keys(short, people)
+    by = ["initial", "surname", "club"]
+    l = l.join(left_clubs.select("left_id", "club"), "left_id").repartition(*by).distinct()
+    r = r.join(right_clubs.select("right_id", "club"), "right_id").repartition(*by).distinct()
+    return l.join(r, by).select("left_id", "right_id").distinct()
 
 
 def sharing_club(candidates: DataFrame, left_clubs: DataFrame, right_clubs: DataFrame) -> DataFrame:
-    """The candidates (left_id, right_id) that share a club. left_clubs: left_id, club; right_clubs: right_id, club."""
+    """The candidates (left_id, right_id) that share a club. left_clubs: left_id, club; right_clubs: right_id, club.
+    Each candidate meets all clubs of its left side: where candidates come from initials, initial_matches_sharing_club makes far fewer rows."""
     of_left = candidates.select("left_id", "right_id").join(left_clubs.select("left_id", "club").distinct(), "left_id")
     return of_left.join(right_clubs.select("right_id", "club"), ["right_id", "club"], "left_semi").select("left_id", "right_id").distinct()
 

@@ -519,12 +519,12 @@ def strict_identity_match(spark, d):
 def _initials(spark, d):
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
     short = s.select(F.col("s_suppkey").alias("id"), F.concat(F.when(F.col("s_suppkey") % 2 == 0, "B").otherwise("M"), F.lit(". Dé N"), F.col("s_nationkey")).alias("name"))
-    return identity.initial_matches(short, c.select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit(" de n"), F.col("c_nationkey")).alias("name")))
+    return short, c.select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.lit(" de n"), F.col("c_nationkey")).alias("name"))
 
 
 @query("""select s_suppkey as left_id, c_custkey as right_id from supplier join customer on s_nationkey = c_nationkey and c_mktsegment[1] = case when s_suppkey % 2 = 0 then 'B' else 'M' end""")
 def initial_surname_match(spark, d):
-    return _initials(spark, d)
+    return identity.initial_matches(*_initials(spark, d))
 
 
 @query("""with p as (select s_suppkey as left_id, c_custkey as right_id from supplier join customer on s_nationkey = c_nationkey and c_mktsegment[1] = case when s_suppkey % 2 = 0 then 'B' else 'M' end),
@@ -533,7 +533,7 @@ def initial_surname_match(spark, d):
 def club_confirmed_match(spark, d):
     l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     right = l.join(o, l.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("right_id"), F.col("l_partkey").alias("club"))
-    return identity.sharing_club(_initials(spark, d), l.select(F.col("l_suppkey").alias("left_id"), F.col("l_partkey").alias("club")), right)
+    return identity.sharing_club(identity.initial_matches(*_initials(spark, d)), l.select(F.col("l_suppkey").alias("left_id"), F.col("l_partkey").alias("club")), right)
 
 
 @query("""with q as (select o_custkey as left_id, o_orderkey % 500 as right_id, max(round(o_totalprice * 100)::bigint) as score from orders group by all), k as (select distinct c_custkey as left_id, c_custkey % 500 as right_id from customer where c_custkey % 4 = 0),

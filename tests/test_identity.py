@@ -96,3 +96,31 @@ def test_clubs_of_one_country_in_other_letters(spark):
     listed = spark.createDataFrame([(10, "norte", "cote d ivoire", False), (11, "sul", "Chile", False), (12, "leste", "X", False)], "id long, name string, country string, national boolean")
     got = {r["team_id"]: r["listed_id"] for r in identity.resolve_clubs(teams, listed).collect()}
     assert got == {1: 10, 3: 12}
+
+
+def _initials(spark):
+    """Short names and people, few names for many ids; ids with several names on either side, and without an id."""
+    rng = random.Random(5)
+    surnames = ["del rio", "rio", "lee", "ny"]
+    short = [(rng.randrange(30), f"{rng.choice('KB')}. {rng.choice(surnames).title()}") for _ in range(40)] + [(None, "K. Rio")]
+    people = [(100 + rng.randrange(60), f"{rng.choice(['Kim', 'Ken', 'Bo', 'Al'])} {rng.choice(['', 'del '])}{rng.choice(surnames)}") for _ in range(80)]
+    want = {(i, j) for i, a in short for j, b in people if b[0] == a[0] and f" {b.lower()}".endswith(f" {a[3:].lower()}")}
+    return spark.createDataFrame(short, "id long, name string"), spark.createDataFrame(people, "id long, name string"), want
+
+
+@pytest.mark.parametrize("part", [1, 3, 1000])
+def test_initials_of_common_surnames_in_parts(spark, part):
+    """However a surname's people are cut, each pair comes once; pairs aren't made distinct behind the whole join."""
+    short, people, want = _initials(spark)
+    got = [(r[0], r[1]) for r in identity.initial_matches(short, people, part=part).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_initials_sharing_a_club(spark):
+    """As all pairs checked for a common club, without making them: surnames are part of the key that clubs meet by."""
+    short, people, want = _initials(spark)
+    rng = random.Random(6)
+    mine, theirs = ([(i, rng.choice("abcdefgh")) for i in ids for _ in range(3)] for ids in (range(30), range(100, 160)))
+    clubs = spark.createDataFrame([*mine, (1, None)], "left_id long, club string"), spark.createDataFrame([*theirs, (101, None)], "right_id long, club string")
+    pairs = identity.initial_matches_sharing_club(short, people, *clubs)
+    assert sorted((r[0], r[1]) for r in pairs.collect()) == sorted({(i, j) for i, j in want if {c for k, c in mine if k == i} & {c for k, c in theirs if k == j}})
