@@ -533,7 +533,7 @@ def initial_surname_match(spark, d):
 def club_confirmed_match(spark, d):
     l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     right = l.join(o, l.l_orderkey == o.o_orderkey).select(F.col("o_custkey").alias("right_id"), F.col("l_partkey").alias("club"))
-    return identity.sharing_club(identity.initial_matches(*_initials(spark, d)), l.select(F.col("l_suppkey").alias("left_id"), F.col("l_partkey").alias("club")), right)
+    return identity.initial_matches_sharing_club(*_initials(spark, d), l.select(F.col("l_suppkey").alias("left_id"), F.col("l_partkey").alias("club")), right)
 
 
 @query("""with q as (select o_custkey as left_id, o_orderkey % 500 as right_id, max(round(o_totalprice * 100)::bigint) as score from orders group by all), k as (select distinct c_custkey as left_id, c_custkey % 500 as right_id from customer where c_custkey % 4 = 0),
