@@ -13,16 +13,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import CLUB_STOP_WORDS, RESERVE_SIDES
+from ..functions.storage import written
 from ..functions.text import normalize_name, token_set_similarity
 
 
 def exact_candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_id, right_id, overlap: same block and a name in common. left, right: id, block, names array<string>."""
+    """left_id, right_id, overlap: same block and a name in common. left, right: id, block, names array<string>.
+    A row per pair: where many ids have the same names, decide counts them by classes instead."""
     l = left.select(F.col("id").alias("left_id"), "block", F.explode(F.array_distinct("names")).alias("name")).filter("name <> ''")
     r = right.select(F.col("id").alias("right_id"), "block", F.explode(F.array_distinct("names")).alias("name")).filter("name <> ''")
     return l.join(r, ["block", "name"]).groupBy("left_id", "right_id").agg(F.count("*").alias("overlap"))
 
 
+def _classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): ids of the same names in the same blocks are one class, as names and blocks alone decide.
+
+    members: id, cls. classes: cls, n (number of its ids), least (its first id), names array<struct<block, name>>; written,
+    so that no pairs of ids are made but pairs of classes.
+    """
+    named = records.select("id", "block", F.explode("names").alias("name")).filter("name <> '' and block is not null")
+    sets = named.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("block", "name"))).alias("names"))
+    of = sets.select("id", F.sha2(F.to_json("names"), 256).alias("cls"), "names")
+    classes = of.groupBy("cls").agg(F.count("*").alias("n"), F.min(F.struct("id"))["id"].alias("least"), F.first("names").alias("names"))
+    return of.select("id", "cls"), written(classes, "name-classes")
+
+
+def _sides(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(left_cls, block, left_name) and (right_cls, right_n, right_id, block, right_name) of classes."""
+    l = left.select(F.col("cls").alias("left_cls"), F.explode("names").alias("x")).select("left_cls", "x.block", F.col("x.name").alias("left_name"))
+    r = right.select(F.col("cls").alias("right_cls"), F.col("n").alias("right_n"), F.col("least").alias("right_id"), F.explode("names").alias("x"))
+    return l, r.select("right_cls", "right_n", "right_id", "x.block", F.col("x.name").alias("right_name"))
+
+
+def _exact_classes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_cls, right_id, n: the right id of most common names (the first of them), and how many right ids have one in common."""
+    l, r = _sides(left, right)
+    met = l.withColumnRenamed("left_name", "name").join(r.withColumnRenamed("right_name", "name"), ["block", "name"])
+    pairs = met.groupBy("left_cls", "right_cls").agg(F.count("*").alias("overlap"), F.first("right_n").alias("right_n"), F.first("right_id").alias("right_id"))
+    return pairs.groupBy("left_cls").agg(F.sum("right_n").alias("n"), F.min(F.struct(-F.col("overlap"), "right_id"))["right_id"].alias("right_id"))
+
+
+def _fuzzy_classes(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """left_cls, right_id, score, n_best: each pair of different names of a block is scored once."""
+    l, r = _sides(left, right)
+    names = lambda x, side: x.select("block", F.col(f"{side}_name").alias("name")).distinct().withColumn("id", F.col("name"))
+    near = _near_names(names(l, "left"), names(r, "right"), threshold).withColumnsRenamed({"left_id": "left_name", "right_id": "right_name"})
+    pairs = near.join(r, ["block", "right_name"]).join(l, ["block", "left_name"]).groupBy("left_cls", "right_cls").agg(F.max("score").alias("score"), F.first("right_n").alias("right_n"), F.first("right_id").alias("right_id"))
+    alike = pairs.groupBy("left_cls", "score").agg(F.sum("right_n").alias("n_best"), F.min(F.struct("right_id"))["right_id"].alias("right_id"))
+    best = alike.groupBy("left_cls").agg(F.max("score").alias("score"), F.max_by(F.struct("right_id", "n_best"), "score").alias("b"))
+    return best.select("left_cls", "b.right_id", "score", "b.n_best")
+
+
+def _of_members(found: DataFrame, members: DataFrame) -> DataFrame:
+    return members.select(F.col("id").alias("left_id"), F.col("cls").alias("left_cls")).join(found, "left_cls").drop("left_cls")
+
+
 RANKED_PAIRS = 100_000
 
 
@@ -98,25 +143,23 @@ def _compare_keys(names: DataFrame, side: str, threshold: float, ranks: dict[str
 
 
 def _near_names(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """left_id, right_id, score of the names (id, block, name) of a block that reach the threshold; each pair of names is scored once."""
+    """block, left_id, right_id, score of the names (id, block, name) of a block that reach the threshold; each pair of names is scored once."""
     ranks = _pair_ranks(left, right)
     near = F.least("left_size", "right_size") * (2 - threshold) >= F.greatest("left_size", "right_size") * threshold - 1e-9
     pairs = _compare_keys(left, "left", threshold, ranks).join(_compare_keys(right, "right", threshold, ranks), ["block", "k"])
-    pairs = pairs.filter(~F.col("k").startswith("g") | near).select("left_id", "right_id", "left_name", "right_name").distinct()
-    return pairs.withColumn("score", token_set_similarity(F.col("left_name"), F.col("right_name"))).filter(F.col("score") >= threshold).select("left_id", "right_id", "score")
+    pairs = pairs.filter(~F.col("k").startswith("g") | near).select("block", "left_id", "right_id", "left_name", "right_name").distinct()
+    return pairs.withColumn("score", token_set_similarity(F.col("left_name"), F.col("right_name"))).filter(F.col("score") >= threshold).select("block", "left_id", "right_id", "score")
 
 
 def fuzzy_best(left: DataFrame, right: DataFrame, *, threshold: float = 0.9) -> DataFrame:
     """left_id, right_id, score, n_best: the best token-set similarity, at least threshold, in the block.
 
     Exact for every pair of names of a block, without multiplying it out: see _compare_keys for what candidates share.
-    A key that much of a large block holds is split by the skew join; each pair is scored once.
+    A key that much of a large block holds is split by the skew join; each pair of names is scored once, however many ids
+    have them.
     """
-    each = lambda df: df.select("id", "block", F.explode(F.array_distinct("names")).alias("name")).filter("name <> ''")
-    scored = _near_names(each(left), each(right), threshold).groupBy("left_id", "right_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")
-    top = F.max("score").over(Window.partitionBy("left_id"))
-    return scored.withColumns({"n_best": F.count(F.when(F.col("score") == top, 1)).over(Window.partitionBy("left_id").orderBy(F.desc("score"))), "r": F.row_number().over(w)}).filter("r = 1").drop("r")
+    (members, l), (_, r) = _classes(left), _classes(right)
+    return _of_members(_fuzzy_classes(l, r, threshold), members).select("left_id", "right_id", "score", "n_best")
 
 
 def resolve_clubs(teams: DataFrame, listed: DataFrame, *, stop_words: tuple[str, ...] = CLUB_STOP_WORDS, reserves: str = RESERVE_SIDES, threshold: float = 0.9) -> DataFrame:
@@ -146,18 +189,20 @@ def decide(left: DataFrame, right: DataFrame, *, threshold: float | None = 0.9)
     """left_id, right_id, decision, score: one exact match is linked (0.95), several go to review (0.80), else a
     unique fuzzy match goes to review (0.9 of its score); a right record claimed twice goes to review (0.85).
     threshold: of the fuzzy match; without one only exact names decide."""
-    exact = exact_candidates(left, right)
-    w = Window.partitionBy("left_id")
-    e = exact.withColumns({"n": F.count("*").over(w), "r": F.row_number().over(w.orderBy(F.desc("overlap"), "right_id"))}).filter("r = 1")
-    e = e.select("left_id", "right_id", F.when(F.col("n") == 1, "linked").otherwise("review").alias("decision"), F.when(F.col("n") == 1, 0.95).otherwise(0.80).alias("score"))
-    rest = left.join(e.select(F.col("left_id").alias("id")), "id", "left_anti")
+    (members, l), (_, r) = _classes(left), _classes(right)
+    one = F.col("n") == 1
+    e = _exact_classes(l, r).select("left_cls", "right_id", F.when(one, "linked").otherwise("review").alias("decision"), F.when(one, 0.95).otherwise(0.80).alias("score"))
     both = e
     if threshold is not None:
-        f = fuzzy_best(rest, right, threshold=threshold).filter("n_best = 1")
-        both = e.unionByName(f.select("left_id", "right_id", F.lit("review").alias("decision"), (F.col("score") * 0.9).alias("score")))
-    both = both.withColumn("claims", F.count(F.when(F.col("decision") == "linked", 1)).over(Window.partitionBy("right_id")))
-    twice = (F.col("decision") == "linked") & (F.col("claims") > 1)
-    return both.select("left_id", "right_id", F.when(twice, "review").otherwise(F.col("decision")).alias("decision"), F.when(twice, 0.85).otherwise(F.col("score")).alias("score"))
+        e = both = written(e, "exact-classes")
+        rest = l.join(e.select(F.col("left_cls").alias("cls")), "cls", "left_anti")
+        f = _fuzzy_classes(rest, r, threshold).filter("n_best = 1")
+        both = e.unionByName(f.select("left_cls", "right_id", F.lit("review").alias("decision"), (F.col("score") * 0.9).alias("score")))
+    linked = e.filter("decision = 'linked'").join(l.select(F.col("cls").alias("left_cls"), "n"), "left_cls")
+    claims = linked.groupBy("right_id").agg(F.sum("n").alias("claims"))
+    twice = (F.col("decision") == "linked") & (F.coalesce("claims", F.lit(0)) > 1)
+    decided = both.join(claims, "right_id", "left").select("left_cls", "right_id", F.when(twice, "review").otherwise(F.col("decision")).alias("decision"), F.when(twice, 0.85).otherwise(F.col("score")).alias("score"))
+    return _of_members(decided, members).select("left_id", "right_id", "decision", "score")
 
 
 def strict_match(left: DataFrame, right: DataFrame) -> DataFrame:
