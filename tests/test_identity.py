@@ -124,3 +124,32 @@ def test_initials_sharing_a_club(spark):
     clubs = spark.createDataFrame([*mine, (1, None)], "left_id long, club string"), spark.createDataFrame([*theirs, (101, None)], "right_id long, club string")
     pairs = identity.initial_matches_sharing_club(short, people, *clubs)
     assert sorted((r[0], r[1]) for r in pairs.collect()) == sorted({(i, j) for i, j in want if {c for k, c in mine if k == i} & {c for k, c in theirs if k == j}})
+
+
+def brute_decide(left, right):
+    """As decide: one exact match is linked, several are reviewed, else a unique fuzzy one; a right id linked twice is reviewed."""
+    exact, out = {}, {}
+    for i, block, names in left:
+        for j, other, theirs in right:
+            if block == other and set(names) & set(theirs) - {""}:
+                exact.setdefault(i, {})[j] = len(set(names) & set(theirs) - {""})
+    for i, found in exact.items():
+        out[i] = (min(found, key=lambda j: (-found[j], j)), *(("linked", 0.95) if len(found) == 1 else ("review", 0.8)))
+    for i, (j, s, n) in brute_best([x for x in left if x[0] not in exact], right).items():
+        if n == 1:
+            out[i] = (j, "review", round(s * 0.9, 9))
+    linked = [j for j, d, _ in out.values() if d == "linked"]
+    return {i: (j, "review", 0.85) if d == "linked" and linked.count(j) > 1 else (j, d, s) for i, (j, d, s) in out.items()}
+
+
+def test_decide_with_names_in_common(spark):
+    rng = random.Random(8)
+    pool = ["ann lee", "ann leee", "bo rivers", "bo river", "katarzyna wisniewska", "catarzyna visniewska", "cy", "dee dee", "eve adams", "eve adam", ""]
+    side = lambda first, n: [(first + i, rng.randrange(4), rng.sample(pool, rng.randint(1, 3))) for i in range(n)]
+    left, right = side(0, 60), side(1000, 14)
+    schema = "id long, block int, names array<string>"
+    l, r = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    got = {x["left_id"]: (x["right_id"], x["decision"], round(x["score"], 9)) for x in identity.decide(l, r).collect()}
+    want = brute_decide(left, right)
+    assert got == want and {(d, s) for _, d, s in want.values()} >= {("linked", 0.95), ("review", 0.8), ("review", 0.85)} and any(s not in (0.95, 0.85, 0.8) for *_, s in want.values())
+    assert {x["left_id"]: (x["right_id"], x["score"], x["n_best"]) for x in identity.fuzzy_best(l, r).collect()} == brute_best(left, right)
