@@ -153,3 +153,11 @@ def test_decide_with_names_in_common(spark):
     want = brute_decide(left, right)
     assert got == want and {(d, s) for _, d, s in want.values()} >= {("linked", 0.95), ("review", 0.8), ("review", 0.85)} and any(s not in (0.95, 0.85, 0.8) for *_, s in want.values())
     assert {x["left_id"]: (x["right_id"], x["score"], x["n_best"]) for x in identity.fuzzy_best(l, r).collect()} == brute_best(left, right)
+
+
+def test_many_ids_of_one_name(spark):
+    """100,000 ids of a name on either side: ten thousand million pairs of ids, but one of names."""
+    many = lambda first, name: spark.range(first, first + 100_000).selectExpr("id", "0 as block", f"array('{name}') as names")
+    left, right = many(0, "katarzyna wisniewska"), many(1_000_000, "katarzyna visniewska")
+    assert {tuple(r) for r in identity.fuzzy_best(left, right).groupBy("right_id", "n_best").count().collect()} == {(1_000_000, 100_000, 100_000)}
+    assert {tuple(r) for r in identity.decide(left, many(1_000_000, "katarzyna wisniewska")).groupBy("right_id", "decision", "score").count().collect()} == {(1_000_000, "review", 0.8, 100_000)}
