@@ -56,10 +56,13 @@ def convert(amounts: DataFrame, rates: DataFrame, *, currency: str = "currency",
 def trailing(rows: DataFrame, *, key: str, time: Column, days: int, aggregates: dict[str, Column]) -> DataFrame:
     """aggregates over the rows of the same key in [time - days, time): a range frame, so one sort and no self-join.
 
-    time: seconds. The row itself and those of the same instant are outside the window.
+    time: seconds, whole ones or with fractions, which are rounded (halves to the even second). The row itself and those of
+    the same second are outside the window. A row without key or time has no others: each is apart.
     """
-    w = Window.partitionBy(key).orderBy("__t").rangeBetween(-days * 86400, -1)
-    return rows.withColumn("__t", time.cast("long")).withColumns({n: a.over(w) for n, a in aggregates.items()}).drop("__t")
+    w = Window.partitionBy(key, "__apart").orderBy("__t").rangeBetween(-days * 86400, -1)
+    apart = F.when(F.col(key).isNull() | F.col("__t").isNull(), F.monotonically_increasing_id())
+    x = rows.withColumn("__t", F.rint(time.cast("double")).cast("long")).withColumn("__apart", apart).withColumn("__t", F.coalesce("__t", F.lit(0).cast("long")))
+    return x.withColumns({n: a.over(w) for n, a in aggregates.items()}).drop("__t", "__apart")
 
 
 def _numbered_values(values: DataFrame, bins: int) -> DataFrame:

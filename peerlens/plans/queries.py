@@ -275,7 +275,7 @@ def asof_rate(spark, d):
 
 @query("""select a.event_id, count(b.event_id)::bigint as n, sum(round(b.value * 100)::bigint)::bigint as total from events a left join events b on a.user_id = b.user_id and epoch(b.ts)::bigint < epoch(a.ts)::bigint and epoch(b.ts)::bigint >= epoch(a.ts)::bigint - 7 * 86400 group by 1""")
 def trailing_window_features(spark, d):
-    e = table(spark, d, "events").select("event_id", "user_id", F.unix_timestamp("ts").alias("t"), cents("value").alias("v"))
+    e = table(spark, d, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), cents("value").alias("v"))
     return temporal.trailing(e, key="user_id", time=F.col("t"), days=7, aggregates={"n": F.count("*"), "total": F.sum("v")}).select("event_id", "n", "total")
 
 

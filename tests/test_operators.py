@@ -278,3 +278,11 @@ def test_stored_results(spark, tmp_path):
     assert [ask({"a": 2}, {"p": 5}, rows=0), ask({"a": 2}, {"p": 5}, rows=9), len(built)] == [0, 0, 2]
     assert [ask({"a": 1}, {"p": 6}), len(built)] == [3, 3]
     assert [ask({"a": 1}, {"p": 5}, at=now + dt.timedelta(hours=5)), len(built), ask({"a": 1}, {"p": 5}, at=now + dt.timedelta(hours=7), rows=4), len(built)] == [3, 3, 4, 4]
+
+
+def test_trailing_rounds_seconds_and_sets_rows_without_key_apart(spark):
+    """Times are whole seconds by rounding, as the SQL casts them; rows without key or time see no others."""
+    rows = spark.createDataFrame([(1, "a", 0.6), (2, "a", 1.4), (3, "a", 2.0), (4, None, 5.0), (5, None, 9.0), (6, "a", None), (7, "a", None)], "id int, k string, t double")
+    got = temporal.trailing(rows, key="k", time=F.col("t"), days=7, aggregates={"n": F.count("*"), "s": F.sum("id")})
+    assert got.columns == ["id", "k", "t", "n", "s"]
+    assert {r["id"]: (r["n"], r["s"]) for r in got.collect()} == {1: (0, None), 2: (0, None), 3: (2, 3), 4: (0, None), 5: (0, None), 6: (0, None), 7: (0, None)}
