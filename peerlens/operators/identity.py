@@ -8,7 +8,7 @@ from collections import Counter
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -205,21 +205,69 @@ def decide(left: DataFrame, right: DataFrame, *, threshold: float | None = 0.9)
     return _of_members(decided, members).select("left_id", "right_id", "decision", "score")
 
 
-def strict_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_id, right_id, decision, score, n_matches for every left record: a name in common, and the same nationality
-    and birth date where both sides know them. One match is linked (0.95), several are ambiguous, else there is none.
+# Names of a record up to which matches are counted by sets of names, 2 ** NAMES_COUNTED - 1 of them.
+NAMES_COUNTED = 4
+
+
+def _strict_records(df: DataFrame, side: str) -> DataFrame:
+    """{side}_id, names, nationality, born, plain: one record of its id, and few names."""
+    named = df.select(F.col("id").alias(f"{side}_id"), F.array_sort(F.array_distinct(F.filter("names", lambda x: x.isNotNull() & (x != "")))).alias("names"), "nationality", "born").filter(F.size("names") > 0)
+    return named.withColumn("plain", (F.count("*").over(Window.partitionBy(f"{side}_id")) == 1) & (F.size("names") <= NAMES_COUNTED))
+
+
+def _asked(column: str, side: str) -> Column:
+    """array<struct<kind, value>>: what a value is looked up by. A known one (0) of the left meets its equal or an unknown one
+    (1) of the right, an unknown one of the left any (2); each of the right is itself and any."""
+    x = F.col(column)
+    of = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    known, unknown, anything = of(0, x), of(1, F.when(F.lit(False), x)), of(2, F.when(F.lit(False), x))
+    if side == "left":
+        return F.when(x.isNotNull(), F.array(known, unknown)).otherwise(F.array(anything))
+    return F.when(x.isNotNull(), F.array(known, anything)).otherwise(F.array(unknown, anything))
+
+
+def _counted_matches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_id, n, right_id (the first) of plain records, without pairs: right records are counted for each set of their
+    names, nationality and birth date; those with one of a left record's names are the counts of its single names, less those of two,
+    and so on."""
+    subsets = F.explode(F.expr("transform(sequence(1, shiftleft(1, size(names)) - 1), m -> filter(names, (x, i) -> (shiftright(m, i) & 1) = 1))"))
 
-    left, right: id, names array<string>, nationality, born. Pairs meet by name only; AQE splits a very common name.
-    """
     def keys(df: DataFrame, side: str) -> DataFrame:
-        named = df.select(F.col("id").alias(f"{side}_id"), F.explode(F.array_distinct("names")).alias("name"), F.col("nationality").alias(f"{side}_nationality"), F.col("born").alias(f"{side}_born"))
-        return named.filter("name <> ''")
+        x = df.filter("plain").select(f"{side}_id", subsets.alias("of"), "nationality", "born").withColumn("a", F.explode(_asked("nationality", side)))
+        return x.withColumn("b", F.explode(_asked("born", side))).select(f"{side}_id", F.col("of").alias(f"{side}_of"), *[F.col(f"{c}.{f}").alias(f"{side}_{c}_{f}") for c in "ab" for f in ("kind", "value")])
+
+    by = ["right_of", *[f"right_{c}_{f}" for c in "ab" for f in ("kind", "value")]]
+    counted = keys(right, "right").groupBy(*by).agg(F.count("*").alias("n"), F.min("right_id").alias("right_id"))
+    same = (F.col("left_of") == F.col("right_of"))
+    for c in "ab":
+        same = same & (F.col(f"left_{c}_kind") == F.col(f"right_{c}_kind")) & F.col(f"left_{c}_value").eqNullSafe(F.col(f"right_{c}_value"))
+    odd = F.size("left_of") % 2 == 1
+    met = keys(left, "left").join(counted, same)
+    return met.groupBy("left_id").agg(F.sum(F.when(odd, F.col("n")).otherwise(-F.col("n"))).alias("n"), F.min("right_id").alias("right_id"))
+
+
+def _paired_matches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_id, n, right_id (the first) of the pairs in which a record has many names or its id several records."""
+    def keys(df: DataFrame, side: str) -> DataFrame:
+        return df.select(f"{side}_id", F.explode("names").alias("name"), *[F.col(c).alias(f"{side}_{c}") for c in ("nationality", "born")])
 
     same = F.lit(True)
     for c in ("nationality", "born"):
         same = same & F.coalesce(F.col(f"left_{c}") == F.col(f"right_{c}"), F.lit(True))
-    pairs = keys(left, "left").join(keys(right, "right"), "name").filter(same).select("left_id", "right_id").distinct()
-    found = pairs.groupBy("left_id").agg(F.count("*").alias("n_matches"), F.min("right_id").alias("right_id"))
+    met = lambda l, r: keys(l, "left").join(keys(r, "right"), "name").filter(same).select("left_id", "right_id")
+    pairs = met(left.filter("not plain"), right).unionAll(met(left.filter("plain"), right.filter("not plain"))).distinct()
+    return pairs.groupBy("left_id").agg(F.count("*").alias("n"), F.min("right_id").alias("right_id"))
+
+
+def strict_match(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_id, right_id, decision, score, n_matches for every left record: a name in common, and the same nationality
+    and birth date where both sides know them. One match is linked (0.95), several are ambiguous, else there is none.
+
+    left, right: id, names array<string>, nationality, born. Matches are counted without making pairs, however common
+    a name is; only records of more than NAMES_COUNTED names, or of an id that has several records, meet in pairs.
+    """
+    l, r = _strict_records(left, "left"), _strict_records(right, "right")
+    found = _counted_matches(l, r).unionByName(_paired_matches(l, r)).groupBy("left_id").agg(F.sum("n").alias("n_matches"), F.min("right_id").alias("right_id"))
     n = F.coalesce("n_matches", F.lit(0).cast("long"))
     return left.select(F.col("id").alias("left_id")).distinct().join(found, "left_id", "left").select(
         "left_id",

@@ -161,3 +161,21 @@ def test_many_ids_of_one_name(spark):
     left, right = many(0, "katarzyna wisniewska"), many(1_000_000, "katarzyna visniewska")
     assert {tuple(r) for r in identity.fuzzy_best(left, right).groupBy("right_id", "n_best").count().collect()} == {(1_000_000, 100_000, 100_000)}
     assert {tuple(r) for r in identity.decide(left, many(1_000_000, "katarzyna wisniewska")).groupBy("right_id", "decision", "score").count().collect()} == {(1_000_000, "review", 0.8, 100_000)}
+
+
+def test_strict_match_counts_without_pairs(spark):
+    """As all pairs, for records of few and many names, ids of several records, unknown values, and a name that 100,000 have."""
+    rng = random.Random(9)
+    names = [*"abcdefgh", ""]
+    side = lambda first, n: [(first + rng.randrange(n), rng.sample(names, rng.choice([1, 1, 2, 2, 3, 4, 6])), rng.choice(["x", "y", None]), rng.choice([1, 2, None])) for _ in range(n)]
+    schema = "id long, names array<string>, nationality string, born int"
+    fits = lambda a, b: a is None or b is None or a == b
+    for n in (6, 80):
+        left, right = side(0, 80), side(1000, n)
+        want = {}
+        for i, a, *known in left:
+            want.setdefault(i, set()).update(j for j, b, *other in right if set(a) & set(b) - {""} and all(map(fits, known, other)))
+        got = {r["left_id"]: (r["n_matches"], r["right_id"]) for r in identity.strict_match(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()}
+        assert got == {i: (len(js), min(js) if len(js) == 1 else None) for i, js in want.items()}
+    many = lambda first: spark.range(first, first + 100_000).selectExpr("id", "array('ann lee', 'a lee') as names", "'x' as nationality", "cast(null as int) as born")
+    assert identity.strict_match(many(0), many(1_000_000)).filter("n_matches = 100000").count() == 100_000
