@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.constants import NOT_PER_90, RATES, SAVE_PCT
-from ..functions.storage import written
 from ..functions.stats import per_90, ratio_pct
 
 
@@ -25,9 +26,10 @@ PLAYING = ("minutes", "minutes_elapsed", "appearances", "starts", "yellow_cards"
 
 
 def season_base(appearances: DataFrame, stats: DataFrame) -> DataFrame:
-    """player_id, season_id, team_id, code, value: sums of what was played and done, written once for all season tables.
+    """player_id, season_id, team_id, code, value: sums of what was played and done.
 
-    Each appearance is six codes and each statistic one; both are summed in the task before they meet by key.
+    An appearance is shuffled as one row and becomes six codes behind the shuffle, which is by player and season: all sums
+    of a season, its rates and its source then need no other.
     """
     keys = ["player_id", "season_id", "team_id"]
     played = {
@@ -38,21 +40,29 @@ def season_base(appearances: DataFrame, stats: DataFrame) -> DataFrame:
         "yellow_cards": F.col("yellow_cards").cast("double"),
         "red_cards": F.col("red_card").cast("double"),
     }
-    codes = F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.coalesce(played[c], F.lit(0.0)).alias("value")) for c in PLAYING])).alias("c")
-    long = appearances.select(*keys, codes).select(*keys, "c.*").unionByName(stats.select(*keys, "code", F.col("value").cast("double").alias("value")))
-    return written(long.groupBy(*keys, "code").agg(F.sum("value").alias("value")), "season-base")
+    was_played = [F.coalesce(played[c], F.lit(0.0)).alias(c) for c in PLAYING]
+    rows = appearances.select(*keys, F.lit(None).cast("string").alias("code"), F.lit(None).cast("double").alias("value"), F.struct(*was_played).alias("played"))
+    rows = rows.unionByName(stats.select(*keys, F.struct("code", F.col("value").cast("double").alias("value")).alias("s")).select(*keys, "s.code", "s.value"), allowMissingColumns=True).repartition("player_id", "season_id")
+    codes = F.array(*[F.struct(F.lit(c).alias("code"), F.col(f"played.{c}").alias("value")) for c in PLAYING])
+    long = rows.select(*keys, F.explode(F.when(F.col("played").isNotNull(), codes).otherwise(F.array(F.struct("code", "value")))).alias("c")).select(*keys, "c.*")
+    return long.groupBy(*keys, "code").agg(F.sum("value").alias("value"))
 
 
-def _with_rates(base: DataFrame, ids: list[str]) -> DataFrame:
-    """ids, code, value, is_rate, minutes, appearances: sums of base and the rates out of them; no rate without a denominator."""
+def _with_rates(base: DataFrame, ids: list[str], source: DataFrame) -> DataFrame:
+    """ids, code, value, is_rate, minutes, appearances, source_id: sums of base and the rates out of them; no rate without a
+    denominator. Nothing is shuffled but the base, by player and season."""
     needed = sorted({c for pair in RATES.values() for c in pair} | {*SAVE_PCT, "minutes", "appearances"})
     wide = base.groupBy(*ids).agg(*[F.coalesce(F.sum(F.when(F.col("code") == c, F.col("value"))), F.lit(0.0)).alias(c) for c in needed])
     saves, conceded = (F.col(c) for c in SAVE_PCT)
     rates = {n: ratio_pct(F.col(a), F.col(b)) for n, (a, b) in RATES.items()} | {"gk_save_pct": ratio_pct(saves, saves + conceded)}
     of = wide.select(*ids, F.col("minutes").alias("__m"), F.col("appearances").alias("__a"), *[c.alias(n) for n, c in rates.items()])
     long = of.unpivot([*ids, "__m", "__a"], list(rates), "code", "value").filter("value is not null").withColumn("is_rate", F.lit(True))
-    sums = base.groupBy(*ids, "code").agg(F.sum("value").alias("value")).withColumn("is_rate", F.lit(False)).join(of.select(*ids, "__m", "__a"), ids)
-    return sums.unionByName(long).withColumnsRenamed({"__m": "minutes", "__a": "appearances"})
+    total = Window.partitionBy(*ids)
+    known = [F.col(c).isNotNull() for c in ids]
+    sums = base.filter(reduce(lambda a, b: a & b, known)).groupBy(*ids, "code").agg(F.sum("value").alias("value")).withColumn("is_rate", F.lit(False))
+    sums = sums.withColumns({n: F.coalesce(F.sum(F.when(F.col("code") == c, F.col("value"))).over(total), F.lit(0.0)) for n, c in (("__m", "minutes"), ("__a", "appearances"))})
+    sourced = lambda df: df.join(source, ["player_id", "season_id"], "left")
+    return sourced(sums).unionByName(sourced(long)).withColumnsRenamed({"__m": "minutes", "__a": "appearances"})
 
 
 def season_tables(appearances: DataFrame, stats: DataFrame, *, run: str, timestamp: Column) -> dict[str, DataFrame]:
@@ -71,10 +81,10 @@ def season_tables(appearances: DataFrame, stats: DataFrame, *, run: str, timesta
     def rounded(df: DataFrame) -> DataFrame:
         return df.withColumns({"value": F.round("value", 4), "minutes": F.round("minutes", 2), "appearances": F.col("appearances").cast("int")})
 
-    team = rounded(_with_rates(base, [*ids, "team_id"]).drop("is_rate")).join(source, ids, "left")
-    season = _with_rates(base, ids)
+    team = rounded(_with_rates(base, [*ids, "team_id"], source).drop("is_rate"))
+    season = _with_rates(base, ids, source)
     counted = ~F.col("is_rate") & ~F.col("code").isin(*NOT_PER_90) & (F.col("minutes") > 0)
-    season = rounded(season.withColumn("per90", F.when(counted, F.round(per_90(F.col("value"), F.col("minutes")), 5)))).drop("is_rate").join(source, ids, "left")
+    season = rounded(season.withColumn("per90", F.when(counted, F.round(per_90(F.col("value"), F.col("minutes")), 5)))).drop("is_rate")
     season = season.withColumns({"resolution_rule": F.lit("single_source"), "has_conflict": F.lit(False)})
     observations = season.select(
         *ids, F.lit(None).cast(base.schema["team_id"].dataType).alias("team_id"), "code", "value", F.col("minutes").alias("minutes_basis"), "source_id",

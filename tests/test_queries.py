@@ -24,3 +24,11 @@ def test_against_oracle(spark, name):
     assert sorted(q.columns) == columns
     at = [q.columns.index(c) for c in columns]
     assert rows == sorted(str(tuple(r[i] for i in at)) for r in q.fetchall())
+
+
+@pytest.mark.parametrize("name", ["season_team_stats", "season_player_stats"])
+def test_season_sums_are_shuffled_by_player_and_season_alone(spark, name):
+    """No sum by code or team has a shuffle of its own."""
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert keys and not [k for k in keys if "code#" in k or "team_id#" in k]
