@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
 from . import boosting, value_features, value_model
 from .boosting import Forest, Settings, Tree
 
@@ -140,7 +141,9 @@ def train_runs(examples: DataFrame, features: list[str], label: str, *, folder:
     examples have part (train, validate, test), features, label, baseline keys position_group, and the band columns. The
     best kind is that with the smallest error on validation rows; its run alone has the artifact (where a folder is given),
     coverage and median width of the 80 % interval on test rows, and metrics by band. Too few rows is a ValueError.
+    Examples are written once: fits and metrics pass over them many times, and would make them anew each time.
     """
+    examples = written(examples, "value-examples")
     value_model.require_parts(examples, minimum)
     train, validation, test = (examples.filter(F.col("part") == p) for p in ("train", "validate", "test"))
     found, low, high = candidates(train, features, label, settings, kinds)
