@@ -86,3 +86,17 @@ def test_value_models_beat_the_median(examples):
         r = p.filter("part = 'test'").agg(F.avg(F.abs(F.col("label") - F.col("predicted"))).alias("e"), F.avg(F.abs(F.col("label") - F.lit(median))).alias("b")).first()
         assert r["e"] < 0.9 * r["b"], name
         assert {"raw", "x"}.isdisjoint(p.columns) and p.count() == 900
+
+
+def test_examples_are_made_once(spark, monkeypatch):
+    """Training reads its examples from where they were written, and doesn't make them for each pass."""
+    seen = []
+
+    def stop(examples, minimum):
+        seen.extend(examples.inputFiles())
+        raise ValueError("seen")
+
+    monkeypatch.setattr(value_runs.value_model, "require_parts", stop)
+    with pytest.raises(ValueError, match="seen"):
+        value_runs.train_runs(spark.range(5).selectExpr("id", "'train' as part"), ["id"], "id")
+    assert seen and all("value-examples" in f for f in seen)
