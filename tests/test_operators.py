@@ -4,6 +4,7 @@ import random
 import statistics
 from bisect import bisect_left, bisect_right
 
+import pytest
 from pyspark.sql import functions as F
 
 from peerlens.functions import constants as C
@@ -212,6 +213,26 @@ def test_searches_of_all_targets(spark, tmp_path):
     assert {(r["target"], r["candidate"], round(r["distance"], 9)) for r in blocks.collect()} == near
 
 
+def test_supporting_features_leave_a_task_as_one_row_a_pair(spark, monkeypatch):
+    """Python gives Spark a row per pair, not one per feature; equal distances keep their order, missing values stay out."""
+    nan = float("nan")
+    vectors = {0: [0.0, 0.1, 0.2, nan, 0.4, 0.0, 0.0, 0.0], 1: [0.1, 0.2, 0.1, 0.3, nan, 0.0, 0.9, 0.1], 2: [nan] * 8, 3: [0.4, 0.1, 0.2, 0.3, 0.4, 0.1, 0.2, 0.3]}
+    df = spark.createDataFrame(list(vectors.items()), "id long, v array<double>").repartition(2)
+    made, by_blocks = [], similarity.by_blocks
+    monkeypatch.setattr(similarity, "by_blocks", lambda *a, **k: made.append(by_blocks(*a, **k)) or made[-1])
+    weights = [1.0, 2.0, 1.0, 2.0, 1.0, 2.0, 1.0, 2.0]
+    got = {(r["target"], r["candidate"], r["r"], r["code"]) for r in similarity.vector_supporting_all(df, df, weights, key="id", vector="v").collect()}
+    want = set()
+    for t, a in vectors.items():
+        for c, b in vectors.items():
+            near = sorted((w * abs(y - x), i) for i, (x, y, w) in enumerate(zip(a, b, weights), 1) if abs(y - x) < 0.5)
+            want |= {(t, c, r, i) for r, (_, i) in enumerate(near[:6], 1) if t != c}
+    assert got == want and len(got) > 6
+    assert made[0].count() == len({(t, c) for t, c, *_ in want})
+    with pytest.raises(Exception, match="vectors of different lengths"):
+        similarity.vector_supporting_all(df.unionAll(spark.createDataFrame([(9, [0.0] * 4)], df.schema)).coalesce(1), df, weights, key="id", vector="v").collect()
+
+
 def test_expanding_median_of_all_orders(spark):
     rng = random.Random(4)
     rows = [(i, 2000 + rng.randint(0, 1), rng.randint(0, 30), float(rng.choice([5, 5, 7, rng.randint(0, 99)])) if rng.random() < 0.9 else None) for i in range(400)]
