@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.storage import fresh_folder
+from ..functions.storage import fresh_folder, written
 from ..operators import value_features, value_model, value_runs
 from ..operators.boosting import Settings
 from .queries import query, table
@@ -92,8 +92,10 @@ SMALL = Settings(iterations=5, depth=3, rate=0.4)
 
 @query()
 def value_scores(spark, d):
-    """Runs are trained, the best one is saved and read back, and all test examples are scored with what was read."""
+    """Runs are trained, the best one is saved and read back, and all test examples are scored with what was read. Examples
+    are made once, for training and for scoring."""
     x, names = _parts(spark, d)
+    x = written(x, "value-rows")
     runs, _ = value_runs.train_runs(x, names, "label", folder=fresh_folder(spark, "value-runs"), kinds=("ridge", "hist_boosting"), settings=SMALL)
     saved = next(r["artifact"] for r in runs if r["artifact"])
     out = value_runs.score(x.filter("part = 'test'"), value_runs.load(spark, saved))

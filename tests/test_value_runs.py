@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from peerlens.operators import value_model, value_runs
 from peerlens.operators.boosting import Forest, Settings
+from peerlens.plans import value_queries
 
 NAMES = ["a", "b"]
 SMALL = Settings(iterations=4, depth=2, rate=0.4, least_leaf=10)
@@ -100,3 +101,22 @@ def test_examples_are_made_once(spark, monkeypatch):
     with pytest.raises(ValueError, match="seen"):
         value_runs.train_runs(spark.range(5).selectExpr("id", "'train' as part"), ["id"], "id")
     assert seen and all("value-examples" in f for f in seen)
+
+
+def test_scored_examples_are_not_made_again(spark, monkeypatch):
+    """value_scores trains and scores on one written table."""
+    seen = []
+
+    def train(examples, *args, **more):
+        seen.append(examples.inputFiles())
+        return [{"artifact": "none"}], None
+
+    def score(rows, artifact):
+        seen.append(rows.inputFiles())
+        raise ValueError("seen")
+
+    for name, f in (("train_runs", train), ("load", lambda *_: None), ("score", score)):
+        monkeypatch.setattr(value_runs, name, f)
+    with pytest.raises(ValueError, match="seen"):
+        value_queries.value_scores(spark, "/root/testdata/sf0.001")
+    assert sorted(seen[0]) == sorted(seen[1]) and all("value-rows" in f for f in seen[1])
