@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +44,22 @@ def period_durations(events: DataFrame) -> DataFrame:
 
     events: match_id, period, type, t (seconds from the period's start). Matches without a period have 1 and 2.
     """
-    nominal = F.create_map(*[x for p, (s, n) in PERIODS.items() for x in (F.lit(p), F.struct(F.lit(s).alias("start"), F.lit(n).alias("length")))])
-    known = events.filter(F.col("period").isin(list(PERIODS)))
-    ends = known.groupBy("match_id", "period").agg(F.max(F.when(F.col("type") == "Half End", F.col("t") / 60.0)).alias("end"))
-    bare = events.select("match_id").distinct().join(known.select("match_id").distinct(), "match_id", "left_anti").select("match_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("period"), F.lit(None).cast("double").alias("end"))
-    x = ends.unionByName(bare).withColumn("n", F.element_at(nominal, F.col("period"))).select("match_id", F.col("period").cast("int").alias("period"), "n.start", "n.length", F.when(F.col("end") > 0, F.col("end")).otherwise(F.col("n.length")).alias("duration"))
-    before = Window.partitionBy("match_id").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
-    return x.withColumn("offset", F.coalesce(F.sum("duration").over(before), F.lit(0.0)))
+    seen = {f"seen{p}": F.max(F.col("period") == p) for p in PERIODS}
+    ends = {f"end{p}": F.max(F.when((F.col("period") == p) & (F.col("type") == "Half End"), F.col("t") / 60.0)) for p in PERIODS}
+    x = events.groupBy("match_id").agg(*[c.alias(n) for n, c in (seen | ends).items()])
+    known = {p: F.coalesce(f"seen{p}", F.lit(False)) for p in PERIODS}
+    bare = ~reduce(lambda a, c: a | c, known.values())
+    each, offset = [], F.lit(0.0)
+    for p, (start, length) in sorted(PERIODS.items()):
+        here = known[p] | bare if p in (1, 2) else known[p]
+        duration = F.when(F.col(f"end{p}") > 0, F.col(f"end{p}")).otherwise(F.lit(length))
+        each.append(F.when(here, F.struct(F.lit(p).cast("int").alias("period"), F.lit(start).alias("start"), F.lit(length).alias("length"), duration.alias("duration"), offset.alias("offset"))))
+        offset = offset + F.when(here, duration).otherwise(0.0)
+    return x.select("match_id", F.explode(F.array_compact(F.array(*each))).alias("e")).select("match_id", "e.*")
+
+
+# Segments whose appearances are one task's.
+SEGMENTS_A_TASK = 250_000
 
 
 def appearances(segments: DataFrame, durations: DataFrame) -> DataFrame:
@@ -57,18 +68,24 @@ def appearances(segments: DataFrame, durations: DataFrame) -> DataFrame:
     segments: match_id, player_id, position_id, from_min, to_min, from_period, to_period, start_reason; a player
     without a segment has one row of nulls. Both clocks: nominal minutes stay in the period's nominal bounds,
     elapsed ones add the measured lengths of earlier periods. Open ends, and ends in the shoot-out, are the match's.
+
+    Segments are counted first: tasks are as many as keep each to SEGMENTS_A_TASK of them, or a match, as rows compress so
+    well in a shuffle that tasks cut by its bytes hold far too many.
     """
-    totals = durations.groupBy("match_id").agg(F.sum("duration").alias("all_elapsed"), F.sum("length").alias("all_nominal"), F.map_from_entries(F.collect_list(F.struct("period", F.struct("duration", "offset")))).alias("d"))
+    tasks = max(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-segments.count() // SEGMENTS_A_TASK))
+    of = lambda what: [F.max(F.when(F.col("period") == p, F.col(what))).alias(f"{what}{p}") for p in PERIODS]
+    totals = durations.repartition(tasks, "match_id").groupBy("match_id").agg(F.sum("duration").alias("all_elapsed"), F.sum("length").alias("all_nominal"), *of("duration"), *of("offset"))
     nominal = F.create_map(*[x for p, (s, n) in PERIODS.items() for x in (F.lit(p), F.struct(F.lit(s).alias("start"), F.lit(n).alias("length")))])
 
     def at(clock: str, period: str):
-        c, n, d = F.col(clock), F.element_at(nominal, F.col(period)), F.element_at("d", F.col(period))
+        c, n = F.col(clock), F.element_at(nominal, F.col(period))
+        duration, offset = (F.coalesce(*[F.when(F.col(period) == p, F.col(f"{what}{p}")) for p in PERIODS]) for what in ("duration", "offset"))
         nom = F.coalesce(F.least(F.greatest(c, n["start"]), n["start"] + n["length"]), F.col("all_nominal"))
-        within = F.least(F.greatest(c - n["start"], F.lit(0.0)), d["duration"])
-        el = F.when(c.isNull() | n.isNull() | d.isNull(), F.col("all_elapsed")).otherwise(d["offset"] + within)
+        within = F.least(F.greatest(c - n["start"], F.lit(0.0)), duration)
+        el = F.when(c.isNull() | n.isNull() | duration.isNull(), F.col("all_elapsed")).otherwise(offset + within)
         return F.when(c.isNull() | n.isNull(), F.col("all_nominal")).otherwise(nom), el
 
-    s = segments.join(totals, "match_id").withColumn("to_p", F.when(F.col("to_period") != 5, F.col("to_period")))
+    s = segments.repartition(tasks, "match_id").join(totals, "match_id").withColumn("to_p", F.when(F.col("to_period") != 5, F.col("to_period")))
     (fn, fe), (tn, te) = at("from_min", "from_period"), at("to_min", "to_p")
     counts = F.col("position_id").isNotNull() & ~F.coalesce(F.col("from_period") == 5, F.lit(False))
     s = s.select("match_id", "player_id", "position_id", F.coalesce(F.col("start_reason") == "Starting XI", F.lit(False)).alias("first"), F.when(counts, F.greatest(tn - fn, F.lit(0.0))).otherwise(0.0).alias("nom"), F.when(counts, F.greatest(te - fe, F.lit(0.0))).otherwise(0.0).alias("el"))

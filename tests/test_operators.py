@@ -97,6 +97,23 @@ def test_two_clock_minutes(spark):
     assert got[10]["minutes_nominal"] == 0 and got[10]["minutes_by_position"] == {}
 
 
+def test_appearances_keep_tasks_small(spark, monkeypatch):
+    """A task has a set number of segments at most, whatever their bytes; results stay the same."""
+    ends = spark.range(300).selectExpr("id as match_id", "explode(array(1, 2, 7)) as period", "'Half End' as type", "2700.0 + id % 50 as t")
+    more = spark.createDataFrame([(900, None, "Pass", 3.0), (901, 3, "Half End", 600.0), (901, 1, "Pass", 5.0)], "match_id long, period int, type string, t double")
+    durations = sequence.period_durations(ends.unionByName(more))
+    got = {(r["match_id"], r["period"]): (r["start"], r["length"], r["duration"], r["offset"]) for r in durations.filter("match_id >= 299").collect()}
+    last = (2700 + 299 % 50) / 60
+    assert got == {(299, 1): (0.0, 45.0, last, 0.0), (299, 2): (45.0, 45.0, last, last), (900, 1): (0.0, 45.0, 45.0, 0.0), (900, 2): (45.0, 45.0, 45.0, 45.0), (901, 1): (0.0, 45.0, 45.0, 0.0), (901, 3): (90.0, 15.0, 10.0, 45.0)}
+    segments = durations.selectExpr("match_id", "match_id % 7 as player_id", "2 as position_id", "10.0 as from_min", "80.0 as to_min", "1 as from_period", "2 as to_period", "'Starting XI' as start_reason").distinct()
+    whole = sequence.appearances(segments, durations)
+    want = sorted(map(str, whole.collect()))
+    monkeypatch.setattr(sequence, "SEGMENTS_A_TASK", 20)
+    small = sequence.appearances(segments, durations)
+    assert sorted(map(str, small.collect())) == want and len(want) == 302
+    assert small.rdd.getNumPartitions() == 16  # 302 segments, 20 a task
+
+
 def test_compatibility(spark):
     def best(t1, t2, c1, c2):
         x = similarity.best_compatibility(*[F.lit(v).cast("string") for v in (t1, t2, c1, c2)])
