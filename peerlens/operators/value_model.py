@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -58,28 +58,42 @@ def require_parts(examples: DataFrame, minimum: tuple[int, int, int]) -> None:
             raise ValueError(f"{part}: {sizes.get(part, 0)} examples, at least {least} are needed")
 
 
-def pipeline(kind: str, features: list[str], label: str) -> Pipeline:
-    """ridge (on standardised features), forest or boosted trees, with the train median for missing numbers."""
-    filled = [f"{c}__i" for c in features]
-    prepare = [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="x", withMean=True)]
-    model = {
+def _filled(features: list[str]) -> list[str]:
+    return [f"{c}__i" for c in features]
+
+
+def _prepare(features: list[str]) -> list:
+    """raw and x: the features, and these standardised, with the train median for missing numbers."""
+    filled = _filled(features)
+    return [Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="x", withMean=True)]
+
+
+def _model(kind: str, label: str) -> Estimator:
+    return {
         "ridge": lambda: LinearRegression(featuresCol="x", labelCol=label, predictionCol="predicted", regParam=1.0, elasticNetParam=0.0),
         "forest": lambda: RandomForestRegressor(featuresCol="raw", labelCol=label, predictionCol="predicted", numTrees=50, seed=7),
         "boosted": lambda: GBTRegressor(featuresCol="raw", labelCol=label, predictionCol="predicted", maxIter=30, maxDepth=3, seed=7),
-    }[kind]
-    return Pipeline(stages=[*prepare, model()])
+    }[kind]()
+
+
+def pipeline(kind: str, features: list[str], label: str) -> Pipeline:
+    """ridge (on standardised features), forest or boosted trees, with the train median for missing numbers."""
+    return Pipeline(stages=[*_prepare(features), _model(kind, label)])
 
 
 def fit_models(examples: DataFrame, features: list[str], label: str, *, minimum: tuple[int, int, int] = (30, 10, 10)) -> dict[str, DataFrame]:
     """Predictions per algorithm (ridge, forest, boosted) on all parts, trained on the train part alone.
 
-    Missing numbers take the train median. Too few examples in a part is a ValueError.
+    Missing numbers take the train median. Too few examples in a part is a ValueError. Features are prepared once, and all
+    models train on what is kept of that.
     """
     require_parts(examples, minimum)
-    train = examples.filter("part = 'train'").cache()
-    made = ["raw", "x", *[f"{c}__i" for c in features]]
-    out = {k: pipeline(k, features, label).fit(train).transform(examples).drop(*made) for k in ("ridge", "forest", "boosted")}
-    train.unpersist()
+    train = examples.filter("part = 'train'")
+    prepared = Pipeline(stages=_prepare(features)).fit(train)
+    ready = prepared.transform(train).select(label, "raw", "x").cache()
+    made = ["raw", "x", *_filled(features)]
+    out = {k: _model(k, label).fit(ready).transform(prepared.transform(examples)).drop(*made) for k in ("ridge", "forest", "boosted")}
+    ready.unpersist()
     return out
 
 

@@ -89,6 +89,19 @@ def test_value_models_beat_the_median(examples):
         assert {"raw", "x"}.isdisjoint(p.columns) and p.count() == 900
 
 
+def test_features_are_prepared_once(examples, monkeypatch):
+    """All models of value_models train on features prepared once, and predict what each does in a pipeline of its own."""
+    fitted, imputer = [], value_model.Imputer
+    monkeypatch.setattr(value_model, "Imputer", lambda **k: fitted.append(k) or imputer(**k))
+    found = value_model.fit_models(examples, NAMES, "label")
+    assert len(fitted) == 1
+    train = examples.filter("part = 'train'").cache()
+    for kind, p in found.items():
+        own = value_model.pipeline(kind, NAMES, "label").fit(train).transform(examples)
+        got, want = ({r["id"]: r["predicted"] for r in x.select("id", "predicted").collect()} for x in (p, own))
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got), kind
+
+
 def test_examples_are_made_once(spark, monkeypatch):
     """Training reads its examples from where they were written, and doesn't make them for each pass."""
     seen = []
