@@ -227,6 +227,38 @@ def test_blocks_find_links_that_stars_miss(spark, module):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_blocks_stay_small_in_long_lists(spark, monkeypatch):
+    """A list's largest component isn't compared with itself, nor sent there, and no group of blocks grows with a list."""
+    import numpy as np
+    from pyspark.sql import GroupedData
+
+    rng, rows = np.random.default_rng(3), []
+    for i in range(1200):
+        s = np.sort(np.r_[rng.choice(1 << 40, 30, replace=False) + 100, np.arange(10)]).astype(np.uint64)
+        rows.append((5, i, 0 if i < 1100 else i - i % 2, 40, 8, 2, ngram_join.parity(s).tolist(), [int(x) for x in s[:10]] if i < 1199 else [5, 7]))
+    members = spark.createDataFrame(rows, "token long, rep long, component long, n long, base int, matches int, bits array<long>, prefix array<long>").withColumn("size", F.lit(1200))
+    seen, apply = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, *a: seen.append([r["count"] for r in self.count().collect()]) or apply(self, *a))
+    monkeypatch.setattr(ngram_join, "CHUNK", 10)
+    assert ngram_join.cross_pairs(members, 80).count() == 0  # parity bits rule all out
+    assert sum(seen[0]) <= 1100 * 10 + 100 * 120 and max(seen[0]) < 2000
+    alike = members.withColumn("bits", F.array(*[F.lit(0).cast("long")] * ngram_join.PARITY_WORDS)).filter("rep >= 1050")
+    monkeypatch.setattr(ngram_join, "PACK", 2_000)
+    got = {(r["a"], r["b"]) for r in ngram_join.cross_pairs(alike, 80).collect()}
+    # Of shingles 0 to 9 all but the last row hold all: 0 is the smallest shared one, and this is the list of 5.
+    assert got == {(a, 1199) for a in range(1050, 1198)} and len(seen[1]) > 64
+
+
+def test_marks_are_sent_before_rows_pile_up(spark, monkeypatch):
+    """Copies of one text, which add no shingles, are sent on after a number of documents as well."""
+    df = spark.createDataFrame([(i, "a b c d e f g" if i % 2 else "") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    want = joined(df)
+    sent = ngram_join.shared_marks(df, 5, 80).select("key", "found").collect()
+    monkeypatch.setattr(ngram_join, "FLUSH_DOCS", 10)
+    assert joined(df) == want and len(sent) == 3000
+    assert {c for _, c in want.values()} == {1, *range(0, 3000, 2)}
+
+
 def test_parity_bits_bound_the_difference():
     import numpy as np
 
