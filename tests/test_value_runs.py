@@ -61,6 +61,35 @@ def test_conformal_width_is_that_of_numpy(spark):
         value_runs.conformal_width(df.limit(0), "y", "l", "h")
 
 
+def test_quantiles_of_large_keys_are_exact(spark, monkeypatch):
+    """Keys of many rows have F.percentile's quantiles, though only values near the ranks come together; so have metrics."""
+    rng = np.random.default_rng(8)
+    values = {"a": rng.normal(size=3001), "b": np.r_[np.full(900, 2.5), rng.normal(size=400)], None: np.array([1.0, 4.0]), "n": np.array([np.nan, 1.0, np.nan]), "i": np.array([np.inf, -np.inf, 3.0, 7.0])}
+    rows = [(k, float(v), float(rng.normal())) for k, x in values.items() for v in x] + [("none", None, 1.0), ("a", None, None)]
+    df = spark.createDataFrame(rows, "k string, v double, p double").repartition(3).cache()
+    plain = {s: {r["k"]: r["q"] for r in df.groupBy("k").agg(F.percentile("v", F.lit(s)).alias("q")).filter("k is null or k <> 'none'").collect()} for s in (0.0, 0.37, 0.5, 0.8, 1.0)}
+    whole = df.agg(F.percentile("v", F.lit(0.37)).alias("q")).first()["q"]
+    finite = df.filter("k in ('a', 'b')")
+    metrics = value_model.regression_metrics(finite, ["k"], "v", "p").orderBy("k").collect()
+    width = value_model.conformal(finite.selectExpr("*", "'validate' as part", "p as predicted"), "v").agg(F.max("high")).first()
+    monkeypatch.setattr(value_model, "LARGE", 4)
+    taken, between = [], value_model._between
+    monkeypatch.setattr(value_model, "_between", lambda *a: taken.append(a) or between(*a))
+    for accuracy in (1000, 100):
+        monkeypatch.setattr(value_model, "ACCURACY", accuracy)
+        for share, want in plain.items():
+            assert repr(sorted((str(r["k"]), r["quantile"]) for r in value_model.quantile(df, ["k"], "v", share).collect())) == repr(sorted((str(k), v) for k, v in want.items()))
+        assert value_model.quantile(df, [], "v", 0.37).collect() == [(whole,)]
+    assert len(taken) == 12 and value_model.quantile(df.filter("v > 1e9 and v < 1e10"), ["k"], "v").collect() == []
+    x, bounds, *_ = taken[-1]
+    assert x.join(bounds).filter("__v between lo and hi").count() < 0.1 * x.count()
+    assert [r.asDict() for r in value_model.regression_metrics(finite, ["k"], "v", "p").orderBy("k").collect()] == [pytest.approx(r.asDict()) for r in metrics]
+    assert value_model.conformal(finite.selectExpr("*", "'validate' as part", "p as predicted"), "v").agg(F.max("high")).first() == width
+    monkeypatch.setattr(value_model, "_between", lambda x, b, n, s: between(x, b.withColumn("hi", F.col("lo")), n, s) if "c" not in seen and not seen.append("c") else between(x, b, n, s))
+    seen = []
+    assert {r["k"]: r["quantile"] for r in value_model.quantile(finite, ["k"], "v").collect()} == {k: plain[0.5][k] for k in "ab"}
+
+
 def test_too_few_rows(examples):
     with pytest.raises(ValueError, match="validate"):
         value_runs.train_runs(examples.filter("part <> 'validate'"), NAMES, "label", settings=SMALL)
