@@ -250,6 +250,23 @@ def test_supporting_features_leave_a_task_as_one_row_a_pair(spark, monkeypatch):
         similarity.vector_supporting_all(df.unionAll(spark.createDataFrame([(9, [0.0] * 4)], df.schema)).coalesce(1), df, weights, key="id", vector="v").collect()
 
 
+def test_candidates_of_scores_take_few_bytes(spark, tmp_path):
+    """A written result has the similarities' own bytes and next to none for the ids beside; all pairs are there."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(3205)], "id long, v array<double>").coalesce(1)
+    out = similarity.vector_similarity_all(df, df.filter("id % 50 = 0"), "CM", ["attacking", "passing"] * 4, [1.0] * 8, key="id", vector="v")
+    out.write.parquet(str(tmp_path / "out"))
+    parts = [pq.read_metadata(f).row_group(0) for f in (tmp_path / "out").glob("*.parquet")]
+    columns = {c.path_in_schema: c.total_compressed_size for c in map(parts[0].column, range(4))}
+    assert len(parts) == 1 and parts[0].num_rows == 65 * 3204
+    assert columns["target"] + columns["candidate"] + columns["usable"] < 0.4 * parts[0].num_rows
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.select("target", "candidate").distinct().count() == 65 * 3204 and found.filter("target = candidate").isEmpty()
+
+
 def test_expanding_median_of_all_orders(spark):
     rng = random.Random(4)
     rows = [(i, 2000 + rng.randint(0, 1), rng.randint(0, 30), float(rng.choice([5, 5, 7, rng.randint(0, 99)])) if rng.random() < 0.9 else None) for i in range(400)]
