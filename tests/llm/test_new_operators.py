@@ -249,6 +249,21 @@ def test_blocks_stay_small_in_long_lists(spark, monkeypatch):
     assert got == {(a, 1199) for a in range(1050, 1198)} and len(seen[1]) > 64
 
 
+def test_packs_stay_small_in_large_buckets(spark, monkeypatch):
+    """Near-duplicate removal deals blocks into packs by the rows that are placed in them, not by the members of buckets."""
+    from pyspark.sql import GroupedData
+
+    one = {"bucket": F.lit(5).cast("long"), "component": F.col("rep"), "n_shingles": F.lit(9).cast("long"), "n": F.lit(900).cast("long")}
+    bits = lambda n: F.array(*[F.col("rep") * (2**40 + i) * 977 for i in range(n)])
+    members = spark.range(900).toDF("rep").withColumns(one | {"sketch": bits(16), "parity": bits(32), "bands": F.array(*[F.lit(5).cast("long")] * 24)})
+    seen, apply = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, *a: seen.append([r["count"] for r in self.count().collect()]) or apply(self, *a))
+    monkeypatch.setattr(near_dup, "CHUNK", 10)
+    monkeypatch.setattr(near_dup, "PACK", 50)
+    near_dup.cross_pairs(members, 10, 80)
+    assert sum(seen[0]) == 900 * 90 and max(seen[0]) < 400
+
+
 def test_marks_are_sent_before_rows_pile_up(spark, monkeypatch):
     """Copies of one text, which add no shingles, are sent on after a number of documents as well."""
     df = spark.createDataFrame([(i, "a b c d e f g" if i % 2 else "") for i in range(3000)], "doc_id long, text string").coalesce(1)
